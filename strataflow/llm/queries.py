@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import simhash, token_counts
+from strataflow.llm import quality_rules, simhash, token_counts
 from strataflow.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": lambda spark, sf_dir: token_counts.token_counts(documents(spark, sf_dir)),
+    "op4_quality_rules": lambda spark, sf_dir: quality_rules.quality(documents(spark, sf_dir)),
     "op9_simhash": lambda spark, sf_dir: simhash.near_duplicates(documents(spark, sf_dir)),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
