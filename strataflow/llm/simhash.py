@@ -35,6 +35,8 @@ SEED = 42
 BLOCK = 1 << 16
 #: Values of balls that a task sorts at once, about.
 MOST_VALUES = 1 << 22
+#: Leading bits that balls are dealt by, more where a value of them would get more than so many fingerprints on average.
+LEADING, MOST_ROWS = 12, 1 << 16
 
 
 def fingerprint(text: bytes, words_each: int = 4) -> int:
@@ -119,8 +121,8 @@ def meeting(fps: np.ndarray, leading: int, bits: int, radius: int) -> np.ndarray
 def links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
     """(a, b) long: links that join whatever of the n distinct fingerprints differ in at most radius bits. radius is even."""
     half = radius // 2
-    bits = 8
-    while n * len(flips(bits, half)) > 4096 << bits and bits < 24:
+    bits = LEADING
+    while n * len(flips(bits, half)) > MOST_ROWS << bits and bits < 24:
         bits += 2
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
