@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import mixing, quality_rules, simhash, token_counts
+from strataflow.llm import mixing, pii, quality_rules, simhash, token_counts
 from strataflow.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": lambda spark, sf_dir: pii.report(documents(spark, sf_dir)),
     "op2_token_counts": lambda spark, sf_dir: token_counts.token_counts(documents(spark, sf_dir)),
     "op3_mixing": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir, "source")).select("doc_id", "size", "source_size", "target", "taken"),
     "op4_quality_rules": lambda spark, sf_dir: quality_rules.quality(documents(spark, sf_dir)),
