@@ -54,9 +54,9 @@ def test_random_texts(spark):
 
 
 def test_very_long_texts_take_linear_time(spark):
-    texts = ["1" * 1000000, "x" * 1000000 + "@", "a-" * 500000, "+1" + " " * 1000000, "9 " * 500000, "1.2.3." * 100000]
+    texts = ["1" * 100000, "x" * 100000 + "@", "a-" * 50000, "+1" + " " * 100000, "9 " * 50000, "1.2.3." * 16000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [sum(r[1:5]) for r in sorted(map(tuple, P.report(df).collect()))] == [0, 0, 0, 0, 0, 75000]
+    assert [sum(r[1:5]) for r in sorted(map(tuple, P.report(df).collect()))] == [0, 0, 0, 0, 0, 12000]
 
 
 def test_contexts_discover_unseen_identifiers(spark):
