@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +84,33 @@ def joined(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
 def utf8(table: pa.Table, column: str = "text") -> list[bytes]:
     """The column's texts as UTF-8; null: empty."""
     return [b or b"" for b in table.column(column).cast(pa.binary()).to_pylist()]
+
+
+#: A worker forgets its words' hashes beyond so many.
+MOST_WORDS = 500_000
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > MOST_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
+
+
+def hashed_words(texts: list[list[bytes]], n: int) -> np.ndarray:
+    """64-bit hashes of all n words of the texts, one after the other."""
+    look = _hashes.__getitem__
+    return np.fromiter((h for words in texts for h in map(look, words)), np.uint64, n)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes (uint64) whose every bit depends on all of h's."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
