@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import mixing, ngram_lm, pii, quality_rules, simhash, substring_dedup, token_counts
+from strataflow.llm import mixing, ngram_lm, pii, quality_rules, simhash, substring_dedup, token_counts, toxicity
 from strataflow.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": lambda spark, sf_dir: token_counts.token_counts(documents(spark, sf_dir)),
     "op3_mixing": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir, "source")).select("doc_id", "size", "source_size", "target", "taken"),
     "op4_quality_rules": lambda spark, sf_dir: quality_rules.quality(documents(spark, sf_dir)),
+    "op5_toxicity": lambda spark, sf_dir: toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
     "op6_substring_dedup": lambda spark, sf_dir: substring_dedup.substring_dedup(documents(spark, sf_dir)),
     "op8_ngram_lm": lambda spark, sf_dir: ngram_lm.language_model(documents(spark, sf_dir)),
     "op9_simhash": lambda spark, sf_dir: simhash.near_duplicates(documents(spark, sf_dir)),
