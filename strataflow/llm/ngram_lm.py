@@ -79,18 +79,19 @@ def pair_key(history: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(history, token, place of the text) for each token of the texts."""
-    words = [t.lower().split() for t in texts]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    sizes: list[int] = []
+    words = hashed_words((t.lower() for t in texts), sizes)
+    lengths = np.array(sizes, np.int64)
     ends = np.cumsum(lengths + 1) - 1
-    token = np.empty(int(lengths.sum()) + len(words), np.uint64)
+    token = np.empty(len(words) + len(texts), np.uint64)
     is_end = np.zeros(len(token), bool)
     is_end[ends] = True
-    token[~is_end] = hashed_words(words, int(lengths.sum()))
+    token[~is_end] = words
     token[is_end] = END
     history = np.empty_like(token)
     history[1:] = token[:-1]
     history[ends - lengths] = START
-    return history, token, np.repeat(np.arange(len(words)), lengths + 1)
+    return history, token, np.repeat(np.arange(len(texts)), lengths + 1)
 
 
 def _summed(order: np.ndarray, keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -105,9 +106,11 @@ def _pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
         history, token, _ = tokens(utf8(t))
         key = pair_key(history, token)
         order = np.argsort(key)
-        first, n = _summed(order, key, np.ones(len(key), np.int64))
-        at = order[first]
-        key, history, token = key[at], history[at], token[at]
+        key = key[order]
+        first = np.flatnonzero(np.r_[np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+        n, at = np.diff(np.r_[first, len(key)]), order[first]
+        key, history, token = key[first], history[at], token[at]
+        del order, first, at
         for k, a, b in shard_edges(key, bits):
             by_history = np.argsort(history[a:b], kind="stable")
             h, w, c = history[a:b][by_history], token[a:b][by_history], n[a:b][by_history]
@@ -154,17 +157,18 @@ def _pair_range(table: pa.Table, uri: str, large: str, word_bits: int) -> Iterat
 
 def _word_range(table: pa.Table, uri: str) -> pa.Table:
     """Writes a hash range's words; returns its sums and counts of counts."""
-    words, fields = [], []
+    parts: dict[str, tuple[list, list]] = {"history": ([np.empty(0, np.uint64)], [np.empty((0, 4), np.int64)]), "token": ([np.empty(0, np.uint64)], [np.empty((0, 2), np.int64)])}
     for r in table.select(["of", "word", "fields"]).to_pylist():
-        w = np.frombuffer(r["word"], np.uint64)
-        f = r["fields"]
+        w, f = np.frombuffer(r["word"], np.uint64), r["fields"]
         wide = len(f) % (4 * len(w)) == 1
-        own = (np.frombuffer(f[1:], np.int64) if wide else np.frombuffer(f, np.uint32)).reshape(len(w), -1).astype(np.int64)
-        whole = np.zeros((len(w), len(FIELDS)), np.int64)
-        whole[:, slice(0, 4) if r["of"] == "history" else slice(4, 6)] = own
-        words.append(w)
-        fields.append(whole)
-    word, whole = _entries(np.concatenate(words), *np.concatenate(fields).T)
+        parts[r["of"]][0].append(w)
+        parts[r["of"]][1].append((np.frombuffer(f[1:], np.int64) if wide else np.frombuffer(f, np.uint32)).reshape(len(w), -1).astype(np.int64))
+    summed = {of: _entries(np.concatenate(w), *np.concatenate(f).T) for of, (w, f) in parts.items()}
+    del parts
+    word = np.union1d(summed["history"][0], summed["token"][0])
+    whole = np.zeros((len(word), len(FIELDS)), np.int64)
+    whole[np.searchsorted(word, summed["history"][0]), :4] = summed["history"][1]
+    whole[np.searchsorted(word, summed["token"][0]), 4:] = summed["token"][1]
     shard = table["shard"][0].as_py()
     save(uri, shard, key=word, **{f: whole[:, k].copy() for k, f in enumerate(FIELDS)})
     histories, count = whole[:, 4], whole[:, 5]
@@ -177,7 +181,7 @@ def train(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     small_batches(spark)
     pair_bits = (shards(input_bytes(docs), 32 << 20) - 1).bit_length()
-    word_bits = max(3, pair_bits - 1)
+    word_bits = pair_bits
     pairs, large, words = (scratch(spark, x) for x in ("pairs", "large-counts", "words"))
     sent = docs.select("text").mapInArrow(lambda b: _pairs(b, pair_bits), "shard int, history binary, run binary, token binary, often binary, n binary")
 

@@ -6,6 +6,8 @@ carriage return. bytes.split() splits at these six, so on UTF-8 bytes it gives t
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -77,17 +79,24 @@ def joined(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
         if size >= most:
             yield pa.Table.from_batches(held)
             held, size = [], 0
+            trim()
     if held:
         yield pa.Table.from_batches(held)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can; a worker otherwise keeps its largest block's."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(table: pa.Table, column: str = "text") -> list[bytes]:
     """The column's texts as UTF-8; null: empty."""
     return [b or b"" for b in table.column(column).cast(pa.binary()).to_pylist()]
 
 
 #: A worker forgets its words' hashes beyond so many.
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 
 
 class _Hashes(dict):
@@ -103,10 +112,14 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def hashed_words(texts: list[list[bytes]], n: int) -> np.ndarray:
-    """64-bit hashes of all n words of the texts, one after the other."""
-    look = _hashes.__getitem__
-    return np.fromiter((h for words in texts for h in map(look, words)), np.uint64, n)
+def hashed_words(texts: Iterable[bytes], sizes: list[int]) -> np.ndarray:
+    """64-bit hashes of all words of the texts, one after the other; sizes gets each text's number of words."""
+    look, parts = _hashes.__getitem__, [np.empty(0, np.uint64)]
+    for text in texts:
+        words = text.split()
+        sizes.append(len(words))
+        parts.append(np.fromiter(map(look, words), np.uint64, len(words)))
+    return np.concatenate(parts)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -32,34 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.hash_arrays import HashArrays, save, shard_edges
-from strataflow.llm.shared import input_bytes, joined, scratch, shards, small_batches, utf8
+from strataflow.llm.shared import hashed_words, input_bytes, joined, mixed, scratch, shards, small_batches, utf8
 
 SIZE, PHRASE = 13, 5
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-#: A worker forgets its words' hashes beyond so many.
-MOST_WORDS = 500_000
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > MOST_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def _grams(words: np.ndarray, size: int, base: int) -> np.ndarray:
     """Polynomial hashes of all runs of so many words."""
     n = len(words) - size + 1
@@ -67,13 +46,13 @@ def _grams(words: np.ndarray, size: int, base: int) -> np.ndarray:
     for k in range(size):
         out *= power
         out += words[k : n + k]
-    return _mixed(out)
+    return mixed(out)
 
 
 class Windows(NamedTuple):
-    """A block's windows: the texts' words; for each window the place of its document, of its first word within the document, and its hashes."""
+    """A block's windows: the texts' numbers of words; for each window the place of its document, of its first word within the document, and its hashes."""
 
-    words: list[list[bytes]]
+    sizes: list[int]
     doc: np.ndarray
     at: np.ndarray
     minimizer: np.ndarray
@@ -82,23 +61,21 @@ class Windows(NamedTuple):
 
 
 def windows(texts: list[bytes], usable: np.ndarray, size: int = SIZE) -> Windows:
-    words = [t.split() for t in texts]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    n = int(lengths.sum())
-    look = _hashes.__getitem__
-    flat = np.fromiter((h for w in words for h in map(look, w)), np.uint64, n)
-    doc = np.repeat(np.arange(len(words)), lengths)
+    sizes: list[int] = []
+    flat = hashed_words(texts, sizes)
+    lengths, n = np.array(sizes, np.int64), len(flat)
+    doc = np.repeat(np.arange(len(texts)), lengths)
     at = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     if n < size:
         empty = np.empty(0, np.uint64)
-        return Windows(words, doc[:0], at[:0], empty, empty, empty.astype(np.uint32))
+        return Windows(sizes, doc[:0], at[:0], empty, empty, empty.astype(np.uint32))
     phrases = _grams(flat, PHRASE, _P1)
     least = phrases[: n - size + 1].copy()
     for k in range(1, size - PHRASE + 1):
         np.minimum(least, phrases[k : n - size + 1 + k], out=least)
     whole = (at[: n - size + 1] + size <= lengths[doc[: n - size + 1]]) & usable[doc[: n - size + 1]]
     w = np.flatnonzero(whole)
-    return Windows(words, doc[w], at[w], least[w], _grams(flat, size, _P1)[w], (_grams(flat, size, _P2)[w] >> np.uint64(32)).astype(np.uint32))
+    return Windows(sizes, doc[w], at[w], least[w], _grams(flat, size, _P1)[w], (_grams(flat, size, _P2)[w] >> np.uint64(32)).astype(np.uint32))
 
 
 def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -202,12 +179,12 @@ def _confirmed(table: pa.Table, uri: str) -> pa.Table:
     return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(kept)], pa.int64())})
 
 
-def _located(words: list[list[bytes]], docs: np.ndarray, at: np.ndarray, earliest: np.ndarray, ids: np.ndarray, size: int) -> dict[int, np.ndarray]:
+def _located(texts: list[bytes], docs: np.ndarray, at: np.ndarray, earliest: np.ndarray, ids: np.ndarray, size: int) -> dict[int, np.ndarray]:
     """For each document of a shard with confirmed windows (docs, at, earliest: of each, in order), which of its words an automaton of passages finds in an earlier document's passages."""
     import ahocorasick
 
     number: dict[bytes, int] = {}
-    numbered = {int(d): tuple(number.setdefault(x, len(number) + 1) for x in words[d]) for d in np.unique(docs)}
+    numbered = {int(d): tuple(number.setdefault(x, len(number) + 1) for x in texts[d].split()) for d in np.unique(docs)}
     starts = np.r_[True, (docs[1:] != docs[:-1]) | (at[1:] != at[:-1] + 1)]
     begin = np.flatnonzero(starts)
     run = np.arange(len(docs)) - np.repeat(begin, np.diff(np.r_[begin, len(docs)]))
@@ -232,7 +209,8 @@ def _kept(batches: Iterator[pa.RecordBatch], minimizers: str, passages: str, bit
     known, confirmed = _opened(minimizers, bits), _opened(passages, bits, "h2", "doc")
     for t in joined(batches):
         ids, valid = _ids(t)
-        w = windows(utf8(t), valid, size)
+        texts = utf8(t)
+        w = windows(texts, valid, size)
         c = np.flatnonzero(_candidate_windows(w, known))
         gone: dict[int, np.ndarray] = {}
         if len(c):
@@ -244,14 +222,15 @@ def _kept(batches: Iterator[pa.RecordBatch], minimizers: str, passages: str, bit
             hit = found & (earliest < ids[w.doc[c]])
             c, earliest = c[hit], earliest[hit]
             if len(c):
-                gone = _located(w.words, w.doc[c], w.at[c], earliest, ids, size)
+                gone = _located(texts, w.doc[c], w.at[c], earliest, ids, size)
         removed, hashes = [], []
-        for d, words in enumerate(w.words):
+        for d, text in enumerate(texts):
+            words = text.split()
             if (mask := gone.get(d)) is not None:
                 words = [x for x, g in zip(words, mask.tolist(), strict=True) if not g]
-            removed.append(len(w.words[d]) - len(words))
+            removed.append(w.sizes[d] - len(words))
             hashes.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        yield pa.record_batch({"doc_id": t["doc_id"].combine_chunks(), "n_words": pa.array([len(x) for x in w.words], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(hashes)})
+        yield pa.record_batch({"doc_id": t["doc_id"].combine_chunks(), "n_words": pa.array(w.sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(hashes)})
 
 
 def substring_dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
