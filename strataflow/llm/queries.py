@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import mixing, ngram_lm, pii, quality_rules, simhash, substring_dedup, token_counts, toxicity
+from strataflow.llm import chat_format, decontamination, mixing, ngram_lm, pii, quality_rules, simhash, substring_dedup, token_counts, toxicity
 from strataflow.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,8 +16,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": lambda spark, sf_dir: quality_rules.quality(documents(spark, sf_dir)),
     "op5_toxicity": lambda spark, sf_dir: toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
     "op6_substring_dedup": lambda spark, sf_dir: substring_dedup.substring_dedup(documents(spark, sf_dir)),
+    "op7_decontamination": lambda spark, sf_dir: decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
     "op8_ngram_lm": lambda spark, sf_dir: ngram_lm.language_model(documents(spark, sf_dir)),
     "op9_simhash": lambda spark, sf_dir: simhash.near_duplicates(documents(spark, sf_dir)),
+    "op10_chat_format": chat_format.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL}
