@@ -41,7 +41,7 @@ class HashArrays:
         self.fs, self.path = _store(uri)
         self.bits, self.names, self.shards = bits, ("key", *names), {}
 
-    def _open(self, name: str, shard: int) -> np.ndarray:
+    def opened(self, name: str, shard: int) -> np.ndarray:
         path = f"{self.path}/{name}-{shard:06d}.npy"
         if isinstance(self.fs, pa.fs.LocalFileSystem):
             return np.load(path, mmap_mode="r")
@@ -54,9 +54,12 @@ class HashArrays:
             shape, _, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
             return np.memmap(f, kind, "r", f.tell(), shape) if shape[0] else np.empty(0, kind)
 
+    def has(self, k: int) -> bool:
+        return self.fs.get_file_info(f"{self.path}/key-{k:06d}.npy").type == pa.fs.FileType.File
+
     def shard(self, k: int) -> tuple[np.ndarray, ...]:
         if k not in self.shards:
-            self.shards[k] = tuple(self._open(n, k) for n in self.names)
+            self.shards[k] = tuple(self.opened(n, k) for n in self.names)
         return self.shards[k]
 
     def find(self, keys: np.ndarray, missing: tuple = (), step: int = 0) -> tuple[np.ndarray, ...]:

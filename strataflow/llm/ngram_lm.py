@@ -36,6 +36,8 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 BLOCK = 16 << 20
 #: What a word's entry holds, beside its hash.
 FIELDS = ("once", "twice", "more", "total", "histories", "count")
+#: What the entries of most words of a hash range are: seen in one pair, once.
+USUAL = {"history": (1, 0, 0, 1), "token": (1, 1)}
 START, END = np.uint64(0x9C5E2D3B7A1F4E61), np.uint64(0x3F84D5B5B5470917)
 #: Pair counts are kept as bytes; such a byte sends a reader to the large counts.
 LARGE = 255
@@ -134,7 +136,7 @@ def _entries(word: np.ndarray, *fields: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _pair_range(table: pa.Table, uri: str, large: str, word_bits: int) -> Iterator[pa.RecordBatch]:
-    """Writes a hash range's pairs; sends on its words' entries, and its counts of counts under shard -1."""
+    """Writes a hash range's pairs and counts of counts; sends on its words' entries, the most usual ones as bare words."""
     parts = [_unpacked(r) for r in table.select(["history", "run", "token", "often", "n"]).to_pylist()]
     history, token, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
@@ -144,15 +146,17 @@ def _pair_range(table: pa.Table, uri: str, large: str, word_bits: int) -> Iterat
     at = order[first]
     key, history, token = key[at], history[at], token[at]
     shard = table["shard"][0].as_py()
-    save(uri, shard, key=key, n=np.minimum(n, LARGE).astype(np.uint8))
+    save(uri, shard, counts=np.array([*((n == k).sum() for k in (1, 2, 3, 4)), len(n)], np.int64), key=key, n=np.minimum(n, LARGE).astype(np.uint8))
     save(large, shard, key=key[n >= LARGE], n=n[n >= LARGE])
-    counts = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-    yield pa.record_batch({"shard": pa.array([-1], pa.int32()), "of": [f"pairs {shard}"], "word": [b""], "fields": [np.array([*counts, len(n)], np.int64).tobytes()]})
     zero = np.zeros(len(n), np.int64)
     for of, word, fields in (("history", history, (n == 1, n == 2, n > 2, n)), ("token", token, (zero + 1, n))):
         words, sums = _entries(word, *(f.astype(np.int64) for f in fields))
-        for k, a, b in shard_edges(words, word_bits):
-            yield pa.record_batch({"shard": pa.array([k], pa.int32()), "of": [of], "word": [words[a:b].tobytes()], "fields": [sums[a:b].astype(np.uint32).tobytes() if sums.max() < 1 << 32 else b"L" + sums[a:b].tobytes()]})
+        usual = (sums == np.array(USUAL[of])).all(axis=1)
+        for known, at in ((True, np.flatnonzero(usual)), (False, np.flatnonzero(~usual))):
+            for k, a, b in shard_edges(words[at], word_bits):
+                own = sums[at[a:b]]
+                packed = b"" if known else own.astype(np.uint32).tobytes() if own.max() < 1 << 32 else b"L" + own.tobytes()
+                yield pa.record_batch({"shard": pa.array([k], pa.int32()), "of": [of], "word": [words[at[a:b]].tobytes()], "fields": [packed]})
 
 
 def _word_range(table: pa.Table, uri: str) -> pa.Table:
@@ -161,8 +165,9 @@ def _word_range(table: pa.Table, uri: str) -> pa.Table:
     for r in table.select(["of", "word", "fields"]).to_pylist():
         w, f = np.frombuffer(r["word"], np.uint64), r["fields"]
         wide = len(f) % (4 * len(w)) == 1
+        own = np.frombuffer(f[1:], np.int64) if wide else np.frombuffer(f, np.uint32) if f else np.tile(USUAL[r["of"]], len(w))
         parts[r["of"]][0].append(w)
-        parts[r["of"]][1].append((np.frombuffer(f[1:], np.int64) if wide else np.frombuffer(f, np.uint32)).reshape(len(w), -1).astype(np.int64))
+        parts[r["of"]][1].append(own.reshape(len(w), -1).astype(np.int64))
     summed = {of: _entries(np.concatenate(w), *np.concatenate(f).T) for of, (w, f) in parts.items()}
     del parts
     word = np.union1d(summed["history"][0], summed["token"][0])
@@ -170,7 +175,7 @@ def _word_range(table: pa.Table, uri: str) -> pa.Table:
     whole[np.searchsorted(word, summed["history"][0]), :4] = summed["history"][1]
     whole[np.searchsorted(word, summed["token"][0]), 4:] = summed["token"][1]
     shard = table["shard"][0].as_py()
-    save(uri, shard, key=word, **{f: whole[:, k].copy() for k, f in enumerate(FIELDS)})
+    save(uri, shard, key=word, **{f: whole[:, k].astype(np.min_scalar_type(whole[:, k].max(initial=0))) for k, f in enumerate(FIELDS)})
     histories, count = whole[:, 4], whole[:, 5]
     sums = [int(count.sum()), int((count > 0).sum()), *(int((histories == k).sum()) for k in (1, 2, 3, 4))]
     return pa.table({"shard": pa.array([shard], pa.int32()), "sums": pa.array([sums], pa.list_(pa.int64()))})
@@ -180,7 +185,7 @@ def train(docs: DataFrame) -> Model:
     """Counts docs(text), in which nulls are empty."""
     spark = docs.sparkSession
     small_batches(spark)
-    pair_bits = (shards(input_bytes(docs), 32 << 20) - 1).bit_length()
+    pair_bits = (shards(input_bytes(docs), 16 << 20) - 1).bit_length()
     word_bits = pair_bits
     pairs, large, words = (scratch(spark, x) for x in ("pairs", "large-counts", "words"))
     sent = docs.select("text").mapInArrow(lambda b: _pairs(b, pair_bits), "shard int, history binary, run binary, token binary, often binary, n binary")
@@ -188,21 +193,18 @@ def train(docs: DataFrame) -> Model:
     def reduce_pairs(t: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(_pair_range(t, pairs, large, word_bits)))
 
-    entries = scratch(spark, "entries")
-    sent.groupBy("shard").applyInArrow(reduce_pairs, "shard int, of string, word binary, fields binary").write.parquet(entries)
-    entry = spark.read.parquet(entries)
-    numbers = np.zeros(5, np.int64)
-    seen = set()
-    for r in entry.where("shard < 0").select("of", "fields").collect():  # five numbers for each of 2**pair_bits ranges
-        numbers += np.frombuffer(r["fields"], np.int64)
-        seen.add(int(r["of"].split()[1]))
-    for k in set(range(1 << pair_bits)) - seen:
-        save(pairs, k, key=np.empty(0, np.uint64), n=np.empty(0, np.uint8))
-        save(large, k, key=np.empty(0, np.uint64), n=np.empty(0, np.int64))
+    entries = sent.groupBy("shard").applyInArrow(reduce_pairs, "shard int, of string, word binary, fields binary")
     sums, seen = np.zeros(6, np.int64), set()
-    for r in entry.where("shard >= 0").groupBy("shard").applyInArrow(lambda t: _word_range(t, words), "shard int, sums array<long>").collect():
+    for r in entries.groupBy("shard").applyInArrow(lambda t: _word_range(t, words), "shard int, sums array<long>").collect():  # six numbers for each range
         sums += np.array(r["sums"], np.int64)
         seen.add(r["shard"])
+    numbers, found = np.zeros(5, np.int64), HashArrays(pairs, pair_bits, "counts")
+    for k in range(1 << pair_bits):
+        if found.has(k):
+            numbers += found.opened("counts", k)
+        else:
+            save(pairs, k, key=np.empty(0, np.uint64), n=np.empty(0, np.uint8))
+            save(large, k, key=np.empty(0, np.uint64), n=np.empty(0, np.int64))
     for k in set(range(1 << word_bits)) - seen:
         save(words, k, key=np.empty(0, np.uint64), **{f: np.empty(0, np.int64) for f in FIELDS})
     histories = [int(x) for x in sums[2:]]
