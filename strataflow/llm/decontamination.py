@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 from strataflow.llm.shared import joined, small_batches, utf8
 
 SHINGLE, OVERLAP = 5, 0.8
-THRESHOLD, HALF, BLOCK = 0.6, 64, 32
+THRESHOLD, HALF, BLOCK = 0.6, 64, 4
 K1, B = 1.2, 0.75
-INDEX_BYTES = 16 << 20
+INDEX_BYTES = 512 << 10
 _TABLE = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
