@@ -37,3 +37,28 @@ def stack(traces: DataFrame, gather: str, method: str = "mean", min_fold: int =
     out = rows.groupBy(gather, "sample_index").agg(value.alias("stack"), F.count(a).alias("fold"))
     dead = F.col("fold") < max(1, min_fold)
     return out.withColumn("stack", F.when(dead, 0.0).otherwise(F.coalesce("stack", F.lit(0.0))))
+
+
+def weighted_stack(traces: DataFrame, gather: str, offset: str = "offset", min_fold: int = 1, samples: str = "samples") -> DataFrame:
+    """Rows (gather, sample_index, stack, fold): live samples weighed 1 - 0.5 |offset| / the gather's largest, over the weights' sum."""
+    far = traces.groupBy(gather).agg(F.max(F.abs(offset)).alias("_far"))
+    weight = 1 - 0.5 * F.coalesce(F.try_divide(F.abs(offset), "_far"), F.lit(0.0))
+    rows = exploded(traces.join(far, gather).withColumn("_w", weight), [gather, "_w"], samples)
+    alive = live(F.col("a"))
+    sums = rows.groupBy(gather, "sample_index").agg(F.sum(F.when(alive, F.col("_w") * F.col("a"))).alias("_wa"), F.sum(F.when(alive, F.col("_w"))).alias("_ws"), F.count_if(alive).alias("fold"))
+    return sums.select(gather, "sample_index", F.when(F.col("fold") < max(1, min_fold), 0.0).otherwise(F.coalesce(F.try_divide("_wa", "_ws"), F.lit(0.0))).alias("stack"), "fold")
+
+
+def stack_summary(traces: DataFrame, gather: str, offset: str = "offset", samples: str = "samples") -> DataFrame:
+    """(gather, n_traces, mean_offset, rms of the mean stack)."""
+    rms = stack(traces, gather, samples=samples).groupBy(gather).agg(F.sqrt(F.avg(F.col("stack") * F.col("stack"))).alias("rms"))
+    return traces.groupBy(gather).agg(F.count("*").alias("n_traces"), F.avg(offset).alias("mean_offset")).join(rms, gather)
+
+
+def stack_noise(before: DataFrame, after: DataFrame, gather: str) -> DataFrame:
+    """(gather, sample_index, before, after, noise, difference) of mean stacks: noise is what was taken off, difference what was gained."""
+    rows = before.select(gather, "samples", F.lit(0).alias("_after")).unionByName(after.select(gather, "samples", F.lit(1).alias("_after")))
+    e = exploded(rows, [gather, "_after"])
+    a = F.when(live(F.col("a")), F.col("a"))
+    out = e.groupBy(gather, "sample_index").agg(*[F.coalesce(F.avg(F.when(F.col("_after") == k, a)), F.lit(0.0)).alias(n) for k, n in enumerate(("before", "after"))])
+    return out.withColumn("noise", F.col("before") - F.col("after")).withColumn("difference", F.col("after") - F.col("before"))
