@@ -82,7 +82,8 @@ def within(points: DataFrame, traces: DataFrame, radius: float, x: str = "x", y:
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     near = points.withColumn("_d", F.explode(around)).withColumn("_cx", cell(x) + F.col("_d.i")).withColumn("_cy", cell(y) + F.col("_d.j")).drop("_d")
     own = traces.withColumn("_cx", cell(tx)).withColumn("_cy", cell(ty))
-    distance = F.hypot(F.col(x) - F.col(tx), F.col(y) - F.col(ty))
+    dx, dy = F.col(x) - F.col(tx), F.col(y) - F.col(ty)
+    distance = F.sqrt(dx * dx + dy * dy)
     return near.join(own, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("distance", distance).where(F.col("distance") <= radius)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.plans import gathers, headers, job_history, series, stacks
+from strataflow.plans import gathers, headers, job_history, series, signal, stacks
 
-_MODULES = (stacks, headers, gathers, series, job_history)
+_MODULES = (stacks, headers, gathers, series, signal, job_history)
 
 
 def _entries() -> Iterator[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]]:
