@@ -19,15 +19,18 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the smallest doc_id; of rows with its doc_id and text, one."""
+    """Of each group of near-duplicates, the document of the smallest doc_id; of rows with its doc_id and text, one.
+
+    The ids to keep grow with the documents, so the join is by sorting at every size, never by broadcast.
+    """
     kept = cut(simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count(), "kept")
     once, several = (kept.where(x).select(F.col("doc_id").alias("kept_id")) for x in ("count = 1", "count > 1"))
     same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    out = docs.join(once, same, "left_semi")
+    out = docs.join(once.hint("merge"), same, "left_semi")
     if several.isEmpty():
         return out
     repeats = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return out.unionByName(docs.join(several, same, "left_semi").withColumn("repeat", F.row_number().over(repeats)).where("repeat = 1").select(*docs.columns))
+    return out.unionByName(docs.join(several.hint("merge"), same, "left_semi").withColumn("repeat", F.row_number().over(repeats)).where("repeat = 1").select(*docs.columns))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
