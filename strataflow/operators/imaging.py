@@ -1,9 +1,10 @@
 """Kirchhoff time imaging: each trace's samples are spread over the image points within the aperture and summed.
 
-Traces and image columns meet by cells of the aperture (grids.within), not by all pairs. For a pair the
-output time of an input sample is sqrt(t^2 + 4 (h^2 + (offset / 2)^2) / v^2), h the distance from midpoint
-to image point; samples go to the floor of their output index, weighed z / (r r^2) of half-time depth, and
-are summed with the fold by partial aggregates per task before the shuffle.
+Traces and image columns meet by cells of the aperture (grids.within), not by all pairs. With h the
+distance from midpoint to image point, a sample at t goes to t_out = sqrt(t^2 + 4 (h^2 + (offset / 2)^2) / v^2)
+(spread), or back along that curve, sqrt(t^2 - ...), which focuses diffractions (focus). Samples go to
+the floor of their output index, weighed z / r^3 with z = v t_out / 2, and are summed with the fold by
+partial aggregates per task before the shuffle.
 """
 
 from __future__ import annotations
@@ -23,18 +24,19 @@ def image_grid(spark, origin: tuple[float, float], spacing: tuple[float, float],
     return spark.range(n).select(il.alias("il"), xl.alias("xl"), (il * spacing[0] + origin[0]).alias("x"), (xl * spacing[1] + origin[1]).alias("y"))
 
 
-def migrate(traces: DataFrame, grid: DataFrame, velocity: float, dt_s: float, n_out: int, aperture: float, max_angle: float = 60.0, min_fold: int = 1) -> DataFrame:
-    """(il, xl, t_index, image, fold) of traces(tx, ty, offset, samples) with midpoints tx, ty; image is normalised by the fold, cells that nothing reaches are left out."""
+def migrate(traces: DataFrame, grid: DataFrame, velocity: float, dt_s: float, n_out: int, aperture: float, max_angle: float = 60.0, min_fold: int = 1, mode: str = "spread") -> DataFrame:
+    """(il, xl, t_index, image, fold) of traces(tx, ty, offset, samples) with midpoints tx, ty; image is normalised by the fold, cells that nothing reaches are left out. The aperture is also bound by the angle at the output's depth."""
     pairs = within(grid, traces, aperture)
-    h2 = F.col("distance") * F.col("distance") + F.col("offset") * F.col("offset") / 4
-    rows = pairs.select("il", "xl", "distance", h2.alias("_h2"), F.posexplode("samples").alias("_i", "_a"))
+    h = F.col("distance")
+    shift = 4 * (h * h + F.col("offset") * F.col("offset") / 4) / (velocity * velocity)
+    rows = pairs.select("il", "xl", "distance", shift.alias("_shift"), F.posexplode("samples").alias("_i", "_a"))
     t = F.col("_i") * dt_s
-    t_out = F.sqrt(t * t + 4 * F.col("_h2") / (velocity * velocity))
-    k = F.floor(t_out / dt_s).cast("long")
-    z = velocity * t / 2
-    r = F.sqrt(z * z + F.col("_h2"))
-    inside = (k < n_out) & (z > 0) & (F.col("distance") <= z * math.tan(math.radians(max_angle)))
-    spread = rows.where(inside).select("il", "xl", k.alias("t_index"), (F.col("_a").cast("double") * z / (r * r * r + 1e-10)).alias("_wa"))
+    t_out = F.sqrt(t * t + F.col("_shift")) if mode == "spread" else F.sqrt(F.greatest(t * t - F.col("_shift"), F.lit(0.0)))
+    z = velocity * t_out / 2
+    r2 = z * z + h * h
+    inside = (t_out / dt_s < n_out - 0.001) & (t_out > 0) & (h < aperture) & (h < z * math.tan(math.radians(max_angle)))
+    weighted = F.col("_a").cast("double") * z / (F.sqrt(r2) * r2 + 1e-10)
+    spread = rows.where(inside).select("il", "xl", F.floor(t_out / dt_s + 1e-6).cast("long").alias("t_index"), weighted.alias("_wa"))
     sums = spread.groupBy("il", "xl", "t_index").agg(F.sum("_wa").alias("_image"), F.count("*").alias("fold"))
     return sums.select("il", "xl", "t_index", normalised(F.col("_image"), F.col("fold"), min_fold).alias("image"), "fold")
 

@@ -250,7 +250,7 @@ QUERIES = {
     "bin_coverage": (coverage, _INDEX + f", {_bins_sql(BINS)}, c AS (SELECT i.k, i.n, i.part, i.supp, i.o, i.a, r, count(bin_name) AS m FROM (SELECT *, row_number() OVER () AS r FROM i) i LEFT JOIN b ON {_HOLDS} GROUP BY ALL) SELECT count(*) AS n_traces, count(*) FILTER (WHERE m = 0) AS n_unassigned, count(*) FILTER (WHERE m > 1) AS n_multiple, round(100.0 * count(*) FILTER (WHERE m > 0) / count(*), 6) AS coverage_percent FROM c"),
     "bin_overlaps": (lambda s, d: B.overlaps(s, BINS), f"WITH {_bins_sql(BINS)}, n AS (SELECT *, row_number() OVER () AS r FROM b) SELECT x.bin_name AS bin_a, y.bin_name AS bin_b FROM n x JOIN n y ON x.r < y.r AND x.o1 < y.o2 AND y.o1 < x.o2 AND (CASE WHEN y.a2 < y.a1 THEN x.a1 >= y.a1 OR x.a1 < y.a2 ELSE x.a1 >= y.a1 AND x.a1 < y.a2 END OR CASE WHEN x.a2 < x.a1 THEN y.a1 >= x.a1 OR y.a1 < x.a2 ELSE y.a1 >= x.a1 AND y.a1 < x.a2 END)"),
     "bin_gaps": (lambda s, d: B.gaps(s, GAPPED), "SELECT * FROM (VALUES (500::DOUBLE, 700::DOUBLE), (1000::DOUBLE, 1500::DOUBLE)) AS t(gap_start, gap_end)"),
-    "bin_suggest": (suggested, _INDEX + ", n AS (SELECT greatest(1, count(*) // 9000) AS n FROM i), q AS (SELECT unnest(range(n)) AS b, n FROM n) SELECT b AS bin_index, round((SELECT quantile_cont(o, b / CAST(q.n AS DOUBLE)) FROM i), 6) AS offset_min, round((SELECT quantile_cont(o, (b + 1) / CAST(q.n AS DOUBLE)) FROM i), 6) AS offset_max FROM q".replace("(SELECT quantile_cont(o, b / CAST(q.n AS DOUBLE)) FROM i)", "list_extract((SELECT quantile_cont(o, [0, 1/6.0, 2/6.0, 3/6.0, 4/6.0, 5/6.0, 1]) FROM i), b + 1)").replace("(SELECT quantile_cont(o, (b + 1) / CAST(q.n AS DOUBLE)) FROM i)", "list_extract((SELECT quantile_cont(o, [0, 1/6.0, 2/6.0, 3/6.0, 4/6.0, 5/6.0, 1]) FROM i), b + 2)")),
+    "bin_suggest": (suggested, _INDEX + ", n AS (SELECT greatest(1, count(*) // 9000) AS n, count(*) - 1 AS top FROM i), r AS (SELECT o, row_number() OVER (ORDER BY o) - 1 AS r FROM i), k AS (SELECT unnest(range(n + 1)) AS k, unnest(range(n + 1)) / CAST(n AS DOUBLE) * top AS pos FROM n), e AS (SELECT k, x.o + (y.o - x.o) * (pos - floor(pos)) AS e FROM k JOIN r x ON x.r = floor(pos) JOIN r y ON y.r = ceil(pos)) SELECT x.k AS bin_index, round(x.e, 6) AS offset_min, round(y.e, 6) AS offset_max FROM e x JOIN e y ON y.k = x.k + 1"),
     "survey_bounds": (bounds, _INDEX + " SELECT min(least(sx, rx)) AS x_min, max(greatest(sx, rx)) AS x_max, min(least(sy, ry)) AS y_min, max(greatest(sy, ry)) AS y_max, min(o) AS offset_min, max(o) AS offset_max FROM i"),
     "index_statistics": (statistics, _INDEX + ' SELECT count(*) AS n_traces, min(o) AS offset_min, max(o) AS offset_max, round(avg(o), 6) AS offset_mean, round(stddev_pop(o), 6) AS offset_std, min(a) AS azimuth_min, max(a) AS azimuth_max, count(*) FILTER (WHERE n = 3) = 0 AS has_inline, count(k) = count(*) AS has_xline FROM i'),
     "index_validate": (lambda s, d: B.validate_index(indexed(s, d)), _INDEX + ", c AS (SELECT count(*) AS n_traces, count(*) FILTER (WHERE o = 0) AS n_zero, count(*) FILTER (WHERE o > 50000) AS n_far, count(*) FILTER (WHERE a < 0 OR a >= 360) AS n_azimuth FROM i) SELECT *, n_zero > 0.1 * n_traces AS many_zero_offsets, n_traces > 0 AND n_zero <= 0.1 * n_traces AND n_far = 0 AND n_azimuth = 0 AS valid FROM c"),

@@ -93,10 +93,9 @@ def image(s, d):
 _IMAGE = """WITH t AS (SELECT vec_id % 20 * 25.0 AS tx, floor(vec_id / 20.0) * 25.0 AS ty, vec_id % 40 * 50.0 AS o, embedding AS samples FROM embeddings WHERE vec_id < 300),
 g AS (SELECT range // 8 AS il, range % 8 AS xl, range // 8 * 50.0 AS x, range % 8 * 50.0 AS y FROM range(80)),
 p AS (SELECT il, xl, sqrt((x - tx) ** 2 + (y - ty) ** 2) AS d, o, samples FROM g JOIN t ON (x - tx) ** 2 + (y - ty) ** 2 <= 14400),
-e AS (SELECT il, xl, d, d * d + o * o / 4 AS h2, unnest(range(len(samples))) AS i, CAST(unnest(samples) AS DOUBLE) AS a FROM p),
-q AS (SELECT *, i * 0.02 AS tt, 2000.0 * (i * 0.02) / 2 AS z FROM e),
-w AS (SELECT *, CAST(floor(sqrt(tt * tt + 4 * h2 / 4000000.0) / 0.02) AS BIGINT) AS k, sqrt(z * z + h2) AS r FROM q)
-SELECT il, xl, k AS t_index, round(sum(a * z / (r * r * r + 1e-10)) / count(*) * 1e6, 3) + 0.0 AS image, count(*) AS fold FROM w WHERE k < 64 AND z > 0 AND d <= z * tan(radians(45)) GROUP BY il, xl, k"""
+e AS (SELECT il, xl, d, 4 * (d * d + o * o / 4) / 4e6 AS shift, unnest(range(len(samples))) AS i, CAST(unnest(samples) AS DOUBLE) AS a FROM p),
+q AS (SELECT *, sqrt(i * 2e-2 * (i * 2e-2) + shift) AS t FROM e), w AS (SELECT *, 2e3 * t / 2 AS z FROM q)
+SELECT il, xl, CAST(floor(t / 2e-2 + 1e-6) AS BIGINT) AS t_index, round(sum(a * z / (sqrt(z * z + d * d) * (z * z + d * d) + 1e-10)) / count(*) * 1e6, 3) + 0.0 AS image, count(*) AS fold FROM w WHERE t / 2e-2 < 64 - 0.001 AND t > 0 AND d < 120 AND d < z * tan(radians(45)) GROUP BY il, xl, floor(t / 2e-2 + 1e-6)"""
 
 
 def nmo_stacked(s, d):
