@@ -95,3 +95,35 @@ def antialias_weight(method: str, fa: Column, f_max: float, width: float = 0.1)
         return s * s
     low, high = f_max * (1 - width), f_max * (1 + width)
     return F.when(fa <= low, 0.0).when(fa >= high, 1.0).otherwise(0.5 * (1 - F.cos(F.lit(math.pi) * (fa - low) / (high - low))))
+
+
+def vti_time_exact(h: Column, z: Column, v0: Column, epsilon: Column, delta: Column) -> Column:
+    """Distance over the phase velocity at the ray's angle."""
+    z = F.greatest(F.abs(z), F.lit(1e-6))
+    return F.hypot(h, z) / vti_phase_velocity(v0, F.atan2(h, z), epsilon, delta)
+
+
+def vti_time_weak(h: Column, z: Column, v0: Column, epsilon: Column, delta: Column) -> Column:
+    """First-order correction: the velocity goes with the root of the phase velocity's factor, 0.1 at least."""
+    z = F.greatest(F.abs(z), F.lit(1e-6))
+    factor = vti_phase_velocity(F.lit(1.0), F.atan2(h, z), epsilon, delta)
+    return F.hypot(h, z) / (v0 * F.sqrt(F.greatest(factor, F.lit(0.1))))
+
+
+def true_amplitude_weight(rs: Column, rr: Column, angle_s: Column, angle_r: Column, v: Column) -> Column:
+    """Spreading and obliquity with the 2.5-D Jacobian, one over the cosine of the mean angle."""
+    rs, rr, v = F.greatest(rs, F.lit(LEAST_RADIUS)), F.greatest(rr, F.lit(LEAST_RADIUS)), F.greatest(v, F.lit(LEAST_VELOCITY))
+    return F.cos(angle_s) * F.cos(angle_r) / (rs * rr * v) / F.greatest(F.cos((angle_s + angle_r) / 2), F.lit(0.1))
+
+
+def effective_aperture(z: Column, most: float, max_angle: float) -> Column:
+    """What the angle allows at depth z, at most the aperture."""
+    return F.least(F.abs(z) * math.tan(math.radians(max_angle)), F.lit(float(most)))
+
+
+def aperture_weight(hs: Column, hr: Column, z: Column, offset: Column, most: float, max_angle: float, offsets: tuple[float, float] = (0.0, 10000.0), width: float = 0.1) -> Column:
+    """Product of cosine tapers by distance and angle of both rays; 0 outside the offsets."""
+    out = F.when(offset.between(*offsets), 1.0).otherwise(0.0)
+    for h in (hs, hr):
+        out = out * taper(h, most, width) * taper(F.degrees(F.atan2(h, F.greatest(z, F.lit(1e-6)))), max_angle, width)
+    return out
