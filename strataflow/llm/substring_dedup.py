@@ -50,9 +50,10 @@ def _grams(words: np.ndarray, size: int, base: int) -> np.ndarray:
 
 
 class Windows(NamedTuple):
-    """A block's windows: the texts' numbers of words; for each window the place of its document, of its first word within the document, and its hashes."""
+    """A block's windows: the texts' numbers of words, and all words' hashes; for each window the place of its document, of its first word within the document, and its hashes."""
 
     sizes: list[int]
+    flat: np.ndarray
     doc: np.ndarray
     at: np.ndarray
     minimizer: np.ndarray
@@ -68,14 +69,14 @@ def windows(texts: list[bytes], usable: np.ndarray, size: int = SIZE) -> Windows
     at = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     if n < size:
         empty = np.empty(0, np.uint64)
-        return Windows(sizes, doc[:0], at[:0], empty, empty, empty.astype(np.uint32))
+        return Windows(sizes, flat, doc[:0], at[:0], empty, empty, empty.astype(np.uint32))
     phrases = _grams(flat, PHRASE, _P1)
     least = phrases[: n - size + 1].copy()
     for k in range(1, size - PHRASE + 1):
         np.minimum(least, phrases[k : n - size + 1 + k], out=least)
     whole = (at[: n - size + 1] + size <= lengths[doc[: n - size + 1]]) & usable[doc[: n - size + 1]]
     w = np.flatnonzero(whole)
-    return Windows(sizes, doc[w], at[w], least[w], _grams(flat, size, _P1)[w], (_grams(flat, size, _P2)[w] >> np.uint64(32)).astype(np.uint32))
+    return Windows(sizes, flat, doc[w], at[w], least[w], _grams(flat, size, _P1)[w], (_grams(flat, size, _P2)[w] >> np.uint64(32)).astype(np.uint32))
 
 
 def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -179,12 +180,17 @@ def _confirmed(table: pa.Table, uri: str) -> pa.Table:
     return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(kept)], pa.int64())})
 
 
-def _located(texts: list[bytes], docs: np.ndarray, at: np.ndarray, earliest: np.ndarray, ids: np.ndarray, size: int) -> dict[int, np.ndarray]:
-    """For each document of a shard with confirmed windows (docs, at, earliest: of each, in order), which of its words an automaton of passages finds in an earlier document's passages."""
+def _located(w: Windows, docs: np.ndarray, at: np.ndarray, earliest: np.ndarray, ids: np.ndarray, size: int) -> dict[int, np.ndarray]:
+    """For each document of a shard with confirmed windows (docs, at, earliest: of each, in order), which of its words an automaton of passages finds in an earlier document's passages. Words are numbered within the shard."""
     import ahocorasick
 
-    number: dict[bytes, int] = {}
-    numbered = {int(d): tuple(number.setdefault(x, len(number) + 1) for x in texts[d].split()) for d in np.unique(docs)}
+    ends_at = np.cumsum(w.sizes)
+    own = {int(d): (int(ends_at[d]) - w.sizes[d], int(ends_at[d])) for d in np.unique(docs)}
+    numbers = np.unique(np.concatenate([w.flat[a:b] for a, b in own.values()]), return_inverse=True)[1].tolist()
+    numbered, used = {}, 0
+    for d, (a, b) in own.items():
+        numbered[d] = tuple(numbers[used : used + b - a])
+        used += b - a
     starts = np.r_[True, (docs[1:] != docs[:-1]) | (at[1:] != at[:-1] + 1)]
     begin = np.flatnonzero(starts)
     run = np.arange(len(docs)) - np.repeat(begin, np.diff(np.r_[begin, len(docs)]))
@@ -197,9 +203,9 @@ def _located(texts: list[bytes], docs: np.ndarray, at: np.ndarray, earliest: np.
     out = {}
     for d, sequence in numbered.items():
         gone = np.zeros(len(sequence), bool)
-        own = int(ids[d])
+        mine = int(ids[d])
         for end, first in automaton.iter(sequence):
-            if first < own:
+            if first < mine:
                 gone[end - size + 1 : end + 1] = True
         out[d] = gone
     return out
@@ -222,7 +228,7 @@ def _kept(batches: Iterator[pa.RecordBatch], minimizers: str, passages: str, bit
             hit = found & (earliest < ids[w.doc[c]])
             c, earliest = c[hit], earliest[hit]
             if len(c):
-                gone = _located(texts, w.doc[c], w.at[c], earliest, ids, size)
+                gone = _located(w, w.doc[c], w.at[c], earliest, ids, size)
         removed, hashes = [], []
         for d, text in enumerate(texts):
             words = text.split()
