@@ -258,3 +258,14 @@ def substring_dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     sent = rows.mapInArrow(lambda b: _passages(b, minimizers, bits), "shard int, h1 binary, h2 binary, doc binary, several binary")
     fill(passages, sent.groupBy("shard").applyInArrow(lambda t: _confirmed(t, passages), "shard int, n long"))
     return rows.mapInArrow(lambda b: _kept(b, minimizers, passages, bits, size), SCHEMA)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(ws[i + 1 : i + 13], ' ') AS g FROM (SELECT r, doc_id, ws, unnest(range(len(ws) - 12)) AS i FROM d WHERE len(ws) >= 13 AND doc_id IS NOT NULL)),
+m AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+c AS (SELECT r, i FROM g JOIN m USING (g) WHERE first < doc_id),
+x AS (SELECT DISTINCT r, i + k.range AS i FROM c, range(13) k),
+w AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+k AS (SELECT w.r, count(*) AS n, string_agg(w, ' ' ORDER BY w.i) AS t FROM w LEFT JOIN x ON w.r = x.r AND w.i = x.i WHERE x.r IS NULL GROUP BY w.r)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
