@@ -59,10 +59,10 @@ def noise(s, d):
 def knots(s: SparkSession, d: str) -> DataFrame:
     """A velocity function for each customer's nation: t from the key, v rising with it."""
     k = F.col("c_custkey")
-    return s.read.parquet(f"{d}/customer.parquet").where("c_custkey % 5 = 0").select(F.col("c_nationkey").cast("long").alias("id"), (k / 100).alias("t"), (1500 + k % 97 * 10 + k / 2).alias("v")).dropDuplicates(["id", "t"])
+    return s.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").cast("long").alias("id"), (k / 100).alias("t"), (1500 + k % 97 * 10 + k / 2).alias("v"))
 
 
-_KNOTS = "WITH k AS (SELECT CAST(c_nationkey AS BIGINT) AS id, c_custkey / 100.0 AS t, 1500 + c_custkey % 97 * 10 + c_custkey / 2.0 AS v FROM customer WHERE c_custkey % 5 = 0)"
+_KNOTS = "WITH k AS (SELECT CAST(c_nationkey AS BIGINT) AS id, c_custkey / 100.0 AS t, 1500 + c_custkey % 97 * 10 + c_custkey / 2.0 AS v FROM customer)"
 
 
 def points(s, d):
@@ -81,7 +81,7 @@ SELECT x.id, point, round(coalesce(a.v + (b.v - a.v) * coalesce((x.t - t1) / nul
 
 def survey(s, d):
     t = F.col("trace_index")
-    return traces(s, d).where("trace_index < 300").select((t % 20 * 25.0).alias("tx"), (F.floor(t / 20) * 25.0).alias("ty"), (t % 40 * 50.0).alias("offset"), "samples")
+    return traces(s, d).select((t % 20 * 25.0).alias("tx"), (F.floor(t / 20) * 25.0).alias("ty"), (t % 40 * 50.0).alias("offset"), "samples")
 
 
 def image(s, d):
@@ -90,7 +90,7 @@ def image(s, d):
     return out.select("il", "xl", "t_index", (F.round(F.col("image") * 1e6, 3) + 0.0).alias("image"), "fold")
 
 
-_IMAGE = """WITH t AS (SELECT vec_id % 20 * 25.0 AS tx, floor(vec_id / 20.0) * 25.0 AS ty, vec_id % 40 * 50.0 AS o, embedding AS samples FROM embeddings WHERE vec_id < 300),
+_IMAGE = """WITH t AS (SELECT vec_id % 20 * 25.0 AS tx, floor(vec_id / 20.0) * 25.0 AS ty, vec_id % 40 * 50.0 AS o, embedding AS samples FROM embeddings),
 g AS (SELECT range // 8 AS il, range % 8 AS xl, range // 8 * 50.0 AS x, range % 8 * 50.0 AS y FROM range(80)),
 p AS (SELECT il, xl, sqrt((x - tx) ** 2 + (y - ty) ** 2) AS d, o, samples FROM g JOIN t ON (x - tx) ** 2 + (y - ty) ** 2 <= 14400),
 e AS (SELECT il, xl, d, 4 * (d * d + o * o / 4) / 4e6 AS shift, unnest(range(len(samples))) AS i, CAST(unnest(samples) AS DOUBLE) AS a FROM p),
