@@ -182,6 +182,8 @@ register("tf_denoise", "gather", lambda x, transform="stransform", **p: (dsp.sto
 register("sst_denoise", "trace", dsp.squeezed_denoise)
 register("emd_denoise", "trace", dsp.emd_denoise)
 register("omp_denoise", "trace", dsp.omp_denoise)
+register("omp_spatial", "gather", dsp.omp_spatial, lambda p: p.get("half", 2))
+register("dip", "gather", dsp.dips, lambda p: p.get("half", 2) + 1)
 register("fk_filter", "gather", dsp.fk_filter)
 register("fkk_filter", "cube", dsp.fkk_filter)
 register("denoise_3d", "cube", dsp.denoise_cube)

@@ -27,6 +27,9 @@ STEPS = {
     "dsp_emd_denoise": ("emd_denoise", {}),
     "dsp_eemd_denoise": ("emd_denoise", {"method": "eemd", "ensemble": 4}),
     "dsp_omp_denoise": ("omp_denoise", {"size": 32}),
+    "dsp_omp_adaptive": ("omp_denoise", {"size": 32, "adaptive": True, "kind": "hybrid"}),
+    "dsp_omp_spatial": ("omp_spatial", {"size": 32, "kind": "gabor"}),
+    "dsp_dip": ("dip", {"dt": 0.002, "dx": 25.0}),
     "dsp_fk_velocity": ("fk_filter", {"rate": RATE, "dx": 25.0, "low": 1500.0, "high": 6000.0}),
     "dsp_fk_dip": ("fk_filter", {"rate": RATE, "dx": 25.0, "low": -0.0002, "high": 0.0002, "taper": 0.00005, "dip": True, "mode": "reject"}),
     "dsp_fkk_filter": ("fkk_filter", {"dt": 0.002, "dx": 25.0, "dy": 25.0, "v_min": 500.0, "v_max": 2500.0, "pad": (2, 2, 8)}),

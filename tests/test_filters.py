@@ -66,6 +66,22 @@ def test_denoising_helps():
     assert np.abs(dsp.stockwell_denoise(spike, 500)[5]).max() < 0.3 * np.abs(spike[5]).max()
 
 
+def test_dips_and_noise_levels():
+    x, t = np.meshgrid(np.arange(30) * 25.0, np.arange(200) * 0.004, indexing="ij")
+    found = dsp.dips(np.sin(2 * np.pi * 8 * (t - 0.0004 * x)), 0.004, 25.0)
+    assert np.median(found[5:25, 20:180]) == pytest.approx(0.0004, rel=0.05)
+    rng = np.random.default_rng(4)
+    noisy = np.sin(2 * np.pi * 2 * t) + 0.1 * rng.standard_normal(t.shape)
+    assert np.median(dsp.snr_db(noisy)) == pytest.approx(10 * np.log10(0.5 / 0.01), abs=1.5)
+
+
+def test_neighbours_choose_atoms():
+    rng = np.random.default_rng(5)
+    clean = np.tile(np.cos(np.pi * 5 * (np.arange(64) + 0.5) / 64), (9, 1))
+    noisy = clean + 0.5 * rng.standard_normal(clean.shape)
+    assert np.abs(dsp.omp_spatial(noisy, 64, sparsity=0.02, half=4) - clean).mean() < 0.5 * np.abs(noisy - clean).mean()
+
+
 def test_fkk_removes_a_cone():
     x, y, t = np.meshgrid(np.arange(32) * 25.0, np.arange(16) * 25.0, np.arange(128) * 0.004, indexing="ij")
     slow, fast = np.sin(2 * np.pi * 10 * (t - x / 800)), np.sin(2 * np.pi * 10 * (t - x / 8000))
@@ -73,14 +89,15 @@ def test_fkk_removes_a_cone():
     assert np.abs(out - fast)[8:24, 4:12, 32:96].mean() < 0.5 * np.abs(slow).mean()
 
 
-@pytest.mark.parametrize("name", ["dwt_spatial", "stft_denoise", "gabor_denoise", "stockwell_denoise"])
+@pytest.mark.parametrize("name", ["dwt_spatial", "stft_denoise", "gabor_denoise", "stockwell_denoise", "dip"])
 def test_blocks_with_a_halo_change_nothing(spark, sf, name):
     df = signal_traces(spark, sf).withColumn("gather", F.lit(1))
-    p = {"dwt_spatial": {}, "stft_denoise": {"rate": 500.0, "size": 16}, "gabor_denoise": {"rate": 500.0, "size": 16}, "stockwell_denoise": {"rate": 500.0}}[name]
+    p = {"dwt_spatial": {}, "stft_denoise": {"rate": 500.0, "size": 16}, "gabor_denoise": {"rate": 500.0, "size": 16}, "stockwell_denoise": {"rate": 500.0}, "dip": {"dt": 0.002, "dx": 25.0}}[name]
     kernel = filters.REGISTRY[name][2]
     whole = kernel(matrix(df), **p)
-    blocks = filters.per_gather(df, lambda x: kernel(x, **p), "gather", ["trace_index"], 3, 17)
-    assert np.allclose(matrix(blocks), whole)
+    blocks = filters.per_gather(df, lambda x: kernel(x, **p), "gather", ["trace_index"], filters.REGISTRY[name][1](p), 17)
+    inner = slice(None) if name != "dip" else slice(3, -3)
+    assert np.allclose(matrix(blocks)[inner], whole[inner])
     assert blocks.count() == df.count()
 
 
