@@ -83,5 +83,5 @@ QUERIES = {
     "synthetic_gather": (lambda s, d: flat(synthetic.gather(s, 20, 100)), None),
     "synthetic_marine": (lambda s, d: synthetic.marine(s, 5, 8), "SELECT range AS trace_index, range // 8 AS shot, range // 8 * 100.0::DOUBLE AS sx, 0.0::DOUBLE AS sy, range // 8 * 100.0::DOUBLE + 100 + range % 8 * 25.0::DOUBLE AS rx, 0.0::DOUBLE AS ry FROM range(40)"),
     "stream_failure_alerts": (streamed(lambda j: streams.consecutive_failure_alerts(j, "worker", 2), "runs"), _EVENTS + ", b AS (SELECT *, sum(CASE WHEN state = 'FAILED' THEN 0 ELSE 1 END) OVER (PARTITION BY worker ORDER BY created_at, id) AS b FROM j), f AS (SELECT *, row_number() OVER (PARTITION BY worker, b ORDER BY created_at, id) AS n FROM b WHERE state = 'FAILED') SELECT CAST(worker AS VARCHAR) AS key, created_at AS at, n FROM f WHERE n = 2"),
-    "stream_gathers": (streamed(lambda j: streams.gathers(j.withColumn("trace_index", F.col("id")), "state", "worker"), "gathers"), None),
+    "stream_gathers": (streamed(lambda j: streams.gathers(j.withColumn("trace_index", F.col("id")), "state", "worker"), "gathers"), _EVENTS + ", r AS (SELECT *, CASE WHEN lag(state) OVER w = state THEN 0 ELSE 1 END AS new FROM j WINDOW w AS (PARTITION BY worker ORDER BY id)), g AS (SELECT *, sum(new) OVER (PARTITION BY worker ORDER BY id) AS e FROM r), c AS (SELECT worker, e, any_value(state) AS value, min(id) AS a, max(id) AS b FROM g GROUP BY worker, e) SELECT CAST(worker AS VARCHAR) AS stream, value, a AS start_trace, b AS end_trace, b - a + 1 AS n_traces FROM c QUALIFY e < max(e) OVER (PARTITION BY worker)"),
 }
