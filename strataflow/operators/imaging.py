@@ -24,6 +24,15 @@ def image_grid(spark, origin: tuple[float, float], spacing: tuple[float, float],
     return spark.range(n).select(il.alias("il"), xl.alias("xl"), (il * spacing[0] + origin[0]).alias("x"), (xl * spacing[1] + origin[1]).alias("y"))
 
 
+def survey_grid(spark, traces: DataFrame, spacing: tuple[float, float]) -> DataFrame:
+    """The image grid over the midpoints tx, ty of all traces: its extent is one aggregate, so it grows with the survey."""
+    e = traces.agg(F.min("tx").alias("x"), F.min("ty").alias("y"), F.max("tx").alias("x_end"), F.max("ty").alias("y_end")).first()
+    if e["x"] is None or e["y"] is None:
+        return image_grid(spark, (0.0, 0.0), spacing, (0, 1))
+    shape = (math.ceil((e["x_end"] - e["x"]) / spacing[0]) + 1, math.ceil((e["y_end"] - e["y"]) / spacing[1]) + 1)
+    return image_grid(spark, (e["x"], e["y"]), spacing, shape)
+
+
 def migrate(traces: DataFrame, grid: DataFrame, velocity: float, dt_s: float, n_out: int, aperture: float, max_angle: float = 60.0, min_fold: int = 1, mode: str = "spread") -> DataFrame:
     """(il, xl, t_index, image, fold) of traces(tx, ty, offset, samples) with midpoints tx, ty; image is normalised by the fold, cells that nothing reaches are left out. The aperture is also bound by the angle at the output's depth."""
     pairs = within(grid, traces, aperture)

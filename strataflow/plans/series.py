@@ -85,8 +85,18 @@ def survey(s, d):
 
 
 def image(s, d):
-    grid = imaging.image_grid(s, (0.0, 0.0), (50.0, 50.0), (10, 8))
-    out = imaging.migrate(survey(s, d), grid, 2000.0, 0.02, 64, 120.0, 45.0)
+    """A fixed image area, as in the SQL: only traces within its aperture reach it."""
+    return imaged(survey(s, d), imaging.image_grid(s, (0.0, 0.0), (50.0, 50.0), (10, 8)))
+
+
+def image_survey(s, d):
+    """The whole survey: the image area is that of its midpoints."""
+    t = survey(s, d)
+    return imaged(t, imaging.survey_grid(s, t, (50.0, 50.0)))
+
+
+def imaged(traces: DataFrame, grid: DataFrame) -> DataFrame:
+    out = imaging.migrate(traces, grid, 2000.0, 0.02, 64, 120.0, 45.0)
     return out.select("il", "xl", "t_index", (F.round(F.col("image") * 1e6, 3) + 0.0).alias("image"), "fold")
 
 
@@ -127,4 +137,5 @@ QUERIES = {
     "velocity_interpolate": (asof, _ASOF),
     "velocity_effective": (lambda s, d: velocity.effective(knots(s, d)).select("id", "z", F.round("v", 6).alias("v")), _KNOTS + ", q AS (SELECT *, (t - lag(t) OVER w) * (1 / v + 1 / lag(v) OVER w) / 2 AS p FROM k WINDOW w AS (PARTITION BY id ORDER BY t)) SELECT id, t AS z, round(coalesce(t / nullif(sum(p) OVER (PARTITION BY id ORDER BY t), 0), v), 6) AS v FROM q"),
     "image_migrate": (image, _IMAGE),
+    "image_survey": (image_survey, None),
 }

@@ -77,3 +77,31 @@ def test_imaging_jobs(spark):
     traces = synthetic.diffractor(spark, nt=128).withColumn("azimuth", F.lit(10.0))
     bins = {r.bin_name for r in job.run(spark, traces).select("bin_name").distinct().collect()}
     assert bins == {"offset_0000_0500"}
+
+
+def test_the_survey_image_grows_with_the_survey(spark):
+    from strataflow.operators import imaging
+    from strataflow.plans import series
+
+    x = np.random.default_rng(0).standard_normal((900, 64))
+    t = spark.createDataFrame([(k % 20 * 25.0, k // 20 * 25.0, k % 40 * 50.0, row.tolist()) for k, row in enumerate(x)], "tx double, ty double, offset double, samples array<double>")
+    grid = imaging.survey_grid(spark, t, (50.0, 50.0))
+    e = grid.agg(F.count("*"), F.max("x"), F.max("y")).first()
+    assert tuple(e) == (11 * 23, 500.0, 1100.0)
+    far = t.where("ty > 350 + 120")
+    assert series.imaged(far, imaging.image_grid(spark, (0.0, 0.0), (50.0, 50.0), (10, 8))).isEmpty()
+    want = {}
+    for k, row in enumerate(x):
+        for il in range(11):
+            for xl in range(23):
+                h = np.hypot(il * 50 - k % 20 * 25, xl * 50 - k // 20 * 25)
+                out = np.sqrt((np.arange(64) * 0.02) ** 2 + 4 * (h * h + (k % 40 * 25.0) ** 2) / 4e6)
+                z = 1000.0 * out
+                for i in np.flatnonzero((h < 120) & (out / 0.02 < 63.999) & (out > 0) & (h < z)):
+                    key = il, xl, int(np.floor(out[i] / 0.02 + 1e-6))
+                    s, n = want.get(key, (0.0, 0))
+                    want[key] = s + row[i] * z[i] / (np.hypot(z[i], h) ** 3 + 1e-10), n + 1
+    got = {(r.il, r.xl, r.t_index): (r.image, r.fold) for r in series.imaged(t, grid).collect()}
+    assert {k: n for k, (_, n) in got.items()} == {k: n for k, (_, n) in want.items()} and max(k[1] for k in got) == 22
+    assert all(got[k][0] == pytest.approx(s / n * 1e6, abs=2e-3) for k, (s, n) in want.items())
+    assert imaging.survey_grid(spark, t.limit(0), (50.0, 50.0)).isEmpty()
