@@ -19,13 +19,14 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the smallest doc_id; of rows with its doc_id and text, one.
+    """Of each group of near-duplicates one document: that of the smallest doc_id, nulls last, and of the least hash of its text among those.
 
-    The ids to keep grow with the documents, so the join is by sorting at every size, never by broadcast.
+    Rows are known by id and text's hash, as ids may be null or repeated. The rows to keep grow with
+    the documents, so the join is by sorting at every size, never by broadcast.
     """
-    kept = cut(simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count(), "kept")
-    once, several = (kept.where(x).select(F.col("doc_id").alias("kept_id")) for x in ("count = 1", "count > 1"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    kept = cut(simhash.survivors(docs), "kept")
+    once, several = (kept.where(x).select(F.col("doc_id").alias("kept_id"), "text_hash") for x in ("n = 1", "n > 1"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("text_hash"))
     out = docs.join(once.hint("merge"), same, "left_semi")
     if several.isEmpty():
         return out

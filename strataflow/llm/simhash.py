@@ -24,8 +24,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataflow.llm.components import components
 from strataflow.llm.shared import cut, joined, small_batches, utf8
@@ -58,16 +59,18 @@ def fingerprint(text: bytes, words_each: int = 4) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
 
 
-def fingerprints(docs: DataFrame, words_each: int = 4) -> DataFrame:
-    """(doc_id, fp): fp as a signed long of the same bits."""
+def fingerprints(docs: DataFrame, words_each: int = 4, *more: Column) -> DataFrame:
+    """(doc_id, more, fp): fp as a signed long of the same bits."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in joined(batches):
             fp = np.array([fingerprint(x, words_each) for x in utf8(t)], np.uint64).view(np.int64)
-            yield pa.record_batch({"doc_id": t["doc_id"].combine_chunks(), "fp": pa.array(fp)})
+            yield pa.record_batch({**{c: t[c].combine_chunks() for c in kept}, "fp": pa.array(fp)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, "text")
+    kept = rows.columns[:-1]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def flips(bits: int, most: int) -> list[int]:
@@ -137,15 +140,27 @@ def links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
     return dealt.groupBy("leading").applyInPandas(run, "a long, b long").distinct()
 
 
+def rooted(first: DataFrame, radius: int) -> DataFrame:
+    """(fp, first, root) of distinct fingerprints (fp, first): those that links of at most radius bits join share a root."""
+    found = cut(links(first.select("fp"), first.count(), radius), "links")
+    if found.isEmpty():
+        return first.select("fp", "first", F.col("fp").alias("root"))
+    return cut(first.join(components(found), first["fp"] == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+
+
+def survivors(docs: DataFrame, words_each: int = 4, radius: int = 4) -> DataFrame:
+    """(doc_id, text_hash, n): for each component the row of the smallest doc_id, nulls last, among equals of the least hash of its text; and how many rows have both."""
+    rows = cut(fingerprints(docs, words_each, F.xxhash64("text").alias("text_hash")), "fingerprints")
+    same = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n"))
+    first = cut(same.groupBy("fp").agg(least.alias("first")), "distinct")
+    return rooted(first, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash", "first.n")
+
+
 def near_duplicates(docs: DataFrame, words_each: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs(doc_id, text): 16 hex digits, and the smallest doc_id that links of at most radius bits lead to."""
     rows = cut(fingerprints(docs, words_each), "fingerprints")
     first = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = cut(links(first.select("fp"), first.count(), radius), "links")
-    if found.isEmpty():
-        ids = first.select("fp", F.col("first").alias("component_id"))
-    else:
-        rooted = first.join(components(found), first["fp"] == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-        ids = cut(rooted, "roots")
-        ids = ids.join(ids.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    ids = rooted(first, radius)
+    ids = ids.join(ids.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

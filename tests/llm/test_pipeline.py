@@ -54,3 +54,14 @@ def test_repeated_rows_and_empty_tables(spark, sf):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_one_row_of_each_group_stays_under_shared_and_null_ids(spark, sf):
+    near = [" ".join(f"w{k}" for k in range(400)) + end for end in ("", " x", " y")]
+    far = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
+    rows = [(7, near[0]), (7, near[1]), (None, near[2]), (7, far[0]), (None, far[1]), (None, far[1]), (None, far[2]), (None, far[2] + ""), (9, None), (None, "")]
+    groups = brute_components(dict(enumerate(brute_fingerprint(t or "") for _, t in rows)))
+    assert len(set(groups.values())) == 5
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()]
+    assert len(got) == 5 and len({groups[rows.index(x)] for x in got}) == 5
+    assert Counter(i for i, _ in got) == {7: 2, None: 2, 9: 1}
