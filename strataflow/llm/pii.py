@@ -6,7 +6,8 @@ digits or more, outside all seeds), with the lexical patterns it stands in: the
 the words on both sides, or a label before it (a word that ends in : or =). Patterns and the values
 in their slots form a graph, which is scored in rounds: a pattern is as good as the mean of its
 values' scores, a value as good as its patterns together (one less the product of what each leaves).
-Seeds stay at 1. A pattern with enough seeds and a high score then makes spans of kind id of its other slots.
+Seeds stay at 1. Values that reach a high score count as seeds of the next round, each as much as its
+score. A pattern with enough seeds and a high score then makes spans of kind id of its other slots.
 
 All of it is DataFrame functions. Text is scanned once; beyond that scan there are only slots, few
 per document. Graph edges are distinct (pattern, value) pairs with partial aggregates before each
@@ -160,12 +161,12 @@ def apart(slots: DataFrame) -> DataFrame:
 
 
 def scored(slots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score, seeds) of slots(v, k, pattern): the graph's patterns after so many rounds, and how many distinct seeds each has."""
+    """(pattern, score, seeds) of slots(v, k, pattern): the graph's patterns after so many rounds, and how many distinct seeds each has, values found in earlier rounds by their score."""
     edges = cut(slots.groupBy("pattern", "v").agg(F.max((F.col("k") < len(KINDS)).cast("int")).alias("seed")), "edges")
     known = edges.groupBy("v").agg(F.max("seed").cast("double").alias("known"))
     score = known.select("v", F.col("known").alias("score"))
     for at in range(rounds):
-        pattern = cut(edges.join(score, "v").groupBy("pattern").agg(F.avg("score").alias("good"), F.sum("seed").alias("seeds")), "patterns")
+        pattern = cut(edges.join(score, "v").groupBy("pattern").agg(F.avg("score").alias("good"), F.sum(F.when(F.col("score") >= LEAST_SCORE, F.col("score")).otherwise(0.0)).alias("seeds")), "patterns")
         if at < rounds - 1:
             left = F.sum(F.log(F.greatest(1 - F.least("good", F.lit(0.99)), F.lit(1e-9))))
             score = edges.join(pattern.where(f"seeds >= {LEAST_SEEDS}"), "pattern").groupBy("v").agg((1 - F.exp(left)).alias("reached"))

@@ -86,3 +86,12 @@ def test_nulls_repeats_and_empty_tables(spark):
 def test_no_python_in_the_plan(spark, sf):
     plan = P.report(documents(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_found_identifiers_are_seeds_of_the_next_round(spark):
+    rows = [(i, f"Some words. Contact: user{i}@mail.example.com and so on") for i in range(8)]
+    rows += [(100 + i, f"Another text. Contact: 99-44{i}1-xk and so on") for i in range(6)]
+    rows += [(200 + i, f"see ticket= 99-44{i}1-xk !") for i in range(6)] + [(300, "a ticket= 55-1234-zz ."), (301, "some page= 123456 .")]
+    got = reported(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(got[100 + i].spans.startswith("id:") for i in range(6))
+    assert got[300].spans == "id:10:20" and got[301].spans == ""
