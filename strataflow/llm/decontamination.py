@@ -14,6 +14,8 @@ further indexes, which documents go through one after the other. Documents aren'
 
 Words are lower-cased (A-Z), with ASCII punctuation as space. Nulls are empty texts, which are never
 contaminated; items without words are left out. Repeated rows are judged each; doc_id may be null.
+Items of null item_id are indexed like others: a text that holds any of them has one null at the end
+of its ids, which counts as one item.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> set[bytes]:
 class Index(NamedTuple):
     """terms: numbers of the items' terms; bound: by term and block, the highest impact; postings: by block, term to (places in the block, impacts); parts: by item, the shingles of its question and its answer."""
 
-    items: list[int]
+    items: list[int | None]
     half: int
     terms: dict[bytes, int]
     bound: np.ndarray
@@ -68,9 +70,13 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return [w for s in sentences[:-1] for w in s], sentences[-1]
 
 
-def build(items: list[tuple[int, str]]) -> Index:
+def nulls_last(item_id: int | None) -> tuple[bool, int]:
+    return item_id is None, item_id or 0
+
+
+def build(items: list[tuple[int | None, str]]) -> Index:
     """An index of (item_id, text)."""
-    kept = sorted((i, t) for i, t in items if words_of((t or "").encode()))
+    kept = sorted(((i, t) for i, t in items if words_of((t or "").encode())), key=lambda x: (nulls_last(x[0]), x[1]))
     bags = [Counter(words_of(t.encode())) for _, t in kept]
     sizes = [sum(b.values()) for b in bags]
     found = Counter(w for b in bags for w in b)
@@ -105,7 +111,7 @@ def confirmed(index: Index, item: int, words: list[bytes]) -> bool:
     return all(sum(s in runs[len(s.split())] for s in part) >= OVERLAP * len(part) for part in index.parts[item])
 
 
-def matches(index: Index, texts: list[bytes]) -> list[set[int]]:
+def matches(index: Index, texts: list[bytes]) -> list[set[int | None]]:
     """For each text, the ids of the items that it holds."""
     look = index.terms.get
     every, sizes = [], []
@@ -113,7 +119,7 @@ def matches(index: Index, texts: list[bytes]) -> list[set[int]]:
         words = words_of(t)
         every.append(np.fromiter(map(look, words, repeat(-1)), np.int32, len(words)))
         sizes.append(len(words))
-    out: list[set[int]] = [set() for _ in texts]
+    out: list[set[int | None]] = [set() for _ in texts]
     lengths = np.array(sizes, np.int64)
     halves = (lengths + index.half - 1) // index.half
     start = np.cumsum(halves) - halves
@@ -145,7 +151,7 @@ def matches(index: Index, texts: list[bytes]) -> list[set[int]]:
 
 def indexes(items: DataFrame) -> list[Index]:
     """Indexes of items(item_id, text), each of INDEX_BYTES of text at most, about; one unless the items are larger."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = math.ceil(size / INDEX_BYTES) or 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
@@ -153,7 +159,7 @@ def indexes(items: DataFrame) -> list[Index]:
 
 
 def with_items(docs: DataFrame, items: DataFrame, into: str = "benchmark_items") -> DataFrame:
-    """docs with the sorted ids of the items that each text holds."""
+    """docs with the sorted ids of the items that each text holds, a null last."""
     small_batches(docs.sparkSession)
     out = docs.withColumn(into, F.array().cast("array<long>"))
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.LongType()))])
@@ -161,7 +167,7 @@ def with_items(docs: DataFrame, items: DataFrame, into: str = "benchmark_items")
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for t in joined(batches):
-                found = [sorted({*before, *new}) for before, new in zip(t[into].to_pylist(), matches(index, utf8(t)), strict=True)]
+                found = [sorted({*before, *new}, key=nulls_last) for before, new in zip(t[into].to_pylist(), matches(index, utf8(t)), strict=True)]
                 yield from t.set_column(t.schema.get_field_index(into), into, pa.array(found, pa.list_(pa.int64()))).to_batches()
 
         out = out.mapInArrow(run, schema)

@@ -58,3 +58,13 @@ def test_edges_and_more_indexes_than_one(spark, monkeypatch):
         assert sorted(r.doc_id for r in D.clean(docs, table).collect()) == [1, 3, 4, 6]
     assert D.contaminated(docs.limit(0), table).count() == 0
     assert D.clean(docs, table.limit(0)).count() == 9
+
+
+def test_items_of_null_id_are_looked_for(spark, monkeypatch):
+    items = [(None, "The quick brown fox jumps over it. Where does the lazy dog sleep at night?"), (None, "A second one without any id is also here to be found by all"), (4, "Some other words that nobody has written down before this day")]
+    docs = spark.createDataFrame([(0, "x " + items[0][1]), (1, items[1][1] + " " + items[2][1] + " " + items[0][1]), (2, items[2][1]), (3, "none of them")], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for size in (D.INDEX_BYTES, 40):
+        monkeypatch.setattr(D, "INDEX_BYTES", size)
+        assert {r.doc_id: (r.n_items, r.item_ids) for r in D.contaminated(docs, table).collect()} == {0: (1, [None]), 1: (2, [4, None]), 2: (1, [4]), 3: (0, [])}
+        assert [r.doc_id for r in D.clean(docs, table).collect()] == [3]
