@@ -70,9 +70,10 @@ def windows(texts: list[bytes], usable: np.ndarray, size: int = SIZE) -> Windows
     if n < size:
         empty = np.empty(0, np.uint64)
         return Windows(sizes, flat, doc[:0], at[:0], empty, empty, empty.astype(np.uint32))
-    phrases = _grams(flat, PHRASE, _P1)
+    phrase = min(PHRASE, size)
+    phrases = _grams(flat, phrase, _P1)
     least = phrases[: n - size + 1].copy()
-    for k in range(1, size - PHRASE + 1):
+    for k in range(1, size - phrase + 1):
         np.minimum(least, phrases[k : n - size + 1 + k], out=least)
     whole = (at[: n - size + 1] + size <= lengths[doc[: n - size + 1]]) & usable[doc[: n - size + 1]]
     w = np.flatnonzero(whole)
@@ -94,11 +95,11 @@ def _first_of(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _minimizers(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _minimizers(batches: Iterator[pa.RecordBatch], bits: int, size: int = SIZE) -> Iterator[pa.RecordBatch]:
     """For each block and hash range: minimizers of one document with its id, and those that several have."""
     for t in joined(batches):
         ids, valid = _ids(t)
-        w = windows(utf8(t), valid)
+        w = windows(utf8(t), valid, size)
         change = np.ones(len(w.doc), bool)
         change[1:] = (w.minimizer[1:] != w.minimizer[:-1]) | (w.doc[1:] != w.doc[:-1])
         key, doc = w.minimizer[change], ids[w.doc[change]]
@@ -146,12 +147,12 @@ def _candidate_windows(w: Windows, known: HashArrays) -> np.ndarray:
     return np.repeat(hit, np.diff(np.r_[first, len(w.doc)]))
 
 
-def _passages(batches: Iterator[pa.RecordBatch], minimizers: str, bits: int) -> Iterator[pa.RecordBatch]:
+def _passages(batches: Iterator[pa.RecordBatch], minimizers: str, bits: int, size: int = SIZE) -> Iterator[pa.RecordBatch]:
     """For each block and hash range: candidate windows with the least id, and whether several ids have them."""
     known = _opened(minimizers, bits)
     for t in joined(batches):
         ids, valid = _ids(t)
-        w = windows(utf8(t), valid)
+        w = windows(utf8(t), valid, size)
         c = np.flatnonzero(_candidate_windows(w, known))
         if not len(c):
             continue
@@ -253,9 +254,9 @@ def substring_dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
         for k in set(range(1 << bits)) - have:
             save(uri, k, key=np.empty(0, np.uint64), **({} if uri == minimizers else {"h2": np.empty(0, np.uint32), "doc": np.empty(0, np.int64)}))
 
-    sent = rows.mapInArrow(lambda b: _minimizers(b, bits), "shard int, key binary, doc binary, several binary")
+    sent = rows.mapInArrow(lambda b: _minimizers(b, bits, size), "shard int, key binary, doc binary, several binary")
     fill(minimizers, sent.groupBy("shard").applyInArrow(lambda t: _recurring(t, minimizers), "shard int, n long"))
-    sent = rows.mapInArrow(lambda b: _passages(b, minimizers, bits), "shard int, h1 binary, h2 binary, doc binary, several binary")
+    sent = rows.mapInArrow(lambda b: _passages(b, minimizers, bits, size), "shard int, h1 binary, h2 binary, doc binary, several binary")
     fill(passages, sent.groupBy("shard").applyInArrow(lambda t: _confirmed(t, passages), "shard int, n long"))
     return rows.mapInArrow(lambda b: _kept(b, minimizers, passages, bits, size), SCHEMA)
 

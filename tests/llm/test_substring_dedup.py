@@ -85,3 +85,13 @@ def test_equal_first_hashes_are_told_apart(spark, monkeypatch):
     reduced(list(S._passages(iter(t.to_batches()), at[0], 2)), S._confirmed, at[1])
     got = [tuple(r.values()) for b in S._kept(iter(t.to_batches()), *at, 2, 13) for r in b.to_pylist()]
     assert sorted(got, key=str) == brute(list(zip(ids.tolist(), [x.decode() for x in texts], strict=True)))
+
+
+def test_other_sizes(spark):
+    rng = random.Random(5)
+    shared = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)] for n in (3, 4, 8, 9, 20, 40)]
+    rows = [(i, " ".join(w for _ in range(3) for w in (*rng.choice(shared), f"w{rng.random()}"))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for size in (3, 8, 20):
+        want = brute(rows, size)
+        assert sorted(map(tuple, S.substring_dedup(df, size).collect()), key=str) == want and any(r[2] for r in want)
