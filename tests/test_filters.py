@@ -137,3 +137,11 @@ def test_expressions_against_numpy(spark):
 def test_ragged_and_null_traces(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0]), (3, None), (4, [])], "trace_index long, samples array<double>")
     assert [list(r.samples) for r in filters.apply(df, "gain", {"factor": 2.0}).orderBy("trace_index").collect()] == [[2, 4, 6], [8], [], []]
+
+
+def test_emd_refuses_what_it_does_not_know():
+    x = np.random.default_rng(1).standard_normal((2, 64))
+    for method in ("ceemdan", "eemd_fast", ""):
+        with pytest.raises(ValueError, match="neither"):
+            dsp.emd_denoise(x, method)
+    assert dsp.emd_denoise(x, "eemd", ensemble=2).shape == x.shape
