@@ -11,7 +11,8 @@ the shares of toxic and ordinary texts that have such a window. A text's score i
 function of its highest ratio, the sum of its highest few and its number of words.
 
 Dictionaries and calibration come from a bounded sample of labelled rows: SAMPLE texts of each label
-and SAMPLE_BYTES at most, by hash of the id, whole texts. All windows of all texts are scored.
+and SAMPLE_BYTES at most, by hash of the id, whole texts; texts longer than TEXT_BYTES aren't sampled.
+All windows of all texts are scored.
 Workers remember words' ratios; a word that shares no four bytes with the toxic dictionary can't be
 made shorter by it and isn't compressed.
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from strataflow.llm.shared import joined, small_batches, utf8
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
-SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
+SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 4000, 32 << 20, 1 << 20
 #: A toxic word is in so many sampled texts at least, and so many times likelier in a toxic one; ordinary words in the dictionary, at most.
 LEAST_TEXTS, LEAST_ODDS, MOST_ORDINARY = 3, 20.0, 6000
 BEFORE, AFTER = b"~carrier of some more bytes", b"@tail=of.ten"
@@ -145,7 +146,7 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int = 5) -> list[tuple[int
     out = []
     for label in (0, 1):
         few = known.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("labelled"), "h")
-        texts = docs.join(F.broadcast(few), F.col("doc_id") == F.col("labelled")).select("h", F.coalesce("text", F.lit("")).cast("binary").alias("text")).dropDuplicates(["h"])
+        texts = docs.join(F.broadcast(few), F.col("doc_id") == F.col("labelled")).select("h", F.coalesce("text", F.lit("")).cast("binary").alias("text")).dropDuplicates(["h"]).where(F.octet_length("text") <= TEXT_BYTES)
         size = F.sum(F.octet_length("text")).over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         out += [(r["h"], bytes(r["text"]), label) for r in texts.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES).drop("size").collect()]
     return out

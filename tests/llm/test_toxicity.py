@@ -34,3 +34,14 @@ def test_held_out_labels_and_labels_of_others_are_not_used(spark, sf):
     flipped = labels.selectExpr("doc_id", "quality", "CASE WHEN crc32(CAST(CAST(doc_id AS string) AS binary)) % 5 = 0 THEN 1 - toxic ELSE toxic END AS toxic")
     rows = lambda x: sorted((r.doc_id, r.score) for r in T.toxicity(docs, x).collect())
     assert rows(labels) == rows(flipped)
+
+
+def test_one_huge_text_does_not_empty_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(T, "TEXT_BYTES", 2000, raising=False)
+    monkeypatch.setattr(T, "SAMPLE_BYTES", 5000)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    first = {label: labels.where(f"toxic = {label}").selectExpr("doc_id").orderBy(T.F.xxhash64("doc_id")).first()[0] for label in (0, 1)}
+    docs = spark.createDataFrame([(i, "some words " * (900 if i in first.values() else 2)) for i in ids], "doc_id long, text string")
+    got = T.sample(docs, labels)
+    assert len(got) == len(ids) - 2 and {x[2] for x in got} == {0, 1}
