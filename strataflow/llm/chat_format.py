@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.shared import small_batches
 
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 # Strings that templates of chats use as controls.
@@ -112,7 +111,6 @@ def _role(role: str) -> str:
 
 def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """(conv_id, window, n_repeated, formatted, loss) of conversations(conv_id, turn, role, text): a row per window, in order within partitions that hold whole conversations. loss: spans of formatted, in code points."""
-    small_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
 

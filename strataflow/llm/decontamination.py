@@ -1,29 +1,42 @@
-"""Benchmark decontamination: training passages as queries to a BM25 index of test items.
+"""Benchmark decontamination: training passages as queries to a BM25 index of test items, by block-max WAND.
 
-Impacts (BM25 weights of an item's terms) are divided by the item's sum, so a passage's score for an
-item is the share of the item's weight that its terms hold. Postings lie in blocks of items, each
-block with every term's highest impact. A document's words go in halves as long as the longest item
-(HALF at least); a passage is two neighbouring halves, so each occurrence of an item lies in one. The
-block maxima of a passage's terms bound its scores in a block from above: only blocks whose bound
-reaches the threshold are scored, and every item above it is retrieved, none is capped. A retrieved
-item is confirmed if its question (all but the last sentence) and its answer (the last one) each have
-OVERLAP of their 5-word shingles in the passage.
+Items are indexed in segments of at most SEGMENT words. Impacts (BM25 weights of a segment's terms, by
+statistics of all items) are divided by the segment's sum, so a passage's score is the share of the
+segment's weight that its terms hold. A document's words go in halves of SEGMENT words; a passage is two
+neighbouring halves, so each occurrence of a segment lies in one. Every passage is a query, and every
+segment that reaches THRESHOLD is retrieved, none is capped:
 
-The index goes to workers with the task, as its size is checked: items beyond INDEX_BYTES make
-further indexes, which documents go through one after the other. Documents aren't shuffled.
+* Block maxima, of groups of blocks first and of BLOCK segments then, bound a passage's scores from
+  above. The bounds of a batch's passages are summed together; blocks that can't reach the threshold
+  are never opened.
+* In the blocks that are left, the passage's postings are walked in segments' order: terms, sorted by
+  the segment they stand at, add their block maxima until the threshold is reached; there is the pivot.
+  Lists behind it skip to it, and only a pivot that all of them reach is scored.
+
+An item with a retrieved segment is confirmed if its question (all but the last sentence) and its answer
+(the last one) each have OVERLAP of their 5-word shingles in the passage with as many words around it as
+the item has.
+
+Items are dealt to parts of INDEX_BYTES of text, about. Each part's index is built by a task, with
+statistics of all parts, and written to the shared folder; documents go by all parts in one pass and
+aren't shuffled. Results don't depend on how many parts there are.
 
 Words are lower-cased (A-Z), with ASCII punctuation as space. Nulls are empty texts, which are never
 contaminated; items without words are left out. Repeated rows are judged each; doc_id may be null.
 Items of null item_id are indexed like others: a text that holds any of them has one null at the end
-of its ids, which counts as one item.
+of its ids, which counts as one item. Repeated items are one. Extra columns of docs are kept by
+with_items() and clean(), whose own column takes underscores after its name where docs has that name.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 from typing import NamedTuple
 
@@ -33,12 +46,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataflow.llm.shared import joined, small_batches, utf8
+from strataflow.llm.hash_arrays import load_bytes, save_bytes
+from strataflow.llm.shared import cut, joined, scratch, unused, utf8
 
 SHINGLE, OVERLAP = 5, 0.8
-THRESHOLD, HALF, BLOCK = 0.6, 64, 4
+THRESHOLD, SEGMENT = 0.6, 64
+#: Segments of a block, and blocks of a group.
+BLOCK, GROUP = 4, 8
 K1, B = 1.2, 0.75
-INDEX_BYTES = 512 << 10
+INDEX_BYTES = 128 << 10
+#: What sums of bounds may lack by rounding.
+ROUNDING = 1e-4
 _TABLE = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -51,15 +69,31 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
+class Statistics(NamedTuple):
+    """Of all items: how many segments there are and how many have a term, and a segment's mean number of words."""
+
+    n: int
+    mean: float
+    having: dict[bytes, int]
+
+
+class Item(NamedTuple):
+    """An item's id, its number of words, and the shingles of its question and its answer."""
+
+    item_id: int | None
+    size: int
+    parts: tuple[set[bytes], set[bytes]]
+
+
 class Index(NamedTuple):
-    """terms: numbers of the items' terms; bound: by term and block, the highest impact; postings: by block, term to (places in the block, impacts); parts: by item, the shingles of its question and its answer."""
+    """owner: the place in items of each segment; terms: numbers of terms; bound, group_bound: by term and block, or group of blocks, the highest impact; postings: by term, its segments in order and its impacts there."""
 
-    items: list[int | None]
-    half: int
+    items: list[Item]
+    owner: list[int]
     terms: dict[bytes, int]
     bound: np.ndarray
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]]
-    parts: list[tuple[set[bytes], set[bytes]]]
+    group_bound: np.ndarray
+    postings: list[tuple[list[int], list[float]]]
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -74,104 +108,184 @@ def nulls_last(item_id: int | None) -> tuple[bool, int]:
     return item_id is None, item_id or 0
 
 
-def build(items: list[tuple[int | None, str]]) -> Index:
-    """An index of (item_id, text)."""
+def segments(words: list[bytes]) -> list[list[bytes]]:
+    """The words in as few parts of at most SEGMENT as there can be, of equal sizes."""
+    n = math.ceil(len(words) / SEGMENT)
+    return [words[len(words) * k // n : len(words) * (k + 1) // n] for k in range(n)]
+
+
+def statistics(texts: list[str]) -> Statistics:
+    own = [s for t in texts for s in segments(words_of(t.encode()))]
+    return Statistics(len(own), sum(map(len, own)) / max(1, len(own)), Counter(w for s in own for w in set(s)))
+
+
+def build(items: list[tuple[int | None, str]], of_all: Statistics | None = None) -> Index:
+    """An index of distinct (item_id, text), some or all of those that the statistics are of."""
     kept = sorted(((i, t) for i, t in items if words_of((t or "").encode())), key=lambda x: (nulls_last(x[0]), x[1]))
-    bags = [Counter(words_of(t.encode())) for _, t in kept]
-    sizes = [sum(b.values()) for b in bags]
-    found = Counter(w for b in bags for w in b)
-    terms = {w: k for k, w in enumerate(found)}
-    idf = {w: math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for w, n in found.items()}
-    mean = sum(sizes) / max(1, len(sizes))
+    of_all = of_all or statistics([t for _, t in kept])
+    own, owner, bags = [], [], []
+    for k, (i, t) in enumerate(kept):
+        words = words_of(t.encode())
+        own.append(Item(i, len(words), tuple(map(shingles, question_and_answer(t)))))
+        for s in segments(words):
+            owner.append(k)
+            bags.append(Counter(s))
+    terms = {w: k for k, w in enumerate({w: 0 for b in bags for w in b})}
+    postings: list[tuple[list[int], list[float]]] = [([], []) for _ in terms]
     n_blocks = max(1, math.ceil(len(bags) / BLOCK))
-    bound = np.zeros((len(terms) + 1, n_blocks), np.float32)
-    raw: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(n_blocks)]
-    for k, (bag, size) in enumerate(zip(bags, sizes, strict=True)):
-        impact = {w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean)) for w, n in bag.items()}
-        whole = sum(impact.values())
+    bound = np.zeros((len(terms) + 1, math.ceil(n_blocks / GROUP) * GROUP), np.float32)
+    for k, bag in enumerate(bags):
+        long = K1 * (1 - B + B * sum(bag.values()) / of_all.mean)
+        impact = {w: math.log(1 + (of_all.n - of_all.having[w] + 0.5) / (of_all.having[w] + 0.5)) * n * (K1 + 1) / (n + long) for w, n in bag.items()}
+        whole = math.fsum(impact.values())
         for w, x in impact.items():
             t, b = terms[w], k // BLOCK
             bound[t, b] = max(bound[t, b], x / whole)
-            raw[b].setdefault(t, []).append((k % BLOCK, x / whole))
-    postings = [{t: (np.array([i for i, _ in p]), np.array([x for _, x in p])) for t, p in block.items()} for block in raw]
-    return Index([i for i, _ in kept], max(HALF, *sizes, 0) if sizes else HALF, terms, bound, postings, [tuple(map(shingles, question_and_answer(t))) for _, t in kept])
+            postings[t][0].append(k)
+            postings[t][1].append(x / whole)
+    return Index(own, owner, terms, bound, bound.reshape(len(terms) + 1, -1, GROUP).max(axis=2), postings)
+
+
+def retrieved(index: Index, terms: list[int], live: list[int]) -> list[int]:
+    """The segments that reach the threshold for a passage of these distinct terms, among those of the live blocks (in order)."""
+    lists = [(index.postings[t][0], index.postings[t][1], index.bound[t]) for t in terms]
+    at = [0] * len(lists)
+    out, d = [], 0
+    for block in live:
+        d, end = max(d, block * BLOCK), (block + 1) * BLOCK
+        while d < end:
+            stands = []
+            for k, (own, _, _) in enumerate(lists):
+                at[k] = bisect_left(own, d, at[k])
+                if at[k] < len(own) and own[at[k]] < end:
+                    stands.append((own[at[k]], k))
+            stands.sort()
+            reach, pivot = 0.0, end
+            for segment, k in stands:
+                reach += lists[k][2][block]
+                if reach >= THRESHOLD - ROUNDING:
+                    pivot = segment
+                    break
+            if pivot < end and stands[0][0] == pivot:
+                if math.fsum(lists[k][1][at[k]] for segment, k in stands if segment == pivot) >= THRESHOLD - 1e-9:
+                    out.append(pivot)
+                pivot += 1
+            d = pivot
+    return out
 
 
-def retrieved(index: Index, terms: np.ndarray, block: int) -> list[int]:
-    """Places of the block's items that reach the threshold for a passage of these distinct terms."""
-    score = np.zeros(BLOCK)
-    for t in terms.tolist():
-        if (p := index.postings[block].get(t)) is not None:
-            score[p[0]] += p[1]
-    return [block * BLOCK + int(i) for i in np.flatnonzero(score >= THRESHOLD)]
+def confirmed(item: Item, words: list[bytes]) -> bool:
+    runs = {k: {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} for k in {SHINGLE, *(len(s.split()) for part in item.parts for s in part)}}
+    return all(sum(s in runs[len(s.split())] for s in part) >= OVERLAP * len(part) for part in item.parts)
 
 
-def confirmed(index: Index, item: int, words: list[bytes]) -> bool:
-    runs = {k: {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} for k in {SHINGLE, *(len(s.split()) for part in index.parts[item] for s in part)}}
-    return all(sum(s in runs[len(s.split())] for s in part) >= OVERLAP * len(part) for part in index.parts[item])
+class Batch:
+    """A batch's words: of each text, its number, the halves they make, and what half each word is in."""
 
+    def __init__(self, texts: list[bytes]):
+        self.words = list(map(words_of, texts))
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        halves = (self.lengths + SEGMENT - 1) // SEGMENT
+        self.start = np.cumsum(halves) - halves
+        self.n = int(halves.sum())
+        at = np.arange(int(self.lengths.sum())) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.half = np.repeat(self.start, self.lengths) + at // SEGMENT
+        self.owner = np.repeat(np.arange(len(texts)), halves)
+        self.last = np.r_[self.owner[1:] != self.owner[:-1], np.ones(min(1, self.n), bool)]
 
-def matches(index: Index, texts: list[bytes]) -> list[set[int | None]]:
-    """For each text, the ids of the items that it holds."""
+
+def _bounds(bound: np.ndarray, half: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """The sums of bounds of each half's distinct terms."""
+    out = np.zeros((n + 1, bound.shape[1]), np.float32)
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(half)), bool), half[1:] != half[:-1]])
+    if len(first):
+        out[half[first]] = np.add.reduceat(bound[term], first, axis=0)
+    return out
+
+
+def matches(index: Index, batch: Batch) -> list[set[int | None]]:
+    """For each text of the batch, the ids of the items that it holds."""
     look = index.terms.get
-    every, sizes = [], []
-    for t in texts:
-        words = words_of(t)
-        every.append(np.fromiter(map(look, words, repeat(-1)), np.int32, len(words)))
-        sizes.append(len(words))
-    out: list[set[int | None]] = [set() for _ in texts]
-    lengths = np.array(sizes, np.int64)
-    halves = (lengths + index.half - 1) // index.half
-    start = np.cumsum(halves) - halves
-    ids = np.concatenate([np.empty(0, np.int32), *every])
-    at = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    half = np.repeat(start, lengths) + at // index.half
+    out: list[set[int | None]] = [set() for _ in batch.words]
+    ids = np.concatenate([np.empty(0, np.int32), *(np.fromiter(map(look, w, repeat(-1)), np.int32, len(w)) for w in batch.words)])
     known = ids >= 0
-    pairs = np.unique(half[known] * np.int64(len(index.terms) + 1) + ids[known])
-    if not len(pairs):
+    half, term = np.divmod(np.unique(batch.half[known] * np.int64(len(index.terms) + 1) + ids[known]), len(index.terms) + 1)
+    if not len(half):
         return out
-    half, term = np.divmod(pairs, len(index.terms) + 1)
-    first = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
-    bounds = np.zeros((int(halves.sum()) + 1, index.bound.shape[1]), np.float32)
-    bounds[half[first]] = np.add.reduceat(index.bound[term], first, axis=0)
-    owner = np.repeat(np.arange(len(texts)), halves)
-    last = np.r_[owner[1:] != owner[:-1], True]
-    passage = bounds[:-1] + np.where(last[:, None], 0, bounds[1:])
-    edges = np.searchsorted(half, np.arange(len(owner) + 1))
-    for h, block in np.argwhere(passage >= THRESHOLD - 1e-4).tolist():
-        d = int(owner[h])
-        to = h + 1 if last[h] else h + 2
-        hits = [i for i in retrieved(index, np.unique(term[edges[h] : edges[to]]), block) if index.items[i] not in out[d]]
-        if hits:
-            k = h - int(start[d])
-            words = words_of(texts[d])[k * index.half : (k + 2) * index.half]
-            out[d] |= {index.items[i] for i in hits if confirmed(index, i, words)}
+    single = batch.last[:, None]
+    by_group = _bounds(index.group_bound, half, term, batch.n)
+    groups = by_group[:-1] + np.where(single, 0, by_group[1:]) >= THRESHOLD - ROUNDING
+    passages = np.flatnonzero(groups.any(axis=1))
+    used = np.zeros(batch.n + 1, bool)
+    used[passages] = used[passages + 1] = True
+    within = used[half]
+    by_block = _bounds(index.bound, half[within], term[within], batch.n)
+    live = by_block[passages] + np.where(single[passages], 0, by_block[passages + 1]) >= THRESHOLD - ROUNDING
+    live &= np.repeat(groups[passages], GROUP, axis=1)
+    edges = np.searchsorted(half, np.arange(batch.n + 2))
+    for row in np.flatnonzero(live.any(axis=1)).tolist():
+        h = int(passages[row])
+        d = int(batch.owner[h])
+        distinct = np.unique(term[edges[h] : edges[h + 1 if batch.last[h] else h + 2]]).tolist()
+        for k in sorted({index.owner[s] for s in retrieved(index, distinct, np.flatnonzero(live[row]).tolist())}):
+            item = index.items[k]
+            if item.item_id in out[d]:
+                continue
+            begin = (h - int(batch.start[d])) * SEGMENT
+            if confirmed(item, batch.words[d][max(0, begin - item.size) : begin + 2 * SEGMENT + item.size]):
+                out[d].add(item.item_id)
     return out
 
 
-def indexes(items: DataFrame) -> list[Index]:
-    """Indexes of items(item_id, text), each of INDEX_BYTES of text at most, about; one unless the items are larger."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = math.ceil(size / INDEX_BYTES) or 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [build([(r["item_id"], r["text"]) for r in rows.where(part == k).collect()]) for k in range(n)]
+def compiled(items: DataFrame) -> tuple[str, list[int]]:
+    """Builds the index of items(item_id, text) in the shared folder; returns its path and the parts that have items. The driver sees two totals, no item."""
+    spark = items.sparkSession
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
+    n_parts = math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / INDEX_BYTES) or 1
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)).cast("int"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [segments(words_of(t)) for t in utf8(pa.Table.from_batches([b]))]
+            terms = [[w for s in x for w in set(s)] for x in own]
+            yield pa.record_batch({"part": b.column(b.schema.get_field_index("part")), "terms": pa.array(terms, pa.list_(pa.binary())), "n": pa.array(map(len, own), pa.int64()), "words": pa.array([sum(map(len, x)) for x in own], pa.int64())})
+
+    found = cut(rows.mapInArrow(listed, "part int, terms array<binary>, n long, words long"), "item-terms")
+    n, words = (x or 0 for x in found.agg(F.sum("n"), F.sum("words")).first())
+    having = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("having"))
+    own = found.select("part", F.explode("terms").alias("term")).distinct().join(having, "term").select("part", "term", "having")
+    path = scratch(spark, "items")
+
+    def built(table: pa.Table, terms: pa.Table) -> pa.Table:
+        of_all = Statistics(n, words / max(1, n), dict(zip(terms["term"].to_pylist(), terms["having"].to_pylist(), strict=True)))
+        part = table["part"][0].as_py()
+        save_bytes(f"{path}/{part}", pickle.dumps(build(list(zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True)), of_all)))
+        return pa.table({"part": pa.array([part], pa.int32())})
+
+    parts = [r["part"] for r in rows.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(lambda t, w: built(t, w) if t.num_rows else pa.table({"part": pa.array([], pa.int32())}), "part int").collect()]  # a number for each part
+    return path, sorted(parts)
+
+
+@lru_cache(maxsize=8)
+def _opened(path: str) -> Index:
+    return pickle.loads(load_bytes(path))
 
 
 def with_items(docs: DataFrame, items: DataFrame, into: str = "benchmark_items") -> DataFrame:
-    """docs with the sorted ids of the items that each text holds, a null last."""
-    small_batches(docs.sparkSession)
-    out = docs.withColumn(into, F.array().cast("array<long>"))
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.LongType()))])
-    for index in indexes(items):
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for t in joined(batches):
-                found = [sorted({*before, *new}, key=nulls_last) for before, new in zip(t[into].to_pylist(), matches(index, utf8(t)), strict=True)]
-                yield from t.set_column(t.schema.get_field_index(into), into, pa.array(found, pa.list_(pa.int64()))).to_batches()
-
-        out = out.mapInArrow(run, schema)
-    return out
+    """docs with the sorted ids of the items that each text holds, a null last, in a column of that name, or with underscores after it where docs has that name."""
+    into = unused(docs.columns, into)
+    path, parts = compiled(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in joined(batches):
+            batch = Batch(utf8(t))
+            found: list[set[int | None]] = [set() for _ in range(t.num_rows)]
+            for part in parts:
+                for have, new in zip(found, matches(_opened(f"{path}/{part}"), batch), strict=True):
+                    have |= new
+            yield from t.append_column(into, pa.array([sorted(x, key=nulls_last) for x in found], pa.list_(pa.int64()))).to_batches()
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.LongType()))]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -183,4 +297,5 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
-    return with_items(docs, items).where(F.size("benchmark_items") == 0).drop("benchmark_items")
+    into = unused(docs.columns, "benchmark_items")
+    return with_items(docs, items).where(F.size(into) == 0).drop(into)

@@ -21,17 +21,29 @@ def _store(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+def save_bytes(uri: str, content: bytes) -> None:
+    """Writes a file under a temporary name and moves it into place."""
+    fs, path = _store(uri)
+    folder, name = path.rsplit("/", 1)
+    fs.create_dir(folder, recursive=True)
+    temporary = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(temporary) as f:
+        f.write(content)
+    fs.move(temporary, path)
+
+
+def load_bytes(uri: str) -> bytes:
+    fs, path = _store(uri)
+    with fs.open_input_stream(path) as f:
+        return f.read()
+
+
 def save(uri: str, shard: int, **arrays: np.ndarray) -> None:
     """Writes a shard's arrays; key is sorted uint64, the others go along with it."""
-    fs, path = _store(uri)
-    fs.create_dir(path, recursive=True)
     for name, a in arrays.items():
         out = io.BytesIO()
         np.save(out, a)
-        temporary = f"{path}/.{name}-{shard:06d}-{uuid.uuid4().hex}"
-        with fs.open_output_stream(temporary) as f:
-            f.write(out.getbuffer())
-        fs.move(temporary, f"{path}/{name}-{shard:06d}.npy")
+        save_bytes(f"{uri}/{name}-{shard:06d}.npy", out.getbuffer())
 
 
 class HashArrays:

@@ -12,7 +12,8 @@ A group holds GROUP documents at most on average, however large a source; nothin
 is shuffled. Directions come from hashes of ids and levels, so reruns agree.
 
 Null texts have size 0; a null source is one, the last; null ids and repeated rows are documents of
-their own (which of two equal rows is taken makes no difference to the result's rows).
+their own (which of two equal rows is taken makes no difference to the result's rows). Extra columns
+are kept by copies(), under their own names, and dropped by mix().
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.shared import WORD, cut
+from strataflow.llm.shared import WORD, cut, unused
 
 WEIGHTS = (5, 2, 1)
 #: The mix's words as a share of all words, and the most times that a source is repeated.
@@ -96,11 +97,11 @@ def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def _level(rows: DataFrame, level: int, groups: DataFrame, last: bool) -> DataFrame:
-    """One level of groups over rows(doc_id, size, source, p); groups(source, n): how many groups a source has."""
+    """One level of groups over rows(doc_id, size, source, text_hash, p); groups(source, n): how many groups a source has."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, size, p = (table[c].to_numpy() for c in ("key", "size", "p"))
-        order = np.lexsort((size, key))
+        key, size, text_hash, p = (table[c].to_numpy() for c in ("key", "size", "text_hash", "p"))
+        order = np.lexsort((text_hash, size, key))
         size, p, key = size[order], p[order], key[order].astype(np.uint64)
         draw = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / float(1 << 53)
         done = flight(size, p, draw)
@@ -108,17 +109,22 @@ def _level(rows: DataFrame, level: int, groups: DataFrame, last: bool) -> DataFr
             done = landing(size, done)
         out = np.empty(len(done))
         out[order] = done
-        return table.select(["doc_id", "size", "source"]).append_column("p", pa.array(out))
+        return table.select(["doc_id", "size", "source", "text_hash"]).append_column("p", pa.array(out))
 
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "size", F.lit(level)))
     dealt = keyed.join(groups.withColumnRenamed("source", "group_source"), F.col("source").eqNullSafe(F.col("group_source"))).drop("group_source")
     dealt = dealt.withColumn("part", F.pmod(F.shiftright("key", 3), F.col("n"))).drop("n")
-    return dealt.groupBy("source", "part").applyInArrow(run, "doc_id long, size long, source string, p double")
+    return dealt.groupBy("source", "part").applyInArrow(run, "doc_id long, size long, source string, text_hash long, p double")
+
+
+def size_of(text: str) -> Column:
+    """A text's number of words; null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
-    """(doc_id, size, source, source_size, target, times, taken) for each row of docs(doc_id, text, source): how often the mix takes it, and how many words that is."""
-    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "source"), "sizes")
+    """(doc_id, size, source, text_hash, source_size, target, times, taken) for each row of docs(doc_id, text, source): how often the mix takes it, and how many words that is."""
+    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of("text").alias("size"), "source", F.xxhash64("text").alias("text_hash")), "sizes")
     shares = cut(targets(sizes, weights, share, most), "targets")
     times = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     own = shares.select(F.col("source").alias("own"), "source_size", "target", F.floor(times).alias("whole"), (times - F.floor(times)).alias("part_of"), "n_docs")
@@ -141,17 +147,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         chosen = chosen.unionByName(d)
     out = chosen.join(own, F.col("source").eqNullSafe(F.col("own")))
     count = (F.col("whole") + F.round("p").cast("long")).cast("long")
-    return out.select("doc_id", "size", "source", "source_size", "target", count.alias("times"), (count * F.col("size")).alias("taken"))
-
-
-def copies(docs: DataFrame, **how) -> DataFrame:
-    """docs, each row as often as the mix takes it, with copy (from 1)."""
-    taken = mix(docs, **how).where("times > 0").select(F.col("doc_id").alias("taken_id"), F.col("size").alias("taken_size"), F.col("source").alias("taken_source"), "times")
-    keys = ["taken_id", "taken_size", "taken_source"]
-    alike = taken.groupBy(*keys).agg(F.sort_array(F.collect_list("times"), asc=False).alias("times"))
-    rows = docs.withColumn("own_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    joined = rows.join(alike, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("own_size") == F.col("taken_size")) & F.col("source").eqNullSafe(F.col("taken_source"))).drop(*keys)
-    among = Window.partitionBy("doc_id", "own_size", "source").orderBy(F.xxhash64("text"))
-    single = joined.where(F.size("times") == 1).withColumn("times", F.col("times")[0])
-    several = joined.where(F.size("times") > 1).withColumn("at", F.row_number().over(among)).withColumn("times", F.coalesce(F.get("times", F.col("at") - 1), F.lit(0))).drop("at").where("times > 0")
-    return single.unionByName(several).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times", "own_size")
+    return out.select("doc_id", "size", "source", "text_hash", "source_size", "target", count.alias("times"), (count * F.col("size")).alias("taken"))
+
+
+def copies(docs: DataFrame, copy: str = "copy", **how) -> DataFrame:
+    """docs, each row as often as the mix takes it, with the copy's number from 1, in a column of that name, or with underscores after it where docs has that name.
+
+    Rows are known by id, size, source and their text's hash; what the mix takes of rows equal in all
+    four is dealt among them evenly. Only for such rows does a window sort anything; sums stand for them otherwise.
+    """
+    own = ["doc_id", "size", "source", "text_hash"]
+    key = [unused(docs.columns, c) for c in ("own_id", "own_size", "own_source", "own_hash")]
+    n, sure, more, at, copy = (unused(docs.columns, c) for c in ("n_alike", "n_sure", "n_more", "n_before", copy))
+    taken = mix(docs, **how).groupBy(*own).agg(F.count("*").alias(n), F.sum("times").alias(more)).where(F.col(more) > 0)
+    taken = taken.select(*(F.col(c).alias(k) for c, k in zip(own, key, strict=True)), n, F.floor(F.col(more) / F.col(n)).alias(sure), (F.col(more) % F.col(n)).alias(more))
+    values = (F.col("doc_id").cast("long"), size_of("text"), F.col("source"), F.xxhash64("text"))
+    same = F.lit(True)
+    for k, v in zip(key, values, strict=True):
+        same = same & F.col(k).eqNullSafe(v)
+    joined = docs.join(taken, same)
+    alike = Window.partitionBy(*key).orderBy(F.lit(0))
+    single = joined.where(F.col(n) == 1).withColumn(at, F.lit(0))
+    several = joined.where(F.col(n) > 1).withColumn(at, F.row_number().over(alike) - 1)
+    times = F.col(sure) + (F.col(at) < F.col(more)).cast("long")
+    out = single.unionByName(several).where(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times.cast("int"))))
+    return out.select(*docs.columns, copy)

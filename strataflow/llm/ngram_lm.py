@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.hash_arrays import HashArrays, save, shard_edges
-from strataflow.llm.shared import hashed_words, input_bytes, joined, mixed, scratch, shards, small_batches, utf8
+from strataflow.llm.shared import hashed_words, input_bytes, joined, mixed, scratch, shards, utf8
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: Bytes of text whose pairs are summed up before they are sent.
@@ -184,7 +184,6 @@ def _word_range(table: pa.Table, uri: str) -> pa.Table:
 def train(docs: DataFrame) -> Model:
     """Counts docs(text), in which nulls are empty."""
     spark = docs.sparkSession
-    small_batches(spark)
     pair_bits = (shards(input_bytes(docs), 16 << 20) - 1).bit_length()
     word_bits = pair_bits
     pairs, large, words = (scratch(spark, x) for x in ("pairs", "large-counts", "words"))

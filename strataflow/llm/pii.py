@@ -1,9 +1,10 @@
 """Personal data: base patterns, and identifiers that bootstrapped contexts discover.
 
 Base spans are the leftmost matches, without overlap per kind, of four patterns, checked further by
-kind. They are the seeds. A slot is a seed or any other token that might be an identifier (four
-digits or more, outside all seeds), with the lexical patterns it stands in: the two words before it,
-the words on both sides, or a label before it (a word that ends in : or =). Patterns and the values
+kind. They are the seeds. A slot is a seed or any other token that might be an identifier, outside all
+seeds: one with a digit or with a sign between letters, or any token after a label (a word that ends in
+: or =, or what stands before such a sign within a word). It comes with the lexical patterns it stands
+in, of whole words however long: the two words before it, the words on both sides, or the label. Patterns and the values
 in their slots form a graph, which is scored in rounds: a pattern is as good as the mean of its
 values' scores, a value as good as its patterns together (one less the product of what each leaves).
 Seeds stay at 1. Values that reach a high score count as seeds of the next round, each as much as its
@@ -11,8 +12,10 @@ score. A pattern with enough seeds and a high score then makes spans of kind id
 
 All of it is DataFrame functions. Text is scanned once; beyond that scan there are only slots, few
 per document. Graph edges are distinct (pattern, value) pairs with partial aggregates before each
-shuffle, so a pattern in a third of all documents is a row per task. Positions are code points, ends
-exclusive. Null texts are empty; repeated rows give repeated results; a doc_id may be null.
+shuffle, so a pattern in a third of all documents is a row per task. Rows are known by two hashes of id
+and text (128 bits). Positions are code points, ends exclusive. Null texts are empty; repeated rows
+give repeated results; a doc_id may be null. Extra columns are kept by redact(), under their own
+names and with their values whatever those are, and dropped by report().
 
 The patterns below are the stated ones in forms that a backtracking matcher runs in linear time:
 possessive where nothing that follows could use what is given back, and begun only where a leftmost
@@ -26,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.shared import cut
+from strataflow.llm.shared import cut, unused
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -36,10 +39,14 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A token that may be an identifier: four digits or more.
-CANDIDATE = r"(?<![A-Za-z0-9._:/-])(?=(?:[A-Za-z._:/-]*+[0-9]){4})[A-Za-z0-9](?:[A-Za-z0-9._:/-]*[A-Za-z0-9])?"
-#: Code points of context on either side.
-LEFT, RIGHT = 80, 40
+_TOKEN, _PART = (rf"[A-Za-z0-9](?:[A-Za-z0-9._{more}/+-]*[A-Za-z0-9])?" for more in (":=", ""))
+#: A token that may be an identifier: any after a label, with what stands between; one of four digits or more; or one with a digit, or a sign between letters, that is no label itself.
+CANDIDATE = (
+    rf"(?<=[:=])[\x20\x09-\x0D]*+[\"'(]?+{_TOKEN}"
+    rf"|(?<![A-Za-z0-9._:/+=-])(?:(?![A-Za-z._/+-]++[:=])(?=(?:[A-Za-z._:/+=-]*+[0-9]){{4}}){_TOKEN}"
+    rf"|(?=[A-Za-z]*+(?:[0-9]|[._/+-]++[A-Za-z0-9]))(?>{_PART})(?![:=]))"
+)
+_SPACES, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 ROUNDS, LEAST_SEEDS, LEAST_SCORE = 3, 3, 0.5
 
 
@@ -50,11 +57,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 #: Matches whose positions are summed at once; appending within such blocks keeps long texts linear.
 BLOCK = 256
-FOUND = "struct<s:int,e:int,v:string,l:string,r:string>"
+FOUND = "struct<s:int,e:int,v:string,b:string,l:string,r:string>"
+
+
+def around(gap: Column, following: Column) -> list[Column]:
+    """Of what stands before a match the last two words (b, l), of what follows the first (r); words are found from the match outwards, in linear time however long they are."""
+    back = F.reverse(gap)
+    word = lambda text, before: F.regexp_extract(text, rf"^{before}({_WORD}++)", 1)
+    return [F.reverse(word(back, rf"{_SPACES}*+{_WORD}++{_SPACES}++")).alias("b"), F.reverse(word(back, rf"{_SPACES}*+")).alias("l"), word(following, rf"{_SPACES}*+").alias("r")]
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All matches as structs (s, e, v, l, r): start, end, value, and what stands left and right of it up to the next match.
+    """All matches as structs (s, e, v, b, l, r): start, end, value, the two words left of it and the one right of it, up to the neighbouring matches.
 
     Splitting at the pattern gives the gaps; positions are running sums of lengths, found in blocks first.
     """
@@ -62,14 +76,14 @@ def matches(text: Column, pattern: str) -> Column:
     def place(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["v"])
-        one = F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v"), F.right(x["gap"], F.lit(LEFT)).alias("l"), F.left(x["next"], F.lit(RIGHT)).alias("r"))
+        one = F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v"), *around(x["gap"], x["next"]))
         return F.struct(end.alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
 
     def block(b: Column) -> Column:
         return F.aggregate(b, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FOUND}>").alias("all")), place)
 
     def move(acc: Column, b: Column) -> Column:
-        moved = F.transform(b["all"], lambda m: F.struct((m["s"] + acc["at"]).alias("s"), (m["e"] + acc["at"]).alias("e"), m["v"].alias("v"), m["l"].alias("l"), m["r"].alias("r")))
+        moved = F.transform(b["all"], lambda m: F.struct((m["s"] + acc["at"]).alias("s"), (m["e"] + acc["at"]).alias("e"), m["v"].alias("v"), m["b"].alias("b"), m["l"].alias("l"), m["r"].alias("r")))
         return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["all"], F.array(moved)).alias("all"))
 
     def gaps(found: Column) -> Column:
@@ -121,31 +135,33 @@ def slots_of(text: Column, k: int) -> Column:
         kept = F.filter(matches(text, PATTERNS[KINDS[k]]), lambda m: holds(KINDS[k], m["v"]))
         needed = NEEDS[KINDS[k]](text)
     else:
-        kept = matches(text, CANDIDATE)
-        needed = text.rlike("[0-9]")
-    slots = F.transform(kept, lambda m: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), m["e"].alias("e"), F.lower(m["v"]).alias("v"), contexts(F.lower(m["l"]), F.lower(m["r"])).alias("patterns")))
+        bare = F.transform(matches(text, CANDIDATE), lambda m: F.struct(F.regexp_replace(m["v"], rf"^{_SPACES}*+[\"'(]?+", "").alias("v"), *(m[c].alias(c) for c in "eblr")))
+        kept = F.transform(bare, lambda m: F.struct((m["e"] - F.length(m["v"])).alias("s"), *(m[c].alias(c) for c in "evblr")))
+        needed = text.rlike("[A-Za-z0-9][._:/+=-]|[0-9:=]")
+    slots = F.transform(kept, lambda m: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), m["e"].alias("e"), F.lower(m["v"]).alias("v"), contexts(F.lower(m["b"]), F.lower(m["l"]), F.lower(m["r"])).alias("patterns")))
     return F.when(needed, slots).otherwise(F.array().cast(SLOTS))
 
 
-def contexts(before: Column, after: Column) -> Column:
-    """The lexical patterns of a place, as strings."""
-    word = r"[^\x20\x09-\x0D]+"
-    last = F.regexp_extract(before, rf"({word})[\x20\x09-\x0D]*$", 1)
-    two = F.regexp_extract(before, rf"({word}[\x20\x09-\x0D]+{word})[\x20\x09-\x0D]*$", 1)
-    first = F.regexp_extract(after, rf"^[\x20\x09-\x0D]*({word})", 1)
+def contexts(second: Column, last: Column, first: Column) -> Column:
+    """The lexical patterns of a place, as strings: from the two words before it, and the one after."""
     some = F.array(
-        F.when(two != "", F.concat(F.lit("before "), F.regexp_replace(two, r"[\x20\x09-\x0D]+", " "))),
+        F.when(second != "", F.concat_ws(" ", F.lit("before"), second, last)),
         F.when((last != "") & (first != ""), F.concat(F.lit("around "), last, F.lit(" _ "), first)),
         F.when(last.rlike("[:=]$"), F.concat(F.lit("label "), last)),
     )
     return F.filter(some, lambda p: p.isNotNull())
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Two hashes of a row, 128 bits."""
+    return F.struct(F.xxhash64(doc_id, text).alias("h1"), F.xxhash64(F.lit("second"), text, doc_id).alias("h2"))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, row, base, slots): a row's hash, its base spans in order, and all its slots."""
+    """docs(doc_id, text) to (doc_id, row, base, slots): a row's key, its base spans in order, and all its slots."""
     text = F.col("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.concat(*[slots_of(text, k) for k in range(len(KINDS) + 1)]).alias("slots"))
+    rows = rows.select("doc_id", row_key(F.col("doc_id"), text).alias("row"), F.concat(*[slots_of(text, k) for k in range(len(KINDS) + 1)]).alias("slots"))
     base = F.transform(F.filter("slots", lambda x: x["k"] < len(KINDS)), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     return rows.withColumn("base", F.sort_array(base))
 
@@ -217,10 +233,10 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with all spans of text replaced; other columns, and null texts, as they are. Texts without a digit or an @ have no span, and pass by the join that brings the others their spans."""
-    spans = find(docs).where(F.size("spans") > 0).select(F.col("row").alias("found_row"), F.col("spans").alias("found_spans")).dropDuplicates(["found_row"])
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
-    joined = docs.where(may).join(spans.hint("merge"), key == F.col("found_row"), "left")
-    text = F.when(F.col("found_spans").isNotNull(), masked(F.col("text"), F.col("found_spans"))).otherwise(F.col("text"))
+    """docs with all spans of text replaced; other columns, and null texts, as they are. Texts without a digit or one of @ . _ : / + = - have no span, and pass by the join that brings the others their spans."""
+    row, spans = unused(docs.columns, "found_row"), unused(docs.columns, "found_spans")
+    found = find(docs.select("doc_id", "text")).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(spans)).dropDuplicates([row])
+    may = F.coalesce(F.col("text").rlike("[0-9@._:/+=-]"), F.lit(False))
+    joined = docs.where(may).join(found.hint("merge"), row_key(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))) == F.col(row), "left")
+    text = F.when(F.col(spans).isNotNull(), masked(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     return docs.where(~may).unionByName(joined.withColumn("text", text).select(*docs.columns))

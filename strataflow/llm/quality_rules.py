@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.llm.shared import unused
+
 # Frequent words without meaning of their own, of four languages.
 STOP_WORDS = (
     "the of and to a in is that it for was on with as by be this are at from "
@@ -120,7 +122,8 @@ def verdict(c: dict[str, Column], rules: tuple[Rule, ...] = THRESHOLDS) -> Colum
 
 
 def with_quality(docs: DataFrame, into: str = "quality_rules") -> DataFrame:
-    """docs and a struct of all counts, base_failed and kept."""
+    """docs and a struct of all counts, base_failed and kept, in a column of that name, or with underscores after it where docs has that name."""
+    into = unused(docs.columns, into)
     rows = docs.withColumn(into, counts(F.coalesce("text", F.lit(""))))
     c = {n: F.col(into)[part][n].cast("long") for n, part in COUNTS.items()}
     failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])

@@ -28,23 +28,55 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *columns)
 
 
+#: The temporary folder of each application, where the cluster names none, and the scratch paths made and not deleted.
+_temporary: dict[str, str] = {}
+_made: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one of this machine only where the cluster names none."""
+    """The folder that all executors share; where the cluster names none, a temporary one of this machine, which only a local master may use."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='strataflow-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        found = _temporary.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='strataflow-')}"
+        _temporary[app] = found
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which lasts until clear()."""
+    _made.append(f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def marked() -> int:
+    """A mark for clear(): what was made before it stays."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes scratch made since the mark but what keep reads. To be called once results that were read from it are written: DataFrames that an operator returned, and weren't written, can't be read afterwards."""
+    files = " ".join(keep.inputFiles()) if keep is not None else ""
+    for path in _made[since:]:
+        if path.rsplit("/", 1)[1] not in files:
+            delete(spark, path)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, with underscores after it until no column has it in any case. Columns of the input keep their names and values."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -55,6 +87,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined_evenly(rows: DataFrame, found: DataFrame, key: str, n: str, total: int, parts: int = 1000) -> DataFrame:
+    """rows joined to found(key, n, ...), which has each key of rows once and how many of the total rows have it. Keys of more than a part of the total are fewer than parts, so those are broadcast; the rest meet by shuffles."""
+    big = F.col(n) * parts > total
+    few = F.broadcast(found.where(big))
+    rest = rows.join(few.select(key), key, "left_anti").join(found.where(~big), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of all texts, from a native scan; sizes partitions, never results."""
     return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -65,21 +105,20 @@ def shards(total_bytes: int, each: int = 24 << 20) -> int:
     return max(8, math.ceil(total_bytes / each))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as one text may be very long; workers join them to BATCH_BYTES."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
-
-
 def joined(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.Table]:
-    """Arrow batches put together up to about so many bytes of the column."""
+    """Arrow batches put together, or parted, to tables of about so many bytes of the column, a row at least."""
     held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.column(b.schema.get_field_index(column)).nbytes
-        if size >= most:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-            trim()
+    for whole in batches:
+        at = whole.schema.get_field_index(column)
+        rows = max(1, int(whole.num_rows * most / max(1, whole.column(at).nbytes)))
+        for start in range(0, whole.num_rows, rows):
+            b = whole.slice(start, rows)
+            held.append(b)
+            size += b.column(at).nbytes
+            if size >= most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+                trim()
     if held:
         yield pa.Table.from_batches(held)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataflow.llm.components import components
-from strataflow.llm.shared import cut, joined, small_batches, utf8
+from strataflow.llm.shared import cut, joined, joined_evenly, utf8
 
 SEED = 42
 #: Hashes whose bits are counted at once.
@@ -61,7 +61,6 @@ def fingerprint(text: bytes, words_each: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, words_each: int = 4, *more: Column) -> DataFrame:
     """(doc_id, more, fp): fp as a signed long of the same bits."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in joined(batches):
@@ -160,7 +159,10 @@ def survivors(docs: DataFrame, words_each: int = 4, radius: int = 4) -> DataFram
 def near_duplicates(docs: DataFrame, words_each: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs(doc_id, text): 16 hex digits, and the smallest doc_id that links of at most radius bits lead to."""
     rows = cut(fingerprints(docs, words_each), "fingerprints")
-    first = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    ids = rooted(first, radius)
-    ids = ids.join(ids.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    first = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")), "distinct")
+    n_rows, n_first = first.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.count("*")).first()
+    ids = rooted(first.select("fp", "first"), radius)
+    groups = cut(ids.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "groups")
+    ids = joined_evenly(ids, groups, "root", "n", n_first).select("fp", "component_id").join(first.select("fp", "n_rows"), "fp")
+    out = joined_evenly(rows, cut(ids, "ids"), "fp", "n_rows", n_rows)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.hash_arrays import HashArrays, save, shard_edges
-from strataflow.llm.shared import hashed_words, input_bytes, joined, mixed, scratch, shards, small_batches, utf8
+from strataflow.llm.shared import hashed_words, input_bytes, joined, mixed, scratch, shards, utf8
 
 SIZE, PHRASE = 13, 5
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -243,7 +243,6 @@ def _kept(batches: Iterator[pa.RecordBatch], minimizers: str, passages: str, bit
 def substring_dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = (shards(input_bytes(rows), 64 << 20) - 1).bit_length()
     minimizers, passages = scratch(spark, "minimizers"), scratch(spark, "passages")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.shared import joined, small_batches
+from strataflow.llm.shared import joined
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Code points of a chunk.
@@ -197,7 +197,6 @@ def compiled(path: str) -> Counts:
 
 def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs(doc_id, text). model_path: a piece model on each worker; None: the installed piece_bpe_32k.model."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers

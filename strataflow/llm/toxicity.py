@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.shared import joined, small_batches, utf8
+from strataflow.llm.shared import joined, utf8
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 4000, 32 << 20, 1 << 20
@@ -154,7 +154,6 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int = 5) -> list[tuple[int
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text), from labels(doc_id, toxic) outside the held-out fold."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     trained = fit(sample(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), folds))
 

@@ -95,3 +95,30 @@ def test_found_identifiers_are_seeds_of_the_next_round(spark):
     got = reported(spark.createDataFrame(rows, "doc_id long, text string"))
     assert all(got[100 + i].spans.startswith("id:") for i in range(6))
     assert got[300].spans == "id:10:20" and got[301].spans == ""
+
+
+def test_labelled_secrets_of_letters_are_discovered(spark):
+    rows = [(i, f"Some words. api_key: user{i}@mail.example.com and so on") for i in range(6)]
+    rows += [(100, "x api_key: sk-qwertyuiopasdfgh , y"), (101, 'see "api_key:" but not this'), (102, "x api_key:plainletters y"), (103, "note: nothing here")]
+    got = reported(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[100].spans == "id:11:30" and got[102].spans == "id:10:22"
+    assert got[103].spans == ""
+
+
+def test_contexts_are_whole_words(spark):
+    common = "z" * 80
+    rows = [(i, f"some {'a' * 13}{common} user{i}@mail.example.com and so on") for i in range(6)]
+    rows += [(100, f"some {'b' * 13}{common} 44-1234 and more"), (101, f"some {'a' * 13}{common} 44-1234 and more")]
+    got = reported(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[100].spans == "" and got[101].spans.startswith("id:")
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "a@b.co now", "x", "y", 3), (2, "plain", "x", "y", 4)], "doc_id long, text string, found_row string, found_spans string, row int")
+    out = sorted(map(tuple, P.redact(df).collect()))
+    assert out == [(1, "[EMAIL] now", "x", "y", 3), (2, "plain", "x", "y", 4)]
+
+
+def test_very_long_words_around_take_linear_time(spark):
+    rows = [(i, "w" * 200000 + " " + "v" * 200000 + f" 12-3456{i} " + "u" * 200000) for i in range(3)]
+    assert P.report(spark.createDataFrame(rows, "doc_id long, text string")).count() == 3

@@ -65,3 +65,42 @@ def test_one_row_of_each_group_stays_under_shared_and_null_ids(spark, sf):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()]
     assert len(got) == 5 and len({groups[rows.index(x)] for x in got}) == 5
     assert Counter(i for i, _ in got) == {7: 2, None: 2, 9: 1}
+
+
+def test_extra_columns_that_clash_stay_as_they_are(spark, sf):
+    names = ["quality_rules", "kept_id", "kept_hash", "text_hash", "repeat", "fp", "root", "benchmark_items", "found_row", "found_spans", "row", "times", "taken_id", "own_size", "own_id", "own_hash", "n_alike", "size", "part", "copy", "COPY_"]
+    text = "The end of the road is in that of a few words for which it was to be by one and all, a@b.co said"
+    other = "When they came to it at last the house was as old and quiet as it had been to all of us in the year"
+    rows = [(1, text, "s", *[f"{n}!" for n in names]), (2, other, "s", *[f"{n}?" for n in names])]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, source string", *[f"{n} string" for n in names]]))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        got = {r.doc_id: r for r in out.collect()}
+        assert set(got) == {1, 2}, name
+        assert all(got[i][n] == f"{n}{sign}" for i, sign in ((1, "!"), (2, "?")) for n in names), name
+    assert out.columns[len(docs.columns) :] == ["copy__"] and got[2].text == other
+
+
+def test_null_ids_of_one_size_are_taken_as_the_mix_says(spark, sf):
+    rows = [(None, f"{w} b c d", s) for w in "abcdefgh" for s in "xyz"] + [(5, "q r", None)] * 7 + [(None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(docs).collect()
+    out = mixing.copies(docs).collect()
+    assert Counter((r.doc_id, len((r.text or "").split()), r.source) for r in out) == sum((Counter({(r.doc_id, r.size, r.source): r.times}) for r in taken if r.times), Counter())
+
+
+def test_scratch_of_earlier_stages_is_deleted(spark, sf):
+    import os
+
+    from strataflow.llm import shared
+
+    shared.clear(spark)
+    folder = shared.checkpoint_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert "stage" in left and not left & {"fingerprints", "pii", "slots", "kept", "items"}
+    shared.clear(spark)
+    assert set(os.listdir(folder)) == before
