@@ -66,12 +66,11 @@ class HashArrays:
             shape, _, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
             return np.memmap(f, kind, "r", f.tell(), shape) if shape[0] else np.empty(0, kind)
 
-    def has(self, k: int) -> bool:
-        return self.fs.get_file_info(f"{self.path}/key-{k:06d}.npy").type == pa.fs.FileType.File
-
     def shard(self, k: int) -> tuple[np.ndarray, ...]:
+        """A shard's arrays; none where nothing was sent to it, so that no task wrote it."""
         if k not in self.shards:
-            self.shards[k] = tuple(self.opened(n, k) for n in self.names)
+            there = self.fs.get_file_info(f"{self.path}/key-{k:06d}.npy").type == pa.fs.FileType.File
+            self.shards[k] = tuple(self.opened(n, k) for n in self.names) if there else (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in self.names[1:]))
         return self.shards[k]
 
     def find(self, keys: np.ndarray, missing: tuple = (), step: int = 0) -> tuple[np.ndarray, ...]:
@@ -99,3 +98,40 @@ def shard_edges(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """(shard, from, to) of sorted keys, for the shards that have any."""
     edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     return [(k, int(edges[k]), int(edges[k + 1])) for k in range(1 << bits) if edges[k] < edges[k + 1]]
+
+
+def save_counts(uri: str, shard: int, key: np.ndarray, fields: np.ndarray, usual: tuple[int, ...] = ()) -> None:
+    """Writes a shard's rows of small numbers: as bytes where all fit, as bare keys where they are the usual ones, else as long integers."""
+    bare = (fields == np.array(usual)).all(axis=1) if usual else np.zeros(len(key), bool)
+    large = fields.max(axis=1, initial=0) > 255
+    rest = ~bare & ~large
+    save(f"{uri}/bare", shard, key=key[bare])
+    save(f"{uri}/large", shard, key=key[large & ~bare], **{f"f{k}": fields[large & ~bare, k] for k in range(fields.shape[1])})
+    save(f"{uri}/small", shard, key=key[rest], **{f"f{k}": fields[rest, k].astype(np.uint8) for k in range(fields.shape[1])})
+
+
+class Counts:
+    """What save_counts() wrote with 2**bits shards and so many fields."""
+
+    def __init__(self, uri: str, bits: int, n_fields: int, usual: tuple[int, ...] = ()):
+        names = [f"f{k}" for k in range(n_fields)]
+        self.n_fields, self.usual = n_fields, usual
+        self.parts = [(HashArrays(f"{uri}/{kind}", bits, *names), kind) for kind in ("small", "large")]
+        self.bare = HashArrays(f"{uri}/bare", bits) if usual else None
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """For each key its numbers, zeros where it isn't there: a matrix."""
+        unique, back = np.unique(keys, return_inverse=True)
+        out = np.zeros((len(unique), self.n_fields), np.int64)
+        left = np.ones(len(unique), bool)
+        if self.bare:
+            (hit,) = self.bare.find(unique)
+            out[hit] = self.usual
+            left &= ~hit
+        for arrays, kind in self.parts:
+            at = np.flatnonzero(left)
+            hit, *values = arrays.find(unique[at], ((np.uint8 if kind == "small" else np.int64)(0),) * self.n_fields)
+            for k, v in enumerate(values):
+                out[at[hit], k] = v[hit]
+            left[at[hit]] = False
+        return out[back]

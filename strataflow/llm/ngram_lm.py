@@ -1,20 +1,26 @@
-"""Language-model scores: an interpolated modified Kneser-Ney bigram model, counted in Spark.
-
-1. Blocks of training texts send their distinct (history, token) pairs with counts, packed, to hash
-   ranges; a range sums them up, writes its sorted array of pair hashes and counts to the shared folder,
-   and passes on what it has seen of each word: as history, how many pairs occur once, twice and more
-   and their total; as token, how many histories it has and its count.
-2. Words' sums meet by hash in the same way and become sorted arrays of their own. Only the counts of
-   counts, a few numbers for each range, go to the driver.
-3. Workers memory-map the arrays and score blocks of documents: each distinct pair and word of a block
-   is looked up once, and sums are by document.
-
-The order is two: the corpus has about 0.4 distinct pairs a token, and would have 0.7 distinct triples,
-which don't fit the disk budget beside the pairs. Nothing is pruned: every pair of every training text counts.
-
-Tokens are words in lower case (A-Z), then one end. A text's first history is a start, which is no
-token. Probabilities are over all training tokens and one unknown. Null texts are empty: their one
+"""Language-model scores: an interpolated modified Kneser-Ney model of order three (or two), counted in Spark.
+
+1. Blocks of training texts send their distinct triples (two tokens before, token before, token) with
+   counts, packed, to hash ranges of the middle token. So a range has all of a pair's left neighbours and
+   all that follows a context, and sums triples, continuation counts of pairs, and contexts' totals
+   by itself. It writes them to the shared folder as sorted hash arrays.
+2. A middle token that is frequent enough to fill ranges is dealt by its next token as well; its
+   contexts' partial totals then go on to a second exchange. Which tokens these are is told by a sample
+   of the texts; it moves work only, and changes no count.
+3. Words' sums (as history: how many pairs have continuation counts of one, two and more, and their
+   total; as token: how many histories it has, and its count) meet by hash in that second exchange,
+   with counts of counts, a few numbers for each range.
+4. Workers memory-map the arrays and score blocks of documents: each distinct triple, pair, context and
+   word of a block is looked up once, and sums are by document.
+
+Triples are counted as they occur; pairs and words by how many different tokens stand before them, but
+pairs at a text's start, which have nothing before them, as they occur. At order two pairs take the
+place of triples. Nothing is pruned: every triple of every training text counts.
+
+Tokens are words in lower case (A-Z), then one end. A text's first histories are starts, which are no
+tokens. Probabilities are over all training tokens and one unknown. Null texts are empty: their one
 token is the end. Rows without a doc_id are training rows. Repeated rows count, and are scored, each.
+Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -28,19 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.hash_arrays import HashArrays, save, shard_edges
+from strataflow.llm.hash_arrays import Counts, save_counts, shard_edges
 from strataflow.llm.shared import hashed_words, input_bytes, joined, mixed, scratch, shards, utf8
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-#: Bytes of text whose pairs are summed up before they are sent.
-BLOCK = 16 << 20
-#: What a word's entry holds, beside its hash.
-FIELDS = ("once", "twice", "more", "total", "histories", "count")
-#: What the entries of most words of a hash range are: seen in one pair, once.
-USUAL = {"history": (1, 0, 0, 1), "token": (1, 1)}
+ORDER = 3
+#: Bytes of text whose triples are summed up before they are sent, and those that one hash range is for.
+BLOCK, RANGE = 16 << 20, 16 << 20
+#: One of so many texts tells which middle tokens are frequent; a token of more than FREQUENT of a range's share is, but no token below RARE of all.
+SAMPLED, FREQUENT, RARE = 16, 1.0, 1e-6
+#: The fields of words, with what most words of a hash range send: seen in one pair, once.
+FIELDS = {"history": 4, "token": 2, "context": 4}
+USUAL = {"history": (1, 0, 0, 1), "token": (1, 1), "context": (1, 0, 0, 1)}
 START, END = np.uint64(0x9C5E2D3B7A1F4E61), np.uint64(0x3F84D5B5B5470917)
-#: Pair counts are kept as bytes; such a byte sends a reader to the large counts.
-LARGE = 255
+_P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Discounts(NamedTuple):
@@ -51,19 +58,42 @@ class Discounts(NamedTuple):
     more: float
 
 
+class Layout(NamedTuple):
+    """How triples are dealt to 2**bits ranges: by the middle token, and by the next too for frequent ones."""
+
+    order: int
+    bits: int
+    frequent: tuple[int, ...]
+
+    def split(self, v: np.ndarray) -> np.ndarray:
+        return np.isin(v, np.array(self.frequent, np.uint64)) if self.frequent else np.zeros(len(v), bool)
+
+    def within(self, by: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Keys whose leading bits are those of by."""
+        shift = np.uint64(64 - self.bits)
+        return (by >> shift << shift) | (key >> np.uint64(self.bits)) if self.bits else key
+
+    def keys(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of triples and of their pairs (v, w)."""
+        pair = mixed(v * _P1 + w)
+        home = np.where(self.split(v), pair, mixed(v))
+        return self.within(home, mixed(u * _P2 + pair)), self.within(home, pair)
+
+    def contexts(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The keys of contexts (u, v): within the middle token's range, but dealt by themselves for frequent ones."""
+        own = mixed(v * _P2 + mixed(u))
+        return np.where(self.split(v), own, self.within(mixed(v), own))
+
+
 class Model(NamedTuple):
     """Where a model's arrays are, and the few numbers beside them."""
 
-    pairs: str
-    large: str
-    words: str
-    pair_bits: int
-    word_bits: int
+    path: str
+    layout: Layout
     tokens: int
     vocabulary: int
     distinct_pairs: int
-    pair_discounts: Discounts
-    word_discounts: Discounts
+    discounts: tuple[Discounts, Discounts, Discounts]
     seen_words: tuple[int, int, int]
 
 
@@ -75,170 +105,236 @@ def discounts(n: list[int]) -> Discounts:
     return Discounts(*(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3)))
 
 
-def pair_key(history: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mixed(history * np.uint64(0x9E3779B97F4A7C15) + token)
-
-
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(history, token, place of the text) for each token of the texts."""
+def tokens(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token two before, token before, token, place of the text) for each token of the texts; at order two, a start is always two before."""
     sizes: list[int] = []
     words = hashed_words((t.lower() for t in texts), sizes)
     lengths = np.array(sizes, np.int64)
     ends = np.cumsum(lengths + 1) - 1
-    token = np.empty(len(words) + len(texts), np.uint64)
-    is_end = np.zeros(len(token), bool)
+    w = np.empty(len(words) + len(texts), np.uint64)
+    is_end = np.zeros(len(w), bool)
     is_end[ends] = True
-    token[~is_end] = words
-    token[is_end] = END
-    history = np.empty_like(token)
-    history[1:] = token[:-1]
-    history[ends - lengths] = START
-    return history, token, np.repeat(np.arange(len(texts)), lengths + 1)
-
-
-def _summed(order: np.ndarray, keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The places (in order) where a new key starts, and the counts' sums by key."""
-    k = keys[order]
-    first = np.flatnonzero(np.r_[np.ones(min(1, len(k)), bool), k[1:] != k[:-1]])
-    return first, *(np.add.reduceat(c[order], first) if len(first) else c[:0] for c in counts)
-
-
-def _pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    w[~is_end], w[is_end] = words, END
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[ends - lengths] = START
+    u = np.full_like(w, START)
+    if order > 2:
+        u[1:] = v[:-1]
+        u[ends - lengths] = START
+    return u, v, w, np.repeat(np.arange(len(texts)), lengths + 1)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a new group starts in columns sorted together."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key stands first, in keys' order, and the counts' sums by key as a matrix."""
+    order = np.argsort(key, kind="stable")
+    first = _starts(key[order])
+    if not len(first):
+        return first, np.empty((0, len(counts)), np.int64)
+    return order[first], np.stack([np.add.reduceat(c[order].astype(np.int64), first) for c in counts], axis=1)
+
+
+def _triples(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+    """For each block and range its distinct triples, sorted by the middle token and the one before, each written once for a run."""
     for t in joined(batches, most=BLOCK):
-        history, token, _ = tokens(utf8(t))
-        key = pair_key(history, token)
+        u, v, w, _ = tokens(utf8(t), layout.order)
+        key, _ = layout.keys(u, v, w)
         order = np.argsort(key)
         key = key[order]
-        first = np.flatnonzero(np.r_[np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+        first = _starts(key)
         n, at = np.diff(np.r_[first, len(key)]), order[first]
-        key, history, token = key[first], history[at], token[at]
+        key, u, v, w = key[first], u[at], v[at], w[at]
         del order, first, at
-        for k, a, b in shard_edges(key, bits):
-            by_history = np.argsort(history[a:b], kind="stable")
-            h, w, c = history[a:b][by_history], token[a:b][by_history], n[a:b][by_history]
-            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        for k, a, b in shard_edges(key, layout.bits):
+            by = np.lexsort((u[a:b], v[a:b]))
+            x, y, z, c = u[a:b][by], v[a:b][by], w[a:b][by], n[a:b][by]
+            runs, pairs = _starts(y), _starts(y, x)
             often = np.flatnonzero(c > 1)
-            yield pa.record_batch({"shard": pa.array([k], pa.int32()), "history": [h[starts].tobytes()], "run": [np.diff(np.r_[starts, len(h)]).astype(np.uint32).tobytes()], "token": [w.tobytes()], "often": [often.astype(np.uint32).tobytes()], "n": [c[often].astype(np.uint32).tobytes()]})
+            yield pa.record_batch({
+                "shard": pa.array([k], pa.int32()),
+                "v": [y[runs].tobytes()], "v_run": [np.diff(np.r_[runs, len(y)]).astype(np.uint32).tobytes()],
+                "u": [x[pairs].tobytes()], "u_run": [np.diff(np.r_[pairs, len(y)]).astype(np.uint32).tobytes()],
+                "w": [z.tobytes()], "often": [often.astype(np.uint32).tobytes()], "n": [c[often].astype(np.uint32).tobytes()],
+            })
 
 
-def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h = np.repeat(np.frombuffer(row["history"], np.uint64), np.frombuffer(row["run"], np.uint32))
-    c = np.ones(len(h), np.int64)
-    c[np.frombuffer(row["often"], np.uint32)] = np.frombuffer(row["n"], np.uint32)
-    return h, np.frombuffer(row["token"], np.uint64), c
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    words = lambda c: np.frombuffer(row[c], np.uint64)
+    numbers = lambda c: np.frombuffer(row[c], np.uint32)
+    c = np.ones(len(words("w")), np.int64)
+    c[numbers("often")] = numbers("n")
+    return np.repeat(words("u"), numbers("u_run")), np.repeat(words("v"), numbers("v_run")), words("w"), c
 
 
-def _entries(word: np.ndarray, *fields: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words in order, and their fields' sums as a matrix."""
-    order = np.argsort(word)
-    first, *sums = _summed(order, word, *fields)
-    return word[order[first]], np.stack(sums, axis=1) if len(first) else np.empty((0, len(fields)), np.int64)
+def _kinds(n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each count: whether it is one, two, more; and itself."""
+    return n == 1, n == 2, n > 2, n
 
 
-def _pair_range(table: pa.Table, uri: str, large: str, word_bits: int) -> Iterator[pa.RecordBatch]:
-    """Writes a hash range's pairs and counts of counts; sends on its words' entries, the most usual ones as bare words."""
-    parts = [_unpacked(r) for r in table.select(["history", "run", "token", "often", "n"]).to_pylist()]
-    history, token, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    key = pair_key(history, token)
-    order = np.argsort(key)
-    first, n = _summed(order, key, n)
-    at = order[first]
-    key, history, token = key[at], history[at], token[at]
+def _counts_of_counts(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _sent(of: str, key: np.ndarray, sums: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Sums of sorted keys for the second exchange, the most usual ones as bare keys."""
+    usual = (sums == np.array(USUAL[of])).all(axis=1)
+    for known, at in ((True, np.flatnonzero(usual)), (False, np.flatnonzero(~usual))):
+        for k, a, b in shard_edges(key[at], bits):
+            own = sums[at[a:b]]
+            packed = b"" if known else own.astype(np.uint32).tobytes() if own.max() < 1 << 32 else b"L" + own.tobytes()
+            yield pa.record_batch({"shard": pa.array([k], pa.int32()), "of": [of], "key": [key[at[a:b]].tobytes()], "fields": [packed]})
+
+
+def _range(table: pa.Table, path: str, layout: Layout) -> Iterator[pa.RecordBatch]:
+    """Writes a range's triples, pairs and contexts; sends on its words' sums, frequent contexts' and its counts of counts."""
     shard = table["shard"][0].as_py()
-    save(uri, shard, counts=np.array([*((n == k).sum() for k in (1, 2, 3, 4)), len(n)], np.int64), key=key, n=np.minimum(n, LARGE).astype(np.uint8))
-    save(large, shard, key=key[n >= LARGE], n=n[n >= LARGE])
-    zero = np.zeros(len(n), np.int64)
-    for of, word, fields in (("history", history, (n == 1, n == 2, n > 2, n)), ("token", token, (zero + 1, n))):
-        words, sums = _entries(word, *(f.astype(np.int64) for f in fields))
-        usual = (sums == np.array(USUAL[of])).all(axis=1)
-        for known, at in ((True, np.flatnonzero(usual)), (False, np.flatnonzero(~usual))):
-            for k, a, b in shard_edges(words[at], word_bits):
-                own = sums[at[a:b]]
-                packed = b"" if known else own.astype(np.uint32).tobytes() if own.max() < 1 << 32 else b"L" + own.tobytes()
-                yield pa.record_batch({"shard": pa.array([k], pa.int32()), "of": [of], "word": [words[at[a:b]].tobytes()], "fields": [packed]})
-
-
-def _word_range(table: pa.Table, uri: str) -> pa.Table:
-    """Writes a hash range's words; returns its sums and counts of counts."""
-    parts: dict[str, tuple[list, list]] = {"history": ([np.empty(0, np.uint64)], [np.empty((0, 4), np.int64)]), "token": ([np.empty(0, np.uint64)], [np.empty((0, 2), np.int64)])}
-    for r in table.select(["of", "word", "fields"]).to_pylist():
-        w, f = np.frombuffer(r["word"], np.uint64), r["fields"]
-        wide = len(f) % (4 * len(w)) == 1
-        own = np.frombuffer(f[1:], np.int64) if wide else np.frombuffer(f, np.uint32) if f else np.tile(USUAL[r["of"]], len(w))
-        parts[r["of"]][0].append(w)
-        parts[r["of"]][1].append(own.reshape(len(w), -1).astype(np.int64))
-    summed = {of: _entries(np.concatenate(w), *np.concatenate(f).T) for of, (w, f) in parts.items()}
+    u, v, w, n = (np.concatenate(x) for x in zip(*map(_unpacked, table.to_pylist()), strict=True))
+    at, sums = _summed(layout.keys(u, v, w)[0], n)
+    u, v, w, n = u[at], v[at], w[at], sums[:, 0]
+    key, pair = layout.keys(u, v, w)
+    save_counts(f"{path}/triples", shard, key, sums)
+    numbers = [_counts_of_counts(n), [0] * 4]
+    if layout.order > 2:
+        context = layout.contexts(u, v)
+        at, sums = _summed(context, *_kinds(n))
+        own, split = context[at], layout.split(v[at])
+        save_counts(f"{path}/contexts", shard, own[~split], sums[~split], USUAL["context"])
+        yield from _sent("context", own[split], sums[split], layout.bits)
+        at, sums = _summed(pair, np.ones(len(n)), n)
+        continued = np.where(v[at] == START, sums[:, 1], sums[:, 0])
+        save_counts(f"{path}/pairs", shard, pair[at], continued[:, None])
+        v, w, n, raw = v[at], w[at], continued, sums[:, 1]
+        numbers[1] = _counts_of_counts(n)
+    else:
+        raw = n
+    for of, word, fields in (("history", v, _kinds(n)), ("token", w, (np.ones(len(n)), raw))):
+        at, sums = _summed(word, *fields)
+        yield from _sent(of, word[at], sums, layout.bits)
+    yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "of": ["numbers"], "key": [b""], "fields": [np.array([*numbers[0], *numbers[1], len(v)], np.int64).tobytes()]})
+
+
+def _word_range(table: pa.Table, path: str, layout: Layout) -> pa.Table:
+    """Writes a range's words and frequent contexts; returns its sums and counts of counts."""
+    shard, numbers = table["shard"][0].as_py(), np.zeros(9, np.int64)
+    parts: dict[str, tuple[list, list]] = {of: ([np.empty(0, np.uint64)], [np.empty((0, k), np.int64)]) for of, k in FIELDS.items()}
+    for r in table.select(["of", "key", "fields"]).to_pylist():
+        if r["of"] == "numbers":
+            numbers += np.frombuffer(r["fields"], np.int64)
+            continue
+        key, f = np.frombuffer(r["key"], np.uint64), r["fields"]
+        wide = len(f) % (4 * len(key)) == 1
+        own = np.frombuffer(f[1:], np.int64) if wide else np.frombuffer(f, np.uint32) if f else np.tile(USUAL[r["of"]], len(key))
+        parts[r["of"]][0].append(key)
+        parts[r["of"]][1].append(own.reshape(len(key), -1).astype(np.int64))
+    found = {}
+    for of, (keys, fields) in parts.items():
+        key = np.concatenate(keys)
+        at, sums = _summed(key, *np.concatenate(fields).T)
+        found[of] = key[at], sums
     del parts
-    word = np.union1d(summed["history"][0], summed["token"][0])
-    whole = np.zeros((len(word), len(FIELDS)), np.int64)
-    whole[np.searchsorted(word, summed["history"][0]), :4] = summed["history"][1]
-    whole[np.searchsorted(word, summed["token"][0]), 4:] = summed["token"][1]
-    shard = table["shard"][0].as_py()
-    save(uri, shard, key=word, **{f: whole[:, k].astype(np.min_scalar_type(whole[:, k].max(initial=0))) for k, f in enumerate(FIELDS)})
+    save_counts(f"{path}/frequent", shard, *found["context"], USUAL["context"])
+    word = np.union1d(found["history"][0], found["token"][0])
+    whole = np.zeros((len(word), 6), np.int64)
+    whole[np.searchsorted(word, found["history"][0]), :4] = found["history"][1]
+    whole[np.searchsorted(word, found["token"][0]), 4:] = found["token"][1]
+    save_counts(f"{path}/words", shard, word, whole)
     histories, count = whole[:, 4], whole[:, 5]
-    sums = [int(count.sum()), int((count > 0).sum()), *(int((histories == k).sum()) for k in (1, 2, 3, 4))]
+    sums = [int(count.sum()), int((count > 0).sum()), *_counts_of_counts(histories), *numbers.tolist()]
     return pa.table({"shard": pa.array([shard], pa.int32()), "sums": pa.array([sums], pa.list_(pa.int64()))})
 
 
-def train(docs: DataFrame) -> Model:
+def _frequent(docs: DataFrame, share: float) -> tuple[int, ...]:
+    """Tokens of more than about that share of all, by one of SAMPLED texts; at most 1 / share of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in joined(batches):
+            v, n = np.unique(tokens(utf8(t))[1], return_counts=True)
+            often = np.flatnonzero(n >= share * n.sum() / 4)
+            yield pa.record_batch({"v": pa.array(v[often].view(np.int64)), "n": pa.array(n[often]), "of_all": pa.array(np.r_[n.sum(), np.zeros(len(often), np.int64)][: len(often)], pa.int64())})
+
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text")
+    counted = some.mapInArrow(run, "v long, n long, of_all long").groupBy("v").agg(F.sum("n").alias("n"), F.sum("of_all").alias("of_all"))
+    rows = counted.collect()  # 4 / share rows for each block at most, few of them different
+    total = sum(r["of_all"] for r in rows)
+    return tuple(sorted(r["v"] % (1 << 64) for r in rows if r["n"] > share * total))
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
     """Counts docs(text), in which nulls are empty."""
-    spark = docs.sparkSession
-    pair_bits = (shards(input_bytes(docs), 16 << 20) - 1).bit_length()
-    word_bits = pair_bits
-    pairs, large, words = (scratch(spark, x) for x in ("pairs", "large-counts", "words"))
-    sent = docs.select("text").mapInArrow(lambda b: _pairs(b, pair_bits), "shard int, history binary, run binary, token binary, often binary, n binary")
-
-    def reduce_pairs(t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_pair_range(t, pairs, large, word_bits)))
-
-    entries = sent.groupBy("shard").applyInArrow(reduce_pairs, "shard int, of string, word binary, fields binary")
-    sums, seen = np.zeros(6, np.int64), set()
-    for r in entries.groupBy("shard").applyInArrow(lambda t: _word_range(t, words), "shard int, sums array<long>").collect():  # six numbers for each range
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
+    bits = (shards(input_bytes(docs), RANGE) - 1).bit_length()
+    layout = Layout(order, bits, _frequent(docs, max(FREQUENT / (1 << bits), RARE)))
+    path = scratch(docs.sparkSession, "ngrams")
+    sent = docs.select("text").mapInArrow(lambda b: _triples(b, layout), "shard int, v binary, v_run binary, u binary, u_run binary, w binary, often binary, n binary")
+    entries = sent.groupBy("shard").applyInArrow(lambda t: pa.Table.from_batches(list(_range(t, path, layout))), "shard int, of string, key binary, fields binary")
+    sums = np.zeros(15, np.int64)
+    for r in entries.groupBy("shard").applyInArrow(lambda t: _word_range(t, path, layout), "shard int, sums array<long>").collect():  # a few numbers for each range
         sums += np.array(r["sums"], np.int64)
-        seen.add(r["shard"])
-    numbers, found = np.zeros(5, np.int64), HashArrays(pairs, pair_bits, "counts")
-    for k in range(1 << pair_bits):
-        if found.has(k):
-            numbers += found.opened("counts", k)
-        else:
-            save(pairs, k, key=np.empty(0, np.uint64), n=np.empty(0, np.uint8))
-            save(large, k, key=np.empty(0, np.uint64), n=np.empty(0, np.int64))
-    for k in set(range(1 << word_bits)) - seen:
-        save(words, k, key=np.empty(0, np.uint64), **{f: np.empty(0, np.int64) for f in FIELDS})
-    histories = [int(x) for x in sums[2:]]
-    more = int(sums[1]) - histories[0] - histories[1]
-    return Model(pairs, large, words, pair_bits, word_bits, int(sums[0]), int(sums[1]), int(numbers[4]), discounts(numbers[:4].tolist()), discounts(histories), (histories[0], histories[1], more))
+    n = [int(x) for x in sums]
+    of = (discounts(n[2:6]), discounts(n[10:14]) if order > 2 else discounts(n[6:10]), discounts(n[6:10]))
+    return Model(path, layout, n[0], n[1], n[14], of, (n[2], n[3], n[1] - n[2] - n[3]))
+
+
+class Opened:
+    """A model's arrays, as a worker maps them."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        at = lambda name, k, usual=(): Counts(f"{model.path}/{name}", model.layout.bits, k, usual)
+        self.triples, self.pairs, self.words = at("triples", 1), at("pairs", 1), at("words", 6)
+        self.contexts, self.frequent = at("contexts", 4, USUAL["context"]), at("frequent", 4, USUAL["context"])
+
+    def context(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        key, split = self.model.layout.contexts(u, v), self.model.layout.split(v)
+        out = np.zeros((len(key), 4), np.int64)
+        out[~split], out[split] = self.contexts.find(key[~split]), self.frequent.find(key[split])
+        return out
 
 
 @lru_cache(maxsize=2)
-def _opened(model: Model) -> tuple[HashArrays, HashArrays, HashArrays]:
-    return HashArrays(model.pairs, model.pair_bits, "n"), HashArrays(model.large, model.pair_bits, "n"), HashArrays(model.words, model.word_bits, *FIELDS)
+def _opened(model: Model) -> Opened:
+    return Opened(model)
 
 
 def _taken(n: np.ndarray, d: Discounts) -> np.ndarray:
     return np.select([n == 0, n == 1, n == 2], [0.0, d.one, d.two], d.more)
 
 
-def probabilities(model: Model, history: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probability, training count) of each token after its history."""
-    pairs, large, words = _opened(model)
-    word, back = np.unique(np.concatenate([token, history]), return_inverse=True)
-    _, once, twice, more, total, histories, count = words.find(word, (0,) * len(FIELDS))
-    d, u = model.pair_discounts, model.word_discounts
+def _interpolated(n: np.ndarray, context: np.ndarray, d: Discounts, lower: np.ndarray) -> np.ndarray:
+    """Discounted counts, with what was taken off given to the lower order; the lower order alone after a context that was never seen."""
+    once, twice, more, total = context.T
+    rest = np.divide(d.one * once + d.two * twice + d.more * more, total, out=np.ones(len(n)), where=total > 0)
+    return np.divide(np.maximum(n - _taken(n, d), 0), total, out=np.zeros(len(n)), where=total > 0) + rest * lower
+
+
+def probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, training count) of each token w after v, and u before that."""
+    own = _opened(model)
+    word, back = np.unique(np.concatenate([w, v]), return_inverse=True)
+    found = own.words.find(word)
+    histories = found[:, 4]
+    words_d, pairs_d, triples_d = model.discounts
     if model.distinct_pairs:
-        kept = sum(x * n for x, n in zip(u, model.seen_words, strict=True)) / model.distinct_pairs
-        lower = np.maximum(histories - _taken(histories, u), 0) / model.distinct_pairs + kept / (model.vocabulary + 1)
+        kept = sum(x * n for x, n in zip(words_d, model.seen_words, strict=True)) / model.distinct_pairs
+        lower = np.maximum(histories - _taken(histories, words_d), 0) / model.distinct_pairs + kept / (model.vocabulary + 1)
     else:
         lower = np.full(len(word), 1.0 / (model.vocabulary + 1))
-    w, h = back[: len(token)], back[len(token) :]
-    found, n = pairs.find(pair_key(history, token), (np.uint8(0),))
-    n = np.where(found, n, 0).astype(np.int64)
-    if (many := np.flatnonzero(n == LARGE)).size:
-        n[many] = large.find(pair_key(history[many], token[many]), (0,))[1]
-    rest = np.divide(d.one * once + d.two * twice + d.more * more, total, out=np.ones(len(word)), where=total > 0)
-    own = np.divide(np.maximum(n - _taken(n, d), 0), total[h], out=np.zeros(len(n)), where=total[h] > 0)
-    return own + rest[h] * lower[w], count[w]
+    at, before = back[: len(w)], back[len(w) :]
+    triple, pair = model.layout.keys(u, v, w)
+    if model.layout.order == 2:
+        return _interpolated(own.triples.find(triple)[:, 0], found[before, :4], triples_d, lower[at]), found[at, 5]
+    p = _interpolated(own.pairs.find(pair)[:, 0], found[before, :4], pairs_d, lower[at])
+    return _interpolated(own.triples.find(triple)[:, 0], own.context(u, v), triples_d, p), found[at, 5]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -246,18 +342,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in joined(batches):
-            history, token, doc = tokens(utf8(t))
-            p, c = probabilities(model, history, token)
+            u, v, w, doc = tokens(utf8(t), model.layout.order)
+            p, c = probabilities(model, u, v, w)
             sums = lambda x: np.bincount(doc, x, t.num_rows)
             base = np.log10((c + 1) / (model.tokens + 1 * (model.vocabulary + 1)))
             whole = lambda x: pa.array(np.rint(x).astype(np.int64))
-            yield pa.record_batch({"doc_id": t["doc_id"].combine_chunks(), "held_out": t["held_out"].combine_chunks(), "n_tokens": whole(sums(np.ones(len(doc)))), "n_known": whole(sums(c > 0)), "train_tokens": pa.array(np.full(t.num_rows, model.tokens, np.int64)), "base_score": pa.array(sums(base)), "score": pa.array(sums(np.log10(p)))})
+            yield pa.record_batch({
+                "doc_id": t["doc_id"].combine_chunks(), "held_out": t["held_out"].combine_chunks(), "n_tokens": whole(sums(np.ones(len(doc)))), "n_known": whole(sums(c > 0)),
+                "train_tokens": pa.array(np.full(t.num_rows, model.tokens, np.int64)), "base_score": pa.array(sums(base)), "score": pa.array(sums(np.log10(p))),
+            })
 
     return docs.mapInArrow(run, SCHEMA)
 
 
-def language_model(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
+def language_model(docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER) -> DataFrame:
     """Scores of all rows of docs(doc_id, text) by a model of those whose crc32(doc_id as text) mod folds isn't held."""
     own = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("held_out"))
-    return score(rows, train(rows.where(~F.col("held_out"))))
+    return score(rows, train(rows.where(~F.col("held_out")), order))

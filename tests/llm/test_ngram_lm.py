@@ -16,40 +16,43 @@ def words(text):
 class Brute:
     """The model by its definition, on dictionaries."""
 
-    def __init__(self, texts):
-        self.pairs = Counter(p for t in texts for p in zip(["start", *words(t)], words(t), strict=False))
+    def __init__(self, texts, order=3):
+        self.order = order
+        runs = [["start"] * (order - 1) + words(t) for t in texts]
+        grams = [Counter(tuple(r[i : i + k]) for r in runs for i in range(order - k, len(r) - k + 1)) for k in range(order + 1)]
         self.count = Counter(w for t in texts for w in words(t))
-        self.total, self.kinds, self.histories = Counter(), defaultdict(Counter), Counter()
-        for (h, w), n in self.pairs.items():
-            self.total[h] += n
-            self.kinds[h][min(n, 3)] += 1
-            self.histories[w] += 1
-        of = lambda c: L.discounts([sum(n == k for n in c.values()) for k in (1, 2, 3, 4)])
-        self.d, self.u = of(self.pairs), of(self.histories)
-
-    def lower(self, w):
-        if not self.pairs:
-            return 1.0
-        u, n = (0, *self.u), len(self.pairs)
-        c = self.histories[w]
-        return max(c - u[min(c, 3)], 0) / n + sum(u[min(x, 3)] for x in self.histories.values()) / n / (len(self.count) + 1)
-
-    def p(self, h, w):
-        d, c, t = (0, *self.d), self.pairs[h, w], self.total[h]
+        self.c = {order: grams[order]}
+        for k in range(order - 1, 0, -1):
+            before = Counter(g[1:] for g in self.c[k + 1])
+            self.c[k] = Counter({g: grams[k][g] if g[0] == "start" else n for g, n in before.items()})
+        self.kinds = {k: defaultdict(Counter) for k in self.c}
+        self.total = {k: Counter() for k in self.c}
+        for k, c in self.c.items():
+            for g, n in c.items():
+                self.total[k][g[:-1]] += n
+                self.kinds[k][g[:-1]][min(n, 3)] += 1
+        self.d = {k: (0, *L.discounts([sum(n == m for n in c.values()) for m in (1, 2, 3, 4)])) for k, c in self.c.items()}
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(self.count) + 1)
+        d, c, t = self.d[k], self.c[k][gram], self.total[k][gram[:-1]]
         if not t:
-            return self.lower(w)
-        return max(c - d[min(c, 3)], 0) / t + sum(d[k] * n for k, n in self.kinds[h].items()) / t * self.lower(w)
+            return self.p(gram[1:])
+        return max(c - d[min(c, 3)], 0) / t + sum(d[m] * n for m, n in self.kinds[k][gram[:-1]].items()) / t * self.p(gram[1:])
 
     def row(self, text):
         ws, n, v = words(text), sum(self.count.values()), len(self.count)
-        return len(ws), sum(self.count[w] > 0 for w in ws), n, sum(math.log10((self.count[w] + 1) / (n + v + 1)) for w in ws), sum(math.log10(self.p(h, w)) for h, w in zip(["start", *ws], ws, strict=False))
+        run = ["start"] * (self.order - 1) + ws
+        return len(ws), sum(self.count[w] > 0 for w in ws), n, sum(math.log10((self.count[w] + 1) / (n + v + 1)) for w in ws), sum(math.log10(self.p(tuple(run[i : i + self.order]))) for i in range(len(ws)))
 
 
-def check(df):
+def check(df, order=3):
     rows = df.collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    model = Brute([r.text for r in rows if not held(r.doc_id)])
-    got = sorted((tuple(r) for r in L.language_model(df).collect()), key=str)
+    model = Brute([r.text for r in rows if not held(r.doc_id)], order)
+    got = sorted((tuple(r) for r in L.language_model(df, order=order).collect()), key=str)
     want = sorted(((r.doc_id, held(r.doc_id), *model.row(r.text)) for r in rows), key=str)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
@@ -57,11 +60,20 @@ def check(df):
     return model
 
 
-def test_a_table_equals_the_definition(spark, sf):
-    check(documents(spark, sf).where("length(text) < 3000").repartition(3))
+@pytest.mark.parametrize("order", [2, 3])
+def test_a_table_equals_the_definition(spark, sf, order):
+    check(documents(spark, sf).where("length(text) < 3000").repartition(3), order)
 
 
-def test_held_out_texts_score_better_than_by_words_alone(spark, sf):
+def test_frequent_tokens_in_several_ranges_change_nothing(spark, sf, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLED", 1)
+    monkeypatch.setattr(L, "FREQUENT", 0.1)
+    docs = documents(spark, sf).where("length(text) < 1500").repartition(3)
+    assert len(L._frequent(docs, 0.1 / 8)) > 2
+    check(docs)
+
+
+def test_held_out_texts_score_better_than_by_words_alone_and_by_pairs(spark, sf):
     rows = L.language_model(documents(spark, sf)).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
@@ -69,13 +81,14 @@ def test_held_out_texts_score_better_than_by_words_alone(spark, sf):
 def test_probabilities_sum_to_one(spark):
     texts = ["a b a c", "b a b a d", "c a", "", "e e e e e a b a b"]
     df = spark.createDataFrame([(t,) for t in texts * 100], "text string")
-    model = L.train(df)
-    token = np.array([*{int(x) for t in texts for x in L.tokens([t.encode()])[1]}, 12345], np.uint64)
-    assert len(token) == model.vocabulary + 1
-    for h in (*token, L.START):
-        p, _ = L.probabilities(model, np.full(len(token), h, np.uint64), token)
-        assert p.sum() == pytest.approx(1) and p.min() > 0
-    assert L.probabilities(model, np.array([L.START]), token[:1])[1][0] >= 100
+    for order in (2, 3):
+        model = L.train(df, order)
+        token = np.array([*{int(x) for t in texts for x in L.tokens([t.encode()])[2]}, 12345], np.uint64)
+        assert len(token) == model.vocabulary + 1
+        for u, v in ((u, v) for u in (*token[:3], L.START) for v in (*token, L.START)):
+            p, _ = L.probabilities(model, np.full(len(token), u if order == 3 else L.START, np.uint64), np.full(len(token), v, np.uint64), token)
+            assert p.sum() == pytest.approx(1) and p.min() > 0
+        assert L.probabilities(model, np.array([L.START]), np.array([L.START]), token[:1])[1][0] >= 100
 
 
 def test_nulls_repeats_counts_over_a_byte_and_empty_tables(spark):
