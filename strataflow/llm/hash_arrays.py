@@ -100,24 +100,63 @@ def shard_edges(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return [(k, int(edges[k]), int(edges[k + 1])) for k in range(1 << bits) if edges[k] < edges[k + 1]]
 
 
-def save_counts(uri: str, shard: int, key: np.ndarray, fields: np.ndarray, usual: tuple[int, ...] = ()) -> None:
-    """Writes a shard's rows of small numbers: as bytes where all fit, as bare keys where they are the usual ones, else as long integers."""
+class NarrowArrays(HashArrays):
+    """Arrays of keys of 40 bits beyond those that tell the shard, written by save_narrow(): a key that isn't there is taken for one that is once in a million shards' entries, about."""
+
+    def __init__(self, uri: str, bits: int, *names: str):
+        super().__init__(uri, bits, "tail", *names)
+
+    def find(self, keys: np.ndarray, missing: tuple = (), step: int = 0) -> tuple[np.ndarray, ...]:
+        unique, back = np.unique(keys, return_inverse=True)
+        head, tail = _narrowed(unique, self.bits)
+        found = np.zeros(len(unique), bool)
+        values = [np.full(len(unique), m) for m in missing]
+        for k, a, b in shard_edges(unique, self.bits):
+            key, tails, *more = self.shard(k)
+            if not len(key):
+                continue
+            at, left = np.searchsorted(key, head[a:b]), np.arange(a, b)
+            while len(left):  # heads are equal rarely
+                at, left = at[inside := at < len(key)], left[inside]
+                at, left = at[same := key[at] == head[left]], left[same]
+                hit = tails[at] == tail[left]
+                found[left[hit]] = True
+                for v, m in zip(values, more, strict=True):
+                    v[left[hit]] = m[at[hit]]
+                at, left = at[~hit] + 1, left[~hit]
+        return found[back], *(v[back] for v in values)
+
+
+def _narrowed(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    rest = keys << np.uint64(bits)
+    return (rest >> np.uint64(32)).astype(np.uint32), (rest >> np.uint64(24)).astype(np.uint8)
+
+
+def save_narrow(uri: str, shard: int, bits: int, key: np.ndarray, **arrays: np.ndarray) -> None:
+    head, tail = _narrowed(key, bits)
+    save(uri, shard, key=head, tail=tail, **arrays)
+
+
+def save_counts(uri: str, shard: int, bits: int, key: np.ndarray, fields: np.ndarray, usual: tuple[int, ...] = (), exact: bool = False) -> None:
+    """Writes a shard's rows of small numbers, with keys of 64 bits if exact: as bytes where all fit, as bare keys where they are the usual ones, else as long integers."""
     bare = (fields == np.array(usual)).all(axis=1) if usual else np.zeros(len(key), bool)
     large = fields.max(axis=1, initial=0) > 255
     rest = ~bare & ~large
-    save(f"{uri}/bare", shard, key=key[bare])
-    save(f"{uri}/large", shard, key=key[large & ~bare], **{f"f{k}": fields[large & ~bare, k] for k in range(fields.shape[1])})
-    save(f"{uri}/small", shard, key=key[rest], **{f"f{k}": fields[rest, k].astype(np.uint8) for k in range(fields.shape[1])})
+    write = (lambda at, key, **more: save(at, shard, key=key, **more)) if exact else (lambda at, key, **more: save_narrow(at, shard, bits, key, **more))
+    if usual:
+        write(f"{uri}/bare", key[bare])
+    write(f"{uri}/large", key[large & ~bare], **{f"f{k}": fields[large & ~bare, k] for k in range(fields.shape[1])})
+    write(f"{uri}/small", key[rest], **{f"f{k}": fields[rest, k].astype(np.uint8) for k in range(fields.shape[1])})
 
 
 class Counts:
     """What save_counts() wrote with 2**bits shards and so many fields."""
 
-    def __init__(self, uri: str, bits: int, n_fields: int, usual: tuple[int, ...] = ()):
-        names = [f"f{k}" for k in range(n_fields)]
+    def __init__(self, uri: str, bits: int, n_fields: int, usual: tuple[int, ...] = (), exact: bool = False):
+        names, arrays = [f"f{k}" for k in range(n_fields)], HashArrays if exact else NarrowArrays
         self.n_fields, self.usual = n_fields, usual
-        self.parts = [(HashArrays(f"{uri}/{kind}", bits, *names), kind) for kind in ("small", "large")]
-        self.bare = HashArrays(f"{uri}/bare", bits) if usual else None
+        self.parts = [(arrays(f"{uri}/{kind}", bits, *names), kind) for kind in ("small", "large")]
+        self.bare = arrays(f"{uri}/bare", bits) if usual else None
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """For each key its numbers, zeros where it isn't there: a matrix."""

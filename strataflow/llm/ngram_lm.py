@@ -10,6 +10,8 @@
 3. Words' sums (as history: how many pairs have continuation counts of one, two and more, and their
    total; as token: how many histories it has, and its count) meet by hash in that second exchange,
    with counts of counts, a few numbers for each range.
+   Words have keys of 64 bits; triples, pairs and contexts of 40 beyond those of their range, so that
+   about one of a million that never occurred is taken for another.
 4. Workers memory-map the arrays and score blocks of documents: each distinct triple, pair, context and
    word of a block is looked up once, and sums are by document.
 
@@ -155,24 +157,45 @@ def _triples(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.R
         key, u, v, w = key[first], u[at], v[at], w[at]
         del order, first, at
         for k, a, b in shard_edges(key, layout.bits):
-            by = np.lexsort((u[a:b], v[a:b]))
-            x, y, z, c = u[a:b][by], v[a:b][by], w[a:b][by], n[a:b][by]
-            runs, pairs = _starts(y), _starts(y, x)
-            often = np.flatnonzero(c > 1)
-            yield pa.record_batch({
-                "shard": pa.array([k], pa.int32()),
-                "v": [y[runs].tobytes()], "v_run": [np.diff(np.r_[runs, len(y)]).astype(np.uint32).tobytes()],
-                "u": [x[pairs].tobytes()], "u_run": [np.diff(np.r_[pairs, len(y)]).astype(np.uint32).tobytes()],
-                "w": [z.tobytes()], "often": [often.astype(np.uint32).tobytes()], "n": [c[often].astype(np.uint32).tobytes()],
-            })
+            yield pa.record_batch({"shard": pa.array([k], pa.int32()), "packed": [_packed(u[a:b], v[a:b], w[a:b], n[a:b])]})
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by bytes of one significance after the other, which compress better."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _joined_planes(raw: bytes, kind: type, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T.copy().view(kind)[:, 0]
+
 
+def _packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Distinct triples with counts: their words' hashes once, and places among them; v and u once for each run of them."""
+    import zstandard
 
-def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    words = lambda c: np.frombuffer(row[c], np.uint64)
-    numbers = lambda c: np.frombuffer(row[c], np.uint32)
-    c = np.ones(len(words("w")), np.int64)
-    c[numbers("often")] = numbers("n")
-    return np.repeat(words("u"), numbers("u_run")), np.repeat(words("v"), numbers("v_run")), words("w"), c
+    by = np.lexsort((u, v))
+    u, v, w, n = u[by], v[by], w[by], n[by]
+    runs, pairs, often = _starts(v), _starts(v, u), np.flatnonzero(n > 1)
+    words, at = np.unique(np.concatenate([v[runs], u[pairs], w]), return_inverse=True)
+    sizes = np.array([len(words), len(runs), len(pairs), len(w), len(often)], np.uint32)
+    lengths = np.concatenate([np.diff(np.r_[runs, len(v)]), np.diff(np.r_[pairs, len(v)]), np.diff(np.r_[0, often]), n[often]]).astype(np.uint32)
+    return zstandard.compress(sizes.tobytes() + _planes(words) + _planes(at.astype(np.uint32)) + _planes(lengths), 3)
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    import zstandard
+
+    raw = zstandard.decompress(packed)
+    n_words, n_runs, n_pairs, n, n_often = (int(x) for x in np.frombuffer(raw, np.uint32, 5))
+    words = _joined_planes(raw, np.uint64, n_words, 20)
+    numbers = lambda count, at: _joined_planes(raw, np.uint32, count, at)
+    places = n_runs + n_pairs + n
+    at = numbers(places, 20 + 8 * n_words)
+    v_run, u_run, often, more = np.split(numbers(n_runs + n_pairs + 2 * n_often, 20 + 8 * n_words + 4 * places), np.cumsum([n_runs, n_pairs, n_often]))
+    c = np.ones(n, np.int64)
+    c[np.cumsum(often)] = more
+    return np.repeat(words[at[n_runs : n_runs + n_pairs]], u_run), np.repeat(words[at[:n_runs]], v_run), words[at[n_runs + n_pairs :]], c
 
 
 def _kinds(n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -186,32 +209,41 @@ def _counts_of_counts(n: np.ndarray) -> list[int]:
 
 def _sent(of: str, key: np.ndarray, sums: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     """Sums of sorted keys for the second exchange, the most usual ones as bare keys."""
+    import zstandard
+
     usual = (sums == np.array(USUAL[of])).all(axis=1)
     for known, at in ((True, np.flatnonzero(usual)), (False, np.flatnonzero(~usual))):
         for k, a, b in shard_edges(key[at], bits):
-            own = sums[at[a:b]]
-            packed = b"" if known else own.astype(np.uint32).tobytes() if own.max() < 1 << 32 else b"L" + own.tobytes()
-            yield pa.record_batch({"shard": pa.array([k], pa.int32()), "of": [of], "key": [key[at[a:b]].tobytes()], "fields": [packed]})
+            fields = b"" if known else _planes(sums[at[a:b]].T.reshape(-1))
+            yield pa.record_batch({"shard": pa.array([k], pa.int32()), "of": [of], "n": pa.array([b - a], pa.int32()), "packed": [zstandard.compress(_planes(key[at[a:b]]) + fields, 3)]})
+
+
+def _received(of: str, n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    raw = zstandard.decompress(packed)
+    fields = _joined_planes(raw, np.int64, n * FIELDS[of], 8 * n).reshape(-1, n).T if len(raw) > 8 * n else np.tile(USUAL[of], (n, 1))
+    return _joined_planes(raw, np.uint64, n, 0), fields
 
 
 def _range(table: pa.Table, path: str, layout: Layout) -> Iterator[pa.RecordBatch]:
     """Writes a range's triples, pairs and contexts; sends on its words' sums, frequent contexts' and its counts of counts."""
     shard = table["shard"][0].as_py()
-    u, v, w, n = (np.concatenate(x) for x in zip(*map(_unpacked, table.to_pylist()), strict=True))
+    u, v, w, n = (np.concatenate(x) for x in zip(*map(_unpacked, table["packed"].to_pylist()), strict=True))
     at, sums = _summed(layout.keys(u, v, w)[0], n)
     u, v, w, n = u[at], v[at], w[at], sums[:, 0]
     key, pair = layout.keys(u, v, w)
-    save_counts(f"{path}/triples", shard, key, sums)
+    save_counts(f"{path}/triples", shard, layout.bits, key, sums)
     numbers = [_counts_of_counts(n), [0] * 4]
     if layout.order > 2:
         context = layout.contexts(u, v)
         at, sums = _summed(context, *_kinds(n))
         own, split = context[at], layout.split(v[at])
-        save_counts(f"{path}/contexts", shard, own[~split], sums[~split], USUAL["context"])
+        save_counts(f"{path}/contexts", shard, layout.bits, own[~split], sums[~split], USUAL["context"])
         yield from _sent("context", own[split], sums[split], layout.bits)
         at, sums = _summed(pair, np.ones(len(n)), n)
         continued = np.where(v[at] == START, sums[:, 1], sums[:, 0])
-        save_counts(f"{path}/pairs", shard, pair[at], continued[:, None])
+        save_counts(f"{path}/pairs", shard, layout.bits, pair[at], continued[:, None])
         v, w, n, raw = v[at], w[at], continued, sums[:, 1]
         numbers[1] = _counts_of_counts(n)
     else:
@@ -219,34 +251,31 @@ def _range(table: pa.Table, path: str, layout: Layout) -> Iterator[pa.RecordBatc
     for of, word, fields in (("history", v, _kinds(n)), ("token", w, (np.ones(len(n)), raw))):
         at, sums = _summed(word, *fields)
         yield from _sent(of, word[at], sums, layout.bits)
-    yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "of": ["numbers"], "key": [b""], "fields": [np.array([*numbers[0], *numbers[1], len(v)], np.int64).tobytes()]})
+    yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "of": ["numbers"], "n": pa.array([0], pa.int32()), "packed": [np.array([*numbers[0], *numbers[1], len(v)], np.int64).tobytes()]})
 
 
 def _word_range(table: pa.Table, path: str, layout: Layout) -> pa.Table:
     """Writes a range's words and frequent contexts; returns its sums and counts of counts."""
     shard, numbers = table["shard"][0].as_py(), np.zeros(9, np.int64)
     parts: dict[str, tuple[list, list]] = {of: ([np.empty(0, np.uint64)], [np.empty((0, k), np.int64)]) for of, k in FIELDS.items()}
-    for r in table.select(["of", "key", "fields"]).to_pylist():
+    for r in table.select(["of", "n", "packed"]).to_pylist():
         if r["of"] == "numbers":
-            numbers += np.frombuffer(r["fields"], np.int64)
-            continue
-        key, f = np.frombuffer(r["key"], np.uint64), r["fields"]
-        wide = len(f) % (4 * len(key)) == 1
-        own = np.frombuffer(f[1:], np.int64) if wide else np.frombuffer(f, np.uint32) if f else np.tile(USUAL[r["of"]], len(key))
-        parts[r["of"]][0].append(key)
-        parts[r["of"]][1].append(own.reshape(len(key), -1).astype(np.int64))
+            numbers += np.frombuffer(r["packed"], np.int64)
+        else:
+            for held, got in zip(parts[r["of"]], _received(r["of"], r["n"], r["packed"]), strict=True):
+                held.append(got)
     found = {}
     for of, (keys, fields) in parts.items():
         key = np.concatenate(keys)
         at, sums = _summed(key, *np.concatenate(fields).T)
         found[of] = key[at], sums
     del parts
-    save_counts(f"{path}/frequent", shard, *found["context"], USUAL["context"])
+    save_counts(f"{path}/frequent", shard, layout.bits, *found["context"], USUAL["context"])
     word = np.union1d(found["history"][0], found["token"][0])
     whole = np.zeros((len(word), 6), np.int64)
     whole[np.searchsorted(word, found["history"][0]), :4] = found["history"][1]
     whole[np.searchsorted(word, found["token"][0]), 4:] = found["token"][1]
-    save_counts(f"{path}/words", shard, word, whole)
+    save_counts(f"{path}/words", shard, layout.bits, word, whole, exact=True)
     histories, count = whole[:, 4], whole[:, 5]
     sums = [int(count.sum()), int((count > 0).sum()), *_counts_of_counts(histories), *numbers.tolist()]
     return pa.table({"shard": pa.array([shard], pa.int32()), "sums": pa.array([sums], pa.list_(pa.int64()))})
@@ -275,8 +304,8 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     bits = (shards(input_bytes(docs), RANGE) - 1).bit_length()
     layout = Layout(order, bits, _frequent(docs, max(FREQUENT / (1 << bits), RARE)))
     path = scratch(docs.sparkSession, "ngrams")
-    sent = docs.select("text").mapInArrow(lambda b: _triples(b, layout), "shard int, v binary, v_run binary, u binary, u_run binary, w binary, often binary, n binary")
-    entries = sent.groupBy("shard").applyInArrow(lambda t: pa.Table.from_batches(list(_range(t, path, layout))), "shard int, of string, key binary, fields binary")
+    sent = docs.select("text").mapInArrow(lambda b: _triples(b, layout), "shard int, packed binary")
+    entries = sent.groupBy("shard").applyInArrow(lambda t: pa.Table.from_batches(list(_range(t, path, layout))), "shard int, of string, n int, packed binary")
     sums = np.zeros(15, np.int64)
     for r in entries.groupBy("shard").applyInArrow(lambda t: _word_range(t, path, layout), "shard int, sums array<long>").collect():  # a few numbers for each range
         sums += np.array(r["sums"], np.int64)
@@ -290,8 +319,8 @@ class Opened:
 
     def __init__(self, model: Model):
         self.model = model
-        at = lambda name, k, usual=(): Counts(f"{model.path}/{name}", model.layout.bits, k, usual)
-        self.triples, self.pairs, self.words = at("triples", 1), at("pairs", 1), at("words", 6)
+        at = lambda name, k, usual=(), exact=False: Counts(f"{model.path}/{name}", model.layout.bits, k, usual, exact)
+        self.triples, self.pairs, self.words = at("triples", 1), at("pairs", 1), at("words", 6, exact=True)
         self.contexts, self.frequent = at("contexts", 4, USUAL["context"]), at("frequent", 4, USUAL["context"])
 
     def context(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
