@@ -161,6 +161,11 @@ def hashed_words(texts: Iterable[bytes], sizes: list[int]) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def hashes_of(words: Iterable[bytes], n: int) -> np.ndarray:
+    """64-bit hashes of the n words."""
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Hashes (uint64) whose every bit depends on all of h's."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -5,15 +5,18 @@ A window is `size` consecutive words; windows are removed that also start in a d
 1. Candidates. A window stands for the least hash among its 5-word phrases (its minimizer), which equal
    windows share and neighbouring windows mostly do. Tasks send each minimizer once per block of
    documents, dealt by hash; those that two documents have are kept in sorted hash arrays.
-2. Confirmation. Windows with a kept minimizer are sent by two hashes (96 bits) with the least id of
-   the block; those of two documents are confirmed passages, kept with the least id that has them.
-3. Location. Documents go by in shards (blocks of a few MB). The confirmed passages of a shard, enough
-   of them to cover each run of confirmed windows, are compiled to one Aho-Corasick automaton over
-   words, and the shard's documents are streamed through it. What it finds decides which words go.
+2. Confirmation. Windows with a kept minimizer are sent by two hashes (128 bits) with the least id of
+   the block; those of two documents recur, and are kept with the least id that has them.
+3. Passages. Of each run of recurring windows that an earlier document has, enough to cover it are sent
+   by their words, dealt by minimizer. A shard's distinct passages are compiled to one Aho-Corasick
+   automaton over words, once, and stored in the shared folder.
+4. Location. All documents are streamed through the automata: for each shard, the stretches of a text
+   whose minimizers are dealt to it and recur, as a passage can't lie anywhere else. What the automata
+   find, word by word, in a document later than the first that has it, is what goes.
 
 What is shuffled are packed arrays, a row for each block and hash range, summed up within blocks: a
 passage of a third of all documents is one entry of each block. Memory is that of a block and of a
-hash range, both bounded; a document is never compared with another, and texts are not shuffled.
+hash range, both bounded; a document is never compared with another, and whole texts are not shuffled.
 
 Nulls are empty texts. Rows without a doc_id have no smaller or larger id: nothing is removed from
 or for them. Rows of one doc_id are not earlier than each other. Extra columns are dropped.
@@ -22,8 +25,11 @@ or for them. Rows of one doc_id are not earlier than each other. Extra columns a
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -31,10 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.hash_arrays import HashArrays, save, shard_edges
-from strataflow.llm.shared import hashed_words, input_bytes, joined, mixed, scratch, shards, utf8
+from strataflow.llm.hash_arrays import HashArrays, load_bytes, save, save_bytes, shard_edges
+from strataflow.llm.shared import delete, hashes_of, input_bytes, joined, mixed, scratch, shards, utf8
 
 SIZE, PHRASE = 13, 5
+#: Bytes of text that one hash range is for, and that one shard of automata is for. A shard has 2**PARTS automata, as a node's children are searched one by one, so that roots must not grow wide.
+RANGE, SHARD, PARTS = 64 << 20, 64 << 20, 6
+#: Bytes of text whose stretches a task gathers before it goes by the automata.
+GATHERED = 32 << 20
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -50,10 +60,9 @@ def _grams(words: np.ndarray, size: int, base: int) -> np.ndarray:
 
 
 class Windows(NamedTuple):
-    """A block's windows: the texts' numbers of words, and all words' hashes; for each window the place of its document, of its first word within the document, and its hashes."""
+    """A block's words, by text; for each window the place of its document, of its first word within the document, and its hashes."""
 
-    sizes: list[int]
-    flat: np.ndarray
+    words: list[list[bytes]]
     doc: np.ndarray
     at: np.ndarray
     minimizer: np.ndarray
@@ -62,14 +71,15 @@ class Windows(NamedTuple):
 
 
 def windows(texts: list[bytes], usable: np.ndarray, size: int = SIZE) -> Windows:
-    sizes: list[int] = []
-    flat = hashed_words(texts, sizes)
-    lengths, n = np.array(sizes, np.int64), len(flat)
+    words = [t.split() for t in texts]
+    lengths = np.array([len(w) for w in words], np.int64)
+    flat = hashes_of(chain.from_iterable(words), int(lengths.sum()))
+    n = len(flat)
     doc = np.repeat(np.arange(len(texts)), lengths)
     at = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     if n < size:
         empty = np.empty(0, np.uint64)
-        return Windows(sizes, flat, doc[:0], at[:0], empty, empty, empty.astype(np.uint32))
+        return Windows(words, doc[:0], at[:0], empty, empty, empty)
     phrase = min(PHRASE, size)
     phrases = _grams(flat, phrase, _P1)
     least = phrases[: n - size + 1].copy()
@@ -77,7 +87,7 @@ def windows(texts: list[bytes], usable: np.ndarray, size: int = SIZE) -> Windows
         np.minimum(least, phrases[k : n - size + 1 + k], out=least)
     whole = (at[: n - size + 1] + size <= lengths[doc[: n - size + 1]]) & usable[doc[: n - size + 1]]
     w = np.flatnonzero(whole)
-    return Windows(sizes, flat, doc[w], at[w], least[w], _grams(flat, size, _P1)[w], (_grams(flat, size, _P2)[w] >> np.uint64(32)).astype(np.uint32))
+    return Windows(words, doc[w], at[w], mixed(least[w]), _grams(flat, size, _P1)[w], _grams(flat, size, _P2)[w])
 
 
 def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +179,7 @@ def _passages(batches: Iterator[pa.RecordBatch], minimizers: str, bits: int, siz
 
 def _confirmed(table: pa.Table, uri: str) -> pa.Table:
     """Keeps a hash range's windows that two documents have, with the least id."""
-    h1, h2 = _joined_arrays(table, "h1", np.uint64), _joined_arrays(table, "h2", np.uint32)
+    h1, h2 = _joined_arrays(table, "h1", np.uint64), _joined_arrays(table, "h2", np.uint64)
     doc, several = _joined_arrays(table, "doc", np.int64), _joined_arrays(table, "several", np.uint8)
     order = np.lexsort((doc, h2, h1))
     h1, h2, doc, several = h1[order], h2[order], doc[order], several[order]
@@ -181,83 +191,162 @@ def _confirmed(table: pa.Table, uri: str) -> pa.Table:
     return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(kept)], pa.int64())})
 
 
-def _located(w: Windows, docs: np.ndarray, at: np.ndarray, earliest: np.ndarray, ids: np.ndarray, size: int) -> dict[int, np.ndarray]:
-    """For each document of a shard with confirmed windows (docs, at, earliest: of each, in order), which of its words an automaton of passages finds in an earlier document's passages. Words are numbered within the shard."""
-    import ahocorasick
+def _recurring_windows(w: Windows, ids: np.ndarray, known: HashArrays, confirmed: HashArrays) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that an earlier document has too, in order, and the least id that has each."""
+    c = np.flatnonzero(_candidate_windows(w, known))
+    found, h2, earliest = confirmed.find(w.h1[c], (np.uint64(0), np.int64(0)))
+    step = 0
+    while (other := np.flatnonzero(found & (h2 != w.h2[c]))).size:  # another window of the same first hash
+        step += 1
+        found[other], h2[other], earliest[other] = confirmed.find(w.h1[c[other]], (np.uint64(0), np.int64(0)), step)
+    hit = found & (earliest < ids[w.doc[c]])
+    return c[hit], earliest[hit]
+
 
-    ends_at = np.cumsum(w.sizes)
-    own = {int(d): (int(ends_at[d]) - w.sizes[d], int(ends_at[d])) for d in np.unique(docs)}
-    numbers = np.unique(np.concatenate([w.flat[a:b] for a, b in own.values()]), return_inverse=True)[1].tolist()
-    numbered, used = {}, 0
-    for d, (a, b) in own.items():
-        numbered[d] = tuple(numbers[used : used + b - a])
-        used += b - a
-    starts = np.r_[True, (docs[1:] != docs[:-1]) | (at[1:] != at[:-1] + 1)]
-    begin = np.flatnonzero(starts)
-    run = np.arange(len(docs)) - np.repeat(begin, np.diff(np.r_[begin, len(docs)]))
-    ends = np.r_[starts[1:], True]
-    chosen = np.flatnonzero((run % size == 0) | ends)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for d, a, first in zip(docs[chosen].tolist(), at[chosen].tolist(), earliest[chosen].tolist(), strict=True):
-        automaton.add_word(numbered[d][a : a + size], first)
-    automaton.make_automaton()
-    out = {}
-    for d, sequence in numbered.items():
-        gone = np.zeros(len(sequence), bool)
-        mine = int(ids[d])
-        for end, first in automaton.iter(sequence):
-            if first < mine:
-                gone[end - size + 1 : end + 1] = True
-        out[d] = gone
-    return out
-
-
-def _kept(batches: Iterator[pa.RecordBatch], minimizers: str, passages: str, bits: int, size: int) -> Iterator[pa.RecordBatch]:
+def _chosen(batches: Iterator[pa.RecordBatch], minimizers: str, passages: str, bits: int, deal: int, size: int) -> Iterator[pa.RecordBatch]:
+    """For each block and shard of automata: distinct passages that cover the recurring windows, by their words, with the least id that has each."""
     known, confirmed = _opened(minimizers, bits), _opened(passages, bits, "h2", "doc")
     for t in joined(batches):
         ids, valid = _ids(t)
-        texts = utf8(t)
-        w = windows(texts, valid, size)
-        c = np.flatnonzero(_candidate_windows(w, known))
-        gone: dict[int, np.ndarray] = {}
-        if len(c):
-            found, h2, earliest = confirmed.find(w.h1[c], (np.uint32(0), np.int64(0)))
-            step = 0
-            while (other := np.flatnonzero(found & (h2 != w.h2[c]))).size:  # another window of the same first hash
-                step += 1
-                found[other], h2[other], earliest[other] = confirmed.find(w.h1[c[other]], (np.uint32(0), np.int64(0)), step)
-            hit = found & (earliest < ids[w.doc[c]])
-            c, earliest = c[hit], earliest[hit]
-            if len(c):
-                gone = _located(w, w.doc[c], w.at[c], earliest, ids, size)
-        removed, hashes = [], []
-        for d, text in enumerate(texts):
-            words = text.split()
-            if (mask := gone.get(d)) is not None:
-                words = [x for x, g in zip(words, mask.tolist(), strict=True) if not g]
-            removed.append(w.sizes[d] - len(words))
-            hashes.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        yield pa.record_batch({"doc_id": t["doc_id"].combine_chunks(), "n_words": pa.array(w.sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(hashes)})
+        w = windows(utf8(t), valid, size)
+        c, earliest = _recurring_windows(w, ids, known, confirmed)
+        if not len(c):
+            continue
+        doc, at = w.doc[c], w.at[c]
+        starts = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]
+        begin = np.flatnonzero(starts)
+        run = np.arange(len(c)) - np.repeat(begin, np.diff(np.r_[begin, len(c)]))
+        cover = np.flatnonzero((run % size == 0) | np.r_[starts[1:], True])
+        sent: dict[int, dict[bytes, tuple[int, int]]] = {}
+        for k, d, a, first in zip(_dealt(w.minimizer[c[cover]], deal).tolist(), doc[cover].tolist(), at[cover].tolist(), earliest[cover].tolist(), strict=True):
+            sent.setdefault(k >> PARTS, {})[b" ".join(w.words[d][a : a + size])] = k & ((1 << PARTS) - 1), first
+        for k, own in sent.items():
+            part, first = (np.fromiter((x[i] for x in own.values()), np.int64, len(own)) for i in (0, 1))
+            yield pa.record_batch({"shard": pa.array([k], pa.int32()), "passages": [b"\n".join(own)], "part": [part.astype(np.uint8).tobytes()], "first": [first.tobytes()]})
+
+
+def _dealt(minimizer: np.ndarray, deal: int) -> np.ndarray:
+    """Shard and part of a minimizer, as one number."""
+    return (minimizer >> np.uint64(64 - deal - PARTS)).astype(np.int64)
+
+
+def _compiled(table: pa.Table, uri: str) -> pa.Table:
+    """Compiles a shard's passages to automata over the numbers of their words, and stores these and those."""
+    import ahocorasick
+
+    firsts: dict[bytes, tuple[int, int]] = {}
+    for own, part, first in zip(table["passages"].to_pylist(), table["part"].to_pylist(), table["first"].to_pylist(), strict=True):
+        for passage, k, i in zip(own.split(b"\n"), part, np.frombuffer(first, np.int64).tolist(), strict=True):
+            firsts[passage] = k, min(i, firsts.get(passage, (k, i))[1])
+    numbers: dict[bytes, int] = {}
+    parts: dict = {}
+    for passage, (k, i) in firsts.items():
+        if k not in parts:
+            parts[k] = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        parts[k].add_word(tuple(numbers.setdefault(word, len(numbers) + 1) for word in passage.split(b" ")), i)
+    for automaton in parts.values():
+        automaton.make_automaton()
+    shard = table["shard"][0].as_py()
+    save_bytes(f"{uri}/{shard}", pickle.dumps((numbers, parts)))
+    return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(firsts)], pa.int64())})
+
+
+def _stretches(w: Windows, known: HashArrays, deal: int, size: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(shard, part, place of the document, first word's place, words) of the stretches of texts in which passages of that part of the shard may lie."""
+    c = np.flatnonzero(_candidate_windows(w, known))
+    dealt = _dealt(w.minimizer[c], deal)
+    order = np.argsort(dealt, kind="stable")
+    dealt, doc, at = dealt[order], w.doc[c[order]], w.at[c[order]]
+    begin = np.flatnonzero(np.r_[np.ones(min(1, len(c)), bool), (dealt[1:] != dealt[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + size)])
+    end = np.r_[begin[1:], len(c)] - 1
+    for k, d, a, b in zip(dealt[begin].tolist(), doc[begin].tolist(), at[begin].tolist(), (at[end[: len(begin)]] + size).tolist(), strict=True):
+        yield k >> PARTS, k & ((1 << PARTS) - 1), d, a, b" ".join(w.words[d][a:b])
+
+
+def _located(stretches: list[tuple[int, int, int, bytes]], ids: np.ndarray, numbers: dict[bytes, int], parts: dict, gone: dict[int, list[tuple[int, int]]], size: int) -> None:
+    """Streams a shard's stretches (part, document, first word's place, words) through its automata; adds what they find of earlier documents' passages to gone, by document: from and to. A word of no passage parts a stretch."""
+    look = numbers.get
+    for k, d, a, text in stretches:
+        if k not in parts:
+            continue
+        mine, numbered, begin = int(ids[d]), [look(x, 0) for x in text.split(b" ")], 0
+        numbered.append(0)
+        while len(numbered) - begin > size:
+            end = numbered.index(0, begin)
+            if end - begin >= size:
+                for last, first in parts[k].iter(tuple(numbered[begin:end])):
+                    if first < mine:
+                        to = a + begin + last + 1
+                        gone.setdefault(d, []).append((to - size, to))
+            begin = end + 1
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Table]]:
+    """Blocks of texts, as many as make GATHERED bytes."""
+    held, most = [], 0
+    for t in joined(batches):
+        held.append(t)
+        most += t["text"].nbytes
+        if most >= GATHERED:
+            yield held
+            held, most = [], 0
+    if held:
+        yield held
+
+
+def _kept(batches: Iterator[pa.RecordBatch], minimizers: str, automata: str, have: frozenset[int], bits: int, deal: int, size: int) -> Iterator[pa.RecordBatch]:
+    """SCHEMA's columns: each shard's automaton is read once for so many blocks."""
+    known = _opened(minimizers, bits)
+    for blocks in _gathered(batches):
+        stretches: dict[int, list[tuple[int, int, int, bytes]]] = {}
+        ids, start = [], 0
+        for t in blocks:
+            own, valid = _ids(t)
+            for k, part, d, a, text in _stretches(windows(utf8(t), valid, size), known, deal, size):
+                if k in have:
+                    stretches.setdefault(k, []).append((part, start + d, a, text))
+            ids.append(own)
+            start += t.num_rows
+        gone: dict[int, list[tuple[int, int]]] = {}
+        for k in sorted(stretches):
+            _located(stretches.pop(k), np.concatenate(ids), *pickle.loads(load_bytes(f"{automata}/{k}")), gone, size)
+        start = 0
+        for t in blocks:
+            n, removed, hashes = [], [], []
+            for d, text in enumerate(utf8(t), start):
+                words = kept = text.split()
+                if d in gone:
+                    mask = np.ones(len(words), bool)
+                    for a, b in gone[d]:
+                        mask[a:b] = False
+                    kept = [x for x, stays in zip(words, mask.tolist(), strict=True) if stays]
+                n.append(len(words))
+                removed.append(len(words) - len(kept))
+                hashes.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            start += t.num_rows
+            yield pa.record_batch({"doc_id": t["doc_id"].combine_chunks(), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(hashes)})
+
+
+def automata(docs: DataFrame, size: int = SIZE) -> tuple[str, str, frozenset[int], int, int]:
+    """Compiles the passages of docs(doc_id long, text); returns where the minimizers and the automata are, which shards have any, and by how many leading bits either is dealt."""
+    spark, total = docs.sparkSession, input_bytes(docs)
+    bits, deal = (shards(total, RANGE) - 1).bit_length(), math.ceil(total / SHARD).bit_length()
+    minimizers, passages, compiled = (scratch(spark, x) for x in ("minimizers", "passages", "automata"))
+    for sent, columns, reduce in (
+        (lambda b: _minimizers(b, bits, size), "key binary, doc binary, several binary", lambda t: _recurring(t, minimizers)),
+        (lambda b: _passages(b, minimizers, bits, size), "h1 binary, h2 binary, doc binary, several binary", lambda t: _confirmed(t, passages)),
+        (lambda b: _chosen(b, minimizers, passages, bits, deal, size), "passages binary, part binary, first binary", lambda t: _compiled(t, compiled)),
+    ):
+        written = docs.mapInArrow(sent, f"shard int, {columns}").groupBy("shard").applyInArrow(reduce, "shard int, n long").collect()  # a number for each shard
+    delete(spark, passages)
+    return minimizers, compiled, frozenset(r["shard"] for r in written), bits, deal
 
 
 def substring_dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bits = (shards(input_bytes(rows), 64 << 20) - 1).bit_length()
-    minimizers, passages = scratch(spark, "minimizers"), scratch(spark, "passages")
-
-    def fill(uri: str, reduced) -> None:
-        """Every hash range gets its files, also one that nothing was sent to."""
-        have = {r["shard"] for r in reduced.select("shard").collect()}  # a row for each of 2**bits ranges at most
-        for k in set(range(1 << bits)) - have:
-            save(uri, k, key=np.empty(0, np.uint64), **({} if uri == minimizers else {"h2": np.empty(0, np.uint32), "doc": np.empty(0, np.int64)}))
-
-    sent = rows.mapInArrow(lambda b: _minimizers(b, bits, size), "shard int, key binary, doc binary, several binary")
-    fill(minimizers, sent.groupBy("shard").applyInArrow(lambda t: _recurring(t, minimizers), "shard int, n long"))
-    sent = rows.mapInArrow(lambda b: _passages(b, minimizers, bits, size), "shard int, h1 binary, h2 binary, doc binary, several binary")
-    fill(passages, sent.groupBy("shard").applyInArrow(lambda t: _confirmed(t, passages), "shard int, n long"))
-    return rows.mapInArrow(lambda b: _kept(b, minimizers, passages, bits, size), SCHEMA)
+    minimizers, compiled, have, bits, deal = automata(rows, size)
+    return rows.mapInArrow(lambda b: _kept(b, minimizers, compiled, have, bits, deal, size), SCHEMA)
 
 
 ORACLE_SQL = r"""

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from strataflow.llm import substring_dedup as S
 from strataflow.llm.shared import documents
@@ -68,9 +69,10 @@ def test_equal_first_hashes_are_told_apart(spark, monkeypatch):
     import pyarrow as pa
 
     t = pa.table({"doc_id": ids, "text": [x.decode() for x in texts]})
+    import os
     import tempfile
 
-    at = [f"file://{tempfile.mkdtemp()}" for _ in range(2)]
+    at = [f"file://{tempfile.mkdtemp()}" for _ in range(3)]
 
     def reduced(rows, f, uri):
         table = pa.Table.from_batches(rows)
@@ -78,12 +80,12 @@ def test_equal_first_hashes_are_told_apart(spark, monkeypatch):
             part = table.filter(pa.compute.equal(table["shard"], k))
             if part.num_rows:
                 f(part, uri)
-            else:
-                S.save(uri, k, key=np.empty(0, np.uint64), h2=np.empty(0, np.uint32), doc=np.empty(0, np.int64))
 
-    reduced(list(S._minimizers(iter(t.to_batches()), 2)), S._recurring, at[0])
-    reduced(list(S._passages(iter(t.to_batches()), at[0], 2)), S._confirmed, at[1])
-    got = [tuple(r.values()) for b in S._kept(iter(t.to_batches()), *at, 2, 13) for r in b.to_pylist()]
+    of = lambda: iter(t.to_batches())
+    reduced(list(S._minimizers(of(), 2)), S._recurring, at[0])
+    reduced(list(S._passages(of(), at[0], 2)), S._confirmed, at[1])
+    reduced(list(S._chosen(of(), at[0], at[1], 2, 1, 13)), S._compiled, at[2])
+    got = [tuple(r.values()) for b in S._kept(of(), at[0], at[2], frozenset(int(x) for x in os.listdir(at[2].removeprefix("file://"))), 2, 1, 13) for r in b.to_pylist()]
     assert sorted(got, key=str) == brute(list(zip(ids.tolist(), [x.decode() for x in texts], strict=True)))
 
 
@@ -95,3 +97,19 @@ def test_other_sizes(spark):
     for size in (3, 8, 20):
         want = brute(rows, size)
         assert sorted(map(tuple, S.substring_dedup(df, size).collect()), key=str) == want and any(r[2] for r in want)
+
+
+def test_automata_find_the_occurrences(spark, sf, monkeypatch):
+    import os
+
+    monkeypatch.setattr(S, "SHARD", 100_000)
+    docs = documents(spark, sf)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    minimizers, compiled, have, bits, deal = S.automata(docs)
+    kept = lambda shards: sorted((tuple(r) for r in docs.mapInArrow(lambda b: S._kept(b, minimizers, compiled, shards, bits, deal, 13), S.SCHEMA).collect()), key=str)
+    assert kept(have) == brute(rows) and len(have) > 4
+    found = [sum(r[2] for r in kept(have - {k})) for k in sorted(have)[:3]]
+    assert max(found) < sum(r[2] for r in kept(have)) and not any(r[2] for r in kept(frozenset()))
+    os.remove(f"{compiled.removeprefix('file://')}/{min(have)}")
+    with pytest.raises(FileNotFoundError):
+        list(S._kept(docs.toArrow().to_batches(), minimizers, compiled, have, bits, deal, 13))
