@@ -105,6 +105,18 @@ def shards(total_bytes: int, each: int = 24 << 20) -> int:
     return max(8, math.ceil(total_bytes / each))
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 128) -> Iterator[None]:
+    """Arrow batches of few rows for what is run within, as memory is tight there; the session's setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def joined(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.Table]:
     """Arrow batches put together, or parted, to tables of about so many bytes of the column, a row at least."""
     held, size = [], 0

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.hash_arrays import HashArrays, load_bytes, save, save_bytes, shard_edges
-from strataflow.llm.shared import delete, hashes_of, input_bytes, joined, mixed, scratch, shards, utf8
+from strataflow.llm.shared import cut, delete, hashes_of, input_bytes, joined, mixed, scratch, shards, small_batches, utf8
 
 SIZE, PHRASE = 13, 5
 #: Bytes of text that one hash range is for, and that one shard of automata is for. A shard has 2**PARTS automata, as a node's children are searched one by one, so that roots must not grow wide.
@@ -70,7 +70,8 @@ class Windows(NamedTuple):
     h2: np.ndarray
 
 
-def windows(texts: list[bytes], usable: np.ndarray, size: int = SIZE) -> Windows:
+def windows(texts: list[bytes], usable: np.ndarray, size: int = SIZE, hashes: bool = True) -> Windows:
+    """The texts' windows; without their own hashes, where minimizers are all that is asked."""
     words = [t.split() for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     flat = hashes_of(chain.from_iterable(words), int(lengths.sum()))
@@ -87,7 +88,8 @@ def windows(texts: list[bytes], usable: np.ndarray, size: int = SIZE) -> Windows
         np.minimum(least, phrases[k : n - size + 1 + k], out=least)
     whole = (at[: n - size + 1] + size <= lengths[doc[: n - size + 1]]) & usable[doc[: n - size + 1]]
     w = np.flatnonzero(whole)
-    return Windows(words, doc[w], at[w], mixed(least[w]), _grams(flat, size, _P1)[w], _grams(flat, size, _P2)[w])
+    own = (_grams(flat, size, base)[w] if hashes else np.empty(0, np.uint64) for base in (_P1, _P2))
+    return Windows(words, doc[w], at[w], mixed(least[w]), *own)
 
 
 def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +111,7 @@ def _minimizers(batches: Iterator[pa.RecordBatch], bits: int, size: int = SIZE)
     """For each block and hash range: minimizers of one document with its id, and those that several have."""
     for t in joined(batches):
         ids, valid = _ids(t)
-        w = windows(utf8(t), valid, size)
+        w = windows(utf8(t), valid, size, False)
         change = np.ones(len(w.doc), bool)
         change[1:] = (w.minimizer[1:] != w.minimizer[:-1]) | (w.doc[1:] != w.doc[:-1])
         key, doc = w.minimizer[change], ids[w.doc[change]]
@@ -302,7 +304,7 @@ def _kept(batches: Iterator[pa.RecordBatch], minimizers: str, automata: str, hav
         ids, start = [], 0
         for t in blocks:
             own, valid = _ids(t)
-            for k, part, d, a, text in _stretches(windows(utf8(t), valid, size), known, deal, size):
+            for k, part, d, a, text in _stretches(windows(utf8(t), valid, size, False), known, deal, size):
                 if k in have:
                     stretches.setdefault(k, []).append((part, start + d, a, text))
             ids.append(own)
@@ -343,10 +345,14 @@ def automata(docs: DataFrame, size: int = SIZE) -> tuple[str, str, frozenset[int
 
 
 def substring_dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) for each row of docs(doc_id, text)."""
+    """(doc_id, n_words, n_removed, kept_sha256) for each row of docs(doc_id, text), written before they are returned."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    minimizers, compiled, have, bits, deal = automata(rows, size)
-    return rows.mapInArrow(lambda b: _kept(b, minimizers, compiled, have, bits, deal, size), SCHEMA)
+    with small_batches(docs.sparkSession):
+        minimizers, compiled, have, bits, deal = automata(rows, size)
+        out = cut(rows.mapInArrow(lambda b: _kept(b, minimizers, compiled, have, bits, deal, size), SCHEMA), "kept-words")
+    for path in (minimizers, compiled):
+        delete(docs.sparkSession, path)
+    return out
 
 
 ORACLE_SQL = r"""
