@@ -37,17 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.hash_arrays import Counts, save_counts, shard_edges
-from strataflow.llm.shared import hashed_words, input_bytes, joined, mixed, scratch, shards, utf8
+from strataflow.llm.shared import cut, delete, hashed_words, input_bytes, joined, mixed, scratch, shards, small_batches, utf8
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 ORDER = 3
 #: Bytes of text whose triples are summed up before they are sent, and those that one hash range is for.
-BLOCK, RANGE = 16 << 20, 16 << 20
+BLOCK, RANGE = 20 << 20, 16 << 20
 #: One of so many texts tells which middle tokens are frequent; a token of more than FREQUENT of a range's share is, but no token below RARE of all.
 SAMPLED, FREQUENT, RARE = 16, 1.0, 1e-6
 #: The fields of words, with what most words of a hash range send: seen in one pair, once.
 FIELDS = {"history": 4, "token": 2, "context": 4}
-USUAL = {"history": (1, 0, 0, 1), "token": (1, 1), "context": (1, 0, 0, 1)}
+USUAL = {"history": (1, 0, 0, 1), "token": (1, 1), "context": (1, 0, 0, 1), "count": (1,)}
 START, END = np.uint64(0x9C5E2D3B7A1F4E61), np.uint64(0x3F84D5B5B5470917)
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -180,7 +180,7 @@ def _packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes
     words, at = np.unique(np.concatenate([v[runs], u[pairs], w]), return_inverse=True)
     sizes = np.array([len(words), len(runs), len(pairs), len(w), len(often)], np.uint32)
     lengths = np.concatenate([np.diff(np.r_[runs, len(v)]), np.diff(np.r_[pairs, len(v)]), np.diff(np.r_[0, often]), n[often]]).astype(np.uint32)
-    return zstandard.compress(sizes.tobytes() + _planes(words) + _planes(at.astype(np.uint32)) + _planes(lengths), 3)
+    return zstandard.compress(sizes.tobytes() + _planes(words) + _planes(at.astype(np.uint32)) + _planes(lengths), 6)
 
 
 def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -233,7 +233,7 @@ def _range(table: pa.Table, path: str, layout: Layout) -> Iterator[pa.RecordBatc
     at, sums = _summed(layout.keys(u, v, w)[0], n)
     u, v, w, n = u[at], v[at], w[at], sums[:, 0]
     key, pair = layout.keys(u, v, w)
-    save_counts(f"{path}/triples", shard, layout.bits, key, sums)
+    save_counts(f"{path}/triples", shard, layout.bits, key, sums, USUAL["count"])
     numbers = [_counts_of_counts(n), [0] * 4]
     if layout.order > 2:
         context = layout.contexts(u, v)
@@ -243,7 +243,7 @@ def _range(table: pa.Table, path: str, layout: Layout) -> Iterator[pa.RecordBatc
         yield from _sent("context", own[split], sums[split], layout.bits)
         at, sums = _summed(pair, np.ones(len(n)), n)
         continued = np.where(v[at] == START, sums[:, 1], sums[:, 0])
-        save_counts(f"{path}/pairs", shard, layout.bits, pair[at], continued[:, None])
+        save_counts(f"{path}/pairs", shard, layout.bits, pair[at], continued[:, None], USUAL["count"])
         v, w, n, raw = v[at], w[at], continued, sums[:, 1]
         numbers[1] = _counts_of_counts(n)
     else:
@@ -320,7 +320,7 @@ class Opened:
     def __init__(self, model: Model):
         self.model = model
         at = lambda name, k, usual=(), exact=False: Counts(f"{model.path}/{name}", model.layout.bits, k, usual, exact)
-        self.triples, self.pairs, self.words = at("triples", 1), at("pairs", 1), at("words", 6, exact=True)
+        self.triples, self.pairs, self.words = at("triples", 1, USUAL["count"]), at("pairs", 1, USUAL["count"]), at("words", 6, exact=True)
         self.contexts, self.frequent = at("contexts", 4, USUAL["context"]), at("frequent", 4, USUAL["context"])
 
     def context(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -385,7 +385,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def language_model(docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER) -> DataFrame:
-    """Scores of all rows of docs(doc_id, text) by a model of those whose crc32(doc_id as text) mod folds isn't held."""
+    """Scores of all rows of docs(doc_id, text), written before they are returned, by a model of those whose crc32(doc_id as text) mod folds isn't held."""
     own = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("held_out"))
-    return score(rows, train(rows.where(~F.col("held_out")), order))
+    with small_batches(docs.sparkSession):
+        model = train(rows.where(~F.col("held_out")), order)
+        out = cut(score(rows, model), "scores")
+    delete(docs.sparkSession, model.path)
+    return out
