@@ -60,7 +60,7 @@ class ImagingJob:
 TEMPLATES = {
     "land_3d": {"velocity": 3000.0, "binning": "land_3d"},
     "marine": {"velocity": 2000.0, "binning": "marine", "spacing": (12.5, 25.0)},
-    "wide_azimuth": {"velocity": 2500.0, "binning": "wide_azimuth"},
+    "wide_azimuth": {"velocity": 2500.0, "binning": "wide_azimuth_ovt"},
     "full_stack": {"velocity": 2500.0, "binning": "full_stack"},
 }
 

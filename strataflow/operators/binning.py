@@ -43,11 +43,8 @@ def ovt(ranges: list[tuple[float, float]], sectors: int = 4) -> list[Bin]:
 
 def narrow_azimuth(least: float = 0.0, most: float = 5000.0, inline_azimuth: float = 0.0, width: float = 20.0) -> list[Bin]:
     """Four bins, along and across the inline direction both ways; an end at north counts as 360."""
-    out = []
-    for name, turn in (("inline_forward", 0), ("crossline_forward", 90), ("inline_reverse", 180), ("crossline_reverse", 270)):
-        middle = inline_azimuth + turn
-        out.append(Bin(name, least, most, (middle - width / 2) % 360, (middle + width / 2) % 360 or 360.0))
-    return out
+    turns = {"inline_pos": 0, "inline_neg": 180, "xline_pos": 90, "xline_neg": 270}
+    return [Bin(name, least, most, (inline_azimuth + turn - width / 2) % 360, (inline_azimuth + turn + width / 2) % 360 or 360.0) for name, turn in turns.items()]
 
 
 def full_stack(most: float = 10000.0) -> list[Bin]:
@@ -64,13 +61,20 @@ def custom_offset(least: float, most: float, n: int, logarithmic: bool = False)
     return common_offset(list(zip(edges[:-1], edges[1:], strict=True)))
 
 
-def preset(name: str) -> list[Bin]:
-    """land_3d, marine, wide_azimuth, narrow_azimuth or full_stack."""
-    # Offset edges of the presets.
-    marine = (0, 500, 1000, 1500, 2000, 3000, 4000)
-    wide = (0, 1000, 2000, 3000, 4000)
-    pairs = lambda e: list(zip(map(float, e[:-1]), map(float, e[1:]), strict=True))
-    return {"land_3d": lambda: uniform_offset(0, 5000, 10), "marine": lambda: common_offset(pairs(marine)), "wide_azimuth": lambda: ovt(pairs(wide), 4), "narrow_azimuth": narrow_azimuth, "full_stack": full_stack}[name]()
+# Offset edges of the presets.
+LAND_3D = (0, 200, 400, 600, 800, 1000, 1500, 2000, 2500, 3000, 5000)
+MARINE = (0, 500, 1000, 2000, 3000, 4500, 8000)
+WIDE_AZIMUTH = (0, 1000, 2000, 3500, 6000)
+
+
+def preset(name: str, **how) -> list[Bin]:
+    """land_3d, marine, wide_azimuth_ovt, narrow_azimuth (by inline_azimuth) or full_stack (by most)."""
+    ranges = lambda e: list(zip(map(float, e[:-1]), map(float, e[1:]), strict=True))
+    if name == "narrow_azimuth":
+        return narrow_azimuth(0.0, 8000.0, width=30.0, **how)
+    if name == "full_stack":
+        return full_stack(**how)
+    return {"land_3d": common_offset(ranges(LAND_3D), "land3d"), "marine": common_offset(ranges(MARINE), "marine"), "wide_azimuth_ovt": ovt(ranges(WIDE_AZIMUTH), 4)}[name]
 
 
 def frame(spark: SparkSession, bins: list[Bin]) -> DataFrame:

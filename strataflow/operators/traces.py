@@ -67,17 +67,26 @@ def autocorrelation(samples: Column, max_lag: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.least(F.lit(max_lag), n - 1)), at)
 
 
-def agc(traces: DataFrame, half: int, target: float = 1.0, key: str = "trace_index") -> DataFrame:
-    """(key, samples): each sample over the root mean square of the window of 2 half + 1 about it, reflected at the ends; a thousandth of the trace's own steadies quiet windows."""
+def agc(traces: DataFrame, half: int, target: float = 1.0, key: str = "trace_index", gather: str = "gather", floor: float | None = None) -> DataFrame:
+    """(key, samples, scales): each sample times its scale, the target over the root mean square of the window of 2 half + 1 about it, reflected at the ends, with a floor that steadies quiet windows.
+
+    The floor is a thousandth of the root mean square of the trace's whole gather, if none is given: one
+    partial sum for each gather and task, joined to the traces. remove_agc() undoes it by the scales.
+    """
+    square = F.sum(energy(F.col("samples"))) / F.sum(F.size("samples"))
+    of_gather = traces.groupBy(F.col(gather).alias("agc_gather")).agg(F.greatest(0.001 * F.sqrt(square), F.lit(1e-10)).alias("agc_floor"))
+    rows = traces.select(key, gather, "samples")
+    rows = rows.withColumn("agc_floor", F.lit(floor)) if floor is not None else rows.join(of_gather, F.col(gather).eqNullSafe(F.col("agc_gather")))
     n = F.size("samples")
     at = lambda a, k: F.element_at(a, F.when(k < 0, -k - 1).when(k >= n, 2 * n - 1 - k).otherwise(k) + 1)
 
     def scaled(a: Column) -> Column:
-        steady = F.greatest(0.001 * rms(a), F.lit(1e-10))
         mean = lambda i: F.aggregate(F.transform(F.sequence(i - half, i + half), lambda k: at(a, k) * at(a, k)), F.lit(0.0).cast("double"), lambda s, x: s + x) / (2 * half + 1)
-        return F.transform(a, lambda x, i: x * target / (F.sqrt(mean(i)) + steady))
+        return F.transform(a, lambda x, i: target / (F.sqrt(mean(i)) + F.col("agc_floor")))
 
-    return traces.select(key, F.element_at(F.transform(F.array(doubles(F.col("samples"))), scaled), 1).alias("samples"))
+    rows = rows.select(key, doubles(F.col("samples")).alias("samples"), "agc_floor")
+    scaled_rows = rows.select(key, "samples", F.element_at(F.transform(F.array("samples"), scaled), 1).alias("scales"))
+    return scaled_rows.select(key, F.zip_with("samples", "scales", lambda x, k: x * k).alias("samples"), "scales")
 
 
 def remove_agc(samples: Column, scales: Column) -> Column:

@@ -16,8 +16,10 @@ from strataflow.streaming import jobs as streams
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one; of this machine where there is none."""
+    """A new folder in the cluster's shared one; of this machine where there is none, which only a local master may use."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{root.rstrip('/') if root else 'file://' + tempfile.mkdtemp(prefix='strataflow-')}/{uuid.uuid4().hex}"
 
 
@@ -57,12 +59,17 @@ def velocity_read_back(s, d):
     return functions_of_depth.read_velocity(s, at).select("cdp", F.round("t", 6).alias("t"), "v")
 
 
-def streamed(f, name: str):
+def with_ends(jobs: DataFrame) -> DataFrame:
+    """jobs and a row without an id for each worker, which marks its stream's end."""
+    return jobs.unionByName(jobs.select("worker").distinct(), allowMissingColumns=True)
+
+
+def streamed(f, name: str, more=lambda jobs: jobs):
     """The rows of a stream over the events' files, as far as they go."""
 
     def query(s: SparkSession, d: str) -> DataFrame:
         at = folder(s)
-        jobs(s, d).repartition(1).write.parquet(f"{at}/in")
+        more(jobs(s, d)).repartition(1).write.parquet(f"{at}/in")
         source = s.readStream.schema(s.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
         q = f(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
         q.awaitTermination()
@@ -83,5 +90,5 @@ QUERIES = {
     "synthetic_gather": (lambda s, d: flat(synthetic.gather(s, 20, 100)), None),
     "synthetic_marine": (lambda s, d: synthetic.marine(s, 5, 8), "SELECT range AS trace_index, range // 8 AS shot, range // 8 * 100.0::DOUBLE AS sx, 0.0::DOUBLE AS sy, range // 8 * 100.0::DOUBLE + 100 + range % 8 * 25.0::DOUBLE AS rx, 0.0::DOUBLE AS ry FROM range(40)"),
     "stream_failure_alerts": (streamed(lambda j: streams.consecutive_failure_alerts(j, "worker", 2), "runs"), _EVENTS + ", b AS (SELECT *, sum(CASE WHEN state = 'FAILED' THEN 0 ELSE 1 END) OVER (PARTITION BY worker ORDER BY created_at, id) AS b FROM j), f AS (SELECT *, row_number() OVER (PARTITION BY worker, b ORDER BY created_at, id) AS n FROM b WHERE state = 'FAILED') SELECT CAST(worker AS VARCHAR) AS key, created_at AS at, n FROM f WHERE n = 2"),
-    "stream_gathers": (streamed(lambda j: streams.gathers(j.withColumn("trace_index", F.col("id")), "state", "worker"), "gathers"), _EVENTS + ", r AS (SELECT *, CASE WHEN lag(state) OVER w = state THEN 0 ELSE 1 END AS new FROM j WINDOW w AS (PARTITION BY worker ORDER BY id)), g AS (SELECT *, sum(new) OVER (PARTITION BY worker ORDER BY id) AS e FROM r), c AS (SELECT worker, e, any_value(state) AS value, min(id) AS a, max(id) AS b FROM g GROUP BY worker, e) SELECT CAST(worker AS VARCHAR) AS stream, value, a AS start_trace, b AS end_trace, b - a + 1 AS n_traces FROM c QUALIFY e < max(e) OVER (PARTITION BY worker)"),
+    "stream_gathers": (streamed(lambda j: streams.gathers(j.withColumn("trace_index", F.col("id")), "state", "worker"), "gathers", with_ends), _EVENTS + ", r AS (SELECT *, CASE WHEN lag(state) OVER w = state THEN 0 ELSE 1 END AS new FROM j WINDOW w AS (PARTITION BY worker ORDER BY id)), g AS (SELECT *, sum(new) OVER (PARTITION BY worker ORDER BY id) AS e FROM r), c AS (SELECT worker, e, any_value(state) AS value, min(id) AS a, max(id) AS b FROM g GROUP BY worker, e) SELECT CAST(worker AS VARCHAR) AS stream, value, a AS start_trace, b AS end_trace, b - a + 1 AS n_traces FROM c"),
 }

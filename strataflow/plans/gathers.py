@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -228,6 +230,23 @@ def _pair(a: B.Bin, b: B.Bin) -> bool:
     return a.offset_min < b.offset_max and b.offset_min < a.offset_max and B.azimuths_meet(a, b)
 
 
+def presets(s, d):
+    names = ("land_3d", "marine", "wide_azimuth_ovt", "narrow_azimuth", "full_stack")
+    own = [B.frame(s, B.preset(n)).withColumn("preset", F.lit(n)) for n in names]
+    return functools.reduce(DataFrame.unionByName, own).select("preset", "bin_name", "offset_min", "offset_max", "azimuth_min", "azimuth_max")
+
+
+_PRESETS_SQL = """
+WITH edges AS (
+  SELECT 'land_3d' AS preset, 'land3d' AS prefix, [0, 200, 400, 600, 800, 1000, 1500, 2000, 2500, 3000, 5000] AS e
+  UNION ALL SELECT 'marine', 'marine', [0, 500, 1000, 2000, 3000, 4500, 8000]
+  UNION ALL SELECT 'wide_azimuth_ovt', NULL, [0, 1000, 2000, 3500, 6000]),
+ranges AS (SELECT preset, prefix, unnest(e[:-2]) AS a, unnest(e[2:]) AS b FROM edges)
+SELECT preset, format('{}_{:04d}_{:04d}', prefix, a, b) AS bin_name, a::DOUBLE AS offset_min, b::DOUBLE AS offset_max, 0.0::DOUBLE AS azimuth_min, 360.0::DOUBLE AS azimuth_max
+FROM ranges WHERE prefix IS NOT NULL
+UNION ALL SELECT preset, format('ovt_off{:04d}_az{:03d}', a, k * 90), a, b, k * 90, k * 90 + 90 FROM ranges, range(4) t(k) WHERE prefix IS NULL
+UNION ALL VALUES ('narrow_azimuth', 'inline_pos', 0, 8000, 345, 15), ('narrow_azimuth', 'inline_neg', 0, 8000, 165, 195),
+  ('narrow_azimuth', 'xline_pos', 0, 8000, 75, 105), ('narrow_azimuth', 'xline_neg', 0, 8000, 255, 285), ('full_stack', 'full_stack', 0, 10000, 0, 360)"""
 _ON = [b for b in BINS if b.enabled]
 GAPPED = B.common_offset([(0, 500), (700, 1000), (1500, 1600)])
 
@@ -246,6 +265,7 @@ QUERIES = {
     "offset_range": (lambda s, d: indexed(s, d).where("offset >= 1000 AND offset < 5000").select("k", "n", "part", "offset"), _INDEX + ' SELECT k, n, part, o AS "offset" FROM i WHERE o >= 1000 AND o < 5000'),
     "azimuth_sector": (lambda s, d: indexed(s, d).where(B.contains(F.col("offset"), F.col("azimuth"), B.Bin("x", 0, 9000, 350.0, 20.0))).select("k", "n", "part", "azimuth"), _INDEX + " SELECT k, n, part, a AS azimuth FROM i WHERE o < 9000 AND (a >= 350 OR a < 20)"),
     "bin_assign": (assigned, _INDEX + f", {_bins_sql(BINS)} SELECT k, n, part, supp, bin_name FROM i JOIN b ON {_HOLDS}"),
+    "bin_presets": (presets, _PRESETS_SQL),
     "bin_summary": (lambda s, d: B.summary(indexed(s, d), BINS), _INDEX + f", {_bins_sql(BINS)} SELECT bin_name, count(o) AS n_traces FROM b LEFT JOIN i ON {_HOLDS} GROUP BY bin_name"),
     "bin_coverage": (coverage, _INDEX + f", {_bins_sql(BINS)}, c AS (SELECT i.k, i.n, i.part, i.supp, i.o, i.a, r, count(bin_name) AS m FROM (SELECT *, row_number() OVER () AS r FROM i) i LEFT JOIN b ON {_HOLDS} GROUP BY ALL) SELECT count(*) AS n_traces, count(*) FILTER (WHERE m = 0) AS n_unassigned, count(*) FILTER (WHERE m > 1) AS n_multiple, round(100.0 * count(*) FILTER (WHERE m > 0) / count(*), 6) AS coverage_percent FROM c"),
     "bin_overlaps": (lambda s, d: B.overlaps(s, BINS), f"WITH {_bins_sql(BINS)}, n AS (SELECT *, row_number() OVER () AS r FROM b) SELECT x.bin_name AS bin_a, y.bin_name AS bin_b FROM n x JOIN n y ON x.r < y.r AND x.o1 < y.o2 AND y.o1 < x.o2 AND (CASE WHEN y.a2 < y.a1 THEN x.a1 >= y.a1 OR x.a1 < y.a2 ELSE x.a1 >= y.a1 AND x.a1 < y.a2 END OR CASE WHEN x.a2 < x.a1 THEN y.a1 >= x.a1 OR y.a1 < x.a2 ELSE y.a1 >= x.a1 AND y.a1 < x.a2 END)"),

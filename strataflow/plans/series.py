@@ -30,7 +30,7 @@ OUT = " SELECT trace_index, s, round({}, 6) + 0.0 AS a FROM "
 _MUTE = "CAST(floor(abs(o) / 2.0 / 2.0) AS BIGINT)"
 _TOP = f"CASE WHEN s < {_MUTE} THEN 0 WHEN s < {_MUTE} + 8 THEN 0.5 * (1 - cos(pi() * (s - {_MUTE}) / 7)) ELSE 1 END"
 _BOTTOM = f"CASE WHEN s >= {_MUTE} THEN 0 WHEN s >= {_MUTE} - 8 THEN 0.5 * (1 - cos(pi() * ({_MUTE} - 1 - s) / 7)) ELSE 1 END"
-_AGC = f""", m AS (SELECT trace_index, greatest(0.001 * sqrt(avg(a * a)), 1e-10) AS steady FROM e GROUP BY trace_index),
+_AGC = f""", m AS (SELECT gather, greatest(0.001 * sqrt(avg(a * a)), 1e-10) AS steady FROM e GROUP BY gather),
 x AS (SELECT e.trace_index, e.s, CASE WHEN k < 0 THEN -k - 1 WHEN k > 63 THEN 127 - k ELSE k END AS k FROM (SELECT trace_index, s, unnest(range(s - 5, s + 6)) AS k FROM e) e),
 w AS (SELECT x.trace_index, x.s, sum(y.a * y.a) / 11 AS p FROM x JOIN e y ON x.trace_index = y.trace_index AND x.k = y.s GROUP BY ALL)"""
 _NMO = """, n AS (SELECT e.*, s * 0.002 AS t0, sqrt(s * 0.002 * (s * 0.002) + (o / 20000.0) * (o / 20000.0)) AS t FROM e), q AS (SELECT *, CAST(floor(t / 0.002) AS BIGINT) AS k, t / 0.002 - floor(t / 0.002) AS part FROM n)
@@ -121,7 +121,7 @@ QUERIES = {
     "trace_mute_top": (mapped(lambda a, o: X.mute(a, o, 2000.0, 2.0, top=True, taper=8)), SAMPLES + OUT.format(f"a * {_TOP}") + "e"),
     "trace_mute_bottom": (mapped(lambda a, o: X.mute(a, o, 2000.0, 2.0, bottom=True, taper=8)), SAMPLES + OUT.format(f"a * {_BOTTOM}") + "e"),
     "trace_mute_both": (mapped(lambda a, o: X.mute(a, o, 2000.0, 2.0, top=True, bottom=True, taper=8)), SAMPLES + OUT.format(f"a * {_TOP} * {_BOTTOM}") + "e"),
-    "trace_agc": (lambda s, d: flat(X.agc(traces(s, d), 5)), SAMPLES + _AGC + " SELECT e.trace_index, e.s, round(a / (sqrt(p) + steady), 6) + 0.0 AS a FROM e JOIN w USING (trace_index, s) JOIN m USING (trace_index)"),
+    "trace_agc": (lambda s, d: flat(X.agc(traces(s, d), 5)), SAMPLES + _AGC + " SELECT e.trace_index, e.s, round(a / (sqrt(p) + steady), 6) + 0.0 AS a FROM e JOIN w USING (trace_index, s) JOIN m USING (gather)"),
     "trace_remove_agc": (mapped(lambda a, o: X.remove_agc(X.doubles(a), F.transform(X.doubles(a), lambda x: x * x + 1))), SAMPLES + OUT.format("a / (a * a + 1 + 1e-10)") + "e"),
     "trace_autocorrelation": (mapped(lambda a, o: X.autocorrelation(a, 10)), SAMPLES + " SELECT x.trace_index, y.s - x.s AS s, round(sum(x.a * y.a) / 64, 6) + 0.0 AS a FROM e x JOIN e y ON x.trace_index = y.trace_index AND y.s - x.s BETWEEN 0 AND 10 GROUP BY 1, 2"),
     "trace_nmo": (mapped(lambda a, o: X.nmo(a, o, 20000.0, 0.002)), SAMPLES + _NMO),

@@ -37,23 +37,35 @@ def consecutive_failure_alerts(jobs: DataFrame, by: str = "worker", threshold: i
 
 
 def gathers(headers: DataFrame, key: str, stream: str = "file") -> DataFrame:
-    """(stream, value, start_trace, end_trace, n_traces) of closed runs of the key in each stream's traces, which arrive in order of trace_index between batches. State: the open run."""
+    """(stream, value, start_trace, end_trace, n_traces) of closed runs of the key in each stream's traces, which arrive in order of trace_index between batches.
+
+    A row of null trace_index marks its stream's end: the open run is closed then too, and its state is
+    removed. State: the open run.
+    """
 
     def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
         rows = pd.concat(list(batches)).sort_values("trace_index")
         out = []
-        for value, at in zip(rows["value"], rows["trace_index"], strict=True):
-            if held is not None and held[0] == value:
+        ended = False
+        for value, at, ends in zip(rows["value"], rows["trace_index"], rows["ends"], strict=True):
+            if ends:
+                ended = True
+            elif held is not None and held[0] == value:
                 held = (value, held[1], int(at))
             else:
                 if held is not None:
                     out.append((name[0], held[0], held[1], held[2], held[2] - held[1] + 1))
                 held = (value, int(at), int(at))
-        state.update(held)
+        if ended and held is not None:
+            out.append((name[0], held[0], held[1], held[2], held[2] - held[1] + 1))
+        if not ended and held is not None:
+            state.update(held)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["stream", "value", "start_trace", "end_trace", "n_traces"])
 
-    rows = headers.select(F.col(stream).cast("string").alias("stream"), F.col(key).cast("string").alias("value"), F.col("trace_index").cast("long").alias("trace_index"))
+    rows = headers.select(F.col(stream).cast("string").alias("stream"), F.col(key).cast("string").alias("value"), F.coalesce(F.col("trace_index").cast("long"), F.lit(2**63 - 1)).alias("trace_index"), F.col("trace_index").isNull().alias("ends"))
     out = "stream string, value string, start_trace long, end_trace long, n_traces long"
     return rows.groupBy("stream").applyInPandasWithState(run, out, "value string, start long, last long", "append", GroupStateTimeout.NoTimeout)
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strataflow.plans import registry
 
@@ -65,8 +66,24 @@ def test_computed_headers_refuse_what_they_do_not_know(spark):
 def test_presets():
     from strataflow.operators import binning as b
 
-    assert [len(b.preset(p)) for p in ("land_3d", "marine", "wide_azimuth", "narrow_azimuth", "full_stack")] == [10, 6, 16, 4, 1]
+    assert [len(b.preset(p)) for p in ("land_3d", "marine", "wide_azimuth_ovt", "narrow_azimuth", "full_stack")] == [10, 6, 16, 4, 1]
+    assert [x.offset_max for x in b.preset("land_3d")] == [200, 400, 600, 800, 1000, 1500, 2000, 2500, 3000, 5000]
     assert b.narrow_azimuth(inline_azimuth=350, width=20)[0][3:5] == (340, 360.0)
     assert [x.bin_name for x in b.ovt([(0, 500)], 2)] == ["ovt_off0000_az000", "ovt_off0000_az180"]
     log = b.custom_offset(0, 1000, 3, True)
     assert log[0].offset_min == 0 and log[-1].offset_max == pytest.approx(1000) and log[1].offset_max / log[1].offset_min == pytest.approx(10)
+
+
+def test_agc_takes_its_floor_from_the_gather_and_can_be_undone(spark):
+    from strataflow.operators import traces as X
+
+    rows = [(0, 7, [1.0, -2.0, 3.0, 4.0, 0.5]), (1, 7, [0.0] * 5), (2, 8, [1e-3, 0.0, -1e-3, 2e-3, 0.0])]
+    df = spark.createDataFrame(rows, "trace_index long, gather long, samples array<double>")
+    out = {r.trace_index: r for r in X.agc(df, 1).collect()}
+    floor = {7: 0.001 * (sum(x * x for _, g, s in rows for x in s if g == 7) / 10) ** 0.5, 8: 0.001 * (sum(x * x for x in rows[2][2]) / 5) ** 0.5}
+    for i, g, s in rows:
+        wide = [s[0], *s, s[-1]]
+        scales = [1 / ((sum(x * x for x in wide[k : k + 3]) / 3) ** 0.5 + floor[g]) for k in range(5)]
+        assert out[i].scales == pytest.approx(scales) and out[i].samples == pytest.approx([x * k for x, k in zip(s, scales, strict=True)])
+    undone = X.agc(df, 1).select("trace_index", X.remove_agc(F.col("samples"), F.col("scales")).alias("a")).collect()
+    assert all(r.a == pytest.approx(rows[r.trace_index][2]) for r in undone)

@@ -127,7 +127,11 @@ def test_gathers_of_a_stream_equal_the_batch(spark, tmp_path):
             first = spark.readStream.schema("file string, cdp string, trace_index long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "h" / "*"))
             q = streaming.gathers(first, "cdp").writeStream.format("memory").queryName("gathers").start()
         q.processAllAvailable()
-    assert rows_of(q, "gathers", spark) == [("f", "a", 0, 2, 3), ("f", "a", 8, 9, 2), ("f", "b", 3, 6, 4), ("f", "c", 7, 7, 1)]
+    closed = [("f", "a", 0, 2, 3), ("f", "a", 8, 9, 2), ("f", "b", 3, 6, 4), ("f", "c", 7, 7, 1)]
+    assert sorted(map(tuple, spark.table("gathers").collect())) == closed
+    spark.createDataFrame([("f", None, None), ("g", "x", 0), ("g", None, None)], "file string, cdp string, trace_index long").coalesce(1).write.parquet(str(tmp_path / "h" / "end"))
+    q.processAllAvailable()
+    assert rows_of(q, "gathers", spark) == [*closed, ("f", "d", 10, 11, 2), ("g", "x", 0, 0, 1)]
 
 
 def test_ingest(spark, tmp_path):
