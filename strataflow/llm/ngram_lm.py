@@ -86,6 +86,11 @@ class Layout(NamedTuple):
         own = mixed(v * _P2 + mixed(u))
         return np.where(self.split(v), own, self.within(mixed(v), own))
 
+    def told(self, context: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Which contexts must be written: those that one triple follows once are told by their pair, as every pair but one at a text's end has something after it. Two starts are no pair."""
+        both = self.contexts(np.array([START]), np.array([START]))
+        return (sums != np.array(USUAL["context"])).any(axis=1) | (context == both)
+
 
 class Model(NamedTuple):
     """Where a model's arrays are, and the few numbers beside them."""
@@ -239,7 +244,8 @@ def _range(table: pa.Table, path: str, layout: Layout) -> Iterator[pa.RecordBatc
         context = layout.contexts(u, v)
         at, sums = _summed(context, *_kinds(n))
         own, split = context[at], layout.split(v[at])
-        save_counts(f"{path}/contexts", shard, layout.bits, own[~split], sums[~split], USUAL["context"])
+        kept = ~split & layout.told(own, sums)
+        save_counts(f"{path}/contexts", shard, layout.bits, own[kept], sums[kept])
         yield from _sent("context", own[split], sums[split], layout.bits)
         at, sums = _summed(pair, np.ones(len(n)), n)
         continued = np.where(v[at] == START, sums[:, 1], sums[:, 0])
@@ -270,7 +276,9 @@ def _word_range(table: pa.Table, path: str, layout: Layout) -> pa.Table:
         at, sums = _summed(key, *np.concatenate(fields).T)
         found[of] = key[at], sums
     del parts
-    save_counts(f"{path}/frequent", shard, layout.bits, *found["context"], USUAL["context"])
+    context, sums = found["context"]
+    kept = layout.told(context, sums)
+    save_counts(f"{path}/frequent", shard, layout.bits, context[kept], sums[kept])
     word = np.union1d(found["history"][0], found["token"][0])
     whole = np.zeros((len(word), 6), np.int64)
     whole[np.searchsorted(word, found["history"][0]), :4] = found["history"][1]
@@ -321,13 +329,17 @@ class Opened:
         self.model = model
         at = lambda name, k, usual=(), exact=False: Counts(f"{model.path}/{name}", model.layout.bits, k, usual, exact)
         self.triples, self.pairs, self.words = at("triples", 1, USUAL["count"]), at("pairs", 1, USUAL["count"]), at("words", 6, exact=True)
-        self.contexts, self.frequent = at("contexts", 4, USUAL["context"]), at("frequent", 4, USUAL["context"])
+        self.contexts, self.frequent = at("contexts", 4), at("frequent", 4)
 
-    def context(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def pairs_and_contexts(self, u: np.ndarray, v: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of pairs (v, w), and contexts' (u, v) totals: those that aren't written are usual where they are a pair; nothing comes after an end."""
         key, split = self.model.layout.contexts(u, v), self.model.layout.split(v)
         out = np.zeros((len(key), 4), np.int64)
         out[~split], out[split] = self.contexts.find(key[~split]), self.frequent.find(key[split])
-        return out
+        left = np.flatnonzero((out[:, 3] == 0) & (v != END))
+        found = self.pairs.find(np.concatenate([pair, self.model.layout.keys(u[left], u[left], v[left])[1]]))[:, 0]
+        out[left[found[len(pair) :] > 0]] = USUAL["context"]
+        return found[: len(pair)], out
 
 
 @lru_cache(maxsize=2)
@@ -362,8 +374,9 @@ def probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) ->
     triple, pair = model.layout.keys(u, v, w)
     if model.layout.order == 2:
         return _interpolated(own.triples.find(triple)[:, 0], found[before, :4], triples_d, lower[at]), found[at, 5]
-    p = _interpolated(own.pairs.find(pair)[:, 0], found[before, :4], pairs_d, lower[at])
-    return _interpolated(own.triples.find(triple)[:, 0], own.context(u, v), triples_d, p), found[at, 5]
+    continued, context = own.pairs_and_contexts(u, v, pair)
+    p = _interpolated(continued, found[before, :4], pairs_d, lower[at])
+    return _interpolated(own.triples.find(triple)[:, 0], context, triples_d, p), found[at, 5]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
