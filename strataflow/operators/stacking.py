@@ -40,13 +40,25 @@ def stack(traces: DataFrame, gather: str, method: str = "mean", min_fold: int =
 
 
 def weighted_stack(traces: DataFrame, gather: str, offset: str = "offset", min_fold: int = 1, samples: str = "samples") -> DataFrame:
-    """Rows (gather, sample_index, stack, fold): live samples weighed 1 - 0.5 |offset| / the gather's largest, over the weights' sum."""
+    """Rows (gather, sample_index, stack, fold): live samples weighed 1 - 0.5 |offset| / the gather's largest, over the weights' sum.
+
+    The weights are linear in |offset|, so partial sums of a and |offset| a are enough: the largest
+    offset, from headers alone, joins the sums and not the samples. Rows of null gather are left out.
+    """
     far = traces.groupBy(gather).agg(F.max(F.abs(offset)).alias("_far"))
-    weight = 1 - 0.5 * F.coalesce(F.try_divide(F.abs(offset), "_far"), F.lit(0.0))
-    rows = exploded(traces.join(far, gather).withColumn("_w", weight), [gather, "_w"], samples)
+    rows = exploded(traces.where(F.col(gather).isNotNull()).withColumn("_x", F.coalesce(F.abs(offset), F.lit(0)).cast("double")), [gather, "_x"], samples)
     alive = live(F.col("a"))
-    sums = rows.groupBy(gather, "sample_index").agg(F.sum(F.when(alive, F.col("_w") * F.col("a"))).alias("_wa"), F.sum(F.when(alive, F.col("_w"))).alias("_ws"), F.count_if(alive).alias("fold"))
-    return sums.select(gather, "sample_index", F.when(F.col("fold") < max(1, min_fold), 0.0).otherwise(F.coalesce(F.try_divide("_wa", "_ws"), F.lit(0.0))).alias("stack"), "fold")
+    total = lambda c, name: F.coalesce(F.sum(F.when(alive, c)), F.lit(0.0)).alias(name)
+    sums = rows.groupBy(gather, "sample_index").agg(total(F.col("a"), "_a"), total(F.col("_x") * F.col("a"), "_xa"), total(F.col("_x"), "_xs"), F.count_if(alive).alias("fold")).join(far, gather)
+    half = lambda c: 0.5 * F.coalesce(F.try_divide(F.col(c), F.col("_far")), F.lit(0.0))
+    mean = F.coalesce(F.try_divide(F.col("_a") - half("_xa"), F.col("fold") - half("_xs")), F.lit(0.0))
+    return sums.select(gather, "sample_index", F.when(F.col("fold") < max(1, min_fold), 0.0).otherwise(mean).alias("stack"), "fold")
+
+
+def stack_inlines(traces: DataFrame, inlines: list[int], inline: str = "inline", gather: str = "cdp", method: str = "mean", min_fold: int = 1, samples: str = "samples") -> DataFrame:
+    """Rows (inline, gather, sample_index, stack, fold) of the chosen inlines' gathers, for quality control; the choice is a filter that reaches the scan. No inlines: no rows."""
+    chosen = traces.where(F.col(inline).isin(inlines)).select(F.struct(inline, gather).alias("_gather"), samples)
+    return stack(chosen, "_gather", method, min_fold, samples=samples).select(f"_gather.{inline}", f"_gather.{gather}", "sample_index", "stack", "fold")
 
 
 def stack_summary(traces: DataFrame, gather: str, offset: str = "offset", samples: str = "samples") -> DataFrame:

@@ -87,3 +87,16 @@ def test_agc_takes_its_floor_from_the_gather_and_can_be_undone(spark):
         assert out[i].scales == pytest.approx(scales) and out[i].samples == pytest.approx([x * k for x, k in zip(s, scales, strict=True)])
     undone = X.agc(df, 1).select("trace_index", X.remove_agc(F.col("samples"), F.col("scales")).alias("a")).collect()
     assert all(r.a == pytest.approx(rows[r.trace_index][2]) for r in undone)
+
+
+def test_weighted_stacks_and_inlines_by_hand(spark):
+    from strataflow.operators import stacking as S
+
+    rows = [(1, 5, -100.0, [1.0, 2.0]), (1, 5, 50.0, [3.0, 0.0, 7.0]), (1, 5, None, [5.0]), (1, 6, 0.0, [2.0]), (2, 5, 10.0, None), (2, None, 10.0, [1.0]), (None, 9, 1.0, [1.0])]
+    df = spark.createDataFrame(rows, "inline long, cdp long, offset double, samples array<double>")
+    got = {(r.cdp, r.sample_index): (r.stack, r.fold) for r in S.weighted_stack(df, "cdp").collect()}
+    want = {(5, 0): ((0.5 * 1 + 0.75 * 3 + 5) / 2.25, 3), (5, 1): (2.0, 1), (5, 2): (7.0, 1), (6, 0): (2.0, 1), (9, 0): (1.0, 1)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    lines = S.stack_inlines(df, [1, 2])
+    assert {tuple(r) for r in lines.collect()} == {(1, 5, 0, 3.0, 3), (1, 5, 1, 2.0, 1), (1, 5, 2, 7.0, 1), (1, 6, 0, 2.0, 1), (2, None, 0, 1.0, 1)}
+    assert S.stack_inlines(df, []).count() == 0 and S.stack_inlines(df, [3]).columns == lines.columns
