@@ -46,7 +46,7 @@ class ImagingJob:
         """(bin_name, il, xl, t_index, image, fold): an image for each offset bin of traces(tx, ty, offset, azimuth, samples)."""
         if found := self.problems():
             raise ValueError("; ".join(found))
-        grid = imaging.image_grid(spark, self.origin, self.spacing, self.shape)
+        grid = imaging.Grid(self.origin, self.spacing, self.shape)
         out = None
         for b in binning.preset(self.binning):
             own = traces.where(binning.contains(traces["offset"], traces["azimuth"], b))

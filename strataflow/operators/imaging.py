@@ -1,55 +1,197 @@
-"""Kirchhoff time imaging: each trace's samples are spread over the image points within the aperture and summed.
+"""Kirchhoff imaging in tiles: each trace goes once to each tile of the image that it reaches and is added into the tile's arrays.
 
-Traces and image columns meet by cells of the aperture (grids.within), not by all pairs. With h the
-distance from midpoint to image point, a sample at t goes to t_out = sqrt(t^2 + 4 (h^2 + (offset / 2)^2) / v^2)
-(spread), or back along that curve, sqrt(t^2 - ...), which focuses diffractions (focus). Samples go to
-the floor of their output index, weighed z / r^3 with z = v t_out / 2, and are summed with the fold by
-partial aggregates per task before the shuffle.
+Tiles are square blocks of image points whose arrays have at most CELLS cells, so a task's memory is bounded however
+many traces a tile gets. Traces are dealt by ranges of (tile, hash of the trace): a tile that many traces reach spans
+several tasks, whose partial images are summed by point and index. A task sees its traces sorted by tile and writes
+a tile once the next one begins.
+
+Traces with a null coordinate, offset or samples reach nothing; single null samples are left out.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import math
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.operators.grids import normalised, within
+from strataflow.operators.grids import normalised
+
+#: Cells (points x output indices) of a tile, twelve bytes each.
+CELLS = 8_000_000
+#: Points x samples that a kernel works on at once, and rows of a batch it returns.
+AT_ONCE, BATCH = 1_000_000, 100_000
+
+#: Adds one trace (its coordinates, samples, and which of them are not null) to (image, fold) at the points x, y.
+Kernel = Callable[[tuple, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]
+
 
+@dataclasses.dataclass(frozen=True)
+class Grid:
+    """Image points at origin + (il, xl) * spacing."""
 
-def image_grid(spark, origin: tuple[float, float], spacing: tuple[float, float], shape: tuple[int, int]) -> DataFrame:
-    """(il, xl, x, y) of an image grid, from one range."""
-    n = shape[0] * shape[1]
-    il, xl = F.floor(F.col("id") / shape[1]).cast("long"), F.col("id") % shape[1]
-    return spark.range(n).select(il.alias("il"), xl.alias("xl"), (il * spacing[0] + origin[0]).alias("x"), (xl * spacing[1] + origin[1]).alias("y"))
+    origin: tuple[float, float]
+    spacing: tuple[float, float]
+    shape: tuple[int, int]
 
 
-def survey_grid(spark, traces: DataFrame, spacing: tuple[float, float]) -> DataFrame:
+def survey_grid(traces: DataFrame, spacing: tuple[float, float]) -> Grid:
     """The image grid over the midpoints tx, ty of all traces: its extent is one aggregate, so it grows with the survey."""
     e = traces.agg(F.min("tx").alias("x"), F.min("ty").alias("y"), F.max("tx").alias("x_end"), F.max("ty").alias("y_end")).first()
     if e["x"] is None or e["y"] is None:
-        return image_grid(spark, (0.0, 0.0), spacing, (0, 1))
+        return Grid((0.0, 0.0), spacing, (0, 0))
     shape = (math.ceil((e["x_end"] - e["x"]) / spacing[0]) + 1, math.ceil((e["y_end"] - e["y"]) / spacing[1]) + 1)
-    return image_grid(spark, (e["x"], e["y"]), spacing, shape)
-
-
-def migrate(traces: DataFrame, grid: DataFrame, velocity: float, dt_s: float, n_out: int, aperture: float, max_angle: float = 60.0, min_fold: int = 1, mode: str = "spread") -> DataFrame:
-    """(il, xl, t_index, image, fold) of traces(tx, ty, offset, samples) with midpoints tx, ty; image is normalised by the fold, cells that nothing reaches are left out. The aperture is also bound by the angle at the output's depth."""
-    pairs = within(grid, traces, aperture)
-    h = F.col("distance")
-    shift = 4 * (h * h + F.col("offset") * F.col("offset") / 4) / (velocity * velocity)
-    rows = pairs.select("il", "xl", "distance", shift.alias("_shift"), F.posexplode("samples").alias("_i", "_a"))
-    t = F.col("_i") * dt_s
-    t_out = F.sqrt(t * t + F.col("_shift")) if mode == "spread" else F.sqrt(F.greatest(t * t - F.col("_shift"), F.lit(0.0)))
-    z = velocity * t_out / 2
-    r2 = z * z + h * h
-    inside = (t_out / dt_s < n_out - 0.001) & (t_out > 0) & (h < aperture) & (h < z * math.tan(math.radians(max_angle)))
-    weighted = F.col("_a").cast("double") * z / (F.sqrt(r2) * r2 + 1e-10)
-    spread = rows.where(inside).select("il", "xl", F.floor(t_out / dt_s + 1e-6).cast("long").alias("t_index"), weighted.alias("_wa"))
-    sums = spread.groupBy("il", "xl", "t_index").agg(F.sum("_wa").alias("_image"), F.count("*").alias("fold"))
+    return Grid((e["x"], e["y"]), spacing, shape)
+
+
+def _tiles(at: str, axis: int, grid: Grid, aperture: float, side: int) -> Column:
+    """Numbers of the tiles along an axis that have points within the aperture; empty if none has."""
+    c = F.col(at).cast("double") - grid.origin[axis]
+    first = F.greatest(F.ceil((c - aperture) / grid.spacing[axis]), F.lit(0))
+    last = F.least(F.floor((c + aperture) / grid.spacing[axis]), F.lit(grid.shape[axis] - 1))
+    return F.when(first <= last, F.sequence(F.floor(first / side), F.floor(last / side))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _summed(traces: DataFrame, at: tuple[str, str], columns: list[str], grid: Grid, aperture: float, n_out: int, kernel: Kernel) -> DataFrame:
+    """(il, xl, t_index, _image, fold) of what kernel adds at the points within the aperture of each trace's place."""
+    side = max(1, math.isqrt(CELLS // n_out))
+    known = traces.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col("samples").cast("array<double>").alias("samples")).na.drop()
+    sent = known.withColumn("_tx", F.explode(_tiles(at[0], 0, grid, aperture, side))).withColumn("_ty", F.explode(_tiles(at[1], 1, grid, aperture, side)))
+    tasks = int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sent.repartitionByRange(tasks, "_tx", "_ty", F.xxhash64(*columns, "samples")).sortWithinPartitions("_tx", "_ty")
+
+    def points(tile: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.arange(k * side, min((k + 1) * side, n)) for k, n in zip(tile, grid.shape, strict=True))
+
+    def batches(tile: tuple[int, int], image: np.ndarray, fold: np.ndarray) -> Iterator[pa.RecordBatch]:
+        xl = points(tile)[1]
+        reached = np.flatnonzero(fold)
+        for k in range(0, len(reached), BATCH):
+            flat = reached[k : k + BATCH]
+            point, t = np.divmod(flat, n_out)
+            il, cross = np.divmod(point, len(xl))
+            columns = [il + tile[0] * side, cross + tile[1] * side, t, image.ravel()[flat], fold.ravel()[flat].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["il", "xl", "t_index", "_image", "fold"])
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = image = fold = x = y = None
+        for batch in given:
+            samples, tiles = batch["samples"], zip(batch["_tx"].to_pylist(), batch["_ty"].to_pylist(), strict=True)
+            places = zip(*[batch[c].to_pylist() for c in columns], strict=True)
+            for row, (tile, place) in enumerate(zip(tiles, places, strict=True)):
+                if tile != held:
+                    if held is not None:
+                        yield from batches(held, image, fold)
+                    held, (il, xl) = tile, points(tile)
+                    image, fold = np.zeros((len(il) * len(xl), n_out)), np.zeros((len(il) * len(xl), n_out), np.int32)
+                    x, y = np.repeat(il * grid.spacing[0] + grid.origin[0], len(xl)), np.tile(xl * grid.spacing[1] + grid.origin[1], len(il))
+                own = samples[row].values
+                kernel(place, own.fill_null(0.0).to_numpy(), own.is_valid().to_numpy(zero_copy_only=False), x, y, image, fold)
+        if held is not None:
+            yield from batches(held, image, fold)
+
+    parts = dealt.mapInArrow(run, "il long, xl long, t_index long, _image double, fold long")
+    return parts.groupBy("il", "xl", "t_index").agg(F.sum("_image").alias("_image"), F.sum("fold").alias("fold"))
+
+
+def _curve(velocity: float | Sequence[tuple[float, float]], t: np.ndarray) -> np.ndarray:
+    """The velocity at times t: constant, or between knots (t, v) of an RMS function, level beyond them."""
+    if isinstance(velocity, (int, float)):
+        return np.full(len(t), float(velocity))
+    times, values = zip(*sorted(velocity), strict=True)
+    return np.interp(t, times, values)
+
+
+def migrate(
+    traces: DataFrame,
+    grid: Grid,
+    velocity: float | Sequence[tuple[float, float]],
+    dt_s: float,
+    n_out: int,
+    aperture: float,
+    max_angle: float = 60.0,
+    min_fold: int = 1,
+    mode: str = "spread",
+) -> DataFrame:
+    """(il, xl, t_index, image, fold) of traces(tx, ty, offset, samples) with midpoints tx, ty, imaged in time.
+
+    With h the distance from midpoint to image point, a sample at t goes to t_out = sqrt(t^2 + 4 (h^2 + (offset / 2)^2) / v^2)
+    (spread), or back along that curve, sqrt(t^2 - ...), which focuses diffractions (focus). v is constant or an RMS
+    function of (t, v) knots, taken at the input's time. Samples go to the floor of their output index, weighed z / r^3
+    with z = v t_out / 2. The image is normalised by the fold; cells that nothing reaches are left out. The aperture
+    is also bound by the angle at the output's depth.
+    """
+    if mode not in ("spread", "focus"):
+        raise ValueError(f"mode {mode!r} is neither spread nor focus")
+    steep, sign = math.tan(math.radians(max_angle)), 1 if mode == "spread" else -1
+
+    def kernel(place, a, valid, x, y, image, fold):
+        tx, ty, offset = place
+        t = np.arange(len(a)) * dt_s
+        v = _curve(velocity, t)
+        h = np.sqrt((x - tx) ** 2 + (y - ty) ** 2)
+        near = np.flatnonzero(h < aperture)
+        step = max(1, AT_ONCE // max(len(a), n_out))
+        for k in range(0, len(near), step):
+            p = near[k : k + step]
+            hp = h[p, None]
+            shift = 4 * (hp * hp + offset * offset / 4) / (v * v)
+            t_out = np.sqrt(np.maximum(t * t + sign * shift, 0.0))
+            z = v * t_out / 2
+            row, i = np.nonzero((t_out / dt_s < n_out - 0.001) & (t_out > 0) & (hp < z * steep) & valid)
+            z, d = z[row, i], h[p][row]
+            r2 = z * z + d * d
+            at = row * n_out + np.floor(t_out[row, i] / dt_s + 1e-6).astype(np.int64)
+            image[p] += np.bincount(at, a[i] * z / (np.sqrt(r2) * r2 + 1e-10), len(p) * n_out).reshape(len(p), n_out)
+            fold[p] += np.bincount(at, minlength=len(p) * n_out).reshape(len(p), n_out).astype(np.int32)
+
+    sums = _summed(traces, ("tx", "ty"), ["tx", "ty", "offset"], grid, aperture, n_out, kernel)
     return sums.select("il", "xl", "t_index", normalised(F.col("_image"), F.col("fold"), min_fold).alias("image"), "fold")
 
 
+def migrate_depth(traces: DataFrame, grid: Grid, depths: Sequence[float], v0: float, dt_s: float, aperture: float, max_angle: float = 60.0, gradient: float = 0.0) -> DataFrame:
+    """(il, xl, z_index, image, fold) of traces(sx, sy, rx, ry, samples) with sources and receivers, imaged at the depths.
+
+    Each depth takes the sample at its two-way traveltime, between neighbours by line, in v0 + gradient * z (straight rays
+    where the gradient is 0), weighed by both rays' cosines over their lengths. Both rays lie strictly within the
+    aperture and the angle. Times beyond a trace take its end. The image is the sum, the fold how many traces took part.
+    """
+    z = np.asarray(depths, float)
+    steepest = math.radians(max_angle)
+
+    def time(h2: np.ndarray) -> np.ndarray:
+        r2 = h2 + z * z
+        if abs(gradient) < 1e-6:
+            return np.sqrt(r2) / v0
+        return np.arccosh(1 + gradient**2 * r2 / (2 * v0 * (v0 + gradient * z))) / abs(gradient)
+
+    def kernel(place, a, valid, x, y, image, fold):
+        if not len(a):
+            return
+        sx, sy, rx, ry = place
+        source, receiver = (x - sx) ** 2 + (y - sy) ** 2, (x - rx) ** 2 + (y - ry) ** 2
+        near = np.flatnonzero((np.sqrt(source) < aperture) & (np.sqrt(receiver) < aperture))
+        step = max(1, AT_ONCE // len(z))
+        for k in range(0, len(near), step):
+            p = near[k : k + step]
+            hs2, hr2 = source[p, None], receiver[p, None]
+            rs, rr = np.sqrt(hs2 + z * z), np.sqrt(hr2 + z * z)
+            inside = (np.arctan2(np.sqrt(hs2), z + 1e-6) < steepest) & (np.arctan2(np.sqrt(hr2), z + 1e-6) < steepest)
+            at = np.clip((time(hs2) + time(hr2)) / dt_s, 0, max(len(a) - 1.001, 0))
+            i = at.astype(np.int64)
+            low, high = a[i], a[np.minimum(i + 1, len(a) - 1)]
+            weight = (z / (rs + 1e-6)) * (z / (rr + 1e-6)) / (rs * rr + 1e-6)
+            image[p] += np.where(inside, (low + (at - i) * (high - low)) * weight, 0.0)
+            fold[p] += inside
+
+    sums = _summed(traces, ("sx", "sy"), ["sx", "sy", "rx", "ry"], grid, aperture, len(z), kernel)
+    return sums.select("il", "xl", F.col("t_index").alias("z_index"), F.col("_image").alias("image"), "fold")
+
+
 def scatter_add(rows: DataFrame) -> DataFrame:
     """(il, xl, z, image, fold) of rows(il, xl, z, amplitude, weight, inside, valid)."""
     kept = rows.where("valid AND inside")

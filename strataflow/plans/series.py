@@ -84,28 +84,74 @@ def survey(s, d):
     return traces(s, d).select((t % 20 * 25.0).alias("tx"), (F.floor(t / 20) * 25.0).alias("ty"), (t % 40 * 50.0).alias("offset"), "samples")
 
 
+#: An RMS velocity function: knots of time in seconds and velocity.
+RMS = ((0.0, 1800.0), (0.64, 2400.0))
+SPACING = (50.0, 50.0)
+DEPTHS = [40.0 * k for k in range(1, 17)]
+
+
 def image(s, d):
-    """A fixed image area, as in the SQL: only traces within its aperture reach it."""
-    return imaged(survey(s, d), imaging.image_grid(s, (0.0, 0.0), (50.0, 50.0), (10, 8)))
+    """A fixed image area, as in its SQL: only traces within its aperture reach it. image_survey images the whole survey."""
+    return imaged(survey(s, d), imaging.Grid((0.0, 0.0), SPACING, (10, 8)), 2000.0)
 
 
-def image_survey(s, d):
+def image_survey(velocity):
     """The whole survey: the image area is that of its midpoints."""
-    t = survey(s, d)
-    return imaged(t, imaging.survey_grid(s, t, (50.0, 50.0)))
+
+    def query(s, d):
+        t = survey(s, d)
+        return imaged(t, imaging.survey_grid(t, SPACING), velocity)
+
+    return query
 
 
-def imaged(traces: DataFrame, grid: DataFrame) -> DataFrame:
-    out = imaging.migrate(traces, grid, 2000.0, 0.02, 64, 120.0, 45.0)
+def imaged(traces: DataFrame, grid: imaging.Grid, velocity) -> DataFrame:
+    out = imaging.migrate(traces, grid, velocity, 0.02, 64, 120.0, 45.0)
     return out.select("il", "xl", "t_index", (F.round(F.col("image") * 1e6, 3) + 0.0).alias("image"), "fold")
 
 
-_IMAGE = """WITH t AS (SELECT vec_id % 20 * 25.0 AS tx, floor(vec_id / 20.0) * 25.0 AS ty, vec_id % 40 * 50.0 AS o, embedding AS samples FROM embeddings),
-g AS (SELECT range // 8 AS il, range % 8 AS xl, range // 8 * 50.0 AS x, range % 8 * 50.0 AS y FROM range(80)),
-p AS (SELECT il, xl, sqrt((x - tx) ** 2 + (y - ty) ** 2) AS d, o, samples FROM g JOIN t ON (x - tx) ** 2 + (y - ty) ** 2 <= 14400),
-e AS (SELECT il, xl, d, 4 * (d * d + o * o / 4) / 4e6 AS shift, unnest(range(len(samples))) AS i, CAST(unnest(samples) AS DOUBLE) AS a FROM p),
-q AS (SELECT *, sqrt(i * 2e-2 * (i * 2e-2) + shift) AS t FROM e), w AS (SELECT *, 2e3 * t / 2 AS z FROM q)
-SELECT il, xl, CAST(floor(t / 2e-2 + 1e-6) AS BIGINT) AS t_index, round(sum(a * z / (sqrt(z * z + d * d) * (z * z + d * d) + 1e-10)) / count(*) * 1e6, 3) + 0.0 AS image, count(*) AS fold FROM w WHERE t / 2e-2 < 64 - 0.001 AND t > 0 AND d < 120 AND d < z * tan(radians(45)) GROUP BY il, xl, floor(t / 2e-2 + 1e-6)"""
+def shots(s, d):
+    """The survey with sources and receivers up to 150 m apart."""
+    half = F.col("trace_index") % 4 * 25.0
+    t = traces(s, d).select("trace_index", *[c.alias(n) for n, c in (("tx", F.col("trace_index") % 20 * 25.0), ("ty", F.floor(F.col("trace_index") / 20) * 25.0))], "samples")
+    return t.select("tx", "ty", (F.col("tx") - half).alias("sx"), F.col("ty").alias("sy"), (F.col("tx") + half).alias("rx"), F.col("ty").alias("ry"), "samples")
+
+
+def image_depth(gradient):
+    def query(s, d):
+        t = shots(s, d)
+        out = imaging.migrate_depth(t, imaging.survey_grid(t, SPACING), DEPTHS, 2000.0, 0.02, 160.0, 60.0, gradient)
+        return out.select("il", "xl", "z_index", (F.round(F.col("image") * 1e4, 3) + 0.0).alias("image"), "fold")
+
+    return query
+
+
+_TRACES = "WITH t AS (SELECT vec_id % 20 * 25.0 AS tx, floor(vec_id / 20.0) * 25.0 AS ty, vec_id % 40 * 50.0 AS o, vec_id % 4 * 25.0 AS half, embedding AS samples FROM embeddings),"
+_FIXED = "g AS (SELECT range // 8 AS il, range % 8 AS xl, range // 8 * 50.0 AS x, range % 8 * 50.0 AS y FROM range(80)),"
+_WHOLE = """b AS (SELECT min(tx) AS x0, min(ty) AS y0, CAST(ceil((max(tx) - min(tx)) / 50) AS BIGINT) + 1 AS nx, CAST(ceil((max(ty) - min(ty)) / 50) AS BIGINT) + 1 AS ny FROM t),
+i AS (SELECT x0, y0, ny, unnest(range(nx)) AS il FROM b),
+j AS (SELECT x0, y0, il, unnest(range(ny)) AS xl FROM i),
+g AS (SELECT il, xl, il * 50.0 + x0 AS x, xl * 50.0 + y0 AS y FROM j),"""
+_TIME = """
+p AS (SELECT il, xl, sqrt((x - tx) ** 2 + (y - ty) ** 2) AS d, o, samples FROM g JOIN t ON tx BETWEEN x - 120 AND x + 120 AND (x - tx) ** 2 + (y - ty) ** 2 <= 14400),
+e AS (SELECT il, xl, d, o, unnest(range(len(samples))) AS i, CAST(unnest(samples) AS DOUBLE) AS a FROM p),
+f AS (SELECT *, {} AS v FROM e),
+q AS (SELECT *, sqrt(i * 2e-2 * (i * 2e-2) + 4 * (d * d + o * o / 4) / (v * v)) AS t FROM f),
+w AS (SELECT *, v * t / 2 AS z FROM q)
+SELECT il, xl, CAST(floor(t / 2e-2 + 1e-6) AS BIGINT) AS t_index,
+  round(sum(a * z / (sqrt(z * z + d * d) * (z * z + d * d) + 1e-10)) / count(*) * 1e6, 3) + 0.0 AS image, count(*) AS fold
+FROM w WHERE t / 2e-2 < 64 - 0.001 AND t > 0 AND d < 120 AND d < z * tan(radians(45)) GROUP BY il, xl, floor(t / 2e-2 + 1e-6)"""
+_RMS = "1800 + least(i * 2e-2, 0.64) * (600 / 0.64)"
+_DEPTH = """
+p AS (SELECT il, xl, (x - tx + half) ** 2 + (y - ty) ** 2 AS hs, (x - tx - half) ** 2 + (y - ty) ** 2 AS hr, samples FROM g JOIN t ON ty BETWEEN y - 160 AND y + 160),
+n AS (SELECT *, unnest(range(16)) AS z_index FROM p WHERE sqrt(hs) < 160 AND sqrt(hr) < 160),
+r AS (SELECT *, (z_index + 1) * 40.0 AS z, sqrt(hs + z * z) AS rs, sqrt(hr + z * z) AS rr FROM n),
+q AS (SELECT *, greatest(0, least(({}) / 2e-2, len(samples) - 1.001)) AS k FROM r WHERE atan2(sqrt(hs), z + 1e-6) < radians(60) AND atan2(sqrt(hr), z + 1e-6) < radians(60)),
+a AS (SELECT *, CAST(samples[CAST(floor(k) AS BIGINT) + 1] AS DOUBLE) AS low, CAST(samples[CAST(floor(k) AS BIGINT) + 2] AS DOUBLE) AS high FROM q)
+SELECT il, xl, z_index, round(sum((low + (k - floor(k)) * (high - low)) * (z / (rs + 1e-6)) * (z / (rr + 1e-6)) / (rs * rr + 1e-6)) * 1e4, 3) + 0.0 AS image, count(*) AS fold
+FROM a GROUP BY il, xl, z_index"""
+_STRAIGHT = "(rs + rr) / 2000.0"
+_CURVED = "(acosh(1 + 0.25 * rs * rs / (4000.0 * (2000 + 0.5 * z))) + acosh(1 + 0.25 * rr * rr / (4000.0 * (2000 + 0.5 * z)))) / 0.5"
 
 
 def nmo_stacked(s, d):
@@ -136,6 +182,9 @@ QUERIES = {
     "velocity_interval_to_rms": (lambda s, d: velocity.interval_to_rms(knots(s, d)).select("id", "t", F.round("v_rms", 6).alias("v_rms")), _KNOTS + ", q AS (SELECT *, v * v * (t - coalesce(lag(t) OVER (PARTITION BY id ORDER BY t), 0)) AS p FROM k) SELECT id, t, round(coalesce(sqrt(sum(p) OVER (PARTITION BY id ORDER BY t) / nullif(t, 0)), v), 6) AS v_rms FROM q"),
     "velocity_interpolate": (asof, _ASOF),
     "velocity_effective": (lambda s, d: velocity.effective(knots(s, d)).select("id", "z", F.round("v", 6).alias("v")), _KNOTS + ", q AS (SELECT *, (t - lag(t) OVER w) * (1 / v + 1 / lag(v) OVER w) / 2 AS p FROM k WINDOW w AS (PARTITION BY id ORDER BY t)) SELECT id, t AS z, round(coalesce(t / nullif(sum(p) OVER (PARTITION BY id ORDER BY t), 0), v), 6) AS v FROM q"),
-    "image_migrate": (image, _IMAGE),
-    "image_survey": (image_survey, None),
+    "image_migrate": (image, _TRACES + _FIXED + _TIME.format("2e3")),
+    "image_survey": (image_survey(2000.0), _TRACES + _WHOLE + _TIME.format("2e3")),
+    "image_survey_rms": (image_survey(RMS), _TRACES + _WHOLE + _TIME.format(_RMS)),
+    "image_depth": (image_depth(0.0), _TRACES + _WHOLE + _DEPTH.format(_STRAIGHT)),
+    "image_depth_gradient": (image_depth(0.5), _TRACES + _WHOLE + _DEPTH.format(_CURVED)),
 }

@@ -76,20 +76,19 @@ def test_imaging_jobs(spark):
     assert len(config.ImagingJob("", "a", "b", velocity=0, max_angle_deg=90).problems()) == 3
     traces = synthetic.diffractor(spark, nt=128).withColumn("azimuth", F.lit(10.0))
     bins = {r.bin_name for r in job.run(spark, traces).select("bin_name").distinct().collect()}
-    assert bins == {"offset_0000_0500"}
+    assert bins == {"marine_0000_0500"}
 
 
-def test_the_survey_image_grows_with_the_survey(spark):
+def test_the_survey_image_grows_with_the_survey(spark, monkeypatch):
     from strataflow.operators import imaging
     from strataflow.plans import series
 
     x = np.random.default_rng(0).standard_normal((900, 64))
     t = spark.createDataFrame([(k % 20 * 25.0, k // 20 * 25.0, k % 40 * 50.0, row.tolist()) for k, row in enumerate(x)], "tx double, ty double, offset double, samples array<double>")
-    grid = imaging.survey_grid(spark, t, (50.0, 50.0))
-    e = grid.agg(F.count("*"), F.max("x"), F.max("y")).first()
-    assert tuple(e) == (11 * 23, 500.0, 1100.0)
+    grid = imaging.survey_grid(t, (50.0, 50.0))
+    assert grid == imaging.Grid((0.0, 0.0), (50.0, 50.0), (11, 23))
     far = t.where("ty > 350 + 120")
-    assert series.imaged(far, imaging.image_grid(spark, (0.0, 0.0), (50.0, 50.0), (10, 8))).isEmpty()
+    assert series.imaged(far, imaging.Grid((0.0, 0.0), (50.0, 50.0), (10, 8)), 2000.0).isEmpty()
     want = {}
     for k, row in enumerate(x):
         for il in range(11):
@@ -101,7 +100,12 @@ def test_the_survey_image_grows_with_the_survey(spark):
                     key = il, xl, int(np.floor(out[i] / 0.02 + 1e-6))
                     s, n = want.get(key, (0.0, 0))
                     want[key] = s + row[i] * z[i] / (np.hypot(z[i], h) ** 3 + 1e-10), n + 1
-    got = {(r.il, r.xl, r.t_index): (r.image, r.fold) for r in series.imaged(t, grid).collect()}
+    got = {(r.il, r.xl, r.t_index): (r.image, r.fold) for r in series.imaged(t, grid, 2000.0).collect()}
     assert {k: n for k, (_, n) in got.items()} == {k: n for k, (_, n) in want.items()} and max(k[1] for k in got) == 22
     assert all(got[k][0] == pytest.approx(s / n * 1e6, abs=2e-3) for k, (s, n) in want.items())
-    assert imaging.survey_grid(spark, t.limit(0), (50.0, 50.0)).isEmpty()
+    monkeypatch.setattr(imaging, "CELLS", 64 * 9)  # tiles of 3 x 3 points
+    small = {(r.il, r.xl, r.t_index): (r.image, r.fold) for r in series.imaged(t, grid, 2000.0).collect()}
+    assert small.keys() == got.keys() and all(small[k][1] == got[k][1] and abs(small[k][0] - got[k][0]) < 2e-3 for k in got)
+    assert series.imaged(t.limit(0), imaging.survey_grid(t.limit(0), (50.0, 50.0)), 2000.0).isEmpty()
+    nulls = t.limit(1).selectExpr("tx", "ty", "CAST(null AS double) AS offset", "samples").unionByName(t.limit(1).withColumn("samples", F.lit(None).cast("array<double>")))
+    assert series.imaged(nulls, grid, 2000.0).isEmpty()

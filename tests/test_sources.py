@@ -94,7 +94,7 @@ def test_geometries(spark):
 
 
 def test_a_diffractor_focuses(spark):
-    grid = imaging.image_grid(spark, (300.0, 300.0), (50.0, 50.0), (9, 9))
+    grid = imaging.Grid((300.0, 300.0), (50.0, 50.0), (9, 9))
     image = imaging.migrate(synthetic.diffractor(spark), grid, 2000.0, 0.004, 256, 600.0, 60.0, mode="focus").where("t_index > 50").collect()
     best = max(image, key=lambda r: abs(r.image))
     assert (best.il, best.xl) == (4, 4) and abs(best.t_index * 0.004 - 0.4) <= 0.012
