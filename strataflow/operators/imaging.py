@@ -24,7 +24,7 @@ from strataflow.operators.grids import normalised
 #: Cells (points x output indices) of a tile, twelve bytes each.
 CELLS = 8_000_000
 #: Points x samples that a kernel works on at once, and rows of a batch it returns.
-AT_ONCE, BATCH = 1_000_000, 100_000
+AT_ONCE, BATCH = 100_000, 100_000
 
 #: Adds one trace (its coordinates, samples, and which of them are not null) to (image, fold) at the points x, y.
 Kernel = Callable[[tuple, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]
