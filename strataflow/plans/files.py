@@ -80,9 +80,13 @@ def streamed(f, name: str, more=lambda jobs: jobs):
 
 _FLAT = "SELECT vec_id AS trace_index, CAST(unnest(range(64)) AS BIGINT) AS s, round(CAST(unnest(embedding) AS DOUBLE), 6) + 0.0 AS a FROM embeddings"
 _EVENTS = "WITH j AS (SELECT event_id AS id, user_id AS worker, ts AS created_at, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'COMPLETED' WHEN 'click' THEN 'RUNNING' ELSE CASE WHEN event_id % 3 = 0 THEN 'FAILED' ELSE 'COMPLETED' END END AS state FROM events)"
+#: Each value to six hexadecimal digits after the point, as IBM floats hold them.
+_IBM = """WITH v AS (SELECT vec_id AS trace_index, CAST(unnest(range(64)) AS BIGINT) AS s, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+p AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE floor(log2(abs(v)) / 4) + 1 END AS p FROM v)
+SELECT trace_index, s, round(CAST(CAST(sign(v) * round_even(abs(v) * pow(2, -4 * p) * 16777216, 0) / 16777216 * pow(2, 4 * p) AS FLOAT) AS DOUBLE), 6) + 0.0 AS a FROM p"""
 QUERIES = {
     "segy_ieee": (segy_read_back(5), _FLAT),
-    "segy_ibm": (segy_read_back(1), None),
+    "segy_ibm": (segy_read_back(1), _IBM),
     "segy_headers": (segy_headers, "SELECT vec_id AS trace_index, CAST(label AS BIGINT) AS cdp, CAST(64 AS BIGINT) AS sample_count FROM embeddings"),
     "bundle_ensembles": (bundle_ensembles, "WITH r AS (SELECT vec_id, label, CASE WHEN lag(label) OVER (ORDER BY vec_id) = label THEN 0 ELSE 1 END AS new FROM embeddings), g AS (SELECT *, sum(new) OVER (ORDER BY vec_id) - 1 AS e FROM r) SELECT CAST(e AS BIGINT) AS ensemble_id, CAST(any_value(label) AS BIGINT) AS gather, min(vec_id) AS start_trace, max(vec_id) AS end_trace, count(*) AS n_traces FROM g GROUP BY e"),
     "bundle_window": (bundle_window, "SELECT vec_id AS trace_index, CAST(unnest(range(20)) AS BIGINT) AS s, round(CAST(unnest(embedding[11:30]) AS DOUBLE), 6) + 0.0 AS a FROM embeddings WHERE vec_id BETWEEN 10 AND 59"),

@@ -32,6 +32,19 @@ SELECT q.trace_index, q.s, round(CASE WHEN muted OR t > 63 * 2e-3 + 1e-12 THEN 0
 FROM q JOIN f USING (trace_index) LEFT JOIN e x ON q.trace_index = x.trace_index AND x.s = k LEFT JOIN e y ON q.trace_index = y.trace_index AND y.s = k + 1"""
 
 
+#: The same times, mutes and taper, with a sum of eight samples under a Hann-windowed sinc.
+_NMO_SINC = (
+    _NMO[: _NMO.index("SELECT q.trace_index")].rstrip()
+    + """,
+w AS (SELECT trace_index, s, t / 2e-3 AS at, unnest(range(CAST(floor(t / 2e-3) AS BIGINT) - 3, CAST(floor(t / 2e-3) AS BIGINT) + 5)) AS j FROM q),
+z AS (SELECT w.trace_index, w.s, sum(e.a * CASE WHEN w.at = j THEN 1 ELSE sin(pi() * (w.at - j)) / (pi() * (w.at - j)) END * 0.5 * (1 + cos(pi() * (w.at - j) / 4))) AS v
+  FROM w JOIN e ON e.trace_index = w.trace_index AND e.s = j WHERE w.at BETWEEN 0 AND 63 AND abs(w.at - j) < 4 GROUP BY w.trace_index, w.s)
+"""
+    + _NMO[_NMO.index("SELECT q.trace_index") : _NMO.index("FROM q JOIN f")].replace("t > 63 * 2e-3 + 1e-12", "z.v IS NULL").replace("(x.a + (coalesce(y.a, x.a) - x.a) * part)", "z.v")
+    + "FROM q JOIN f USING (trace_index) LEFT JOIN z ON q.trace_index = z.trace_index AND q.s = z.s"
+)
+
+
 def nmo_there_and_back(s, d):
     return flat(moveout.inverse_nmo(moveout.nmo(with_offset(s, d), _knots(s), 0.002, stretch=100.0, taper=0), _knots(s), 0.002).select("trace_index", "samples"))
 
@@ -118,7 +131,7 @@ def fk_by_sub_gather(s, d):
 
 QUERIES = {
     "moveout_nmo": (nmo, SAMPLES + _NMO),
-    "moveout_nmo_sinc": (nmo_sinc, None),
+    "moveout_nmo_sinc": (nmo_sinc, SAMPLES + _NMO_SINC),
     "moveout_inverse": (nmo_there_and_back, None),
     "moveout_sample_at": (at_times, SAMPLES + ", p AS (SELECT trace_index, greatest(0, least(62.999::DOUBLE, (trace_index % 70 * 19e-1 - 3) / 2)) AS p FROM t) SELECT p.trace_index, round(x.a + (y.a - x.a) * (p - floor(p)), 6) + 0.0 AS a FROM p JOIN e x ON x.trace_index = p.trace_index AND x.s = floor(p) JOIN e y ON y.trace_index = p.trace_index AND y.s = floor(p) + 1"),
     "moveout_table": (looked_up, HEADERS + _TABLE),

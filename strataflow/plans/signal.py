@@ -70,7 +70,17 @@ f AS (SELECT range AS k FROM range(33)), x AS (SELECT vec_id, gather, k, sqrt(su
 SELECT gather, round(k * 500.0 / 64, 6) AS frequency, round(avg(m), 6) AS amplitude FROM x GROUP BY gather, k"""
 DOMINANT_SQL = f"WITH q AS ({SPECTRUM_SQL.replace('round(avg(m), 6)', 'avg(m)')}) SELECT gather, arg_max(frequency, amplitude) AS frequency, round(20 * log10(max(amplitude) + 1e-10), 6) AS db FROM q WHERE frequency BETWEEN 10 AND 200 GROUP BY gather"
 
+#: Pairs' sums and differences; the differences shrunk by three noise levels of their median.
+HAAR_SQL = """WITH e AS (SELECT vec_id AS trace_index, unnest(range(64)) AS s, CAST(unnest(embedding) AS DOUBLE) AS a FROM embeddings),
+h AS (SELECT trace_index, s // 2 AS i, sum(a) / sqrt(2) AS low, sum(CASE WHEN s % 2 = 0 THEN a ELSE -a END) / sqrt(2) AS high FROM e GROUP BY ALL),
+m AS (SELECT trace_index, 3 * median(abs(high)) / 0.6745 AS most FROM h GROUP BY trace_index),
+k AS (SELECT trace_index, i, low, sign(high) * {} AS high FROM h JOIN m USING (trace_index)), b AS (SELECT unnest([0, 1]) AS side)
+SELECT trace_index, CAST(2 * i + side AS BIGINT) AS s, round((low + CASE WHEN side = 0 THEN high ELSE -high END) / sqrt(2), 6) + 0.0 AS a FROM k, b"""
+HAAR = {"name": "haar", "level": 1}
+
 QUERIES = {
+    "dsp_dwt_haar": (_query("dwt_denoise", HAAR), HAAR_SQL.format("greatest(abs(high) - most, 0)")),
+    "dsp_dwt_haar_hard": (_query("dwt_denoise", HAAR | {"mode": "hard"}), HAAR_SQL.format("CASE WHEN abs(high) > most THEN abs(high) ELSE 0 END")),
     **{name: (_query(*step), None) for name, step in STEPS.items()},
     "dsp_pipeline": (chained, None),
     "dsp_spectrum": (spectrum, SPECTRUM_SQL),
