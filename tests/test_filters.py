@@ -118,15 +118,16 @@ def test_registry():
 def test_expressions_against_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((6, 40))
-    df = spark.createDataFrame([(k, float(k * 10), row.tolist()) for k, row in enumerate(x)], "trace_index long, offset double, samples array<double>")
+    df = spark.createDataFrame([(k, k // 3, float(k * 10), row.tolist()) for k, row in enumerate(x)], "trace_index long, gather long, offset double, samples array<double>")
     assert np.allclose(matrix(df.select("trace_index", X.gain(F.col("samples"), 3.0).alias("samples"))), 3 * x)
     got = matrix(df.select("trace_index", X.autocorrelation(F.col("samples"), 5).alias("samples")))
     assert np.allclose(got, [[(r[: 40 - k] * r[k:]).sum() / 40 for k in range(6)] for r in x])
     agc = matrix(X.agc(df, 3))
-    for r, g in zip(x, agc, strict=True):
+    for k, (r, g) in enumerate(zip(x, agc, strict=True)):
+        gather = x[k // 3 * 3 :][:3]
         wide = np.pad(r * r, 3, mode="symmetric")
         rms = np.sqrt(np.array([wide[k : k + 7].mean() for k in range(40)]))
-        assert np.allclose(g, r / (rms + max(0.001 * np.sqrt((r * r).mean()), 1e-10)))
+        assert np.allclose(g, r / (rms + max(0.001 * np.sqrt((gather * gather).mean()), 1e-10)))
     once = X.mute(F.col("samples"), F.col("offset"), 1000.0, 2.0, top=True, taper=0)
     twice = X.mute(once, F.col("offset"), 1000.0, 2.0, top=True, taper=0)
     assert np.allclose(matrix(df.select("trace_index", once.alias("samples"))), matrix(df.select("trace_index", twice.alias("samples"))))
