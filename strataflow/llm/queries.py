@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import chat_format, decontamination, mixing, ngram_lm, pii, quality_rules, simhash, substring_dedup, token_counts, toxicity
+from strataflow.llm import chat_format, decontamination, minhash, mixing, ngram_lm, pii, quality_rules, simhash, substring_dedup, token_counts, toxicity
 from strataflow.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,9 +20,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_lm": lambda spark, sf_dir: ngram_lm.language_model(documents(spark, sf_dir)),
     "op9_simhash": lambda spark, sf_dir: simhash.near_duplicates(documents(spark, sf_dir)),
     "op10_chat_format": chat_format.query,
+    "op11_minhash": lambda spark, sf_dir: minhash.near_duplicates(documents(spark, sf_dir)),
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.ORACLE_SQL,
+    "op6_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_minhash": minhash.ORACLE_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,4 +22,4 @@ def test_query_equals_sql(spark, sf, name):
 
 def test_names():
     found = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 14))
