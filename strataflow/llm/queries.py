@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import chat_format, decontamination, minhash, mixing, ngram_lm, pii, quality_rules, simhash, substring_dedup, token_counts, toxicity, vector_codes
+from strataflow.llm import chat_format, decontamination, minhash, mixing, ngram_lm, pii, quality_rules, ranked_search, simhash, substring_dedup, token_counts, toxicity, vector_codes
 from strataflow.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": lambda spark, sf_dir: simhash.near_duplicates(documents(spark, sf_dir)),
     "op10_chat_format": chat_format.query,
     "op11_minhash": lambda spark, sf_dir: minhash.near_duplicates(documents(spark, sf_dir)),
+    "op12_ranked_search": lambda spark, sf_dir: ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
     "op13_vector_codes": lambda spark, sf_dir: vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
 }
 
@@ -28,6 +29,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op6_substring_dedup": substring_dedup.ORACLE_SQL,
     "op11_minhash": minhash.ORACLE_SQL,
+    "op12_ranked_search": ranked_search.ORACLE_SQL,
     "op13_vector_codes": vector_codes.ORACLE_SQL,
 }
 
