@@ -14,24 +14,25 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataflow.functions import dsp
+from strataflow.functions import cones, dsp
+from strataflow.operators import volumes
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
 def _matrix(samples: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, all values) of a list array."""
-    flat = samples.flatten()
-    lengths = np.diff(samples.offsets.to_numpy()) if samples.null_count == 0 else np.array([len(x) if x is not None else 0 for x in samples.to_pylist()])
-    return lengths, flat.to_numpy(zero_copy_only=False).astype(float)
+    lengths = pa.compute.list_value_length(samples).fill_null(0).to_numpy()
+    return lengths, samples.flatten().to_numpy(zero_copy_only=False).astype(float)
 
 
 def _applied(samples: pa.Array, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.Array:
-    """f(traces of one length, their places) for each length, put together in order."""
+    """f(traces of one length, their places) for each length, put together in order; null samples stay null."""
     lengths, flat = _matrix(samples)
     starts = np.cumsum(lengths) - lengths
     out: list[np.ndarray] = [np.empty(0)] * len(lengths)
@@ -41,7 +42,7 @@ def _applied(samples: pa.Array, f: Callable[[np.ndarray, np.ndarray], np.ndarray
         for k, row in zip(at, f(rows, at) if n else rows, strict=True):
             out[k] = np.asarray(row, float)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0), *out]))
+    return pa.ListArray.from_arrays(pa.array(offsets), np.concatenate([np.empty(0), *out]), mask=samples.is_null())
 
 
 def _schema(df: DataFrame) -> T.StructType:
@@ -96,10 +97,10 @@ def per_gather(df: DataFrame, kernel: Kernel, gather: str, order: list[str], hal
 
 
 def per_cube(df: DataFrame, kernel: Kernel, volume: str, ix: str, iy: str) -> DataFrame:
-    """df(volume, ix, iy, samples) with each volume put through a kernel of a cube (x, y, time); cells without a trace are zero, of several traces on a cell the last row counts."""
+    """df(volume, ix, iy, trace_index, samples) with each volume put through a kernel of a cube (x, y, time); cells without a trace are zero, of several traces on a cell the one of the largest trace_index counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(ix, "ascending"), (iy, "ascending")])
+        table = table.sort_by([(c, "ascending") for c in (ix, iy, "trace_index") if c in table.column_names])
         x, y = (table[c].to_numpy() for c in (ix, iy))
         x, y = x - x.min(), y - y.min()
         lengths, flat = _matrix(table["samples"].combine_chunks())
@@ -147,14 +148,20 @@ def dominant_frequency(spectrum: DataFrame, by: list[str], low: float = 0.0, hig
     return rows.groupBy(*by).agg(best).select(*by, F.col("best.frequency").alias("frequency"), (20 * F.log10(F.col("best.amplitude") + 1e-10)).alias("db"))
 
 
-#: Operators by name: how they see traces (trace, offset, gather, cube), how far they look, and the kernel, which takes the named parameters.
+def _cone(df: DataFrame, volume: str, cell: tuple[str, str], dt: float, dx: float, dy: float, v_min: float, v_max: float, taper: float = 0.1, mode: str = "reject", pad: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+    """dsp.fkk_filter by transposition."""
+    cone = cones.Cone(v_min, v_max, mode, taper, pad_ms=(pad[2] * dt * 1000,) * 2, edges="repeat", pad_traces=pad[:2], exact=True)
+    return volumes.fkk(df, cone, dt, dx, dy, volume, cell)
+
+
+#: Operators by name: how they see traces (trace, offset, gather, cube, or volume, whose kernel takes the table), how far they look, and the kernel, which takes the named parameters.
 REGISTRY: dict[str, tuple[str, Callable[[dict], int | None], Callable[..., Any]]] = {}
 
 
 def register(name: str, sees: str, kernel: Callable[..., Any], reach: Callable[[dict], int | None] = lambda p: None) -> None:
-    """Adds an operator under a name; sees: trace, offset, gather or cube."""
-    if sees not in ("trace", "offset", "gather", "cube"):
-        raise ValueError(f"an operator sees a trace, offset, gather or cube, not {sees}")
+    """Adds an operator under a name; sees: trace, offset, gather, cube or volume."""
+    if sees not in ("trace", "offset", "gather", "cube", "volume"):
+        raise ValueError(f"an operator sees a trace, offset, gather, cube or volume, not {sees}")
     REGISTRY[name] = (sees, reach, kernel)
 
 
@@ -185,7 +192,7 @@ register("omp_denoise", "trace", dsp.omp_denoise)
 register("omp_spatial", "gather", dsp.omp_spatial, lambda p: p.get("half", 2))
 register("dip", "gather", dsp.dips, lambda p: p.get("half", 2) + 1)
 register("fk_filter", "gather", dsp.fk_filter)
-register("fkk_filter", "cube", dsp.fkk_filter)
+register("fkk_filter", "volume", _cone)
 register("denoise_3d", "cube", dsp.denoise_cube)
 
 
@@ -199,6 +206,8 @@ def apply(df: DataFrame, name: str, parameters: Mapping[str, Any] | None = None,
         return per_trace(df, lambda x: kernel(x, **p))
     if sees == "offset":
         return per_trace_with(df, offset, lambda x, v: kernel(x, v, **p))
+    if sees == "volume":
+        return kernel(df, gather, cell, **p)
     if sees == "cube":
         return per_cube(df, lambda x: kernel(x, **p), gather, *cell)
     return per_gather(df, lambda x: kernel(x, **p), gather, list(order), reach(p))

@@ -1,11 +1,18 @@
-"""Trace operators that are expressions over an array of samples: no Python on the data's path."""
+"""Trace operators that are expressions over an array of samples; gain control is a NumPy kernel over Arrow batches."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strataflow.functions import dsp
 
 
 def doubles(samples: Column) -> Column:
@@ -67,26 +74,44 @@ def autocorrelation(samples: Column, max_lag: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.least(F.lit(max_lag), n - 1)), at)
 
 
+#: Gathers whose floors are broadcast, a number each; more are joined by shuffles.
+MOST_GATHERS = 100_000
+
+
 def agc(traces: DataFrame, half: int, target: float = 1.0, key: str = "trace_index", gather: str = "gather", floor: float | None = None) -> DataFrame:
     """(key, samples, scales): each sample times its scale, the target over the root mean square of the window of 2 half + 1 about it, reflected at the ends, with a floor that steadies quiet windows.
 
     The floor is a thousandth of the root mean square of the trace's whole gather, if none is given: one
-    partial sum for each gather and task, joined to the traces. remove_agc() undoes it by the scales.
+    partial sum for each gather and task, joined to the traces. remove_agc() undoes it by the scales. Null
+    samples stay null; a null within a trace counts as zero.
     """
-    square = F.sum(energy(F.col("samples"))) / F.sum(F.size("samples"))
-    of_gather = traces.groupBy(F.col(gather).alias("agc_gather")).agg(F.greatest(0.001 * F.sqrt(square), F.lit(1e-10)).alias("agc_floor"))
     rows = traces.select(key, gather, "samples")
-    rows = rows.withColumn("agc_floor", F.lit(floor)) if floor is not None else rows.join(of_gather, F.col(gather).eqNullSafe(F.col("agc_gather")))
-    n = F.size("samples")
-    at = lambda a, k: F.element_at(a, F.when(k < 0, -k - 1).when(k >= n, 2 * n - 1 - k).otherwise(k) + 1)
-
-    def scaled(a: Column) -> Column:
-        mean = lambda i: F.aggregate(F.transform(F.sequence(i - half, i + half), lambda k: at(a, k) * at(a, k)), F.lit(0.0).cast("double"), lambda s, x: s + x) / (2 * half + 1)
-        return F.transform(a, lambda x, i: target / (F.sqrt(mean(i)) + F.col("agc_floor")))
-
-    rows = rows.select(key, doubles(F.col("samples")).alias("samples"), "agc_floor")
-    scaled_rows = rows.select(key, "samples", F.element_at(F.transform(F.array("samples"), scaled), 1).alias("scales"))
-    return scaled_rows.select(key, F.zip_with("samples", "scales", lambda x, k: x * k).alias("samples"), "scales")
+    if floor is None:
+        square = F.sum(energy(F.col("samples"))) / F.sum(F.size("samples"))
+        floors = traces.where("size(samples) > 0").groupBy(F.col(gather).alias("agc_gather")).agg(F.greatest(0.001 * F.sqrt(square), F.lit(1e-10)).alias("agc_floor"))
+        if traces.select(gather).distinct().limit(MOST_GATHERS + 1).count() <= MOST_GATHERS:
+            floors = F.broadcast(floors)
+        rows = rows.join(floors, F.col(gather).eqNullSafe(F.col("agc_gather")), "left")
+    else:
+        rows = rows.withColumn("agc_floor", F.lit(float(floor)))
+    rows = rows.select(key, doubles(F.col("samples")).alias("samples"), F.coalesce("agc_floor", F.lit(1e-10)).alias("agc_floor"))
+    schema = T.StructType([rows.schema[key], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("samples", "scales")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            samples, floors_ = b["samples"], b["agc_floor"].to_numpy()
+            flat = samples.flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+            sizes = pa.compute.list_value_length(samples).fill_null(0).to_numpy()
+            starts, scales = np.cumsum(sizes) - sizes, np.empty(len(flat))
+            for n in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == n)
+                places = starts[at][:, None] + np.arange(n)
+                scales[places] = dsp.agc_scales(flat[places], half, floors_[at, None], target)
+            ends, nulls = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), samples.is_null()
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v), mask=nulls) for v in (flat * scales, scales)]
+            yield pa.record_batch([b[key], *lists], schema=pa.schema([b.schema.field(key), *[pa.field(c, pa.list_(pa.float64())) for c in ("samples", "scales")]]))
+
+    return rows.mapInArrow(run, schema)
 
 
 def remove_agc(samples: Column, scales: Column) -> Column:

@@ -48,7 +48,7 @@ def _cubes(df: DataFrame) -> DataFrame:
 
 
 def _query(name: str, parameters: dict):
-    cube = filters.REGISTRY[name][0] == "cube"
+    cube = filters.REGISTRY[name][0] in ("cube", "volume")
     return lambda s, d: flat(filters.apply(_cubes(signal_traces(s, d)) if cube else signal_traces(s, d), name, parameters))
 
 
