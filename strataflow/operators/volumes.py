@@ -6,7 +6,7 @@ cells of one block, transforms and weighs each frequency's slice along x and y,
 back, which a second shuffle puts together to traces. A block holds as many frequencies as SLICE_BYTES
 allow, one at least: no task holds more than that, or one slice.
 
-Traces of null samples or cells take no part, and keep null samples. Of several traces on a cell the one of the largest
+Traces of null cells, or of null or no samples, take no part and stay as they are. Of several traces on a cell the one of the largest
 trace_index is the volume's; all get the cell's result, each cut to its own length. Cells without a trace
 are zero. Volumes' extents, a row each, are broadcast if they are at most MOST_VOLUMES, else joined.
 """
@@ -240,7 +240,7 @@ def fkk(traces: DataFrame, cone: cones.Cone, dt: float, dx: float, dy: float, vo
     cells = placed.groupBy("_volume", "_x", "_y").agg(F.max_by("samples", key).alias("samples"))
     done = filtered_cells(cells, cone, dt, dx, dy).select(F.col("_volume").alias("_v"), F.col("_x").alias("_i"), F.col("_y").alias("_j"), F.col("samples").alias("_done"))
     joined = named.join(done, [F.col("_volume").eqNullSafe(F.col("_v")), F.col("_x") == F.col("_i"), F.col("_y") == F.col("_j")], "left")
-    out = F.when(F.size("samples") > 0, F.slice("_done", 1, F.size("samples"))).otherwise(F.col("samples").cast("array<double>"))
+    out = F.coalesce(F.when(F.size("samples") > 0, F.slice("_done", 1, F.size("samples"))), F.col("samples").cast("array<double>"))
     return joined.select(*[out.alias("samples") if c == "samples" else F.col(c) for c in traces.columns])
 
 
