@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,17 +9,10 @@ from strataflow.plans.job_history import jobs
 from strataflow.plans.series import flat
 from strataflow.plans.stacks import traces
 from strataflow.sources import bundle, functions_of_depth, segy, synthetic
+from strataflow.sources.scratch import folder
 from strataflow.streaming import jobs as streams
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one; of this machine where there is none, which only a local master may use."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{root.rstrip('/') if root else 'file://' + tempfile.mkdtemp(prefix='strataflow-')}/{uuid.uuid4().hex}"
-
-
 def segy_read_back(code: int):
     def query(s: SparkSession, d: str) -> DataFrame:
         at = folder(s)

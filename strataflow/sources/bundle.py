@@ -1,4 +1,8 @@
-"""A dataset as Parquet: traces, headers, ensemble index, and metadata as JSON."""
+"""A dataset as Parquet: traces with their headers, ensemble index, and metadata as JSON.
+
+Traces and headers are columns of one table, in files of trace_index ranges: whoever asks for headers
+reads no sample, and a range of traces is a few row groups.
+"""
 
 from __future__ import annotations
 
@@ -8,24 +12,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.operators.ensembles import ensemble_index
+from strataflow.sources import segy
 
 
-def save(df: DataFrame, path: str, sample_rate_ms: float, ensemble_keys: list[str] | None = None, block: Column | None = None, compression: str = "zstd") -> None:
-    """Writes df(trace_index, headers, samples). Traces are sorted by trace_index in ranges, so a range read touches few row groups. block: see ensemble_index; by default a million traces each."""
-    headers = [c for c in df.columns if c != "samples"]
-    ordered = df.repartitionByRange("trace_index").sortWithinPartitions("trace_index")
-    ordered.select("trace_index", "samples").write.mode("overwrite").option("compression", compression).parquet(f"{path}/traces")
-    ordered.select(*headers).write.mode("overwrite").option("compression", compression).parquet(f"{path}/headers")
-    spark = df.sparkSession
+def _finish(spark: SparkSession, path: str, sample_rate_ms: float, ensemble_keys: list[str] | None, block: Column | None, more: dict | None = None) -> None:
+    """The ensemble index and the metadata of written data. Gathers are found within blocks of traces, and those that go on in the next block are stitched, from the headers' columns alone."""
+    data = spark.read.parquet(f"{path}/data")
     if ensemble_keys:
-        own = spark.read.parquet(f"{path}/headers")
         blocks = F.floor(F.col("trace_index") / 1_000_000).cast("long") if block is None else block
-        ensemble_index(own, ensemble_keys, ["trace_index"], blocks).write.mode("overwrite").parquet(f"{path}/ensemble_index")
-    one = spark.read.parquet(f"{path}/traces").agg(F.count("*").alias("n_traces"), F.max(F.size("samples")).alias("n_samples")).first()
+        ensemble_index(data.drop("samples"), ensemble_keys, ["trace_index"], blocks).write.mode("overwrite").parquet(f"{path}/ensemble_index")
+    one = more or data.agg(F.count("*").alias("n_traces"), F.max(F.size("samples")).alias("n_samples")).first().asDict()
     meta = {"sample_rate_ms": sample_rate_ms, "n_traces": one["n_traces"], "n_samples": one["n_samples"], "ensemble_keys": ensemble_keys or []}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
+def save(df: DataFrame, path: str, sample_rate_ms: float, ensemble_keys: list[str] | None = None, block: Column | None = None, compression: str = "zstd") -> None:
+    """Writes df(trace_index, headers, samples), sorted by trace_index in ranges. block: see ensemble_index; by default a million traces each."""
+    ordered = df.repartitionByRange("trace_index").sortWithinPartitions("trace_index")
+    ordered.write.mode("overwrite").option("compression", compression).parquet(f"{path}/data")
+    _finish(df.sparkSession, path, sample_rate_ms, ensemble_keys, block)
+
+
+def import_segy(spark: SparkSession, files: str, path: str, ensemble_keys: list[str] | None = None, mapping: dict[str, tuple[int, str]] | None = None, block: Column | None = None, traces_per_task: int | None = None, compression: str = "zstd") -> Bundle:
+    """SEG-Y files (see segy.read) to a bundle, in one pass over their bytes and without a shuffle of traces.
+
+    Each task reads a range of a file and writes it as one file of the bundle, so traces stay in order
+    without sorting; the ensemble index is made from the written headers, and counts come from the files'
+    sizes. Files must agree in samples and interval.
+    """
+    layouts = [segy.layout(f) for f in segy.files_of(files)]
+    if len({(own.n_samples, own.interval_us) for own in layouts}) > 1:
+        raise ValueError(f"{files}: files differ in samples or interval")
+    segy.read(spark, files, mapping, traces_per_task=traces_per_task).write.mode("overwrite").option("compression", compression).parquet(f"{path}/data")
+    counts = {"n_traces": sum(own.n_traces for own in layouts), "n_samples": layouts[0].n_samples}
+    _finish(spark, path, layouts[0].interval_us / 1000.0, ensemble_keys, block, counts)
+    return Bundle(spark, path)
+
+
 class Bundle:
     """A saved dataset; everything is a lazy DataFrame."""
 
@@ -33,13 +56,17 @@ class Bundle:
         self.spark, self.path = spark, path
         self.metadata = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
 
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/data")
+
     @property
     def traces(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/traces")
+        return self.spark.read.parquet(f"{self.path}/data").select("trace_index", "samples")
 
     @property
     def headers(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/headers")
+        return self.spark.read.parquet(f"{self.path}/data").drop("samples")
 
     @property
     def ensembles(self) -> DataFrame:
@@ -57,9 +84,16 @@ class Bundle:
         """Traces and headers of a gather; its range is one row, read first, so that the traces' filter reaches the files."""
         row = self.ensembles.where(F.col("ensemble_id") == ensemble_id).first()
         if row is None:
-            return self.traces.join(self.headers, "trace_index").limit(0)
-        inside = F.col("trace_index").between(row["start_trace"], row["end_trace"])
-        return self.traces.where(inside).join(self.headers.where(inside), "trace_index")
+            return self.rows.limit(0)
+        return self.rows.where(F.col("trace_index").between(row["start_trace"], row["end_trace"]))
+
+    def with_ensembles(self, columns: list[str] | None = None, each: int = 1_000_000) -> DataFrame:
+        """All traces with ensemble_id and their place within the ensemble. Ensembles meet traces by blocks of so many traces, to which a long one is sent once each, so it is a join by equality and no key has more than a block."""
+        block = lambda c: F.floor(F.col(c) / each).cast("long")
+        spread = self.ensembles.select("ensemble_id", "start_trace", "end_trace", F.explode(F.sequence(block("start_trace"), block("end_trace"))).alias("_block"))
+        rows = self.rows.select(*(columns or self.rows.columns)).withColumn("_block", block("trace_index"))
+        met = rows.join(spread, "_block").where("trace_index BETWEEN start_trace AND end_trace")
+        return met.withColumn("at", F.col("trace_index") - F.col("start_trace")).drop("_block", "start_trace", "end_trace")
 
     def query(self, condition: str) -> DataFrame:
         return self.headers.where(condition)
