@@ -3,9 +3,10 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataflow.operators import imaging
-from strataflow.sources import bundle, functions_of_depth, segy, synthetic
+from strataflow.sources import bundle, export, functions_of_depth, segy, synthetic
 from strataflow.streaming import jobs as streaming
 
 
@@ -139,3 +140,100 @@ def test_ingest(spark, tmp_path):
     source = spark.readStream.schema(section(spark, 1).schema).parquet(str(tmp_path / "in"))
     streaming.ingest(source, str(tmp_path / "out"), str(tmp_path / "ck"), lambda df: df.where("trace_index > 3")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def shots(spark, n, first=0):
+    return section(spark, n).selectExpr(f"trace_index + {first} AS trace_index", "trace_sequence_line", f"cast((trace_index + {first}) div 7 as int) AS cdp", "offset", "samples")
+
+
+@pytest.fixture
+def three_files(spark, tmp_path):
+    for k, (n, first) in enumerate(((20, 0), (1, 20), (29, 21))):
+        segy.write(shots(spark, n, first), str(tmp_path / f"line{k}.sgy"), 4000)
+    return f"{tmp_path}/line*.sgy"
+
+
+def test_several_files_are_one(spark, three_files):
+    rows = segy.read(spark, three_files, traces_per_task=8).orderBy("trace_index").collect()
+    assert [r.trace_index for r in rows] == list(range(50)) and [r.cdp for r in rows] == [k // 7 for k in range(50)]
+    assert segy.read(spark, three_files.rpartition("/")[0], columns=["cdp", "trace_index"]).columns == ["cdp", "trace_index"]
+    last = segy.read(spark, ",".join(three_files.replace("*", k) for k in "20"), columns=["trace_index", "trace_sequence_line"]).where("trace_index = 29").first()
+    assert last.trace_sequence_line == 1
+    with pytest.raises(FileNotFoundError):
+        segy.files_of(three_files.replace("line", "none"))
+
+
+def read_bytes(reader, partitions):
+    """Bytes that reading these partitions asks the system for, once modules are loaded."""
+    list(reader.read(partitions[0]))
+    asked = lambda: int(next(x for x in open("/proc/self/io") if x.startswith("rchar")).split()[1])
+    before = asked()
+    rows = sum(b.num_rows for p in partitions for b in reader.read(p))
+    return asked() - before, rows
+
+
+def test_headers_and_filters_read_no_other_samples(three_files):
+    source = segy.SegyDataSource({"path": three_files, "columns": "trace_index,cdp"})
+    reader = source.reader(source.schema())
+    size, rows = read_bytes(reader, reader.partitions())
+    assert rows == 50 and size < 50 * 240 + 3 * 4096 < 50 * 800
+    source = segy.SegyDataSource({"path": three_files, "pushdown": "true", "tracespertask": "10"})
+    reader = source.reader(source.schema())
+    kept = list(reader.pushFilters([segy.EqualTo(("cdp",), 3), segy.GreaterThan(("trace_index",), 22), segy.EqualTo(("unknown",), 1)]))
+    assert len(kept) == 3
+    assert [(p.before + p.first, p.before + p.last) for p in reader.partitions()] == [(21, 31), (31, 41), (41, 50)]
+    size, rows = read_bytes(reader, reader.partitions())
+    assert rows == 5 and size < 29 * 240 + 5 * 1040 + 3 * 4096
+
+
+def test_filters_are_pushed_by_the_session(spark, three_files):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = segy.read(spark, three_files, traces_per_task=10).where("trace_index >= 45 AND cdp IN (6, 7)").select("trace_index", "cdp")
+        assert sorted(tuple(r) for r in df.collect()) == [(k, k // 7) for k in range(45, 50)]
+        assert segy.read(spark, three_files, traces_per_task=10).where("trace_index >= 45").rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_import_is_one_pass_and_stitches_gathers(spark, three_files, tmp_path):
+    data = bundle.import_segy(spark, three_files, str(tmp_path / "bundle"), ["cdp"], traces_per_task=8)
+    assert data.metadata == {"sample_rate_ms": 4.0, "n_traces": 50, "n_samples": 200, "ensemble_keys": ["cdp"]}
+    assert [(r.cdp, r.start_trace, r.n_traces) for r in data.ensembles.orderBy("ensemble_id").collect()] == [(k, 7 * k, min(7, 50 - 7 * k)) for k in range(8)]
+    got = data.with_ensembles(each=4).collect()
+    assert sorted((r.trace_index, r.ensemble_id, r.at) for r in got) == [(k, k // 7, k % 7) for k in range(50)]
+    want = {r.trace_index: r.samples for r in segy.read(spark, three_files).collect()}
+    assert {r.trace_index: r.samples for r in got} == want
+    segy.write(shots(spark, 3), str(tmp_path / "line9.sgy"), 2000)
+    with pytest.raises(ValueError, match="differ"):
+        bundle.import_segy(spark, f"{tmp_path}/line*.sgy", str(tmp_path / "other"))
+
+
+def test_export_in_order_muted_and_noise(spark, tmp_path):
+    df, path = shots(spark, 50).repartition(5), f"{tmp_path}/out.sgy"
+    half = df.withColumn("samples", F.transform("samples", lambda x: x / 2))
+    mute = export.Mute(3000.0, 2.0, bottom=True, taper=4)
+    assert export.export(half, path, 2000, ["offset", "cdp"], df, "noise", mute, "output") == 50
+    want = sorted(df.collect(), key=lambda r: (r.offset, r.cdp, r.trace_index))
+    quiet = {r.trace_index: r.samples for r in export.prepared(df, mute=mute).collect()}
+    got = segy.read(spark, path).orderBy("trace_index").collect()
+    assert [r.offset for r in got] == [r.offset for r in want]
+    assert all(np.allclose(g.samples, np.array(quiet[w.trace_index]) / 2, atol=1e-6) for g, w in zip(got, want, strict=True))
+    table = export.sorted_traces(df, ["offset", "cdp"], f"{tmp_path}/sorted")
+    assert [r.original_trace_index for r in table.orderBy("trace_index").collect()] == [r.trace_index for r in want]
+    for wrong in ({"what": "noise"}, {"what": "x"}, {"muted": "x"}):
+        with pytest.raises(ValueError):
+            export.prepared(df, **wrong)
+
+
+def test_failed_and_empty_writes(spark, tmp_path):
+    ragged = shots(spark, 5).selectExpr("trace_index", "slice(samples, 1, cast(trace_index + 1 as int)) samples")
+    for many in (False, True):
+        with pytest.raises(Exception, match="samples"):
+            segy.write(ragged, f"{tmp_path}/bad/{many}", 4000, folder_of_files=many)
+    assert [f.name for f in tmp_path.glob("bad/*.sgy")] == [] and not (tmp_path / "bad/False").exists()
+    assert segy.write(shots(spark, 5).limit(0), f"{tmp_path}/empty.sgy", 4000) == 0
+    assert (tmp_path / "empty.sgy").stat().st_size == 3600
+    assert segy.write(shots(spark, 50).repartition(4), f"{tmp_path}/many", 4000, folder_of_files=True) == 50
+    assert [r.cdp for r in segy.read(spark, f"{tmp_path}/many").orderBy("trace_index").collect()] == [k // 7 for k in range(50)]
+    assert segy.text_header(f"{tmp_path}/empty.sgy")[0].startswith("C 1 written")
