@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.functions.rays import Medium
 from strataflow.operators.grids import normalised
 
 #: Cells (points x output indices) of a tile, twelve bytes each.
@@ -114,7 +115,7 @@ def migrate(
     n_out: int,
     aperture: float,
     max_angle: float = 60.0,
-    min_fold: int = 1,
+    min_fold: int | None = 1,
     mode: str = "spread",
 ) -> DataFrame:
     """(il, xl, t_index, image, fold) of traces(tx, ty, offset, samples) with midpoints tx, ty, imaged in time.
@@ -122,7 +123,7 @@ def migrate(
     With h the distance from midpoint to image point, a sample at t goes to t_out = sqrt(t^2 + 4 (h^2 + (offset / 2)^2) / v^2)
     (spread), or back along that curve, sqrt(t^2 - ...), which focuses diffractions (focus). v is constant or an RMS
     function of (t, v) knots, taken at the input's time. Samples go to the floor of their output index, weighed z / r^3
-    with z = v t_out / 2. The image is normalised by the fold; cells that nothing reaches are left out. The aperture
+    with z = v t_out / 2. The image is normalised by the fold (min_fold None: it is the sum); cells that nothing reaches are left out. The aperture
     is also bound by the angle at the output's depth.
     """
     if mode not in ("spread", "focus"):
@@ -150,24 +151,113 @@ def migrate(
             fold[p] += np.bincount(at, minlength=len(p) * n_out).reshape(len(p), n_out).astype(np.int32)
 
     sums = _summed(traces, ("tx", "ty"), ["tx", "ty", "offset"], grid, aperture, n_out, kernel)
-    return sums.select("il", "xl", "t_index", normalised(F.col("_image"), F.col("fold"), min_fold).alias("image"), "fold")
+    image = F.col("_image") if min_fold is None else normalised(F.col("_image"), F.col("fold"), min_fold)
+    return sums.select("il", "xl", "t_index", image.alias("image"), "fold")
 
 
-def migrate_depth(traces: DataFrame, grid: Grid, depths: Sequence[float], v0: float, dt_s: float, aperture: float, max_angle: float = 60.0, gradient: float = 0.0) -> DataFrame:
+@dataclasses.dataclass(frozen=True)
+class Earth:
+    """What rays go through: v0 + gradient * z (straight rays where the gradient is 0), or layers of (z, v) knots, or a
+    medium of vertical symmetry with moveout velocity and eta, in which a one-way time goes with the anelliptic moveout.
+
+    Layers' times are from a table of TABLE distances, made by root finding and read between neighbours by a line in the squared time; distances that no ray
+    reaches are outside.
+    """
+
+    v0: float = 2500.0
+    gradient: float = 0.0
+    layers: tuple[tuple[float, float], ...] = ()
+    vti: tuple[float, float] | None = None
+
+    def velocity(self, z: np.ndarray) -> np.ndarray:
+        return Medium(list(self.layers)).velocity(z) if self.layers else self.v0 + self.gradient * z
+
+    def times(self, z: np.ndarray, farthest: float) -> Callable[[np.ndarray], np.ndarray]:
+        """One-way times to depths z by squared distances (a column), of at most farthest."""
+        if self.layers:
+            distances = np.linspace(0, farthest, TABLE)
+            table = Medium(list(self.layers)).rays(distances[:, None], z[None, :]).time ** 2
+            step, at = farthest / (TABLE - 1), np.arange(len(z))
+
+            def looked_up(h2: np.ndarray) -> np.ndarray:
+                k = np.sqrt(h2) / step
+                i = np.minimum(k.astype(np.int64), TABLE - 2)
+                h0, h1 = distances[i] ** 2, distances[i + 1] ** 2
+                return np.sqrt(table[i, at] + (table[i + 1, at] - table[i, at]) * ((h2 - h0) / (h1 - h0)))
+
+            return looked_up
+        if self.vti:
+            vn, eta = self.vti
+            t2, n2 = (z / self.v0) ** 2, vn * vn
+            bend = lambda h2: 2 * eta * h2 * h2 / np.maximum(n2 * (t2 * n2 + (1 + 2 * eta) * h2), 1e-30)
+            return lambda h2: np.sqrt(np.maximum(t2 + h2 / n2 - bend(h2), 0))
+        if abs(self.gradient) < 1e-6:
+            return lambda h2: np.sqrt(h2 + z * z) / self.v0
+        return lambda h2: np.arccosh(1 + self.gradient**2 * (h2 + z * z) / (2 * self.v0 * (self.v0 + self.gradient * z))) / abs(self.gradient)
+
+
+#: Distances of a table of times.
+TABLE = 4096
+WEIGHTS = ("standard", "none", "spreading", "obliquity", "full", "true", "curved")
+# The least radius, velocity and cosine that weights divide by.
+LEAST_RADIUS, LEAST_VELOCITY, LEAST_COSINE = 1.0, 100.0, 0.1
+
+
+@dataclasses.dataclass(frozen=True)
+class AntiAlias:
+    """Weights of samples by the frequency beyond which their dip is aliased at spacing dx, against f_max: triangle or sinc. The dip is that of the traveltime's slope, the mean of both rays' sines."""
+
+    dx: float
+    f_max: float
+    method: str = "triangle"
+
+    def weight(self, sine: np.ndarray, v: np.ndarray, nyquist: float) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            r = np.minimum(v / (2 * self.dx * np.abs(sine)), nyquist) / self.f_max
+        r = np.clip(r, 0, 1)
+        return r if self.method == "triangle" else np.sin(np.pi / 2 * r) ** 2
+
+
+def ray_weights(kind: str, z: np.ndarray, hs: np.ndarray, hr: np.ndarray, earth: Earth) -> np.ndarray:
+    """Amplitude weights by distances of source and receiver from above the point: both rays' cosines over their lengths (standard), or by the terms' names; true has the 2.5-D Jacobian, curved spreads with the velocities' ratio and has the surface's angles of circular rays."""
+    rs, rr = np.hypot(hs, z), np.hypot(hr, z)
+    if kind == "standard":
+        return (z / (rs + 1e-6)) * (z / (rr + 1e-6)) / (rs * rr + 1e-6)
+    v = np.maximum(earth.velocity(z), LEAST_VELOCITY)
+    ls, lr = np.maximum(rs, LEAST_RADIUS), np.maximum(rr, LEAST_RADIUS)
+    if kind in ("none", "spreading", "obliquity", "full"):
+        return {"none": np.ones(np.broadcast_shapes(rs.shape, rr.shape)), "spreading": 1 / (ls * lr * v), "obliquity": (z / ls + z / lr) / 2, "full": (z / ls + z / lr) / 2 / (ls * lr * v)}[kind]
+    if kind == "true":
+        a, b = np.arctan2(hs, z), np.arctan2(hr, z)
+        return np.cos(a) * np.cos(b) / (ls * lr * v) / np.maximum(np.cos((a + b) / 2), LEAST_COSINE)
+
+    def cosine(h: np.ndarray) -> np.ndarray:
+        """Of a circular ray's angle at the surface, by its centre above the surface."""
+        if abs(earth.gradient) < 1e-6:
+            return z / np.maximum(np.hypot(h, z), 1e-10)
+        up = earth.v0 / earth.gradient
+        centre = (h * h + z * z + 2 * z * up) / (2 * np.maximum(h, 1e-10))
+        return np.abs(centre) / np.hypot(centre, up)
+
+    ratio = np.sqrt(v / earth.v0) if abs(earth.gradient) > 1e-6 else 1.0
+    return ratio * cosine(hs) * cosine(hr) / (ls * lr)
+
+
+def migrate_depth(
+    traces: DataFrame, grid: Grid, depths: Sequence[float], v0: float, dt_s: float, aperture: float, max_angle: float = 60.0, gradient: float = 0.0, earth: Earth | None = None, weight: str = "standard", antialias: AntiAlias | None = None
+) -> DataFrame:
     """(il, xl, z_index, image, fold) of traces(sx, sy, rx, ry, samples) with sources and receivers, imaged at the depths.
 
-    Each depth takes the sample at its two-way traveltime, between neighbours by line, in v0 + gradient * z (straight rays
-    where the gradient is 0), weighed by both rays' cosines over their lengths. Both rays lie strictly within the
-    aperture and the angle. Times beyond a trace take its end. The image is the sum, the fold how many traces took part.
+    Each depth takes the sample at its two-way traveltime, between neighbours by line, in v0 + gradient * z or what
+    earth is, weighed by ray_weights() and antialias. Both rays lie strictly within the aperture and the angle. Times beyond a
+    trace take its end. The image is the sum, the fold how many traces took part.
     """
-    z = np.asarray(depths, float)
+    if weight not in WEIGHTS:
+        raise ValueError(f"{weight} is none of {', '.join(WEIGHTS)}")
+    z, medium = np.asarray(depths, float), earth or Earth(v0, gradient)
     steepest = math.radians(max_angle)
-
-    def time(h2: np.ndarray) -> np.ndarray:
-        r2 = h2 + z * z
-        if abs(gradient) < 1e-6:
-            return np.sqrt(r2) / v0
-        return np.arccosh(1 + gradient**2 * r2 / (2 * v0 * (v0 + gradient * z))) / abs(gradient)
+    time = medium.times(z, aperture)
+    velocities = medium.velocity(z)
 
     def kernel(place, a, valid, x, y, image, fold):
         if not len(a):
@@ -179,13 +269,16 @@ def migrate_depth(traces: DataFrame, grid: Grid, depths: Sequence[float], v0: fl
         for k in range(0, len(near), step):
             p = near[k : k + step]
             hs2, hr2 = source[p, None], receiver[p, None]
-            rs, rr = np.sqrt(hs2 + z * z), np.sqrt(hr2 + z * z)
-            inside = (np.arctan2(np.sqrt(hs2), z + 1e-6) < steepest) & (np.arctan2(np.sqrt(hr2), z + 1e-6) < steepest)
-            at = np.clip((time(hs2) + time(hr2)) / dt_s, 0, max(len(a) - 1.001, 0))
+            hs, hr = np.sqrt(hs2), np.sqrt(hr2)
+            two_way = time(hs2) + time(hr2)
+            inside = (np.arctan2(hs, z + 1e-6) < steepest) & (np.arctan2(hr, z + 1e-6) < steepest) & ~np.isnan(two_way)
+            at = np.clip(np.nan_to_num(two_way) / dt_s, 0, max(len(a) - 1.001, 0))
             i = at.astype(np.int64)
             low, high = a[i], a[np.minimum(i + 1, len(a) - 1)]
-            weight = (z / (rs + 1e-6)) * (z / (rr + 1e-6)) / (rs * rr + 1e-6)
-            image[p] += np.where(inside, (low + (at - i) * (high - low)) * weight, 0.0)
+            w = ray_weights(weight, z, hs, hr, medium)
+            if antialias:
+                w = w * antialias.weight((hs / np.hypot(hs, z) + hr / np.hypot(hr, z)) / 2, velocities, 0.5 / dt_s)
+            image[p] += np.where(inside, (low + (at - i) * (high - low)) * w, 0.0)
             fold[p] += inside
 
     sums = _summed(traces, ("sx", "sy"), ["sx", "sy", "rx", "ry"], grid, aperture, len(z), kernel)
