@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.plans import files, gathers, headers, images, job_history, more, series, signal, stacks, transfers, whole_volumes
+from strataflow.plans import alert_rules, files, gathers, headers, images, job_history, more, series, signal, stacks, transfers, velocities, whole_volumes
 
-_MODULES = (stacks, headers, gathers, series, signal, job_history, files, more, whole_volumes, transfers, images)
+_MODULES = (stacks, headers, gathers, series, signal, job_history, files, more, whole_volumes, transfers, images, velocities, alert_rules)
 
 
 def _entries() -> Iterator[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]]:
