@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST_BROADCAST = 1000
@@ -133,34 +133,37 @@ def summary(traces: DataFrame, bins: list[Bin], offset: str = "offset", azimuth:
     return frame(traces.sparkSession, [b for b in bins if b.enabled]).select("bin_name").join(counts, "bin_name", "left").withColumn("n_traces", F.coalesce("n_traces", F.lit(0)))
 
 
-def azimuths_meet(a: Bin, b: Bin) -> bool:
-    """Whether two azimuth ranges share a direction: exactly if one's start lies in the other."""
-    inside = lambda x, r: (r.azimuth_min <= x < r.azimuth_max) if r.azimuth_max >= r.azimuth_min else (x >= r.azimuth_min or x < r.azimuth_max)
-    return inside(a.azimuth_min, b) or inside(b.azimuth_min, a)
-
-
-def overlaps(spark: SparkSession, bins: list[Bin]) -> DataFrame:
-    """(bin_a, bin_b) of enabled bins that share offsets and azimuths; bins are configuration, compared on the driver."""
-    on = [b for b in bins if b.enabled]
-    found = [(a.bin_name, b.bin_name) for i, a in enumerate(on) for b in on[i + 1 :] if a.offset_min < b.offset_max and b.offset_min < a.offset_max and azimuths_meet(a, b)]
-    return spark.createDataFrame(found, "bin_a string, bin_b string")
-
-
-def gaps(spark: SparkSession, bins: list[Bin], step: float = 100.0) -> DataFrame:
-    """(gap_start, gap_end): runs of offsets, in steps over the bins' range, that no enabled bin holds."""
-    on = [b for b in bins if b.enabled]
-    if not on:
-        return spark.createDataFrame([], "gap_start double, gap_end double")
-    low, high = min(b.offset_min for b in on), max(b.offset_max for b in on)
-    out: list[list[float]] = []
-    for k in range(max(0, math.ceil((high - low) / step))):
-        at = low + k * step
-        if not any(b.offset_min <= at < b.offset_max for b in on):
-            if out and out[-1][1] == at:
-                out[-1][1] = at + step
-            else:
-                out.append([at, at + step])
-    return spark.createDataFrame([tuple(x) for x in out], "gap_start double, gap_end double")
+def overlaps(bins: DataFrame) -> DataFrame:
+    """(bin_a, bin_b) of enabled bins(bin_name, offset_min, offset_max, azimuth_min, azimuth_max, enabled) that share offsets and azimuths, the earlier name first.
+
+    Bins meet in cells of their mean width, to each of which a bin is sent that it reaches, so it is a join by
+    equality; of the cells that two share, the first counts.
+    """
+    on = bins.where("enabled AND offset_max > offset_min")
+    width = on.agg(F.avg(F.col("offset_max") - F.col("offset_min"))).first()[0]
+    if not width:
+        return on.select(F.col("bin_name").alias("bin_a"), F.col("bin_name").alias("bin_b")).limit(0)
+    cell = lambda c: F.floor(F.col(c) / width)
+    sent = on.withColumn("first", cell("offset_min")).withColumn("cell", F.explode(F.sequence(F.col("first"), cell("offset_max"))))
+    a, b = (sent.select("cell", *[F.col(c).alias(f"{c}_{k}") for c in ("bin_name", "offset_min", "offset_max", "azimuth_min", "azimuth_max", "first")]) for k in "ab")
+    inside = lambda x, k: F.when(F.col(f"azimuth_max_{k}") < F.col(f"azimuth_min_{k}"), (x >= F.col(f"azimuth_min_{k}")) | (x < F.col(f"azimuth_max_{k}"))).otherwise((x >= F.col(f"azimuth_min_{k}")) & (x < F.col(f"azimuth_max_{k}")))
+    met = a.join(b, "cell").where("bin_name_a < bin_name_b AND offset_min_a < offset_max_b AND offset_min_b < offset_max_a AND cell = greatest(first_a, first_b)")
+    met = met.where(inside(F.col("azimuth_min_a"), "b") | inside(F.col("azimuth_min_b"), "a"))
+    return met.select(F.col("bin_name_a").alias("bin_a"), F.col("bin_name_b").alias("bin_b"))
+
+
+def gaps(bins: DataFrame, step: float = 100.0) -> DataFrame:
+    """(gap_start, gap_end): runs of offsets, in steps over the range of bins(offset_min, offset_max, enabled), that no enabled bin holds. Runs are numbered over the gaps' steps alone."""
+    on = bins.where("enabled")
+    low, high = on.agg(F.min("offset_min"), F.max("offset_max")).first()
+    if low is None:
+        return on.select(F.col("offset_min").alias("gap_start"), F.col("offset_max").alias("gap_end"))
+    every = bins.sparkSession.range(max(0, math.ceil((high - low) / step))).withColumnRenamed("id", "k")
+    first = lambda c: F.ceil((F.col(c) - low) / step)
+    held = on.where(first("offset_min") < first("offset_max")).select(F.explode(F.sequence(first("offset_min"), first("offset_max") - 1)).alias("k")).distinct()
+    free = every.join(held, "k", "left_anti")
+    runs = free.withColumn("run", F.col("k") - F.row_number().over(Window.orderBy("k")))
+    return runs.groupBy("run").agg(F.min(F.col("k") * step + low).alias("gap_start"), F.max((F.col("k") + 1) * step + low).alias("gap_end")).drop("run")
 
 
 def suggest(traces: DataFrame, offset: str = "offset", target: int = 10000) -> DataFrame:

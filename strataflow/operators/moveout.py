@@ -95,11 +95,11 @@ def table_lookup(table: list[list[float]], x: Column, y: Column, step: tuple[flo
     return (at(i, j) * (1 - fu) + at(i + 1, j) * fu) * (1 - fv) + (at(i, j + 1) * (1 - fu) + at(i + 1, j + 1) * fu) * fv
 
 
-def depth_groups(spark, depths: list[float], most: float, max_angle: float, n: int = 5) -> DataFrame:
-    """(z, aperture, depth_group): depths with apertures of like size, in groups by equal ratios between the least (100 at least) and the largest."""
+def depth_groups(depths: DataFrame, most: float, max_angle: float, n: int = 5) -> DataFrame:
+    """(z, aperture, depth_group) of depths(z): those with apertures of like size, in groups by equal ratios between the least (100 at least) and the largest."""
     from strataflow.functions.physics import effective_aperture
 
-    rows = spark.createDataFrame([(float(z),) for z in depths], "z double").withColumn("aperture", effective_aperture(F.col("z"), most, max_angle))
+    rows = depths.select("z").withColumn("aperture", effective_aperture(F.col("z"), most, max_angle))
     ends = rows.agg(F.greatest(F.lit(100.0), F.min(F.when(F.col("aperture") > 0, F.col("aperture")))).alias("low"), (F.max("aperture") * 1.1).alias("high"))
     share = F.log(F.greatest(F.col("aperture"), F.col("low")) / F.col("low")) / F.log(F.col("high") / F.col("low"))
     group = F.when(F.col("high") > F.col("low"), F.least(F.lit(n - 1), F.floor(share * n))).otherwise(0)

@@ -136,8 +136,7 @@ def gradient_grid(spark, v0: float, gradients: dict[str, float], ends: dict[str,
     out = spark.range(1).select(F.lit(float(v0)).alias("v"))
     for a, g in gradients.items():
         n = int(ends[a] / steps[a]) + 1
-        values = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k, step=float(steps[a]): k * step)
-        out = out.withColumn(a, F.explode(values)).withColumn("v", F.col("v") + g * F.col(a))
+        out = out.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(a, F.col(a) * float(steps[a])).withColumn("v", F.col("v") + g * F.col(a))
     return out
 
 

@@ -42,6 +42,21 @@ def bundle_window(s, d):
     return flat(bundle.Bundle(s, at).window(20, 60, 10, 60))
 
 
+def synthetic_gather(s, d):
+    """Events without noise on a trace for each customer."""
+    rows = s.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") % 400).cast("long").alias("trace_index"), F.col("c_custkey").alias("customer"))
+    out = synthetic.events(rows, 60, 0.01, 12.0, noise=0.0)
+    return out.select("customer", F.posexplode("samples").alias("s", "a")).select("customer", F.col("s").cast("long").alias("s"), (F.round(F.col("a").cast("double"), 5) + 0.0).alias("a"))
+
+
+def _ricker_sql(t: str) -> str:
+    return f"(1 - 2 * pow(pi() * 12 * ({t}), 2)) * exp(-pow(pi() * 12 * ({t}), 2))"
+
+
+_EVENTS_SQL = f"""WITH e AS (SELECT c_custkey AS customer, c_custkey % 400 AS i, unnest(range(60)) AS s FROM customer), t AS (SELECT *, s * 0.01::DOUBLE AS t FROM e)
+SELECT customer, s, round(CAST(CAST({_ricker_sql("t - 0.2")} + 0.7 * {_ricker_sql("t - 0.4 - 0.001 * i")} + 0.5 * {_ricker_sql("t - sqrt(0.36 + pow(i * 25.0 / 2000, 2))")} AS FLOAT) AS DOUBLE), 5) + 0.0 AS a FROM t"""
+
+
 def velocity_read_back(s, d):
     at = folder(s)
     rows = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("cdp"), (F.col("s_nationkey") / 8).alias("t"), (F.col("s_suppkey") * 2.0 + 1500).alias("v"))
@@ -81,8 +96,11 @@ QUERIES = {
     "bundle_ensembles": (bundle_ensembles, "WITH r AS (SELECT vec_id, label, CASE WHEN lag(label) OVER (ORDER BY vec_id) = label THEN 0 ELSE 1 END AS new FROM embeddings), g AS (SELECT *, sum(new) OVER (ORDER BY vec_id) - 1 AS e FROM r) SELECT CAST(e AS BIGINT) AS ensemble_id, CAST(any_value(label) AS BIGINT) AS gather, min(vec_id) AS start_trace, max(vec_id) AS end_trace, count(*) AS n_traces FROM g GROUP BY e"),
     "bundle_window": (bundle_window, "SELECT vec_id AS trace_index, CAST(unnest(range(20)) AS BIGINT) AS s, round(CAST(unnest(embedding[11:30]) AS DOUBLE), 6) + 0.0 AS a FROM embeddings WHERE vec_id BETWEEN 10 AND 59"),
     "velocity_file": (velocity_read_back, "SELECT s_suppkey AS cdp, round(s_nationkey / 8.0, 6) AS t, s_suppkey * 2.0::DOUBLE + 1500 AS v FROM supplier"),
-    "synthetic_gather": (lambda s, d: flat(synthetic.gather(s, 20, 100)), None),
-    "synthetic_marine": (lambda s, d: synthetic.marine(s, 5, 8), "SELECT range AS trace_index, range // 8 AS shot, range // 8 * 100.0::DOUBLE AS sx, 0.0::DOUBLE AS sy, range // 8 * 100.0::DOUBLE + 100 + range % 8 * 25.0::DOUBLE AS rx, 0.0::DOUBLE AS ry FROM range(40)"),
+    "synthetic_gather": (synthetic_gather, _EVENTS_SQL),
+    "synthetic_marine": (
+        lambda s, d: synthetic.towed(s.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey").cast("long") - 1).alias("shot")), 8),
+        "WITH s AS (SELECT s_suppkey - 1 AS shot, unnest(range(8)) AS r FROM supplier) SELECT shot * 8 + r AS trace_index, shot, shot * 100.0::DOUBLE AS sx, 0.0::DOUBLE AS sy, shot * 100.0::DOUBLE + 100 + r * 25.0::DOUBLE AS rx, 0.0::DOUBLE AS ry FROM s",
+    ),
     "stream_failure_alerts": (streamed(lambda j: streams.consecutive_failure_alerts(j, "worker", 2), "runs"), _EVENTS + ", b AS (SELECT *, sum(CASE WHEN state = 'FAILED' THEN 0 ELSE 1 END) OVER (PARTITION BY worker ORDER BY created_at, id) AS b FROM j), f AS (SELECT *, row_number() OVER (PARTITION BY worker, b ORDER BY created_at, id) AS n FROM b WHERE state = 'FAILED') SELECT CAST(worker AS VARCHAR) AS key, created_at AS at, n FROM f WHERE n = 2"),
     "stream_gathers": (streamed(lambda j: streams.gathers(j.withColumn("trace_index", F.col("id")), "state", "worker"), "gathers", with_ends), _EVENTS + ", r AS (SELECT *, CASE WHEN lag(state) OVER w = state THEN 0 ELSE 1 END AS new FROM j WINDOW w AS (PARTITION BY worker ORDER BY id)), g AS (SELECT *, sum(new) OVER (PARTITION BY worker ORDER BY id) AS e FROM r), c AS (SELECT worker, e, any_value(state) AS value, min(id) AS a, max(id) AS b FROM g GROUP BY worker, e) SELECT CAST(worker AS VARCHAR) AS stream, value, a AS start_trace, b AS end_trace, b - a + 1 AS n_traces FROM c"),
 }

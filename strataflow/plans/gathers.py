@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -226,14 +224,28 @@ def of_list(s, d):
     return headers(s, d).join(wanted, "k", "left_semi").select("k", "n", "part")
 
 
-def _pair(a: B.Bin, b: B.Bin) -> bool:
-    return a.offset_min < b.offset_max and b.offset_min < a.offset_max and B.azimuths_meet(a, b)
+NAMES = ("land_3d", "marine", "wide_azimuth_ovt", "narrow_azimuth", "full_stack")
 
 
 def presets(s, d):
-    names = ("land_3d", "marine", "wide_azimuth_ovt", "narrow_azimuth", "full_stack")
-    own = [B.frame(s, B.preset(n)).withColumn("preset", F.lit(n)) for n in names]
-    return functools.reduce(DataFrame.unionByName, own).select("preset", "bin_name", "offset_min", "offset_max", "azimuth_min", "azimuth_max")
+    """How many traces each bin of the presets holds."""
+    bins = [(n, b) for n in NAMES for b in B.preset(n)]
+    held = [F.struct(F.lit(n).alias("preset"), *[F.lit(x).alias(c) for c, x in b._asdict().items() if c != "enabled"], F.count_if(B.contains(F.col("offset"), F.col("azimuth"), b)).alias("n_traces")) for n, b in bins]
+    rows = indexed(s, d).agg(F.array(*held).alias("held")).select(F.explode("held").alias("x"))
+    return rows.select("x.preset", "x.bin_name", *[F.col(f"x.{c}").cast("double").alias(c) for c in ("offset_min", "offset_max", "azimuth_min", "azimuth_max")], "x.n_traces")
+
+
+def supplied(s, d) -> DataFrame:
+    """A bin for each supplier: offsets from its key, azimuths from its nation, some across north, some off."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    low = (k * 37 % 101 * 150).cast("double")
+    return s.read.parquet(f"{d}/supplier.parquet").select(
+        F.concat(F.lit("b"), F.lpad(k.cast("string"), 8, "0")).alias("bin_name"), low.alias("offset_min"), (low + 20 + n * 11.0).alias("offset_max"), (n * 14.0).alias("azimuth_min"), ((n * 14 + 50) % 360).cast("double").alias("azimuth_max"), (k % 5 != 0).alias("enabled")
+    )
+
+
+_SUPPLIED = """WITH k AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier WHERE s_suppkey % 5 <> 0),
+b AS (SELECT 'b' || lpad(CAST(k AS VARCHAR), 8, '0') AS bin_name, (k * 37 % 101 * 150)::DOUBLE AS o1, k * 37 % 101 * 150 + 20 + n * 11.0::DOUBLE AS o2, n * 14.0::DOUBLE AS a1, ((n * 14 + 50) % 360)::DOUBLE AS a2 FROM k)"""
 
 
 _PRESETS_SQL = """
@@ -248,7 +260,6 @@ UNION ALL SELECT preset, format('ovt_off{:04d}_az{:03d}', a, k * 90), a, b, k *
 UNION ALL VALUES ('narrow_azimuth', 'inline_pos', 0, 8000, 345, 15), ('narrow_azimuth', 'inline_neg', 0, 8000, 165, 195),
   ('narrow_azimuth', 'xline_pos', 0, 8000, 75, 105), ('narrow_azimuth', 'xline_neg', 0, 8000, 255, 285), ('full_stack', 'full_stack', 0, 10000, 0, 360)"""
 _ON = [b for b in BINS if b.enabled]
-GAPPED = B.common_offset([(0, 500), (700, 1000), (1500, 1600)])
 
 QUERIES = {
     "ensemble_index": (islands("l_returnflag"), islands_sql("l_returnflag")),
@@ -265,11 +276,17 @@ QUERIES = {
     "offset_range": (lambda s, d: indexed(s, d).where("offset >= 1000 AND offset < 5000").select("k", "n", "part", "offset"), _INDEX + ' SELECT k, n, part, o AS "offset" FROM i WHERE o >= 1000 AND o < 5000'),
     "azimuth_sector": (lambda s, d: indexed(s, d).where(B.contains(F.col("offset"), F.col("azimuth"), B.Bin("x", 0, 9000, 350.0, 20.0))).select("k", "n", "part", "azimuth"), _INDEX + " SELECT k, n, part, a AS azimuth FROM i WHERE o < 9000 AND (a >= 350 OR a < 20)"),
     "bin_assign": (assigned, _INDEX + f", {_bins_sql(BINS)} SELECT k, n, part, supp, bin_name FROM i JOIN b ON {_HOLDS}"),
-    "bin_presets": (presets, _PRESETS_SQL),
+    "bin_presets": (presets, _INDEX + f""", b AS ({_PRESETS_SQL})
+SELECT preset, bin_name, offset_min, offset_max, azimuth_min, azimuth_max, count(o) AS n_traces FROM b LEFT JOIN i ON {_HOLDS.replace("o1", "offset_min").replace("o2", "offset_max").replace("a1", "azimuth_min").replace("a2", "azimuth_max")} GROUP BY ALL"""),
     "bin_summary": (lambda s, d: B.summary(indexed(s, d), BINS), _INDEX + f", {_bins_sql(BINS)} SELECT bin_name, count(o) AS n_traces FROM b LEFT JOIN i ON {_HOLDS} GROUP BY bin_name"),
     "bin_coverage": (coverage, _INDEX + f", {_bins_sql(BINS)}, c AS (SELECT i.k, i.n, i.part, i.supp, i.o, i.a, r, count(bin_name) AS m FROM (SELECT *, row_number() OVER () AS r FROM i) i LEFT JOIN b ON {_HOLDS} GROUP BY ALL) SELECT count(*) AS n_traces, count(*) FILTER (WHERE m = 0) AS n_unassigned, count(*) FILTER (WHERE m > 1) AS n_multiple, round(100.0 * count(*) FILTER (WHERE m > 0) / count(*), 6) AS coverage_percent FROM c"),
-    "bin_overlaps": (lambda s, d: B.overlaps(s, BINS), f"WITH {_bins_sql(BINS)}, n AS (SELECT *, row_number() OVER () AS r FROM b) SELECT x.bin_name AS bin_a, y.bin_name AS bin_b FROM n x JOIN n y ON x.r < y.r AND x.o1 < y.o2 AND y.o1 < x.o2 AND (CASE WHEN y.a2 < y.a1 THEN x.a1 >= y.a1 OR x.a1 < y.a2 ELSE x.a1 >= y.a1 AND x.a1 < y.a2 END OR CASE WHEN x.a2 < x.a1 THEN y.a1 >= x.a1 OR y.a1 < x.a2 ELSE y.a1 >= x.a1 AND y.a1 < x.a2 END)"),
-    "bin_gaps": (lambda s, d: B.gaps(s, GAPPED), "SELECT * FROM (VALUES (500::DOUBLE, 700::DOUBLE), (1000::DOUBLE, 1500::DOUBLE)) AS t(gap_start, gap_end)"),
+    "bin_overlaps": (lambda s, d: B.overlaps(supplied(s, d)), _SUPPLIED + " SELECT x.bin_name AS bin_a, y.bin_name AS bin_b FROM b x JOIN b y ON x.bin_name < y.bin_name AND x.o1 < y.o2 AND y.o1 < x.o2 AND (CASE WHEN y.a2 < y.a1 THEN x.a1 >= y.a1 OR x.a1 < y.a2 ELSE x.a1 >= y.a1 AND x.a1 < y.a2 END OR CASE WHEN x.a2 < x.a1 THEN y.a1 >= x.a1 OR y.a1 < x.a2 ELSE y.a1 >= x.a1 AND y.a1 < x.a2 END)"),
+    "bin_gaps": (
+        lambda s, d: B.gaps(supplied(s, d), 25.0),
+        _SUPPLIED + """, r AS (SELECT min(o1) AS low, max(o2) AS high FROM b), e AS (SELECT low, unnest(range(CAST(ceil((high - low) / 25) AS BIGINT))) AS k FROM r),
+f AS (SELECT low, k, k - row_number() OVER (ORDER BY k) AS run FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE o1 <= low + k * 25 AND low + k * 25 < o2))
+SELECT min(low + k * 25.0::DOUBLE) AS gap_start, max(low + (k + 1) * 25.0::DOUBLE) AS gap_end FROM f GROUP BY run""",
+    ),
     "bin_suggest": (suggested, _INDEX + ", n AS (SELECT greatest(1, count(*) // 9000) AS n, count(*) - 1 AS top FROM i), r AS (SELECT o, row_number() OVER (ORDER BY o) - 1 AS r FROM i), k AS (SELECT unnest(range(n + 1)) AS k, unnest(range(n + 1)) / CAST(n AS DOUBLE) * top AS pos FROM n), e AS (SELECT k, x.o + (y.o - x.o) * (pos - floor(pos)) AS e FROM k JOIN r x ON x.r = floor(pos) JOIN r y ON y.r = ceil(pos)) SELECT x.k AS bin_index, round(x.e, 6) AS offset_min, round(y.e, 6) AS offset_max FROM e x JOIN e y ON y.k = x.k + 1"),
     "survey_bounds": (bounds, _INDEX + " SELECT min(least(sx, rx)) AS x_min, max(greatest(sx, rx)) AS x_max, min(least(sy, ry)) AS y_min, max(greatest(sy, ry)) AS y_max, min(o) AS offset_min, max(o) AS offset_max FROM i"),
     "index_statistics": (statistics, _INDEX + ' SELECT count(*) AS n_traces, min(o) AS offset_min, max(o) AS offset_max, round(avg(o), 6) AS offset_mean, round(stddev_pop(o), 6) AS offset_std, min(a) AS azimuth_min, max(a) AS azimuth_max, count(*) FILTER (WHERE n = 3) = 0 AS has_inline, count(k) = count(*) AS has_xline FROM i'),

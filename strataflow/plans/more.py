@@ -96,10 +96,11 @@ round(cos(a) * cos(b) / (greatest(sqrt(hs * hs + z * z), 1) * greatest(sqrt(hr *
 
 
 def grouped_depths(s, d):
-    return moveout.depth_groups(s, [k * 50.0 for k in range(100)], 3000.0, 50.0).select("z", F.round("aperture", 6).alias("aperture"), "depth_group")
+    depths = s.read.parquet(f"{d}/part.parquet").select((F.col("p_partkey") % 100 * 50.0).alias("z")).distinct()
+    return moveout.depth_groups(depths, 3000.0, 50.0).select("z", F.round("aperture", 6).alias("aperture"), "depth_group")
 
 
-_DEPTHS = """WITH z AS (SELECT range * 50.0::DOUBLE AS z, least(range * 50.0 * tan(radians(50)), 3000.0::DOUBLE) AS a FROM range(100)), e AS (SELECT greatest(100.0, min(a) FILTER (WHERE a > 0)) AS low, max(a) * 1.1::DOUBLE AS high FROM z)
+_DEPTHS = """WITH p AS (SELECT DISTINCT p_partkey % 100 * 50.0::DOUBLE AS z FROM part), z AS (SELECT z, least(z * tan(radians(50)), 3000.0::DOUBLE) AS a FROM p), e AS (SELECT greatest(100.0, min(a) FILTER (WHERE a > 0)) AS low, max(a) * 1.1::DOUBLE AS high FROM z)
 SELECT z, round(a, 6) AS aperture, CAST(least(4, floor(ln(greatest(a, low) / low) / ln(high / low) * 5)) AS BIGINT) AS depth_group FROM z, e"""
 
 

@@ -26,6 +26,7 @@ STEPS = {
     "dsp_sst_denoise": ("sst_denoise", {"rate": RATE, "size": 16}),
     "dsp_emd_denoise": ("emd_denoise", {}),
     "dsp_eemd_denoise": ("emd_denoise", {"method": "eemd", "ensemble": 4}),
+    "dsp_ceemdan_denoise": ("emd_denoise", {"method": "ceemdan", "ensemble": 4}),
     "dsp_omp_denoise": ("omp_denoise", {"size": 32}),
     "dsp_omp_adaptive": ("omp_denoise", {"size": 32, "adaptive": True, "kind": "hybrid"}),
     "dsp_omp_spatial": ("omp_spatial", {"size": 32, "kind": "gabor"}),

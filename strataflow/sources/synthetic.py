@@ -13,23 +13,35 @@ def ricker(t, frequency: float):
     return (1 - 2 * a) * F.exp(-a)
 
 
-def gather(spark: SparkSession, n_traces: int = 100, n_samples: int = 1000, dt_s: float = 0.002, frequency: float = 30.0, noise: float = 0.1, seed: int = 42) -> DataFrame:
-    """(trace_index, offset, samples): a flat, a dipping and a hyperbolic event, and noise that a trace's place and the seed make."""
-    i = F.col("id")
+def events(traces: DataFrame, n_samples: int = 1000, dt_s: float = 0.002, frequency: float = 30.0, noise: float = 0.1, seed: int = 42, index: str = "trace_index") -> DataFrame:
+    """traces with samples: a flat event, a dipping and a hyperbolic one by the traces' index, 25 m apart, and noise that a trace's index and the seed make."""
+    i = F.col(index)
 
     def sample(k):
         t = k * dt_s
-        events = ricker(t - 0.2, frequency) + 0.7 * ricker(t - 0.4 - 0.001 * i, frequency) + 0.5 * ricker(t - F.sqrt(0.36 + (i * 25.0 / 2000) * (i * 25.0 / 2000)), frequency)
+        found = ricker(t - 0.2, frequency) + 0.7 * ricker(t - 0.4 - 0.001 * i, frequency) + 0.5 * ricker(t - F.sqrt(0.36 + (i * 25.0 / 2000) * (i * 25.0 / 2000)), frequency)
         uniform = lambda s: (F.pmod(F.xxhash64(i, k, F.lit(seed + s)), F.lit(1 << 30)) + 1) / ((1 << 30) + 1)
-        return (events + noise * F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1))).cast("float")
+        return (found + noise * F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1)) if noise else found).cast("float")
+
+    return traces.withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), sample))
+
+
+def gather(spark: SparkSession, n_traces: int = 100, n_samples: int = 1000, dt_s: float = 0.002, frequency: float = 30.0, noise: float = 0.1, seed: int = 42) -> DataFrame:
+    """(trace_index, offset, samples): events() of so many traces."""
+    i = F.col("id")
+    return events(spark.range(n_traces).select(i.alias("trace_index"), (i * 25.0).alias("offset")), n_samples, dt_s, frequency, noise, seed).select("trace_index", "offset", "samples")
+
 
-    return spark.range(n_traces).select(i.alias("trace_index"), (i * 25.0).alias("offset"), F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), sample).alias("samples"))
+def towed(shots: DataFrame, receivers: int = 100, shot_spacing: float = 100.0, receiver_spacing: float = 25.0, near: float = 100.0) -> DataFrame:
+    """(trace_index, shot, sx, sy, rx, ry) of shots(shot) along x, numbered from 0, each with a cable of receivers behind it."""
+    shot, r = F.col("shot"), F.explode(F.sequence(F.lit(0), F.lit(receivers - 1)))
+    rows = shots.select("shot", r.alias("r"))
+    return rows.select((shot * receivers + F.col("r")).alias("trace_index"), "shot", (shot * shot_spacing).alias("sx"), F.lit(0.0).alias("sy"), (shot * shot_spacing + near + F.col("r") * receiver_spacing).alias("rx"), F.lit(0.0).alias("ry"))
 
 
 def marine(spark: SparkSession, shots: int = 10, receivers: int = 100, shot_spacing: float = 100.0, receiver_spacing: float = 25.0, near: float = 100.0) -> DataFrame:
-    """(trace_index, shot, sx, sy, rx, ry) of a line towed along x."""
-    shot, r = F.floor(F.col("id") / receivers).cast("long"), F.col("id") % receivers
-    return spark.range(shots * receivers).select(F.col("id").alias("trace_index"), shot.alias("shot"), (shot * shot_spacing).alias("sx"), F.lit(0.0).alias("sy"), (shot * shot_spacing + near + r * receiver_spacing).alias("rx"), F.lit(0.0).alias("ry"))
+    """towed() of so many shots."""
+    return towed(spark.range(shots).withColumnRenamed("id", "shot"), receivers, shot_spacing, receiver_spacing, near)
 
 
 def land_3d(spark: SparkSession, source_grid: tuple[int, int] = (10, 10), receiver_grid: tuple[int, int] = (20, 20), source_spacing: float = 200.0, receiver_spacing: float = 100.0) -> DataFrame:

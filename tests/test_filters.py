@@ -142,7 +142,58 @@ def test_ragged_and_null_traces(spark):
 
 def test_emd_refuses_what_it_does_not_know():
     x = np.random.default_rng(1).standard_normal((2, 64))
-    for method in ("ceemdan", "eemd_fast", ""):
-        with pytest.raises(ValueError, match="neither"):
+    for method in ("ceemd", "emd_fast", ""):
+        with pytest.raises(ValueError, match="none of"):
             dsp.emd_denoise(x, method)
+    for remove in ("middle", "first_x"):
+        with pytest.raises(ValueError, match="neither"):
+            dsp.emd_denoise(x, remove=remove)
     assert dsp.emd_denoise(x, "eemd", ensemble=2).shape == x.shape
+    assert (dsp.emd_denoise(x, "eemd_fast", ensemble=2) == dsp.emd_denoise(x, "eemd", ensemble=2)).all()
+
+
+def test_tridiagonal_solves_and_splines_are_natural():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 50):
+        side, middle, right = rng.random(n - 1), 3 + rng.random(n), rng.standard_normal(n)
+        full = np.diag(middle) + np.diag(side, 1) + np.diag(side, -1)
+        assert np.allclose(dsp.tridiagonal(side, middle, right), np.linalg.solve(full, right))
+    x = np.array([0.0, 1.0, 2.5, 4.0, 7.0])
+    y = rng.standard_normal(5)
+    at = np.linspace(0, 7, 2801)
+    s = dsp.spline(x, y, at)
+    bend = np.diff(s, 2) / (at[1] - at[0]) ** 2
+    assert np.allclose(dsp.spline(x, y, x), y) and abs(bend[0]) < 0.05 and abs(bend[-1]) < 0.05
+    assert np.abs(np.diff(bend)).max() < 0.1  # the second derivative has no steps
+
+
+def plain_adaptive(x, ensemble, noise, seed, most):
+    """Adaptive noise by its definition, one step after the other."""
+    rng = np.random.default_rng([seed, len(x)])
+    raw = [rng.standard_normal(len(x)) for _ in range(ensemble)]
+    parts = [dsp.modes(w, most) for w in raw]
+    out, rest = [], x.copy()
+    for k in range(most):
+        turns = sum((rest[i] - rest[i - 1] > 0) != (rest[i + 1] - rest[i] > 0) for i in range(1, len(x) - 1))
+        if turns < 3:
+            break
+        total = np.zeros(len(x))
+        for w, p in zip(raw, parts, strict=True):
+            extra = w if k == 0 else p[k] if k < len(p) - 1 else None
+            total += dsp.modes(rest if extra is None else rest + noise * rest.std() * extra / extra.std(), 1)[0]
+        out.append(total / ensemble)
+        rest = rest - out[-1]
+    return [*out, rest]
+
+
+def test_adaptive_modes():
+    t = np.arange(200) / 200
+    x = np.sin(2 * np.pi * 40 * t) * (t > 0.5) + np.sin(2 * np.pi * 5 * t) + 2 * t
+    got, want = dsp.adaptive_modes(x, 6, 0.2, 7, 5), plain_adaptive(x, 6, 0.2, 7, 5)
+    assert len(got) == len(want) and all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+    assert np.allclose(sum(got), x, atol=1e-12)
+    assert np.corrcoef(got[0][100:], (np.sin(2 * np.pi * 40 * t))[100:])[0, 1] > 0.9  # the fast part is the first mode's
+    assert np.allclose(dsp.emd_denoise(x[None], "ceemdan", "first_2", 6, 0.2, 7, 5)[0], sum(want[2:]))
+    assert np.allclose(dsp.emd_denoise(x[None], "ceemdan", "last", 6, 0.2, 7, 5)[0], sum(want[:-1]))
+    for flat in (np.zeros(50), np.ones(50), np.arange(50.0)):
+        assert np.allclose(dsp.emd_denoise(flat[None], "ceemdan", ())[0], flat)

@@ -42,7 +42,8 @@ def test_missing_corners_nulls_and_no_nodes(spark):
 
 def test_constructors(spark):
     grid = velocity.gradient_grid(spark, 1500.0, {"z": 0.5, "x": 0.1}, {"z": 100.0, "x": 50.0}, {"z": 50.0, "x": 25.0})
-    assert {(r.z, r.x): r.v for r in grid.collect()} == {(z, x): 1500 + 0.5 * z + 0.1 * x for z in (0.0, 50.0, 100.0) for x in (0.0, 25.0, 50.0)}
+    got = {(r.z, r.x): r.v for r in grid.collect()}
+    assert got == pytest.approx({(z, x): 1500 + 0.5 * z + 0.1 * x for z in (0.0, 50.0, 100.0) for x in (0.0, 25.0, 50.0)})
     points = spark.createDataFrame([(0, 3.0), (0, 70.0)], "id int, t double")
     assert [r.v for r in velocity.interpolate(points, velocity.constant(spark, 1800.0)).collect()] == [1800.0] * 2
 
