@@ -7,12 +7,17 @@ reads no sample, and a range of traces is a few row groups.
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.operators.ensembles import ensemble_index
 from strataflow.sources import segy
+from strataflow.sources.scratch import delete
 
 
 def _finish(spark: SparkSession, path: str, sample_rate_ms: float, ensemble_keys: list[str] | None, block: Column | None, more: dict | None = None) -> None:
@@ -36,15 +41,45 @@ def save(df: DataFrame, path: str, sample_rate_ms: float, ensemble_keys: list[st
 def import_segy(spark: SparkSession, files: str, path: str, ensemble_keys: list[str] | None = None, mapping: dict[str, tuple[int, str]] | None = None, block: Column | None = None, traces_per_task: int | None = None, compression: str = "zstd") -> Bundle:
     """SEG-Y files (see segy.read) to a bundle, in one pass over their bytes and without a shuffle of traces.
 
-    Each task reads a range of a file and writes it as one file of the bundle, so traces stay in order
-    without sorting; the ensemble index is made from the written headers, and counts come from the files'
-    sizes. Files must agree in samples and interval.
+    Each task reads a range of a file and writes it as one file of the bundle, straight from Arrow, so traces
+    stay in order without sorting. A file gets its name when it is whole, after its range, so a task that
+    runs again leaves the same. The ensemble index is made from the written headers, counts come from the
+    files' sizes, and the metadata, without which there is no bundle, are written last. Files must agree in samples and interval.
     """
-    layouts = [segy.layout(f) for f in segy.files_of(files)]
+    options = {"path": files} | ({"mapping": json.dumps(mapping)} if mapping else {}) | ({"tracespertask": str(traces_per_task)} if traces_per_task else {})
+    source = segy.SegyDataSource(options)
+    reader = segy.SegyReader(options, source.schema())
+    layouts = [own for _, own in reader.files]
     if len({(own.n_samples, own.interval_us) for own in layouts}) > 1:
         raise ValueError(f"{files}: files differ in samples or interval")
-    segy.read(spark, files, mapping, traces_per_task=traces_per_task).write.mode("overwrite").option("compression", compression).parquet(f"{path}/data")
+    for old in ("data", "ensemble_index", "metadata"):
+        delete(spark, f"{path}/{old}")
+    ranges = reader.partitions()
+    data = f"{path}/data"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = segy.store(data)
+        fs.create_dir(folder, recursive=True)
+        for b in batches:
+            for k in b["k"].to_pylist():
+                own, writer, n = ranges[k], None, 0
+                temporary = f"{folder}/.{uuid.uuid4().hex}"
+                for t in reader.read(own):
+                    writer = writer or pq.ParquetWriter(temporary, t.schema, filesystem=fs, compression=compression, use_dictionary=False)
+                    writer.write_batch(t)
+                    n += t.num_rows
+                if writer:
+                    writer.close()
+                    fs.move(temporary, f"{folder}/part-{own.before + own.first:015d}.parquet")
+                yield pa.record_batch({"n": pa.array([n], pa.int64())})
+
+    tasks = spark.range(len(ranges), numPartitions=len(ranges)).select(F.col("id").alias("k"))
+    written = tasks.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
     counts = {"n_traces": sum(own.n_traces for own in layouts), "n_samples": layouts[0].n_samples}
+    if written != counts["n_traces"]:
+        raise RuntimeError(f"{path}: {written} of {counts['n_traces']} traces were written")
+    if not written:
+        spark.createDataFrame([], source.schema()).write.mode("append").parquet(data)
     _finish(spark, path, layouts[0].interval_us / 1000.0, ensemble_keys, block, counts)
     return Bundle(spark, path)
 

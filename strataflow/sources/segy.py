@@ -7,9 +7,10 @@ commas or wildcards: files are then one after the other in the order of their na
 Filters on trace_index choose ranges, filters on header fields choose the traces whose samples are read,
 where the session lets Python sources see them (spark.sql.python.filterPushdown.enabled).
 
-The sink writes each range of traces at its own place in the file. Places follow from a table of the
-ordered traces, written once, and its partitions' counts, so tasks need not wait for each other and a task that
-runs again writes the same bytes; the file gets its name when all have. No trace passes through the driver.
+The sink writes each range of traces at its own place in the file. Places are the trace_index where it counts the
+traces without a gap, and nothing is shuffled; else they follow from a table of the ordered traces, written once, and its
+partitions' counts. So tasks need not wait for each other and a task that runs again writes the same bytes;
+the file gets its name when all have. No trace passes through the driver.
 
 Files are read through pyarrow's file systems, so a path may be local or a URI of any store that pyarrow
 reaches; one file that many tasks write must be in a file system that all of them mount, other stores get a
@@ -333,7 +334,9 @@ class SegyWriter(DataSourceArrowWriter):
         count, target = 0, os.open(self.temporary, os.O_WRONLY)
         try:
             for b in batches:
-                t = pa.Table.from_batches([b]).sort_by("_place")
+                t = pa.Table.from_batches([b])
+                if (np.diff(t["_place"].to_numpy()) < 0).any():
+                    t = t.sort_by("_place")
                 place, data = t["_place"].to_numpy(), memoryview(_records(t, self.n, self.interval, self.code, self.mapping))
                 starts = np.flatnonzero(np.r_[True, np.diff(place) != 1]) if len(place) else []
                 for first, last in zip(starts, [*starts[1:], len(place)], strict=True):
@@ -416,13 +419,20 @@ def write(df: DataFrame, path: str, interval_us: int, code: int = 5, mapping: di
     spark.dataSource.register(SegyDataSource)
     first = df.select(F.size("samples").alias("n")).first()
     n = first["n"] if first else 0
-    table = folder(spark)
-    rows, total = placed(df, by or ["trace_index"], table)
-    if folder_of_files:
-        rows = rows.repartitionByRange("_range").sortWithinPartitions("_range", "_place") if total else rows
+    table = None
+    one = df.agg(F.count("*").alias("n"), F.min("trace_index").alias("low"), F.max("trace_index").alias("high"), F.count_distinct("trace_index").alias("distinct")).first() if (by or ["trace_index"]) == ["trace_index"] else None
+    if one and not folder_of_files and one["n"] == one["distinct"] and one["n"] == (one["high"] or 0) - (one["low"] or 0) + (one["n"] > 0):
+        # each number once, without a gap: a trace's place follows from it, and no trace is shuffled
+        rows, total = df.withColumn("_place", F.col("trace_index") - F.lit(one["low"] or 0)), one["n"]
+    else:
+        table = folder(spark)
+        rows, total = placed(df, by or ["trace_index"], table)
+        if folder_of_files and total:
+            rows = rows.repartitionByRange("_range").sortWithinPartitions("_range", "_place")
     options = {"header": file_header(interval_us, n, code, template).hex(), "n": n, "interval": interval_us, "code": code, "total": total, "mapping": json.dumps(mapping or STANDARD_HEADERS), "many": str(folder_of_files).lower()}
     try:
         rows.write.format("segy").options(**{k: str(v) for k, v in options.items()}).mode("append").save(path)
     finally:
-        delete(spark, table)
+        if table:
+            delete(spark, table)
     return total
