@@ -27,7 +27,7 @@ from strataflow.functions import cones, dsp
 from strataflow.functions.geometry import world_to_bin
 from strataflow.operators import grids
 
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 64 << 20
 MOST_VOLUMES = 10_000
 #: Traces transformed at once.
 CHUNK = 512
