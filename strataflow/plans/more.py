@@ -13,7 +13,7 @@ from strataflow.plans.headers import OFFSET_SQL, headers
 from strataflow.plans.headers import SQL as HEADERS
 from strataflow.plans.headers import _r as rounded
 from strataflow.plans.series import SAMPLES, flat, with_offset
-from strataflow.plans.signal import signal_traces
+from strataflow.plans.signal import _RAMP, _V, fk_sql, signal_traces
 
 
 def _knots(s):
@@ -130,6 +130,9 @@ def fk_by_sub_gather(s, d):
     return flat(filters.apply(df, "fk_filter", {"rate": 500.0, "dx": 25.0, "low": 1500.0, "high": None}, gather="sub"))
 
 
+_SUBS = "SELECT vec_id AS trace_index, label || '-' || vec_id // 100 AS p, row_number() OVER (PARTITION BY label, vec_id // 100 ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label, vec_id // 100) AS n, embedding AS e FROM embeddings"
+FK_SUB_SQL = fk_sql(_SUBS, f"CASE WHEN kx = 0 THEN 1 ELSE {_RAMP.format(f'({_V} - 1300) / 400')} END")
+
 QUERIES = {
     "moveout_nmo": (nmo, SAMPLES + _NMO),
     "moveout_nmo_sinc": (nmo_sinc, SAMPLES + _NMO_SINC),
@@ -142,5 +145,5 @@ QUERIES = {
     "image_trace_estimates": (estimates, HEADERS + " SELECT CAST(floor(rx / 500) AS BIGINT) AS cx, CAST(floor(ry / 500) AS BIGINT) AS cy, count(*) AS n FROM h GROUP BY 1, 2"),
     "sql_explode_samples": (by_sql, "SELECT vec_id AS trace_index, CAST(unnest(range(64)) AS BIGINT) AS s, round(CAST(unnest(embedding) AS DOUBLE), 6) + 0.0 AS a FROM embeddings"),
     "dsp_bands": (bands, None),
-    "dsp_fk_sub_gathers": (fk_by_sub_gather, None),
+    "dsp_fk_sub_gathers": (fk_by_sub_gather, FK_SUB_SQL),
 }

@@ -79,10 +79,61 @@ k AS (SELECT trace_index, i, low, sign(high) * {} AS high FROM h JOIN m USING (t
 SELECT trace_index, CAST(2 * i + side AS BIGINT) AS s, round((low + CASE WHEN side = 0 THEN high ELSE -high END) / sqrt(2), 6) + 0.0 AS a FROM k, b"""
 HAAR = {"name": "haar", "level": 1}
 
+#: Gathers of the traces' labels, in order of trace_index.
+LABELS = "SELECT vec_id AS trace_index, CAST(label AS VARCHAR) AS p, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n, embedding AS e FROM embeddings"
+
+
+def fourier(source: str, axis: str, length: str, into: str, sign: int, keys: str) -> str:
+    """A step of WITH: Fourier sums of source(keys, axis, re, im) along an axis of so many places; sign -1: forwards, 1: back."""
+    k = f"2 * pi() * {axis} * k / {length}"
+    over = f" / {length}" if sign > 0 else ""
+    return f"""{into} AS MATERIALIZED (SELECT {keys}, k AS {axis}, sum(re * cos({k}) - im * {sign} * sin({k})){over} AS re, sum(re * {sign} * sin({k}) + im * cos({k})){over} AS im
+  FROM (SELECT *, unnest(range({length})) AS k FROM {source}) GROUP BY {keys}, k),
+"""
+
+
+def wrapped(axis: str, length: str, step: str) -> str:
+    """The frequency of a place, negative in the upper half."""
+    return f"(CASE WHEN 2 * {axis} < {length} THEN {axis} ELSE {axis} - {length} END / ({length} * {step}::DOUBLE))"
+
+
+def fk_sql(gathers: str, weight: str) -> str:
+    """Two-dimensional Fourier sums of gathers(trace_index, p, i, n, e), weights by f and kx, and the sums back: time by 64 samples, place by the gather's n traces."""
+    return f"""WITH t AS MATERIALIZED ({gathers}),
+x AS MATERIALIZED (SELECT p, n, i, CAST(unnest(range(64)) AS BIGINT) AS s, CAST(unnest(e) AS DOUBLE) AS re, 0.0::DOUBLE AS im FROM t),
+{fourier("x", "s", "64", "f1", -1, "p, n, i")}{fourier("f1", "i", "n", "f2", -1, "p, n, s")}g AS (SELECT *, {wrapped("s", "64", "0.002")} AS f, {wrapped("i", "n", "25")} AS kx FROM f2),
+w AS (SELECT p, n, s, i, re, im, CASE WHEN s = 0 AND i = 0 THEN 1 ELSE {weight} END AS w FROM g),
+h AS (SELECT p, n, s, i, re * w AS re, im * w AS im FROM w),
+{fourier("h", "i", "n", "b1", 1, "p, n, s")}{fourier("b1", "s", "64", "b2", 1, "p, n, i")}r AS (SELECT p, i, s, re FROM b2)
+SELECT trace_index, CAST(s AS BIGINT) AS s, round(re, 6) + 0.0 AS a FROM r JOIN t USING (p, i)"""
+
+
+_RAMP = "(0.5 * (1 - cos(pi() * greatest(0, least(1, {})))))"
+_V = "abs(f / nullif(kx, 0))"
+VELOCITY_WEIGHT = f"CASE WHEN kx = 0 THEN 0 ELSE {_RAMP.format(f'({_V} - 1300) / 400')} * (1 - {_RAMP.format(f'({_V} - 5800) / 400')}) END"
+_DIP = "(kx / nullif(f, 0))"
+DIP_WEIGHT = f"CASE WHEN f = 0 THEN 1 ELSE 1 - {_RAMP.format(f'{_DIP} / -0.00015')} * (1 - {_RAMP.format(f'({_DIP} - 0.00015) / 0.0001')}) END"
+#: Volumes of 120 traces, ends repeated by 2 traces and 8 samples, and a cone between 500 and 2,500.
+_CONE = f"{_RAMP.format('(v - 450) / 100')} * (1 - {_RAMP.format('(v - 2250) / 500')})"
+FKK_SQL = f"""WITH t AS MATERIALIZED (SELECT vec_id AS trace_index, vec_id // 120 AS p, vec_id % 10 AS ix, vec_id // 10 % 12 AS iy, embedding AS e FROM embeddings),
+m AS (SELECT p, max(ix) + 5 AS nx, max(iy) + 5 AS ny FROM t GROUP BY p),
+j AS (SELECT p, nx, ny, unnest(range(nx)) AS ix FROM m), l AS (SELECT *, unnest(range(ny)) AS iy FROM j), q AS (SELECT *, CAST(unnest(range(80)) AS BIGINT) AS s FROM l),
+x AS MATERIALIZED (SELECT q.p, nx, ny, q.ix, q.iy, q.s, coalesce(CAST(t.e[greatest(0, least(63, q.s - 8)) + 1] AS DOUBLE), 0) AS re, 0.0::DOUBLE AS im
+  FROM q LEFT JOIN t ON t.p = q.p AND t.ix = greatest(0, least(nx - 5, q.ix - 2)) AND t.iy = greatest(0, least(ny - 5, q.iy - 2))),
+{fourier("x", "s", "80", "f1", -1, "p, nx, ny, ix, iy")}{fourier("f1", "ix", "nx", "f2", -1, "p, nx, ny, s, iy")}{fourier("f2", "iy", "ny", "f3", -1, "p, nx, ny, s, ix")}
+g AS (SELECT *, abs({wrapped("s", "80", "0.002")}) AS f, {wrapped("ix", "nx", "25")} AS kx, {wrapped("iy", "ny", "25")} AS ky FROM f3),
+v AS (SELECT *, f / greatest(sqrt(kx * kx + ky * ky), 1e-10) AS v FROM g),
+w AS (SELECT *, CASE WHEN f = 0 OR (kx = 0 AND ky = 0) THEN 1 ELSE 1 - {_CONE} END AS w FROM v),
+h AS (SELECT p, nx, ny, s, ix, iy, re * w AS re, im * w AS im FROM w),
+{fourier("h", "iy", "ny", "b1", 1, "p, nx, ny, s, ix")}{fourier("b1", "ix", "nx", "b2", 1, "p, nx, ny, s, iy")}{fourier("b2", "s", "80", "b3", 1, "p, nx, ny, ix, iy")}
+r AS (SELECT p, ix - 2 AS ix, iy - 2 AS iy, s - 8 AS s, re FROM b3 WHERE s BETWEEN 8 AND 71)
+SELECT trace_index, CAST(s AS BIGINT) AS s, round(re, 6) + 0.0 AS a FROM r JOIN t USING (p, ix, iy)"""
+FK_SQL = {"dsp_fkk_filter": FKK_SQL, "dsp_fk_velocity": fk_sql(LABELS, VELOCITY_WEIGHT), "dsp_fk_dip": fk_sql(LABELS, DIP_WEIGHT)}
+
 QUERIES = {
     "dsp_dwt_haar": (_query("dwt_denoise", HAAR), HAAR_SQL.format("greatest(abs(high) - most, 0)")),
     "dsp_dwt_haar_hard": (_query("dwt_denoise", HAAR | {"mode": "hard"}), HAAR_SQL.format("CASE WHEN abs(high) > most THEN abs(high) ELSE 0 END")),
-    **{name: (_query(*step), None) for name, step in STEPS.items()},
+    **{name: (_query(*step), FK_SQL.get(name)) for name, step in STEPS.items()},
     "dsp_pipeline": (chained, None),
     "dsp_spectrum": (spectrum, SPECTRUM_SQL),
     "dsp_dominant_frequency": (dominant, DOMINANT_SQL),
