@@ -154,6 +154,11 @@ def _cone(df: DataFrame, volume: str, cell: tuple[str, str], dt: float, dx: floa
     return volumes.fkk(df, cone, dt, dx, dy, volume, cell)
 
 
+def _denoised(df: DataFrame, volume: str, cell: tuple[str, str], hx: int = 1, hy: int = 1, side: int | None = None, **p) -> DataFrame:
+    """dsp.denoise_cube in tiles."""
+    return volumes.tiled(df, lambda cube: dsp.denoise_cube(cube, hx, hy, **p), (hx, hy), volume, cell, side=side)
+
+
 #: Operators by name: how they see traces (trace, offset, gather, cube, or volume, whose kernel takes the table), how far they look, and the kernel, which takes the named parameters.
 REGISTRY: dict[str, tuple[str, Callable[[dict], int | None], Callable[..., Any]]] = {}
 
@@ -193,7 +198,7 @@ register("omp_spatial", "gather", dsp.omp_spatial, lambda p: p.get("half", 2))
 register("dip", "gather", dsp.dips, lambda p: p.get("half", 2) + 1)
 register("fk_filter", "gather", dsp.fk_filter)
 register("fkk_filter", "volume", _cone)
-register("denoise_3d", "cube", dsp.denoise_cube)
+register("denoise_3d", "volume", _denoised)
 
 
 def apply(df: DataFrame, name: str, parameters: Mapping[str, Any] | None = None, gather: str = "gather", order: tuple[str, ...] = ("trace_index",), offset: str = "offset", cell: tuple[str, str] = ("ix", "iy")) -> DataFrame:

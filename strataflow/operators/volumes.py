@@ -13,7 +13,7 @@ are zero. Volumes' extents, a row each, are broadcast if they are at most MOST_V
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,6 +28,8 @@ from strataflow.functions.geometry import world_to_bin
 from strataflow.operators import grids
 
 SLICE_BYTES = 64 << 20
+#: Of a tile's own cells, about.
+TILE_BYTES = 16 << 20
 MOST_VOLUMES = 10_000
 #: Traces transformed at once.
 CHUNK = 512
@@ -233,23 +235,89 @@ def _gains(rows: DataFrame, cone: cones.Cone, dt: float, kind: T.DataType) -> Da
     return rows.mapInArrow(run, f"_of {kind.simpleString()}, _gx long, _gy long, _gain array<double>")
 
 
-def fkk(traces: DataFrame, cone: cones.Cone, dt: float, dx: float, dy: float, volume: str = "gather", cell: tuple[str, str] = ("ix", "iy"), key: str = "trace_index") -> DataFrame:
-    """traces(volume, cell, key, samples, more) with samples of the volumes after the cone."""
+def _named(traces: DataFrame, volume: str, cell: tuple[str, str], key: str) -> tuple[DataFrame, DataFrame]:
+    """traces with _volume, _x and _y, and (_volume, _x, _y, samples) with one trace on a cell."""
     named = traces.select("*", F.col(volume).alias("_volume"), F.col(cell[0]).cast("long").alias("_x"), F.col(cell[1]).cast("long").alias("_y"))
     placed = named.where("samples IS NOT NULL AND size(samples) > 0 AND _x IS NOT NULL AND _y IS NOT NULL")
-    cells = placed.groupBy("_volume", "_x", "_y").agg(F.max_by("samples", key).alias("samples"))
-    done = filtered_cells(cells, cone, dt, dx, dy).select(F.col("_volume").alias("_v"), F.col("_x").alias("_i"), F.col("_y").alias("_j"), F.col("samples").alias("_done"))
+    return named, placed.groupBy("_volume", "_x", "_y").agg(F.max_by("samples", key).alias("samples"))
+
+
+def _given_back(traces: DataFrame, named: DataFrame, cells: DataFrame) -> DataFrame:
+    """traces with their cells' samples, each cut to its own length."""
+    done = cells.select(F.col("_volume").alias("_v"), F.col("_x").alias("_i"), F.col("_y").alias("_j"), F.col("samples").alias("_done"))
     joined = named.join(done, [F.col("_volume").eqNullSafe(F.col("_v")), F.col("_x") == F.col("_i"), F.col("_y") == F.col("_j")], "left")
     out = F.coalesce(F.when(F.size("samples") > 0, F.slice("_done", 1, F.size("samples"))), F.col("samples").cast("array<double>"))
     return joined.select(*[out.alias("samples") if c == "samples" else F.col(c) for c in traces.columns])
 
 
-def fkk_coordinates(
-    traces: DataFrame, cone: cones.Cone, dt: float, x: Column, y: Column, size: tuple[float, float], origin: tuple[float, float] = (0.0, 0.0), degrees: float = 0.0, representative: str = "median", method: str = "noise_subtract", key: str = "trace_index"
+def fkk(traces: DataFrame, cone: cones.Cone, dt: float, dx: float, dy: float, volume: str = "gather", cell: tuple[str, str] = ("ix", "iy"), key: str = "trace_index") -> DataFrame:
+    """traces(volume, cell, key, samples, more) with samples of the volumes after the cone."""
+    named, cells = _named(traces, volume, cell, key)
+    return _given_back(traces, named, filtered_cells(cells, cone, dt, dx, dy))
+
+
+def tiled(traces: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], reach: tuple[int, int], volume: str = "gather", cell: tuple[str, str] = ("ix", "iy"), key: str = "trace_index", side: int | None = None) -> DataFrame:
+    """traces with samples of their volumes through a kernel of a cube (x, y, time) that looks so many cells far in x and y, and at all of time.
+
+    Volumes are cut to square tiles of about TILE_BYTES, or of side cells. A cell is sent to each tile that it reaches, so a
+    tile has a halo of its neighbours' cells, cut where the volume ends; results don't depend on the tiles.
+    """
+    named, cells = _named(traces, volume, cell, key)
+    shapes = _extents(cells, "_volume").withColumnRenamed("_volume", "_of")
+    n_volumes, longest = shapes.agg(F.count("*"), F.max("_nt")).first()
+    if not n_volumes:
+        return _given_back(traces, named, cells)
+    side = side or max(1, int((TILE_BYTES / (8 * longest)) ** 0.5))
+    same = F.col("_volume").eqNullSafe(F.col("_of"))
+    rows = cells.join(F.broadcast(shapes) if n_volumes <= MOST_VOLUMES else shapes, same).drop("_of")
+
+    def tiles(axis: str, far: int) -> Column:
+        at, last = F.col(f"_{axis}") - F.col(f"_low{axis}"), F.floor((F.col(f"_high{axis}") - F.col(f"_low{axis}")) / side)
+        return F.explode(F.sequence(F.greatest(F.lit(0), F.floor((at - far) / side)), F.least(last, F.floor((at + far) / side))))
+
+    sent = rows.withColumn("_tx", tiles("x", reach[0])).withColumn("_ty", tiles("y", reach[1]))
+    schema = T.StructType([cells.schema["_volume"], cells.schema["_x"], cells.schema["_y"], T.StructField("samples", T.ArrayType(T.DoubleType()))])
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table.slice(0, 1).to_pylist()[0]
+        ends = []
+        for axis, far in zip("xy", reach, strict=True):
+            low, n, t = first[f"_low{axis}"], first[f"_high{axis}"] - first[f"_low{axis}"] + 1, first[f"_t{axis}"]
+            ends.append((low, max(0, t * side - far), min(n, (t + 1) * side + far), t * side, (t + 1) * side))
+        (x0, xa, xb, xs, xe), (y0, ya, yb, ys, ye) = ends
+        x, y = table["_x"].to_numpy() - x0, table["_y"].to_numpy() - y0
+        column = table["samples"].combine_chunks()
+        cube = np.zeros((xb - xa, yb - ya, first["_nt"]))
+        flat = np.zeros((table.num_rows, first["_nt"]))
+        flat[np.arange(first["_nt"])[None, :] < np.diff(column.offsets.to_numpy())[:, None]] = column.flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+        cube[x - xa, y - ya] = flat
+        done = kernel(cube)
+        own = np.flatnonzero((x >= xs) & (x < xe) & (y >= ys) & (y < ye))
+        values = done[x[own] - xa, y[own] - ya]
+        lists = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * values.shape[1], values.ravel())
+        kept = table.select(["_volume", "_x", "_y"]).take(own)
+        return kept.append_column("samples", lists)
+
+    return _given_back(traces, named, sent.groupBy("_volume", "_tx", "_ty").applyInArrow(run, schema))
+
+
+def fkk_coordinates(traces: DataFrame, cone: cones.Cone, dt: float, x: Column, y: Column, size: tuple[float, float], **bins) -> DataFrame:
+    """by_coordinates() through a cone."""
+    return by_coordinates(traces, lambda df, volume: fkk(df, cone, dt, *size, volume=volume), x, y, size, **bins)
+
+
+def denoise_coordinates(traces: DataFrame, x: Column, y: Column, size: tuple[float, float], hx: int = 1, hy: int = 1, parameters: dict | None = None, **bins) -> DataFrame:
+    """by_coordinates() through 3-D denoising (dsp.denoise_cube), in tiles."""
+    kernel = lambda cube: dsp.denoise_cube(cube, hx, hy, **(parameters or {}))
+    return by_coordinates(traces, lambda df, volume: tiled(df, kernel, (hx, hy), volume), x, y, size, **bins)
+
+
+def by_coordinates(
+    traces: DataFrame, through: Callable[[DataFrame, str], DataFrame], x: Column, y: Column, size: tuple[float, float], origin: tuple[float, float] = (0.0, 0.0), degrees: float = 0.0, representative: str = "median", method: str = "noise_subtract", key: str = "trace_index"
 ) -> DataFrame:
-    """traces(key, samples, more) filtered as a volume of coordinate bins; traces without coordinates stay.
+    """traces(key, samples, more) filtered as a volume of coordinate bins; traces without coordinates stay. through takes (traces(ix, iy, trace_index, samples), the name of their volume's column).
 
-    noise_subtract takes off each trace what the cone removed from its bin's representative, and
+    noise_subtract takes off each trace what the filter removed from its bin's representative, and
     residual_preserve adds the trace's rest to what it kept. multi_pass filters each trace itself: pass p's volume has
     the p-th trace of each bin by distance to its centre, or its last one where it has fewer, and all passes
     are volumes of one job. Design a filter by the first, apply it by the last.
@@ -259,7 +327,7 @@ def fkk_coordinates(
     placed = binned.where("ix IS NOT NULL AND iy IS NOT NULL AND samples IS NOT NULL AND size(samples) > 0")
     if method in ("noise_subtract", "residual_preserve"):
         rep = grids.representatives(placed, representative).select("ix", "iy", "samples")
-        kept = fkk(rep.select("ix", "iy", "samples", F.lit(0).alias("trace_index"), F.lit(0).alias("gather")), cone, dt, *size)
+        kept = through(rep.select("ix", "iy", "samples", F.lit(0).alias("trace_index"), F.lit(0).alias("gather")), "gather")
         out = grids.reconstruct(binned, rep, kept, method)
         return out.select(*traces.columns)
     if method != "multi_pass":
@@ -268,6 +336,6 @@ def fkk_coordinates(
     most = numbered.agg(F.max("pass")).first()[0] or 0
     last = F.col("pass") == F.col("fold") - 1
     spread = numbered.withColumn("_pass", F.explode(F.when(last, F.sequence("pass", F.lit(most).cast("long"))).otherwise(F.array("pass"))))
-    done = fkk(spread.select(key, "ix", "iy", "samples", "pass", "_pass"), cone, dt, *size, volume="_pass", key=key).where("pass = _pass").select(F.col(key).alias("_key"), F.col("samples").alias("_done"))
+    done = through(spread.select(F.col(key).alias("trace_index"), "ix", "iy", "samples", "pass", "_pass"), "_pass").where("pass = _pass").select(F.col("trace_index").alias("_key"), F.col("samples").alias("_done"))
     names = [F.coalesce("_done", F.col("samples").cast("array<double>")).alias("samples") if c == "samples" else F.col(c) for c in traces.columns]
     return traces.join(done, F.col(key) == F.col("_key"), "left").select(*names)

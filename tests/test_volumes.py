@@ -137,3 +137,26 @@ def test_cones_are_checked_and_read_back():
     with pytest.raises(KeyError):
         cones.preset("unknown")
     assert [cones.automatic(n) for n in (4, 20, 40, 200, 1000)] == [5, 10, 8, 20, 30]
+
+
+@pytest.mark.parametrize("side", [1, 2, 3, 100])
+def test_denoising_in_tiles_of_any_size_equals_the_whole(spark, cube, side):
+    spiky = cube.copy()
+    spiky[2, 3] += 20
+    spiky[4, 1] = 0
+    rows = frame(spark, spiky, "a", (3, 2)).where("NOT (ix = 7 AND iy = 3)").unionByName(frame(spark, spiky[:2, :2], "b"))
+    got = cells(filters.apply(rows, "denoise_3d", {"hx": 1, "hy": 2, "level": 2, "side": side}))
+    assert len(got) == 33
+    want = dsp.denoise_cube(spiky, 1, 2, level=2)
+    assert all(np.allclose(v, want[i - 3, j - 2]) for (g, i, j), v in got.items() if g == "a")
+    small = dsp.denoise_cube(spiky[:2, :2], 1, 2, level=2)
+    assert all(np.allclose(v, small[i, j]) for (g, i, j), v in got.items() if g == "b")
+
+
+def test_denoising_by_coordinates(spark, cube):
+    """Of one trace a bin, both ways are the volume's denoising."""
+    rows = spark.createDataFrame([(i * 10 + j, i * DX + 12.5, j * DY + 10.0, cube[i, j].tolist()) for i in range(6) for j in range(5)], "trace_index long, x double, y double, samples array<double>")
+    want = dsp.denoise_cube(cube, 1, 1, level=2)
+    for method in ("noise_subtract", "multi_pass"):
+        out = volumes.denoise_coordinates(rows, F.col("x"), F.col("y"), (DX, DY), parameters={"level": 2}, method=method)
+        assert all(np.allclose(r.samples, want[r.trace_index // 10, r.trace_index % 10]) for r in out.collect())
