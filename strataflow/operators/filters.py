@@ -191,7 +191,7 @@ register("stft_denoise", "gather", dsp.stft_denoise, _half)
 register("gabor_denoise", "gather", lambda x, **p: dsp.stft_denoise(x, shape="gaussian", **p), _half)
 register("stockwell_denoise", "gather", dsp.stockwell_denoise, _half)
 register("tf_denoise", "gather", lambda x, transform="stransform", **p: (dsp.stockwell_denoise if transform == "stransform" else dsp.stft_denoise)(x, **p), _half)
-register("sst_denoise", "trace", dsp.squeezed_denoise)
+register("sst_denoise", "trace", lambda x, base="stft", **p: (dsp.squeezed_wavelets if base == "cwt" else dsp.squeezed_denoise)(x, **p))
 register("emd_denoise", "trace", dsp.emd_denoise)
 register("omp_denoise", "trace", dsp.omp_denoise)
 register("omp_spatial", "gather", dsp.omp_spatial, lambda p: p.get("half", 2))

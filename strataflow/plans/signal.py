@@ -24,6 +24,7 @@ STEPS = {
     "dsp_stockwell_denoise": ("stockwell_denoise", {"rate": RATE}),
     "dsp_tf_denoise": ("tf_denoise", {"rate": RATE, "transform": "stft", "size": 16, "mode": "scaled"}),
     "dsp_sst_denoise": ("sst_denoise", {"rate": RATE, "size": 16}),
+    "dsp_sst_wavelets": ("sst_denoise", {"base": "cwt", "rate": RATE, "voices": 8}),
     "dsp_emd_denoise": ("emd_denoise", {}),
     "dsp_eemd_denoise": ("emd_denoise", {"method": "eemd", "ensemble": 4}),
     "dsp_ceemdan_denoise": ("emd_denoise", {"method": "ceemdan", "ensemble": 4}),

@@ -197,3 +197,35 @@ def test_adaptive_modes():
     assert np.allclose(dsp.emd_denoise(x[None], "ceemdan", "last", 6, 0.2, 7, 5)[0], sum(want[:-1]))
     for flat in (np.zeros(50), np.ones(50), np.arange(50.0)):
         assert np.allclose(dsp.emd_denoise(flat[None], "ceemdan", ())[0], flat)
+
+
+def test_wavelet_squeezing():
+    t = np.arange(512) / 500
+    chirp = np.sin(2 * np.pi * (20 * t + 40 * t * t))[None]
+    rate = 20 + 80 * t
+    for name in dsp.WAVELETS:
+        f, w, dw = dsp.cwt(chirp, 500.0, name, 16)
+        spectrum = np.fft.rfft(chirp, axis=1)
+        weight = dsp.wavelet_bank(512, 500.0, name, 16)[1].sum(axis=0)
+        few = weight <= 0.1 * weight.max()  # the mean, and what has few voices at the ends
+        assert few[0] and few.sum() <= 3
+        spectrum[:, few] = 0
+        assert np.allclose(dsp.icwt(w, 500.0, name, 16), np.fft.irfft(spectrum, 512, axis=1), atol=1e-9)
+        assert np.allclose(dsp.squeezed_wavelets(chirp, 500.0, name, k=0.0), chirp)
+    f, w, dw = dsp.cwt(chirp, 500.0, "morlet", 16)
+    target = dsp.reassigned(f, w, dw, 16)
+    power = np.zeros(w.shape[1:])
+    np.add.at(power, (target[0], np.broadcast_to(np.arange(512), target[0].shape)), np.abs(w[0]) ** 2)
+    ridge = f[power[:, 50:-50].argmax(axis=0)]
+    assert np.abs(np.log2(ridge / rate[50:-50])).max() < 0.15  # within a tenth of an octave or so of the chirp's frequency
+    near = np.abs(np.log2(f[:, None] / rate[None, :])) < 0.15
+    share = lambda p: (p * near)[:, 50:-50].sum() / p[:, 50:-50].sum()
+    assert share(power) > 0.9 > share(np.abs(w[0]) ** 2)
+    noisy = chirp + 0.5 * np.random.default_rng(2).standard_normal(chirp.shape)
+    clean = dsp.squeezed_wavelets(noisy, 500.0, "morlet", 16, 3.0)
+    assert ((clean - chirp) ** 2).mean() < 0.5 * ((noisy - chirp) ** 2).mean()
+    plainly = dsp.squeezed_wavelets(noisy, 500.0, "morlet", 16, 3.0, squeezing=False)
+    assert np.isfinite(plainly).all() and not np.allclose(plainly, clean)
+    assert np.allclose(dsp.squeezed_wavelets(np.zeros((1, 64)), 500.0), 0)
+    with pytest.raises(ValueError, match="none of"):
+        dsp.squeezed_wavelets(chirp, 500.0, "haar")
