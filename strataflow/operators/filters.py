@@ -49,6 +49,11 @@ def _schema(df: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == "samples" else f.dataType) for f in df.schema.fields])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over as many tasks as a shuffle has, for kernels that cost far more than that: a small file is one task's, however long its rows take."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def per_trace(df: DataFrame, kernel: Kernel) -> DataFrame:
     """df with samples put through a kernel that takes traces as rows."""
 

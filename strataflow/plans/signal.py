@@ -51,7 +51,8 @@ def _cubes(df: DataFrame) -> DataFrame:
 
 def _query(name: str, parameters: dict):
     cube = filters.REGISTRY[name][0] in ("cube", "volume")
-    return lambda s, d: flat(filters.apply(_cubes(signal_traces(s, d)) if cube else signal_traces(s, d), name, parameters))
+    prepared = _cubes if cube else (lambda df: filters.spread(df, "trace_index")) if name == "emd_denoise" else (lambda df: df)
+    return lambda s, d: flat(filters.apply(prepared(signal_traces(s, d)), name, parameters))
 
 
 def chained(s, d):

@@ -229,3 +229,54 @@ def test_wavelet_squeezing():
     assert np.allclose(dsp.squeezed_wavelets(np.zeros((1, 64)), 500.0), 0)
     with pytest.raises(ValueError, match="none of"):
         dsp.squeezed_wavelets(chirp, 500.0, "haar")
+
+
+def plain_modes(x, most, sifts=10):
+    """Sifting by its definition, trace by trace."""
+    out, rest, t = [], x.copy(), np.arange(len(x), dtype=float)
+    for _ in range(most):
+        mode = rest.copy()
+        for _ in range(sifts):
+            d = np.diff(mode)
+            tops, dips = (np.flatnonzero((s[:-1] > 0) & (s[1:] <= 0)) + 1 for s in (d, -d))
+            if len(tops) < 2 or len(dips) < 2:
+                break
+            upper, lower = (dsp.spline(k.astype(float), mode[k], t) for k in (np.r_[0, e, len(x) - 1] for e in (tops, dips)))
+            mode = mode - (upper + lower) / 2
+            if (((upper + lower) / 2) ** 2).sum() < 1e-4 * max((mode**2).sum(), 1e-300):
+                break
+        if np.allclose(mode, rest) and out:
+            break
+        out.append(mode)
+        rest = rest - mode
+        if np.abs(rest).max() < 1e-10 * max(np.abs(x).max(), 1e-300):
+            break
+    return [*out, rest]
+
+
+def test_modes_of_many_traces_are_those_of_each():
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.standard_normal((3, 60)), rng.standard_normal((3, 60)).cumsum(axis=1), rng.integers(-2, 3, (2, 60)), np.zeros((1, 60)), np.arange(60.0)[None]])
+    found, count, rest = dsp.modes_of(x, 5)
+    for k, trace in enumerate(x):
+        want = plain_modes(trace, 5)
+        assert count[k] == len(want) - 1 and np.allclose([*[m[k] for m in found[: count[k]]], rest[k]], want)
+        for remove in ("first", "first_2", "first_9", "last", (0, -1), (9,)):
+            gone = sum((want[j] for j in dsp.removed_modes(remove, len(want))), np.zeros(60))
+            assert np.allclose(dsp.emd_denoise(x, "emd", remove, most=5)[k], trace - gone)
+    for method in ("eemd", "ceemdan"):
+        assert np.allclose(dsp.emd_denoise(x, method, ensemble=3), [dsp.emd_denoise(t[None], method, ensemble=3)[0] for t in x])
+    broken = np.r_[x[:1], np.full((1, 60), np.nan)]
+    assert np.allclose(dsp.emd_denoise(broken, "eemd", ensemble=3)[0], dsp.emd_denoise(x[:1], "eemd", ensemble=3)[0])
+
+
+def test_modes_of_many_traces_are_looked_for_together(monkeypatch):
+    calls, solve = [], dsp.tridiagonal
+    monkeypatch.setattr(dsp, "tridiagonal", lambda *a: calls.append(1) or solve(*a))
+    dsp.emd_denoise(np.random.default_rng(5).standard_normal((200, 64)))
+    assert len(calls) <= 10  # as often as one trace is sifted at most, not for each trace and mode
+
+
+def test_traces_of_one_file_are_spread(spark, sf):
+    df = signal_traces(spark, sf)
+    assert filters.spread(df, "trace_index").rdd.getNumPartitions() == 4 and sorted(filters.spread(df, "trace_index").collect()) == sorted(df.collect())
