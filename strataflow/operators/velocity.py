@@ -40,8 +40,8 @@ def interpolate(points: DataFrame, knots: DataFrame, key: str = "id") -> DataFra
     both = rows.unionByName(knots.select(key, "t", "v").withColumn("_own", F.lit(None).cast(rows.schema["_own"].dataType)).withColumn("_point", F.lit(0)))
     knot = F.when(F.col("_point") == 0, F.struct("t", "v"))
     back = Window.partitionBy(key).orderBy("t", "_point").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy("t", F.desc("_point")).rowsBetween(0, Window.unboundedFollowing)
-    rows = both.withColumn("_a", F.last(knot, True).over(back)).withColumn("_b", F.first(knot, True).over(ahead)).where("_point = 1")
+    ahead = Window.partitionBy(key).orderBy(F.desc("t"), "_point").rowsBetween(Window.unboundedPreceding, 0)  # a frame to the end would be read anew for each row
+    rows = both.withColumn("_a", F.last(knot, True).over(back)).withColumn("_b", F.last(knot, True).over(ahead)).where("_point = 1")
     share = F.try_divide(F.col("t") - F.col("_a.t"), F.col("_b.t") - F.col("_a.t"))
     v = F.coalesce(F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * F.coalesce(share, F.lit(0.0)), F.col("_a.v"), F.col("_b.v"))
     return rows.select(key, "t", *[F.col(f"_own.{c}").alias(c) for c in own], v.alias("v"))

@@ -56,3 +56,11 @@ def test_picks_between_locations(spark):
     assert got == {(5, 0.5): 2000.0, (5, 1.0): 2500.0, (10, 0.5): 2000.0, (10, 1.0): 2500.0, (20, 0.5): 2000.0, (20, 1.0): 2250.0, (40, 0.5): 2000.0, (40, 1.0): 2000.0}
     (r,) = velocity.summary(picks.where("cdp = 10"), ["cdp"]).collect()
     assert (r.n, r.t_min, r.t_max, r.v_min, r.v_max, r.v_mean, r.gradient) == (2, 0.0, 1.0, 1500.0, 2500.0, 2000.0, 1000.0)
+
+
+def test_frames_of_interpolation_grow_with_rows_passed(spark):
+    knots = spark.createDataFrame([(0, 2.0, 20.0), (0, 1.0, 10.0), (0, 4.0, 0.0), (1, 5.0, 7.0)], "id int, t double, v double")
+    points = spark.createDataFrame([(0, 0.5), (0, 1.0), (0, 1.5), (0, 2.0), (0, 3.0), (0, 4.0), (0, 9.0), (1, 1.0), (1, 5.0), (2, 1.0)], "id int, t double")
+    df = velocity.interpolate(points, knots)
+    assert {(r.id, r.t): r.v for r in df.collect()} == {(0, 0.5): 10.0, (0, 1.0): 10.0, (0, 1.5): 15.0, (0, 2.0): 20.0, (0, 3.0): 10.0, (0, 4.0): 0.0, (0, 9.0): 0.0, (1, 1.0): 7.0, (1, 5.0): 7.0, (2, 1.0): None}
+    assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()  # such a frame is read to its end for each row
