@@ -6,6 +6,8 @@ blocks small enough for a task; what spans blocks is settled on one row per bloc
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,15 +78,25 @@ def key_continuity(headers: DataFrame, key: str, order: list[str], block: Column
 
 
 def sort_order(headers: DataFrame, candidates: list[str], order: list[str], block: Column) -> DataFrame:
-    """Candidates by score times a penalty for gathers of a few or of nearly all traces; the first of the best comes first."""
-    n = headers.count()
-    parts = [key_continuity(headers, c, order, block).withColumn("_place", F.lit(i)) for i, c in enumerate(candidates)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    size = F.lit(float(n)) / F.col("n_unique")
-    penalty = F.when(size < 2, 0.7).when(size > n / 2, 0.9).otherwise(1.0)
-    return rows.withColumn("score", F.col("score") * penalty).orderBy(F.desc("score"), "_place").drop("_place")
+    """Candidates, as key_continuity() has them, by score times a penalty for gathers of a few or of nearly all traces; the first of the best comes first.
+
+    One sort along the order serves all candidates: blocks are summed up to their runs and their first and last keys.
+    """
+    w, along = Window.partitionBy("_block").orderBy(*order), Window.orderBy("_block")
+    rows = headers.select(block.alias("_block"), *dict.fromkeys([*candidates, *order])).withColumn("_at", F.row_number().over(w))
+    new = [F.when((F.col("_at") == 1) | ~F.lag(c).over(w).eqNullSafe(F.col(c)), 1).otherwise(0).alias(f"_new{i}") for i, c in enumerate(candidates)]
+    sums = [f(c, i) for i, c in enumerate(candidates) for f in (
+        lambda c, i: F.sum(f"_new{i}").alias(f"_runs{i}"), lambda c, i: F.min_by(F.struct(c), "_at").alias(f"_first{i}"), lambda c, i: F.max_by(F.struct(c), "_at").alias(f"_last{i}"))]
+    blocks = rows.select("_block", "_at", *candidates, *new).groupBy("_block").agg(F.count("*").alias("_rows"), *sums)
+    on = [F.when((F.row_number().over(along) > 1) & F.lag(f"_last{i}").over(along).eqNullSafe(F.col(f"_first{i}")), 1).otherwise(0) for i in range(len(candidates))]
+    runs = blocks.select("_rows", *[(F.col(f"_runs{i}") - o).alias(f"_runs{i}") for i, o in enumerate(on)])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counted = runs.agg(total("_rows").alias("_n"), F.array(*[total(f"_runs{i}") for i in range(len(candidates))]).alias("_runs"))
+    unique = reduce(DataFrame.unionByName, [headers.agg(F.count_distinct(c).alias("n_unique")).select(F.lit(i).alias("_place"), F.lit(c).alias("key"), "n_unique") for i, c in enumerate(candidates)])
+    rows = unique.join(counted.select("_n", F.posexplode("_runs").alias("_place", "n_runs")), "_place")
+    size = F.try_divide(F.col("_n").cast("double"), "n_unique")
+    penalty = F.when(size < 2, 0.7).when(size > F.col("_n") / 2, 0.9).otherwise(1.0)
+    return rows.select("key", "n_unique", "n_runs", (F.try_divide("n_unique", "n_runs") * penalty).alias("score"), "_place").orderBy(F.desc("score"), "_place").drop("_place")
 
 
 def available_headers(headers: DataFrame, least: int = 2, most: int | None = None) -> DataFrame:

@@ -109,3 +109,21 @@ def test_the_survey_image_grows_with_the_survey(spark, monkeypatch):
     assert series.imaged(t.limit(0), imaging.survey_grid(t.limit(0), (50.0, 50.0)), 2000.0).isEmpty()
     nulls = t.limit(1).selectExpr("tx", "ty", "CAST(null AS double) AS offset", "samples").unionByName(t.limit(1).withColumn("samples", F.lit(None).cast("array<double>")))
     assert series.imaged(nulls, grid, 2000.0).isEmpty()
+
+
+def test_sort_order_by_one_sort(spark):
+    from strataflow.operators import ensembles
+
+    rows = [(k, (k // 4) % 3, None if k % 5 == 0 else k // 5, "x") for k in range(60)] + [(None, 0, 0, "x")]
+    df = spark.createDataFrame(rows, "k long, a long, b long, c string")
+    block = F.floor(F.col("k") / 7)
+    keys = ["a", "b", "c", "k"]
+    got = ensembles.sort_order(df, keys, ["k"], block)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    for r in got.collect():
+        values = [x[("k", "a", "b", "c").index(r.key)] for x in ordered]
+        n, runs = len({v for v in values if v is not None}), 1 + sum(x != y for x, y in zip(values, values[1:], strict=False))
+        penalty = 0.7 if 61 / n < 2 else 0.9 if 61 / n > 61 / 2 else 1.0
+        assert (r.n_unique, r.n_runs, round(r.score, 9)) == (n, runs, round(n / runs * penalty, 9))
+    assert got.count() == 4 and got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2  # rows and blocks, for all keys
+    assert [(r.n_unique, r.n_runs, r.score) for r in ensembles.sort_order(df.where("k < 0"), ["a"], ["k"], block).collect()] == [(0, 0, None)]
