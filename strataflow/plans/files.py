@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.operators import filters
 from strataflow.plans.job_history import jobs
 from strataflow.plans.series import flat
 from strataflow.plans.stacks import traces
@@ -45,7 +46,7 @@ def bundle_window(s, d):
 def synthetic_gather(s, d):
     """Events without noise on a trace for each customer."""
     rows = s.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") % 400).cast("long").alias("trace_index"), F.col("c_custkey").alias("customer"))
-    out = synthetic.events(rows, 60, 0.01, 12.0, noise=0.0)
+    out = synthetic.events(filters.spread(rows, "customer"), 60, 0.01, 12.0, noise=0.0)
     return out.select("customer", F.posexplode("samples").alias("s", "a")).select("customer", F.col("s").cast("long").alias("s"), (F.round(F.col("a").cast("double"), 5) + 0.0).alias("a"))
 
 

@@ -1,11 +1,23 @@
-"""Synthetic traces and geometries, made by ranges and expressions."""
+"""Synthetic traces and geometries, made by ranges, expressions and arrays."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Samples that are made at once.
+BLOCK = 1 << 16
+
+
+def _ricker(t: np.ndarray, frequency: float) -> np.ndarray:
+    a = (math.pi * frequency * t) ** 2
+    return (1 - 2 * a) * np.exp(-a)
 
 
 def ricker(t, frequency: float):
@@ -17,13 +29,22 @@ def events(traces: DataFrame, n_samples: int = 1000, dt_s: float = 0.002, freque
     """traces with samples: a flat event, a dipping and a hyperbolic one by the traces' index, 25 m apart, and noise that a trace's index and the seed make."""
     i = F.col(index)
 
-    def sample(k):
-        t = k * dt_s
-        found = ricker(t - 0.2, frequency) + 0.7 * ricker(t - 0.4 - 0.001 * i, frequency) + 0.5 * ricker(t - F.sqrt(0.36 + (i * 25.0 / 2000) * (i * 25.0 / 2000)), frequency)
+    @F.arrow_udf(T.ArrayType(T.DoubleType() if noise else T.FloatType()))
+    def found(at: pa.Array) -> pa.Array:
+        t, x = np.arange(n_samples) * dt_s, at.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)[:, None]
+        out = np.empty((len(x), n_samples), float if noise else np.float32)
+        step = max(1, BLOCK // max(1, n_samples))
+        for k in range(0, len(x), step):
+            own = x[k : k + step]
+            waves = [_ricker(v, frequency) for v in (t - 0.2, t - 0.4 - 0.001 * own, t - np.sqrt(0.36 + (own * 25.0 / 2000) * (own * 25.0 / 2000)))]
+            out[k : k + step] = waves[0] + 0.7 * waves[1] + 0.5 * waves[2]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(n_samples)), pa.array(out.ravel(), mask=np.repeat(at.is_null().to_numpy(zero_copy_only=False), n_samples)))
+
+    def noisy(a, k):
         uniform = lambda s: (F.pmod(F.xxhash64(i, k, F.lit(seed + s)), F.lit(1 << 30)) + 1) / ((1 << 30) + 1)
-        return (found + noise * F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1)) if noise else found).cast("float")
+        return (a + noise * F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1))).cast("float")
 
-    return traces.withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), sample))
+    return traces.withColumn("samples", F.transform(found(i), noisy) if noise else found(i))
 
 
 def gather(spark: SparkSession, n_traces: int = 100, n_samples: int = 1000, dt_s: float = 0.002, frequency: float = 30.0, noise: float = 0.1, seed: int = 42) -> DataFrame:

@@ -237,3 +237,18 @@ def test_failed_and_empty_writes(spark, tmp_path):
     assert segy.write(shots(spark, 50).repartition(4), f"{tmp_path}/many", 4000, folder_of_files=True) == 50
     assert [r.cdp for r in segy.read(spark, f"{tmp_path}/many").orderBy("trace_index").collect()] == [k // 7 for k in range(50)]
     assert segy.text_header(f"{tmp_path}/empty.sgy")[0].startswith("C 1 written")
+
+
+def test_synthetic_events_by_arrays(spark, sf):
+    from strataflow.plans import files
+
+    rows = spark.createDataFrame([(0,), (7,), (None,)], "trace_index long")
+    wave = lambda t: (1 - 2 * (np.pi * 30 * t) ** 2) * np.exp(-((np.pi * 30 * t) ** 2))
+    t = np.arange(300) * 0.002
+    for noise in (0.0, 1e-9):
+        got = {r.trace_index: r.samples for r in synthetic.events(rows, 300, noise=noise).collect()}
+        for i in (0, 7):
+            assert np.allclose(got[i], wave(t - 0.2) + 0.7 * wave(t - 0.4 - 0.001 * i) + 0.5 * wave(t - np.sqrt(0.36 + (i * 25 / 2000) ** 2)), atol=1e-6)
+        assert got[None] == [None] * 300
+    assert "lambda" not in synthetic.events(rows, 300, noise=0.0)._jdf.queryExecution().optimizedPlan().toString()  # not sample by sample
+    assert files.synthetic_gather(spark, sf).rdd.getNumPartitions() == 4  # though its table is one file
