@@ -252,3 +252,15 @@ def test_synthetic_events_by_arrays(spark, sf):
         assert got[None] == [None] * 300
     assert "lambda" not in synthetic.events(rows, 300, noise=0.0)._jdf.queryExecution().optimizedPlan().toString()  # not sample by sample
     assert files.synthetic_gather(spark, sf).rdd.getNumPartitions() == 4  # though its table is one file
+
+
+def test_a_stream_over_several_files_is_one_batch(spark, sf, tmp_path, monkeypatch):
+    from strataflow.plans import files
+    from strataflow.plans.job_history import jobs
+
+    monkeypatch.setattr(files, "folder", lambda s: str(tmp_path / str(len(list(tmp_path.iterdir())))))
+    run = lambda more: sorted(map(tuple, files.streamed(lambda j: streaming.consecutive_failure_alerts(j, "worker", 2), "runs", more)(spark, sf).collect()))
+    assert run(lambda j: j.repartition(5)) == run(lambda j: j) != []
+    assert len(list(tmp_path.glob("0/in/*.parquet"))) == 5  # not put together by one task
+    assert [len(list(tmp_path.glob(f"{k}/state/commits/[0-9]*"))) for k in (0, 1)] == [1, 1]
+    assert jobs(spark, sf).count() == spark.read.parquet(str(tmp_path / "0/in")).count()
