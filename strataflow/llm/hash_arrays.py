@@ -76,6 +76,11 @@ class HashArrays:
     def find(self, keys: np.ndarray, missing: tuple = (), step: int = 0) -> tuple[np.ndarray, ...]:
         """For each key (uint64): whether it is there, then its values, missing ones where it isn't; of equal keys, those of the entry that step counts from 0. Queries go through a shard in order, so pages are touched once."""
         unique, back = np.unique(keys, return_inverse=True)
+        found, *values = self.find_sorted(unique, missing, step)
+        return found[back], *(v[back] for v in values)
+
+    def find_sorted(self, unique: np.ndarray, missing: tuple = (), step: int = 0) -> tuple[np.ndarray, ...]:
+        """find() for keys that are sorted and different."""
         found = np.zeros(len(unique), bool)
         values = [np.full(len(unique), m) for m in missing]
         edges = np.searchsorted(unique >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
@@ -91,7 +96,7 @@ class HashArrays:
             found[a:b] = hit
             for v, m in zip(values, more, strict=True):
                 v[a:b] = np.where(hit, m[at], v[a:b])
-        return found[back], *(v[back] for v in values)
+        return found, *values
 
 
 def shard_edges(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -106,8 +111,7 @@ class NarrowArrays(HashArrays):
     def __init__(self, uri: str, bits: int, *names: str):
         super().__init__(uri, bits, "tail", *names)
 
-    def find(self, keys: np.ndarray, missing: tuple = (), step: int = 0) -> tuple[np.ndarray, ...]:
-        unique, back = np.unique(keys, return_inverse=True)
+    def find_sorted(self, unique: np.ndarray, missing: tuple = (), step: int = 0) -> tuple[np.ndarray, ...]:
         head, tail = _narrowed(unique, self.bits)
         found = np.zeros(len(unique), bool)
         values = [np.full(len(unique), m) for m in missing]
@@ -124,7 +128,7 @@ class NarrowArrays(HashArrays):
                 for v, m in zip(values, more, strict=True):
                     v[left[hit]] = m[at[hit]]
                 at, left = at[~hit] + 1, left[~hit]
-        return found[back], *(v[back] for v in values)
+        return found, *values
 
 
 def _narrowed(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,16 +165,20 @@ class Counts:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """For each key its numbers, zeros where it isn't there: a matrix."""
         unique, back = np.unique(keys, return_inverse=True)
+        return self.find_sorted(unique)[back]
+
+    def find_sorted(self, unique: np.ndarray) -> np.ndarray:
+        """find() for keys that are sorted and different; no part sorts them again."""
         out = np.zeros((len(unique), self.n_fields), np.int64)
         left = np.ones(len(unique), bool)
         if self.bare:
-            (hit,) = self.bare.find(unique)
+            (hit,) = self.bare.find_sorted(unique)
             out[hit] = self.usual
             left &= ~hit
         for arrays, kind in self.parts:
             at = np.flatnonzero(left)
-            hit, *values = arrays.find(unique[at], ((np.uint8 if kind == "small" else np.int64)(0),) * self.n_fields)
+            hit, *values = arrays.find_sorted(unique[at], ((np.uint8 if kind == "small" else np.int64)(0),) * self.n_fields)
             for k, v in enumerate(values):
                 out[at[hit], k] = v[hit]
             left[at[hit]] = False
-        return out[back]
+        return out

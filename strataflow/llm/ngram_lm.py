@@ -348,7 +348,7 @@ def _opened(model: Model) -> Opened:
 
 
 def _taken(n: np.ndarray, d: Discounts) -> np.ndarray:
-    return np.select([n == 0, n == 1, n == 2], [0.0, d.one, d.two], d.more)
+    return np.array([0.0, *d])[np.minimum(n, 3)]
 
 
 def _interpolated(n: np.ndarray, context: np.ndarray, d: Discounts, lower: np.ndarray) -> np.ndarray:
@@ -362,7 +362,7 @@ def probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) ->
     """(probability, training count) of each token w after v, and u before that."""
     own = _opened(model)
     word, back = np.unique(np.concatenate([w, v]), return_inverse=True)
-    found = own.words.find(word)
+    found = own.words.find_sorted(word)
     histories = found[:, 4]
     words_d, pairs_d, triples_d = model.discounts
     if model.distinct_pairs:

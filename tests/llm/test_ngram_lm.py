@@ -98,3 +98,22 @@ def test_nulls_repeats_counts_over_a_byte_and_empty_tables(spark):
     assert L.language_model(df.limit(0)).count() == 0
     only = spark.createDataFrame([(i, "q r", "x") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string, score string")
     assert {(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in L.language_model(only).collect()} == {(True, 3, 0, 0, 0.0, 0.0)}
+
+
+def test_a_lookup_sorts_its_keys_once(tmp_path, monkeypatch):
+    from strataflow.llm import hash_arrays
+
+    rng, bits = np.random.default_rng(4), 2
+    stored = np.unique(rng.integers(0, 1 << 64, 4000, np.uint64))
+    fields = rng.choice([1, 1, 7, 300], (len(stored), 2)).astype(np.int64)
+    for exact in (False, True):
+        at = f"{tmp_path}/{exact}"
+        for k, a, b in hash_arrays.shard_edges(stored, bits):
+            hash_arrays.save_counts(at, k, bits, stored[a:b], fields[a:b], (1, 1), exact)
+        asked = rng.permutation(np.concatenate([stored, stored[::3], stored[::2] ^ np.uint64(1 << 40)]))
+        want = {int(k): f.tolist() for k, f in zip(stored, fields, strict=True)}
+        calls, unique = [], np.unique
+        with monkeypatch.context() as m:
+            m.setattr(np, "unique", lambda *a, **b: calls.append(1) or unique(*a, **b))
+            got = hash_arrays.Counts(at, bits, 2, (1, 1), exact).find(asked)
+        assert got.tolist() == [want.get(int(k), [0, 0]) for k in asked] and len(calls) == 1
