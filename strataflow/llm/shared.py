@@ -12,6 +12,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -173,13 +174,72 @@ def hashed_words(texts: Iterable[bytes], sizes: list[int]) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def hashes_of(words: Iterable[bytes], n: int) -> np.ndarray:
-    """64-bit hashes of the n words."""
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Hashes (uint64) whose every bit depends on all of h's."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+class Words(NamedTuple):
+    """The words of texts, as places in the texts' bytes, each text between two line feeds: each word's first byte and the one after its last, and each text's number of words."""
+
+    raw: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    sizes: np.ndarray
+
+
+def gaps(raw: np.ndarray) -> np.ndarray:
+    """Which bytes part words."""
+    return (raw == 32) | (raw - np.uint8(9) < 5)
+
+
+def words_of(texts: list[bytes]) -> Words:
+    raw = np.frombuffer(b"\n".join([b"", *texts, b"\n" * 8]), np.uint8)
+    inside = ~gaps(raw)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edges = edges.astype(np.int32) if len(raw) < 1 << 31 else edges
+    start, end = edges[::2].copy(), edges[1::2].copy()
+    bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return Words(raw, start, end, np.diff(np.searchsorted(start, bounds.astype(start.dtype))))
+
+
+#: Longer words' hashes are xxhash's; of shorter ones, eight bytes are taken at a time, of all words at once.
+LONG_WORD = 64
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _eight(raw: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The first n bytes, eight at most, at each place; raw has eight more behind its last word."""
+    return np.ndarray(len(raw) - 7, np.uint64, raw, 0, 1)[at] & _FIRST[np.minimum(n, 8)]
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words; those of up to eight bytes are told apart without fail if they have one length."""
+    import xxhash
+
+    n = end - start
+    h = mixed(_eight(raw, start, n) ^ n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    left, k = np.flatnonzero((n > 8) & (n <= LONG_WORD)), 8
+    while len(left):
+        h[left] = mixed(h[left] ^ _eight(raw, start[left] + k, n[left] - k))
+        k += 8
+        left = left[n[left] > k]
+    for i in np.flatnonzero(n > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return h
+
+
+def equal_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether each word of raw has the bytes of its fellow of other."""
+    n = end - start
+    same = n == to - at
+    left, k = np.flatnonzero(same), 0
+    while len(left):
+        same[left] = _eight(raw, start[left] + k, n[left] - k) == _eight(other, at[left] + k, n[left] - k)
+        k += 8
+        left = left[same[left] & (n[left] > k) & (n[left] <= LONG_WORD)]
+    for i in np.flatnonzero(same & (n > LONG_WORD)).tolist():
+        same[i] = raw[start[i] : end[i]].tobytes() == other[at[i] : to[i]].tobytes()
+    return same

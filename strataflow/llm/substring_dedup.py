@@ -27,9 +27,8 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.hash_arrays import HashArrays, load_bytes, save, save_bytes, shard_edges
-from strataflow.llm.shared import cut, delete, hashes_of, input_bytes, joined, mixed, scratch, shards, small_batches, utf8
+from strataflow.llm.shared import Words, cut, delete, equal_spans, gaps, input_bytes, joined, mixed, scratch, shards, small_batches, span_hashes, utf8, words_of
 
 SIZE, PHRASE = 13, 5
 #: Bytes of text that one hash range is for, and that one shard of automata is for. A shard has 2**PARTS automata, as a node's children are searched one by one, so that roots must not grow wide.
@@ -60,9 +59,9 @@ def _grams(words: np.ndarray, size: int, base: int) -> np.ndarray:
 
 
 class Windows(NamedTuple):
-    """A block's words, by text; for each window the place of its document, of its first word within the document, and its hashes."""
+    """A block's words; for each window the place of its document, of its first word among all words, and its hashes."""
 
-    words: list[list[bytes]]
+    words: Words
     doc: np.ndarray
     at: np.ndarray
     minimizer: np.ndarray
@@ -72,24 +71,23 @@ class Windows(NamedTuple):
 
 def windows(texts: list[bytes], usable: np.ndarray, size: int = SIZE, hashes: bool = True) -> Windows:
     """The texts' windows; without their own hashes, where minimizers are all that is asked."""
-    words = [t.split() for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    flat = hashes_of(chain.from_iterable(words), int(lengths.sum()))
+    words = words_of(texts)
+    flat, last = span_hashes(*words[:3]), np.cumsum(words.sizes)
     n = len(flat)
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    at = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     if n < size:
-        empty = np.empty(0, np.uint64)
-        return Windows(words, doc[:0], at[:0], empty, empty, empty)
+        empty, none = np.empty(0, np.uint64), np.empty(0, np.int64)
+        return Windows(words, none, none, empty, empty, empty)
     phrase = min(PHRASE, size)
     phrases = _grams(flat, phrase, _P1)
     least = phrases[: n - size + 1].copy()
     for k in range(1, size - phrase + 1):
         np.minimum(least, phrases[k : n - size + 1 + k], out=least)
-    whole = (at[: n - size + 1] + size <= lengths[doc[: n - size + 1]]) & usable[doc[: n - size + 1]]
+    whole = np.repeat(usable, words.sizes)
+    for k in range(1, size):
+        whole[last[last >= k] - k] = False
     w = np.flatnonzero(whole)
     own = (_grams(flat, size, base)[w] if hashes else np.empty(0, np.uint64) for base in (_P1, _P2))
-    return Windows(words, doc[w], at[w], mixed(least[w]), *own)
+    return Windows(words, np.repeat(np.arange(len(texts)), words.sizes)[w], w, mixed(least[w]), *own)
 
 
 def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -220,8 +218,9 @@ def _chosen(batches: Iterator[pa.RecordBatch], minimizers: str, passages: str, b
         run = np.arange(len(c)) - np.repeat(begin, np.diff(np.r_[begin, len(c)]))
         cover = np.flatnonzero((run % size == 0) | np.r_[starts[1:], True])
         sent: dict[int, dict[bytes, tuple[int, int]]] = {}
-        for k, d, a, first in zip(_dealt(w.minimizer[c[cover]], deal).tolist(), doc[cover].tolist(), at[cover].tolist(), earliest[cover].tolist(), strict=True):
-            sent.setdefault(k >> PARTS, {})[b" ".join(w.words[d][a : a + size])] = k & ((1 << PARTS) - 1), first
+        for k, a, first in zip(_dealt(w.minimizer[c[cover]], deal).tolist(), at[cover].tolist(), earliest[cover].tolist(), strict=True):
+            passage = b" ".join(w.words.raw[w.words.start[a] : w.words.end[a + size - 1]].tobytes().split())
+            sent.setdefault(k >> PARTS, {})[passage] = k & ((1 << PARTS) - 1), first
         for k, own in sent.items():
             part, first = (np.fromiter((x[i] for x in own.values()), np.int64, len(own)) for i in (0, 1))
             yield pa.record_batch({"shard": pa.array([k], pa.int32()), "passages": [b"\n".join(own)], "part": [part.astype(np.uint8).tobytes()], "first": [first.tobytes()]})
@@ -232,6 +231,36 @@ def _dealt(minimizer: np.ndarray, deal: int) -> np.ndarray:
     return (minimizer >> np.uint64(64 - deal - PARTS)).astype(np.int64)
 
 
+class Vocabulary(NamedTuple):
+    """Words by their hashes: a word's number is one more than its place."""
+
+    hashes: np.ndarray
+    raw: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+    def numbers(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Each word's number; 0 where it isn't one of these. Words are compared by their bytes."""
+        h, out = span_hashes(raw, start, end), np.zeros(len(start), np.int64)
+        at, left = np.searchsorted(self.hashes, h), np.arange(len(start))
+        while len(left):  # hashes are equal rarely
+            at, left = at[inside := at < len(self.hashes)], left[inside]
+            at, left = at[same := self.hashes[at] == h[left]], left[same]
+            same = equal_spans(raw, start[left], end[left], self.raw, self.start[at], self.end[at])
+            out[left[same]] = at[same] + 1
+            at, left = at[~same] + 1, left[~same]
+        return out
+
+
+def _vocabulary(passages: Iterable[bytes]) -> tuple[Vocabulary, dict[bytes, int]]:
+    """The passages' words, and each one's number."""
+    distinct = list({word for passage in passages for word in passage.split(b" ")})
+    words = words_of(distinct)
+    hashes = span_hashes(*words[:3])
+    order = np.argsort(hashes, kind="stable")
+    return Vocabulary(hashes[order], words.raw, words.start[order], words.end[order]), {distinct[i]: k for k, i in enumerate(order.tolist(), 1)}
+
+
 def _compiled(table: pa.Table, uri: str) -> pa.Table:
     """Compiles a shard's passages to automata over the numbers of their words, and stores these and those."""
     import ahocorasick
@@ -240,47 +269,63 @@ def _compiled(table: pa.Table, uri: str) -> pa.Table:
     for own, part, first in zip(table["passages"].to_pylist(), table["part"].to_pylist(), table["first"].to_pylist(), strict=True):
         for passage, k, i in zip(own.split(b"\n"), part, np.frombuffer(first, np.int64).tolist(), strict=True):
             firsts[passage] = k, min(i, firsts.get(passage, (k, i))[1])
-    numbers: dict[bytes, int] = {}
+    vocabulary, numbers = _vocabulary(firsts)
     parts: dict = {}
     for passage, (k, i) in firsts.items():
         if k not in parts:
             parts[k] = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        parts[k].add_word(tuple(numbers.setdefault(word, len(numbers) + 1) for word in passage.split(b" ")), i)
+        parts[k].add_word(tuple(numbers[word] for word in passage.split(b" ")), i)
     for automaton in parts.values():
         automaton.make_automaton()
     shard = table["shard"][0].as_py()
-    save_bytes(f"{uri}/{shard}", pickle.dumps((numbers, parts)))
+    save_bytes(f"{uri}/{shard}", pickle.dumps((tuple(vocabulary), parts)))
     return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(firsts)], pa.int64())})
 
 
-def _stretches(w: Windows, known: HashArrays, deal: int, size: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(shard, part, place of the document, first word's place, words) of the stretches of texts in which passages of that part of the shard may lie."""
+class Stretches(NamedTuple):
+    """Stretches of texts in which passages of a part of a shard may lie, by these (as one number): places of their document, first word and word after the last."""
+
+    dealt: np.ndarray
+    doc: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
+    def of(self, shard: int) -> Stretches:
+        return Stretches(*(x[slice(*np.searchsorted(self.dealt, [shard << PARTS, (shard + 1) << PARTS]))] for x in self))
+
+
+def _stretches(w: Windows, known: HashArrays, deal: int, size: int) -> Stretches:
     c = np.flatnonzero(_candidate_windows(w, known))
     dealt = _dealt(w.minimizer[c], deal)
     order = np.argsort(dealt, kind="stable")
     dealt, doc, at = dealt[order], w.doc[c[order]], w.at[c[order]]
     begin = np.flatnonzero(np.r_[np.ones(min(1, len(c)), bool), (dealt[1:] != dealt[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + size)])
-    end = np.r_[begin[1:], len(c)] - 1
-    for k, d, a, b in zip(dealt[begin].tolist(), doc[begin].tolist(), at[begin].tolist(), (at[end[: len(begin)]] + size).tolist(), strict=True):
-        yield k >> PARTS, k & ((1 << PARTS) - 1), d, a, b" ".join(w.words[d][a:b])
-
-
-def _located(stretches: list[tuple[int, int, int, bytes]], ids: np.ndarray, numbers: dict[bytes, int], parts: dict, gone: dict[int, list[tuple[int, int]]], size: int) -> None:
-    """Streams a shard's stretches (part, document, first word's place, words) through its automata; adds what they find of earlier documents' passages to gone, by document: from and to. A word of no passage parts a stretch."""
-    look = numbers.get
-    for k, d, a, text in stretches:
-        if k not in parts:
-            continue
-        mine, numbered, begin = int(ids[d]), [look(x, 0) for x in text.split(b" ")], 0
-        numbered.append(0)
-        while len(numbered) - begin > size:
-            end = numbered.index(0, begin)
-            if end - begin >= size:
-                for last, first in parts[k].iter(tuple(numbered[begin:end])):
-                    if first < mine:
-                        to = a + begin + last + 1
-                        gone.setdefault(d, []).append((to - size, to))
-            begin = end + 1
+    end = np.r_[begin[1:], len(c)][: len(begin)] - 1
+    return Stretches(dealt[begin], doc[begin], at[begin], at[end] + size)
+
+
+def _located(words: Words, ids: np.ndarray, stretches: Stretches, vocabulary: Vocabulary, parts: dict, size: int) -> np.ndarray:
+    """Streams a shard's stretches through its automata: places of the first words of what they find of earlier documents' passages. A word of no passage parts a stretch."""
+    lengths = stretches.end - stretches.begin
+    stop = np.cumsum(lengths + 1) - 1
+    owner = np.repeat(np.arange(len(lengths)), lengths + 1)
+    place = np.arange(len(owner)) + (stretches.begin - (stop - lengths))[owner]
+    inner = np.ones(len(owner), bool)
+    inner[stop] = False
+    number = np.zeros(len(owner), np.int64)
+    number[inner] = vocabulary.numbers(words.raw, words.start[place[inner]], words.end[place[inner]])
+    to = np.flatnonzero(number == 0)
+    begin = np.r_[0, to + 1][: len(to)]
+    run = np.flatnonzero(to - begin >= size)
+    lasts: list[int] = []
+    firsts: list[int] = []
+    for k, a, b in zip((stretches.dealt[owner[begin[run]]] & ((1 << PARTS) - 1)).tolist(), begin[run].tolist(), to[run].tolist(), strict=True):
+        if k in parts:
+            for last, first in parts[k].iter(tuple(number[a:b].tolist())):
+                lasts.append(a + last)
+                firsts.append(first)
+    last = np.array(lasts, np.int64)
+    return place[last[np.array(firsts, np.int64) < ids[stretches.doc[owner[last]]]]] + 1 - size
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Table]]:
@@ -296,37 +341,46 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Table]]:
         yield held
 
 
+def _without(words: Words, gone: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """For each text the number of words that go, and the digest of the others, joined by spaces."""
+    keep, stays = ~gaps(words.raw), ~gone
+    keep[words.end] = True
+    edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+    for a, b in zip(words.start[edges[::2]].tolist(), words.end[edges[1::2] - 1].tolist(), strict=True):
+        keep[a : b + 1] = False
+    kept = words.raw[keep]
+    kept[gaps(kept)] = 32
+    last = np.cumsum(words.sizes)
+    sums = lambda x: np.r_[0, np.cumsum(x, dtype=np.int64)][np.r_[0, last]]
+    to = sums(np.where(stays, words.end - words.start + 1, 0))
+    return np.diff(sums(gone)), [hashlib.sha256(kept[a : max(a, b - 1)]).hexdigest() for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
+
+
 def _kept(batches: Iterator[pa.RecordBatch], minimizers: str, automata: str, have: frozenset[int], bits: int, deal: int, size: int) -> Iterator[pa.RecordBatch]:
     """SCHEMA's columns: each shard's automaton is read once for so many blocks."""
     known = _opened(minimizers, bits)
     for blocks in _gathered(batches):
-        stretches: dict[int, list[tuple[int, int, int, bytes]]] = {}
-        ids, start = [], 0
-        for t in blocks:
+        columns, ids, words, stretches = [], [], [], []
+        while blocks:
+            t = blocks.pop(0)
             own, valid = _ids(t)
-            for k, part, d, a, text in _stretches(windows(utf8(t), valid, size, False), known, deal, size):
-                if k in have:
-                    stretches.setdefault(k, []).append((part, start + d, a, text))
+            w = windows(utf8(t), valid, size, False)
+            columns.append(t["doc_id"].combine_chunks())
             ids.append(own)
-            start += t.num_rows
-        gone: dict[int, list[tuple[int, int]]] = {}
-        for k in sorted(stretches):
-            _located(stretches.pop(k), np.concatenate(ids), *pickle.loads(load_bytes(f"{automata}/{k}")), gone, size)
-        start = 0
-        for t in blocks:
-            n, removed, hashes = [], [], []
-            for d, text in enumerate(utf8(t), start):
-                words = kept = text.split()
-                if d in gone:
-                    mask = np.ones(len(words), bool)
-                    for a, b in gone[d]:
-                        mask[a:b] = False
-                    kept = [x for x, stays in zip(words, mask.tolist(), strict=True) if stays]
-                n.append(len(words))
-                removed.append(len(words) - len(kept))
-                hashes.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            start += t.num_rows
-            yield pa.record_batch({"doc_id": t["doc_id"].combine_chunks(), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(hashes)})
+            words.append(w.words)
+            stretches.append(_stretches(w, known, deal, size))
+        del t, w
+        gone: list[list[np.ndarray]] = [[] for _ in words]
+        for k in sorted(have & {k for s in stretches for k in np.unique(s.dealt >> PARTS).tolist()}):
+            vocabulary, parts = pickle.loads(load_bytes(f"{automata}/{k}"))
+            for found, own, block, s in zip(gone, ids, words, stretches, strict=True):
+                found.append(_located(block, own, s.of(k), Vocabulary(*vocabulary), parts, size))
+        for column, block, found in zip(columns, words, gone, strict=True):
+            at = np.concatenate([np.empty(0, np.int64), *found])
+            n = len(block.start)
+            covered = np.bincount(at, minlength=n + 1) - np.bincount(at + size, minlength=n + 1)
+            removed, digests = _without(block, np.cumsum(covered)[:n] > 0)
+            yield pa.record_batch({"doc_id": column, "n_words": pa.array(block.sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
 
 def automata(docs: DataFrame, size: int = SIZE) -> tuple[str, str, frozenset[int], int, int]:

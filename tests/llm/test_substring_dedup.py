@@ -113,3 +113,43 @@ def test_automata_find_the_occurrences(spark, sf, monkeypatch):
     os.remove(f"{compiled.removeprefix('file://')}/{min(have)}")
     with pytest.raises(FileNotFoundError):
         list(S._kept(docs.toArrow().to_batches(), minimizers, compiled, have, bits, deal, 13))
+
+
+def test_words_are_hashed_as_arrays(monkeypatch):
+    import pyarrow as pa
+    import xxhash
+
+    calls, digest = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda x: calls.append(1) or digest(x))
+    text = " ".join(f"word{i}andmore" for i in range(5000))
+    t = pa.table({"doc_id": [1, 2], "text": [text, text]})
+    assert len(list(S._minimizers(iter(t.to_batches()), 3))) > 1 and not calls
+
+
+def test_spans_equal_words():
+    from strataflow.llm import shared
+
+    rng = random.Random(11)
+    parts = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x08", b"\x0e", b"\x00", b"\x1f", b"\x85", " é".encode(), b"a", b"b", b"c" * 7, b"d" * 8, b"e" * 57]
+    texts = [b"".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(300)] + [b"", b" ", b"x", b"q" * 64, b"q" * 65, b"q" * 5000, b"q" * 4999 + b"r", b"ab", b"ab\x00", b"ab\x00\x00"]
+    for some in (texts, [b""], []):
+        w = shared.words_of(some)
+        words = [x for t in some for x in t.split()]
+        assert [w.raw[a:b].tobytes() for a, b in zip(w.start, w.end, strict=True)] == words and w.sizes.tolist() == [len(t.split()) for t in some]
+        hashes = shared.span_hashes(*w[:3]).tolist()
+        assert len(set(hashes)) == len(set(words)) == len(set(zip(hashes, words, strict=True)))
+    w = shared.words_of(texts)
+    words = [x for t in texts for x in t.split()]
+    for k in (0, 1, 7, 100):
+        order = np.roll(np.arange(len(words)), k) if k < 100 else np.array([words.index(x) for x in words])
+        assert shared.equal_spans(*w[:3], w.raw, w.start[order], w.end[order]).tolist() == [x == words[i] for x, i in zip(words, order, strict=True)]
+
+
+def test_words_of_equal_hashes_have_different_numbers(monkeypatch):
+    real = S.span_hashes
+    monkeypatch.setattr(S, "span_hashes", lambda *a: real(*a) & np.uint64(3))
+    known = [f"w{i}" * (1 + i % 30) for i in range(40)]
+    vocabulary, numbers = S._vocabulary(" ".join(known[i : i + 5]).encode() for i in range(36))
+    asked = [x for i in range(80) for x in (f"w{i}" * (1 + i % 30), f"v{i}")]
+    w = S.words_of([" ".join(asked).encode()])
+    assert vocabulary.numbers(*w[:3]).tolist() == [numbers.get(x.encode(), 0) for x in asked] and sorted(numbers.values()) == list(range(1, 41))
