@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.hash_arrays import Counts, save_counts, shard_edges
-from strataflow.llm.shared import cut, delete, hashed_words, input_bytes, joined, mixed, scratch, shards, small_batches, utf8
+from strataflow.llm.shared import cut, delete, distinct, input_bytes, joined, mixed, order_of, scratch, shards, small_batches, utf8, word_hashes
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 ORDER = 3
@@ -114,9 +114,7 @@ def discounts(n: list[int]) -> Discounts:
 
 def tokens(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(token two before, token before, token, place of the text) for each token of the texts; at order two, a start is always two before."""
-    sizes: list[int] = []
-    words = hashed_words((t.lower() for t in texts), sizes)
-    lengths = np.array(sizes, np.int64)
+    words, lengths = word_hashes([t.lower() for t in texts])
     ends = np.cumsum(lengths + 1) - 1
     w = np.empty(len(words) + len(texts), np.uint64)
     is_end = np.zeros(len(w), bool)
@@ -143,7 +141,7 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 def _summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each distinct key stands first, in keys' order, and the counts' sums by key as a matrix."""
-    order = np.argsort(key, kind="stable")
+    order = order_of(key)
     first = _starts(key[order])
     if not len(first):
         return first, np.empty((0, len(counts)), np.int64)
@@ -155,7 +153,7 @@ def _triples(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.R
     for t in joined(batches, most=BLOCK):
         u, v, w, _ = tokens(utf8(t), layout.order)
         key, _ = layout.keys(u, v, w)
-        order = np.argsort(key)
+        order = order_of(key)
         key = key[order]
         first = _starts(key)
         n, at = np.diff(np.r_[first, len(key)]), order[first]
@@ -179,10 +177,11 @@ def _packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes
     """Distinct triples with counts: their words' hashes once, and places among them; v and u once for each run of them."""
     import zstandard
 
-    by = np.lexsort((u, v))
+    by = order_of(u)
+    by = by[order_of(v[by])]
     u, v, w, n = u[by], v[by], w[by], n[by]
     runs, pairs, often = _starts(v), _starts(v, u), np.flatnonzero(n > 1)
-    words, at = np.unique(np.concatenate([v[runs], u[pairs], w]), return_inverse=True)
+    words, at = distinct(np.concatenate([v[runs], u[pairs], w]))
     sizes = np.array([len(words), len(runs), len(pairs), len(w), len(often)], np.uint32)
     lengths = np.concatenate([np.diff(np.r_[runs, len(v)]), np.diff(np.r_[pairs, len(v)]), np.diff(np.r_[0, often]), n[often]]).astype(np.uint32)
     return zstandard.compress(sizes.tobytes() + _planes(words) + _planes(at.astype(np.uint32)) + _planes(lengths), 6)
@@ -322,6 +321,12 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     return Model(path, layout, n[0], n[1], n[14], of, (n[2], n[3], n[1] - n[2] - n[3]))
 
 
+def _found(counts: Counts, key: np.ndarray) -> np.ndarray:
+    """For each key its numbers; each distinct one is looked up once."""
+    unique, back = distinct(key)
+    return counts.find_sorted(unique)[back]
+
+
 class Opened:
     """A model's arrays, as a worker maps them."""
 
@@ -335,9 +340,9 @@ class Opened:
         """The counts of pairs (v, w), and contexts' (u, v) totals: those that aren't written are usual where they are a pair; nothing comes after an end."""
         key, split = self.model.layout.contexts(u, v), self.model.layout.split(v)
         out = np.zeros((len(key), 4), np.int64)
-        out[~split], out[split] = self.contexts.find(key[~split]), self.frequent.find(key[split])
+        out[~split], out[split] = _found(self.contexts, key[~split]), _found(self.frequent, key[split])
         left = np.flatnonzero((out[:, 3] == 0) & (v != END))
-        found = self.pairs.find(np.concatenate([pair, self.model.layout.keys(u[left], u[left], v[left])[1]]))[:, 0]
+        found = _found(self.pairs, np.concatenate([pair, self.model.layout.keys(u[left], u[left], v[left])[1]]))[:, 0]
         out[left[found[len(pair) :] > 0]] = USUAL["context"]
         return found[: len(pair)], out
 
@@ -361,7 +366,7 @@ def _interpolated(n: np.ndarray, context: np.ndarray, d: Discounts, lower: np.nd
 def probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(probability, training count) of each token w after v, and u before that."""
     own = _opened(model)
-    word, back = np.unique(np.concatenate([w, v]), return_inverse=True)
+    word, back = distinct(np.concatenate([w, v]))
     found = own.words.find_sorted(word)
     histories = found[:, 4]
     words_d, pairs_d, triples_d = model.discounts
@@ -373,10 +378,10 @@ def probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) ->
     at, before = back[: len(w)], back[len(w) :]
     triple, pair = model.layout.keys(u, v, w)
     if model.layout.order == 2:
-        return _interpolated(own.triples.find(triple)[:, 0], found[before, :4], triples_d, lower[at]), found[at, 5]
+        return _interpolated(_found(own.triples, triple)[:, 0], found[before, :4], triples_d, lower[at]), found[at, 5]
     continued, context = own.pairs_and_contexts(u, v, pair)
     p = _interpolated(continued, found[before, :4], pairs_d, lower[at])
-    return _interpolated(own.triples.find(triple)[:, 0], context, triples_d, p), found[at, 5]
+    return _interpolated(_found(own.triples, triple)[:, 0], context, triples_d, p), found[at, 5]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -243,3 +243,53 @@ def equal_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.n
     for i in np.flatnonzero(same & (n > LONG_WORD)).tolist():
         same[i] = raw[start[i] : end[i]].tobytes() == other[at[i] : to[i]].tobytes()
     return same
+
+
+#: Bytes of text whose words are hashed at once.
+PIECE = 2 << 20
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, one after the other, and each text's number of words."""
+    hashes, sizes, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(texts):
+        to, size = at + 1, len(texts[at])
+        while to < len(texts) and size + len(texts[to]) <= PIECE:
+            size += len(texts[to])
+            to += 1
+        w = words_of(texts[at:to])
+        hashes.append(span_hashes(*w[:3]))
+        sizes.append(w.sizes)
+        at = to
+    return np.concatenate(hashes), np.concatenate(sizes)
+
+
+def order_of(key: np.ndarray) -> np.ndarray:
+    """np.argsort(key, kind="stable") for hashes (uint64): they are sorted by value with their places for last bits, then the few that only those bits would tell apart."""
+    bits = np.uint64(len(key).bit_length())
+    packed = key >> bits
+    packed <<= bits
+    packed |= np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    own = key[order]
+    wrong = np.flatnonzero(own[1:] < own[:-1])
+    if len(wrong) * 16 > len(key):
+        return np.argsort(key, kind="stable")
+    if len(wrong):
+        packed >>= bits
+        some = np.unique(packed[wrong])
+        at = np.concatenate([np.arange(a, b) for a, b in zip(np.searchsorted(packed, some), np.searchsorted(packed, some, "right"), strict=True)])
+        order[at] = order[at][np.argsort(key[order[at]], kind="stable")]
+    return order
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(key, return_inverse=True) for hashes (uint64)."""
+    order = order_of(key)
+    own = key[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    back = np.empty(len(own), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return own[new], back

@@ -117,3 +117,29 @@ def test_a_lookup_sorts_its_keys_once(tmp_path, monkeypatch):
             m.setattr(np, "unique", lambda *a, **b: calls.append(1) or unique(*a, **b))
             got = hash_arrays.Counts(at, bits, 2, (1, 1), exact).find(asked)
         assert got.tolist() == [want.get(int(k), [0, 0]) for k in asked] and len(calls) == 1
+
+
+def test_words_are_hashed_as_arrays_and_in_lower_case(monkeypatch):
+    import xxhash
+
+    from strataflow.llm import shared
+
+    calls, digest = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda x: calls.append(1) or digest(x))
+    monkeypatch.setattr(shared, "PIECE", 3000)
+    texts = [" ".join(f"Wörd{i % 977}aNDMore" for i in range(k)).encode() for k in (0, 1, 700, 3, 0, 900)]
+    _, _, token, place = L.tokens(texts)
+    want = [(x, k) for k, t in enumerate(texts) for x in [*t.lower().split(), b"end"]]
+    assert not calls and place.tolist() == [k for _, k in want] and len(set(token.tolist())) == len({x for x, _ in want}) == len(set(zip(token.tolist(), (x for x, _ in want), strict=True)))
+
+
+def test_hashes_are_sorted_like_numpys_stable_sort():
+    from strataflow.llm.shared import distinct, order_of
+
+    rng = np.random.default_rng(8)
+    for key in (rng.integers(0, 1 << 64, 5000, np.uint64), rng.integers(0, 1 << 15, 5000, np.uint64), rng.integers(0, 1 << 64, 300, np.uint64)[rng.integers(0, 300, 5000)], np.array([5], np.uint64), np.empty(0, np.uint64)):
+        assert order_of(key).tolist() == np.argsort(key, kind="stable").tolist()
+        assert [x.tolist() for x in distinct(key)] == [x.tolist() for x in np.unique(key, return_inverse=True)]
+    few = rng.integers(0, 1 << 64, 5000, np.uint64)
+    few[::50] = few[0] ^ rng.integers(0, 9, 100, np.uint64)  # told apart by their last bits only
+    assert order_of(few).tolist() == np.argsort(few, kind="stable").tolist()
