@@ -27,7 +27,7 @@ Extra columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -43,6 +43,8 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 ORDER = 3
 #: Bytes of text whose triples are summed up before they are sent, and those that one hash range is for.
 BLOCK, RANGE = 20 << 20, 16 << 20
+#: Bytes of an exchange's rows that go as one batch.
+SENT = 4 << 20
 #: One of so many texts tells which middle tokens are frequent; a token of more than FREQUENT of a range's share is, but no token below RARE of all.
 SAMPLED, FREQUENT, RARE = 16, 1.0, 1e-6
 #: The fields of words, with what most words of a hash range send: seen in one pair, once.
@@ -68,7 +70,8 @@ class Layout(NamedTuple):
     frequent: tuple[int, ...]
 
     def split(self, v: np.ndarray) -> np.ndarray:
-        return np.isin(v, np.array(self.frequent, np.uint64)) if self.frequent else np.zeros(len(v), bool)
+        frequent = np.array(sorted(self.frequent), np.uint64)
+        return frequent[np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)] == v if len(frequent) else np.zeros(len(v), bool)
 
     def within(self, by: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Keys whose leading bits are those of by."""
@@ -148,6 +151,25 @@ def _summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order[first], np.stack([np.add.reduceat(c[order].astype(np.int64), first) for c in counts], axis=1)
 
 
+def _rows(found: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(shard, packed) rows as batches of some MB, as each batch costs about as much as a hundred rows."""
+    held: list[tuple[int, bytes]] = []
+    size = 0
+    for row in found:
+        held.append(row)
+        size += len(row[1])
+        if size >= SENT:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    shard, packed = zip(*rows, strict=True)
+    return pa.record_batch({"shard": pa.array(shard, pa.int32()), "packed": pa.array(packed, pa.binary())})
+
+
 def _triples(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
     """For each block and range its distinct triples, sorted by the middle token and the one before, each written once for a run."""
     for t in joined(batches, most=BLOCK):
@@ -159,8 +181,7 @@ def _triples(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.R
         n, at = np.diff(np.r_[first, len(key)]), order[first]
         key, u, v, w = key[first], u[at], v[at], w[at]
         del order, first, at
-        for k, a, b in shard_edges(key, layout.bits):
-            yield pa.record_batch({"shard": pa.array([k], pa.int32()), "packed": [_packed(u[a:b], v[a:b], w[a:b], n[a:b])]})
+        yield from _rows((k, _packed(u[a:b], v[a:b], w[a:b], n[a:b])) for k, a, b in shard_edges(key, layout.bits))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -173,10 +194,23 @@ def _joined_planes(raw: bytes, kind: type, n: int, at: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T.copy().view(kind)[:, 0]
 
 
-def _packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
-    """Distinct triples with counts: their words' hashes once, and places among them; v and u once for each run of them."""
+@lru_cache
+def _compressor(level: int):
+    """One for all rows: making one costs more than a short row."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level)
+
+
+@lru_cache
+def _decompressor():
+    import zstandard
+
+    return zstandard.ZstdDecompressor()
+
+
+def _packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Distinct triples with counts: their words' hashes once, and places among them; v and u once for each run of them."""
     by = order_of(u)
     by = by[order_of(v[by])]
     u, v, w, n = u[by], v[by], w[by], n[by]
@@ -184,13 +218,11 @@ def _packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes
     words, at = distinct(np.concatenate([v[runs], u[pairs], w]))
     sizes = np.array([len(words), len(runs), len(pairs), len(w), len(often)], np.uint32)
     lengths = np.concatenate([np.diff(np.r_[runs, len(v)]), np.diff(np.r_[pairs, len(v)]), np.diff(np.r_[0, often]), n[often]]).astype(np.uint32)
-    return zstandard.compress(sizes.tobytes() + _planes(words) + _planes(at.astype(np.uint32)) + _planes(lengths), 6)
+    return _compressor(6).compress(sizes.tobytes() + _planes(words) + _planes(at.astype(np.uint32)) + _planes(lengths))
 
 
 def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    import zstandard
-
-    raw = zstandard.decompress(packed)
+    raw = _decompressor().decompress(packed)
     n_words, n_runs, n_pairs, n, n_often = (int(x) for x in np.frombuffer(raw, np.uint32, 5))
     words = _joined_planes(raw, np.uint64, n_words, 20)
     numbers = lambda count, at: _joined_planes(raw, np.uint32, count, at)
@@ -211,23 +243,45 @@ def _counts_of_counts(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _sent(of: str, key: np.ndarray, sums: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Sums of sorted keys for the second exchange, the most usual ones as bare keys."""
-    import zstandard
-
-    usual = (sums == np.array(USUAL[of])).all(axis=1)
-    for known, at in ((True, np.flatnonzero(usual)), (False, np.flatnonzero(~usual))):
-        for k, a, b in shard_edges(key[at], bits):
-            fields = b"" if known else _planes(sums[at[a:b]].T.reshape(-1))
-            yield pa.record_batch({"shard": pa.array([k], pa.int32()), "of": [of], "n": pa.array([b - a], pa.int32()), "packed": [zstandard.compress(_planes(key[at[a:b]]) + fields, 3)]})
-
-
-def _received(of: str, n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    import zstandard
-
-    raw = zstandard.decompress(packed)
-    fields = _joined_planes(raw, np.int64, n * FIELDS[of], 8 * n).reshape(-1, n).T if len(raw) > 8 * n else np.tile(USUAL[of], (n, 1))
-    return _joined_planes(raw, np.uint64, n, 0), fields
+def _sent(sums: dict[str, tuple[np.ndarray, np.ndarray]], numbers: list[int], shard: int, bits: int) -> Iterator[tuple[int, bytes]]:
+    """A range's sums of sorted keys for the second exchange: one row for each shard, with the most usual ones as bare keys. The numbers go to the range's own shard."""
+    parts = []
+    for of in FIELDS:
+        key, fields = sums.get(of, (np.empty(0, np.uint64), np.empty((0, FIELDS[of]), np.int64)))
+        usual = (fields == np.array(USUAL[of])).all(axis=1)
+        for own, more in ((key[usual], None), (key[~usual], fields[~usual])):
+            parts.append((own, more, np.searchsorted(own >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))))
+    edges = np.stack([x[2] for x in parts], axis=1)
+    for k in np.flatnonzero((edges[1:] > edges[:-1]).any(axis=1) | (np.arange(1 << bits) == shard)).tolist():
+        cuts = [(own[a:b], None if more is None else more[a:b]) for (own, more, _), a, b in zip(parts, edges[k].tolist(), edges[k + 1].tolist(), strict=True)]
+        head = np.array([len(own) for own, _ in cuts] + (numbers if k == shard else [0] * len(numbers)), np.int64)
+        fields = np.concatenate([more.T.reshape(-1) for _, more in cuts if more is not None])
+        yield k, _compressor(3).compress(head.tobytes() + _planes(np.concatenate([own for own, _ in cuts])) + _planes(fields))
+
+
+def _received(rows: Iterable[bytes]) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """The numbers that a shard was sent, added, and its sums: keys that may repeat, and their fields."""
+    numbers, keys, fields = np.zeros(9, np.int64), [[np.empty(0, np.uint64)] for _ in range(2 * len(FIELDS))], [[np.empty((0, n), np.int64)] for n in FIELDS.values()]
+    for packed in rows:
+        raw = _decompressor().decompress(packed)
+        head = np.frombuffer(raw, np.int64, 2 * len(FIELDS) + 9)
+        numbers += head[2 * len(FIELDS) :]
+        sizes = head[: 2 * len(FIELDS)].tolist()
+        own, at = _joined_planes(raw, np.uint64, sum(sizes), head.nbytes), 0
+        more, start = _joined_planes(raw, np.int64, (len(raw) - head.nbytes) // 8 - len(own), head.nbytes + own.nbytes), 0
+        for held, n in zip(keys, sizes, strict=True):
+            if n:
+                held.append(own[at : at + n])
+                at += n
+        for held, n, width in zip(fields, sizes[1::2], FIELDS.values(), strict=True):
+            if n:
+                held.append(more[start : start + n * width].reshape(width, n).T)
+                start += n * width
+    sums = {}
+    for of, bare, other, more in zip(FIELDS, keys[::2], keys[1::2], fields, strict=True):
+        own = np.concatenate(bare)
+        sums[of] = np.concatenate([own, *other]), np.concatenate([np.tile(USUAL[of], (len(own), 1)), *more])
+    return numbers, sums
 
 
 def _range(table: pa.Table, path: str, layout: Layout) -> Iterator[pa.RecordBatch]:
@@ -238,43 +292,35 @@ def _range(table: pa.Table, path: str, layout: Layout) -> Iterator[pa.RecordBatc
     u, v, w, n = u[at], v[at], w[at], sums[:, 0]
     key, pair = layout.keys(u, v, w)
     save_counts(f"{path}/triples", shard, layout.bits, key, sums, USUAL["count"])
-    numbers = [_counts_of_counts(n), [0] * 4]
+    numbers, sent = [*_counts_of_counts(n), *[0] * 4], {}
     if layout.order > 2:
         context = layout.contexts(u, v)
         at, sums = _summed(context, *_kinds(n))
         own, split = context[at], layout.split(v[at])
         kept = ~split & layout.told(own, sums)
         save_counts(f"{path}/contexts", shard, layout.bits, own[kept], sums[kept])
-        yield from _sent("context", own[split], sums[split], layout.bits)
+        sent["context"] = own[split], sums[split]
         at, sums = _summed(pair, np.ones(len(n)), n)
         continued = np.where(v[at] == START, sums[:, 1], sums[:, 0])
         save_counts(f"{path}/pairs", shard, layout.bits, pair[at], continued[:, None], USUAL["count"])
         v, w, n, raw = v[at], w[at], continued, sums[:, 1]
-        numbers[1] = _counts_of_counts(n)
+        numbers[4:] = _counts_of_counts(n)
     else:
         raw = n
     for of, word, fields in (("history", v, _kinds(n)), ("token", w, (np.ones(len(n)), raw))):
         at, sums = _summed(word, *fields)
-        yield from _sent(of, word[at], sums, layout.bits)
-    yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "of": ["numbers"], "n": pa.array([0], pa.int32()), "packed": [np.array([*numbers[0], *numbers[1], len(v)], np.int64).tobytes()]})
+        sent[of] = word[at], sums
+    yield from _rows(_sent(sent, [*numbers, len(v)], shard, layout.bits))
 
 
 def _word_range(table: pa.Table, path: str, layout: Layout) -> pa.Table:
     """Writes a range's words and frequent contexts; returns its sums and counts of counts."""
-    shard, numbers = table["shard"][0].as_py(), np.zeros(9, np.int64)
-    parts: dict[str, tuple[list, list]] = {of: ([np.empty(0, np.uint64)], [np.empty((0, k), np.int64)]) for of, k in FIELDS.items()}
-    for r in table.select(["of", "n", "packed"]).to_pylist():
-        if r["of"] == "numbers":
-            numbers += np.frombuffer(r["packed"], np.int64)
-        else:
-            for held, got in zip(parts[r["of"]], _received(r["of"], r["n"], r["packed"]), strict=True):
-                held.append(got)
+    shard, (numbers, sent) = table["shard"][0].as_py(), _received(table["packed"].to_pylist())
     found = {}
-    for of, (keys, fields) in parts.items():
-        key = np.concatenate(keys)
-        at, sums = _summed(key, *np.concatenate(fields).T)
+    for of in FIELDS:
+        key, fields = sent.pop(of)
+        at, sums = _summed(key, *fields.T)
         found[of] = key[at], sums
-    del parts
     context, sums = found["context"]
     kept = layout.told(context, sums)
     save_counts(f"{path}/frequent", shard, layout.bits, context[kept], sums[kept])
@@ -312,7 +358,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     layout = Layout(order, bits, _frequent(docs, max(FREQUENT / (1 << bits), RARE)))
     path = scratch(docs.sparkSession, "ngrams")
     sent = docs.select("text").mapInArrow(lambda b: _triples(b, layout), "shard int, packed binary")
-    entries = sent.groupBy("shard").applyInArrow(lambda t: pa.Table.from_batches(list(_range(t, path, layout))), "shard int, of string, n int, packed binary")
+    entries = sent.groupBy("shard").applyInArrow(lambda t: pa.Table.from_batches(list(_range(t, path, layout))), "shard int, packed binary")
     sums = np.zeros(15, np.int64)
     for r in entries.groupBy("shard").applyInArrow(lambda t: _word_range(t, path, layout), "shard int, sums array<long>").collect():  # a few numbers for each range
         sums += np.array(r["sums"], np.int64)
@@ -347,7 +393,7 @@ class Opened:
         return found[: len(pair)], out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _opened(model: Model) -> Opened:
     return Opened(model)
 

@@ -143,3 +143,52 @@ def test_hashes_are_sorted_like_numpys_stable_sort():
     few = rng.integers(0, 1 << 64, 5000, np.uint64)
     few[::50] = few[0] ^ rng.integers(0, 9, 100, np.uint64)  # told apart by their last bits only
     assert order_of(few).tolist() == np.argsort(few, kind="stable").tolist()
+
+
+def test_lookups_in_many_ranges_hold_no_files_open(tmp_path, monkeypatch):
+    import os
+    import resource
+
+    from strataflow.llm import hash_arrays
+
+    rng, bits = np.random.default_rng(6), 8
+    stored = np.unique(rng.integers(0, 1 << 64, 4000, np.uint64))
+    fields = rng.choice([1, 1, 7, 300], (len(stored), 4)).astype(np.int64)
+    asked = rng.permutation(np.concatenate([stored, stored[::2] ^ np.uint64(1 << 40)]))
+    want = {int(k): f.tolist() for k, f in zip(stored, fields, strict=True)}
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    for exact in (False, True):
+        at = f"{tmp_path}/{exact}"
+        for k, a, b in hash_arrays.shard_edges(stored, bits):
+            hash_arrays.save_counts(at, k, bits, stored[a:b], fields[a:b], (1, 1, 1, 1), exact)
+        counts = hash_arrays.Counts(at, bits, 4, (1, 1, 1, 1), exact)
+        resource.setrlimit(resource.RLIMIT_NOFILE, (max(map(int, os.listdir("/proc/self/fd"))) + 20, hard))
+        try:
+            got = counts.find(asked).tolist()
+        finally:
+            resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+        assert got == [want.get(int(k), [0] * 4) for k in asked]
+        monkeypatch.setattr(hash_arrays, "MOST_MAPS", 7)
+        few = hash_arrays.Counts(at, bits, 4, (1, 1, 1, 1), exact)
+        assert few.find(asked).tolist() == few.find(asked).tolist() == got and len(few.arrays.shards) == 7
+
+
+def test_a_table_in_many_ranges_equals_the_definition(spark, sf, monkeypatch):
+    monkeypatch.setattr(L, "RANGE", 1 << 8)
+    docs = documents(spark, sf).where("length(text) < 1000").repartition(2)
+    assert L.train(docs).layout.bits > 4
+    check(docs)
+
+
+def test_a_range_sends_each_shard_one_row(tmp_path):
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(i * i * k) % 97}" for i in range(200)).encode() for k in range(40)]
+    for order in (2, 3):
+        layout = L.Layout(order, 3, tuple(sorted(int(x) for x in L.tokens([b"w1 w4 w9"])[2][:3])))
+        rows = pa.table({"text": texts}).to_batches()
+        sent = [(k, p) for b in L._triples(rows, layout) for k, p in zip(b["shard"].to_pylist(), b["packed"].to_pylist(), strict=True)]
+        for shard in {k for k, _ in sent}:
+            own = [p for k, p in sent if k == shard]
+            to = [k for b in L._range(pa.table({"shard": pa.array([shard] * len(own), pa.int32()), "packed": own}), str(tmp_path), layout) for k in b["shard"].to_pylist()]
+            assert len(to) == len(set(to)) and shard in to
