@@ -140,23 +140,22 @@ def _narrowed(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _places(stored: tuple[np.ndarray, ...], asked: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Which of the keys asked, sorted and different, are stored, and where. Keys are one array, or heads that are sorted and tails."""
     at = np.searchsorted(stored[0], asked[0])
-    left = np.flatnonzero(at < len(stored[0]))
-    at = at[left]
-    same = stored[0][at] == asked[0][left]
-    at, left = at[same], left[same]
-    if len(stored) == 1:
-        return left, at
-    found = []
-    while len(left):  # heads are equal rarely
-        hit = stored[1][at] == asked[1][left]
-        found.append((left[hit], at[hit]))
-        if hit.all():
-            break
-        at, left = at[~hit] + 1, left[~hit]
-        at, left = at[inside := at < len(stored[0])], left[inside]
-        same = stored[0][at] == asked[0][left]
-        at, left = at[same], left[same]
-    return found[0] if len(found) == 1 else tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (left, at)
+    np.minimum(at, len(stored[0]) - 1, out=at)
+    same = stored[0][at] == asked[0]
+    left = np.flatnonzero(same & (stored[1][at] == asked[1]) if len(stored) > 1 else same)
+    found = [(left, at[left])]
+    if len(left) < np.count_nonzero(same):  # heads are equal rarely
+        same[left] = False
+        left = np.flatnonzero(same)
+        at = at[left] + 1
+        while len(left):
+            at, left = at[inside := at < len(stored[0])], left[inside]
+            same = stored[0][at] == asked[0][left]
+            at, left = at[same], left[same]
+            hit = stored[1][at] == asked[1][left]
+            found.append((left[hit], at[hit]))
+            at, left = at[~hit] + 1, left[~hit]
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def save_counts(uri: str, shard: int, bits: int, key: np.ndarray, fields: np.ndarray, usual: tuple[int, ...] = (), exact: bool = False) -> None:
@@ -193,20 +192,19 @@ class Counts:
             arrays, asked, rows = self.arrays.shard(k), tuple(x[a:b] for x in whole), None
             for kind, names in self.kinds:
                 stored, values, arrays = arrays[: self.n_keys], arrays[self.n_keys : len(names)], arrays[len(names) :]
+                if rows is not None and not len(rows):
+                    break
                 if not len(stored[0]):
                     continue
                 hit, at = _places(stored, asked)
-                if not len(hit):
-                    continue
                 to = hit + a if rows is None else rows[hit]
+                for f, v in enumerate(values):
+                    out[to, f] = v[at]
                 if kind == "bare":
                     out[to] = self.usual
-                else:
-                    for f, v in enumerate(values):
-                        out[to, f] = v[at]
-                left = np.ones(len(asked[0]), bool)
-                left[hit] = False
-                asked, rows = tuple(x[left] for x in asked), (np.arange(a, b) if rows is None else rows)[left]
-                if not len(rows):
-                    break
+                if kind != "large":
+                    rows = np.arange(a, b) if rows is None else rows
+                    left = np.ones(len(rows), bool)
+                    left[hit] = False
+                    asked, rows = tuple(x[left] for x in asked), rows[left]
         return out

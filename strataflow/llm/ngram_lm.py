@@ -13,7 +13,7 @@
    Words have keys of 64 bits; triples, pairs and contexts of 40 beyond those of their range, so that
    about one of a million that never occurred is taken for another.
 4. Workers memory-map the arrays and score blocks of documents: each distinct triple, pair, context and
-   word of a block is looked up once, and sums are by document.
+   word of a block is looked up once, in keys' order, and sums are by document.
 
 Triples are counted as they occur; pairs and words by how many different tokens stand before them, but
 pairs at a text's start, which have nothing before them, as they occur. At order two pairs take the
@@ -27,7 +27,7 @@ Extra columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -45,6 +45,8 @@ ORDER = 3
 BLOCK, RANGE = 20 << 20, 16 << 20
 #: Bytes of an exchange's rows that go as one batch.
 SENT = 4 << 20
+#: Bytes of text that are scored at once, as each look goes by nearly all ranges, and how many of their keys are looked up at once.
+SCORED, LOOKED_UP = 16 << 20, 1 << 19
 #: One of so many texts tells which middle tokens are frequent; a token of more than FREQUENT of a range's share is, but no token below RARE of all.
 SAMPLED, FREQUENT, RARE = 16, 1.0, 1e-6
 #: The fields of words, with what most words of a hash range send: seen in one pair, once.
@@ -78,16 +80,16 @@ class Layout(NamedTuple):
         shift = np.uint64(64 - self.bits)
         return (by >> shift << shift) | (key >> np.uint64(self.bits)) if self.bits else key
 
-    def keys(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of triples and of their pairs (v, w)."""
+    def keys(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, split: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of triples and of their pairs (v, w); split(v) may be given."""
         pair = mixed(v * _P1 + w)
-        home = np.where(self.split(v), pair, mixed(v))
+        home = np.where(self.split(v) if split is None else split, pair, mixed(v))
         return self.within(home, mixed(u * _P2 + pair)), self.within(home, pair)
 
-    def contexts(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def contexts(self, u: np.ndarray, v: np.ndarray, split: np.ndarray | None = None) -> np.ndarray:
         """The keys of contexts (u, v): within the middle token's range, but dealt by themselves for frequent ones."""
         own = mixed(v * _P2 + mixed(u))
-        return np.where(self.split(v), own, self.within(mixed(v), own))
+        return np.where(self.split(v) if split is None else split, own, self.within(mixed(v), own))
 
     def told(self, context: np.ndarray, sums: np.ndarray) -> np.ndarray:
         """Which contexts must be written: those that one triple follows once are told by their pair, as every pair but one at a text's end has something after it. Two starts are no pair."""
@@ -367,10 +369,29 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     return Model(path, layout, n[0], n[1], n[14], of, (n[2], n[3], n[1] - n[2] - n[3]))
 
 
-def _found(counts: Counts, key: np.ndarray) -> np.ndarray:
-    """For each key its numbers; each distinct one is looked up once."""
-    unique, back = distinct(key)
-    return counts.find_sorted(unique)[back]
+def _looked_up(counts: Counts, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Looks keys up in their order, some at a time and each distinct one of these once: places of the keys, their rows, the rows' numbers."""
+    order = order_of(key)
+    for a in range(0, len(order), LOOKED_UP):
+        own = key[order[a : a + LOOKED_UP]]
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
+        yield order[a : a + LOOKED_UP], np.cumsum(new) - 1, counts.find_sorted(own[new])
+
+
+def _first_numbers(counts: Counts, key: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(key), np.int64)
+    for places, rows, values in _looked_up(counts, key):
+        out[places] = values[rows, 0]
+    return out
+
+
+def _by_parts(f: Callable[..., np.ndarray], *columns: np.ndarray) -> np.ndarray:
+    """f(*columns) for keys, with its temporary arrays for some rows at a time."""
+    out = np.empty(len(columns[0]), np.uint64)
+    for a in range(0, len(out), LOOKED_UP):
+        out[a : a + LOOKED_UP] = f(*(c[a : a + LOOKED_UP] for c in columns))
+    return out
 
 
 class Opened:
@@ -382,16 +403,6 @@ class Opened:
         self.triples, self.pairs, self.words = at("triples", 1, USUAL["count"]), at("pairs", 1, USUAL["count"]), at("words", 6, exact=True)
         self.contexts, self.frequent = at("contexts", 4), at("frequent", 4)
 
-    def pairs_and_contexts(self, u: np.ndarray, v: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The counts of pairs (v, w), and contexts' (u, v) totals: those that aren't written are usual where they are a pair; nothing comes after an end."""
-        key, split = self.model.layout.contexts(u, v), self.model.layout.split(v)
-        out = np.zeros((len(key), 4), np.int64)
-        out[~split], out[split] = _found(self.contexts, key[~split]), _found(self.frequent, key[split])
-        left = np.flatnonzero((out[:, 3] == 0) & (v != END))
-        found = _found(self.pairs, np.concatenate([pair, self.model.layout.keys(u[left], u[left], v[left])[1]]))[:, 0]
-        out[left[found[len(pair) :] > 0]] = USUAL["context"]
-        return found[: len(pair)], out
-
 
 @lru_cache(maxsize=1)
 def _opened(model: Model) -> Opened:
@@ -402,41 +413,67 @@ def _taken(n: np.ndarray, d: Discounts) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(n, 3)]
 
 
-def _interpolated(n: np.ndarray, context: np.ndarray, d: Discounts, lower: np.ndarray) -> np.ndarray:
-    """Discounted counts, with what was taken off given to the lower order; the lower order alone after a context that was never seen."""
+def _left(context: np.ndarray, d: Discounts) -> tuple[np.ndarray, np.ndarray]:
+    """The share of each context that discounts leave to the lower order, all of one that was never seen, and the contexts' totals."""
     once, twice, more, total = context.T
-    rest = np.divide(d.one * once + d.two * twice + d.more * more, total, out=np.ones(len(n)), where=total > 0)
+    return np.divide(d.one * once + d.two * twice + d.more * more, total, out=np.ones(len(context)), where=total > 0), total.astype(float)
+
+
+def _interpolated(n: np.ndarray, rest: np.ndarray, total: np.ndarray, d: Discounts, lower: np.ndarray) -> np.ndarray:
+    """Discounted counts, with what was taken off given to the lower order; the lower order alone after a context that was never seen."""
     return np.divide(np.maximum(n - _taken(n, d), 0), total, out=np.zeros(len(n)), where=total > 0) + rest * lower
 
 
-def probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probability, training count) of each token w after v, and u before that."""
-    own = _opened(model)
-    word, back = distinct(np.concatenate([w, v]))
+def probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray, running: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, training count) of each token w after v, and u before that. In running text it is told which tokens follow the one before; others are a text's first. So a token's context is the pair before it, and isn't looked up as one."""
+    own, layout = _opened(model), model.layout
+    words_d, pairs_d, triples_d = model.discounts
+    if running is None:
+        word, back = distinct(np.concatenate([w, v]))
+        at, before = back[: len(w)], back[len(w) :]
+    else:
+        word, at = distinct(np.append(w, START))
+        before = np.where(running, np.roll(at[:-1], 1), at[-1])
+        at = at[:-1]
     found = own.words.find_sorted(word)
     histories = found[:, 4]
-    words_d, pairs_d, triples_d = model.discounts
     if model.distinct_pairs:
         kept = sum(x * n for x, n in zip(words_d, model.seen_words, strict=True)) / model.distinct_pairs
         lower = np.maximum(histories - _taken(histories, words_d), 0) / model.distinct_pairs + kept / (model.vocabulary + 1)
     else:
         lower = np.full(len(word), 1.0 / (model.vocabulary + 1))
-    at, before = back[: len(w)], back[len(w) :]
-    triple, pair = model.layout.keys(u, v, w)
-    if model.layout.order == 2:
-        return _interpolated(_found(own.triples, triple)[:, 0], found[before, :4], triples_d, lower[at]), found[at, 5]
-    continued, context = own.pairs_and_contexts(u, v, pair)
-    p = _interpolated(continued, found[before, :4], pairs_d, lower[at])
-    return _interpolated(_found(own.triples, triple)[:, 0], context, triples_d, p), found[at, 5]
+    known = found[at, 5]
+    rest, total = (x[before] for x in _left(found[:, :4], triples_d if layout.order == 2 else pairs_d))
+    lower = lower[at]
+    del at, before
+    split = layout.split(v)
+    triple, pair = (lambda *x: layout.keys(*x)[0]), (lambda v, *x: layout.keys(v, v, *x)[1])
+    if layout.order == 2:
+        return _interpolated(_first_numbers(own.triples, _by_parts(triple, u, v, w, split)), rest, total, triples_d, lower), known
+    continued = _first_numbers(own.pairs, _by_parts(pair, v, w, split))
+    p = _interpolated(continued, rest, total, pairs_d, lower)
+    seen = np.r_[False, continued[:-1] > 0][: len(w)]
+    del lower, continued
+    rest[:], total[:] = 1, 0
+    context = _by_parts(layout.contexts, u, v, split)
+    for counts, some in ((own.contexts, np.flatnonzero(~split)), (own.frequent, np.flatnonzero(split))):
+        for places, rows, values in _looked_up(counts, context[some]):
+            to = some[places]
+            rest[to], total[to] = (x[rows] for x in _left(values, triples_d))
+    del context
+    left = np.flatnonzero((total == 0) & (v != END))  # those that aren't written are usual where they are a pair; nothing comes after an end
+    left = left[(seen & running)[left] if running is not None else _first_numbers(own.pairs, pair(u[left], v[left])) > 0]
+    rest[left], total[left] = (x[0] for x in _left(np.array([USUAL["context"]]), triples_d))
+    return _interpolated(_first_numbers(own.triples, _by_parts(triple, u, v, w, split)), rest, total, triples_d, p), known
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """SCHEMA's columns for each row of docs(doc_id, text, held_out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in joined(batches):
+        for t in joined(batches, most=SCORED):
             u, v, w, doc = tokens(utf8(t), model.layout.order)
-            p, c = probabilities(model, u, v, w)
+            p, c = probabilities(model, u, v, w, np.r_[False, doc[1:] == doc[:-1]][: len(doc)])
             sums = lambda x: np.bincount(doc, x, t.num_rows)
             base = np.log10((c + 1) / (model.tokens + 1 * (model.vocabulary + 1)))
             whole = lambda x: pa.array(np.rint(x).astype(np.int64))
