@@ -192,3 +192,18 @@ def test_a_range_sends_each_shard_one_row(tmp_path):
             own = [p for k, p in sent if k == shard]
             to = [k for b in L._range(pa.table({"shard": pa.array([shard] * len(own), pa.int32()), "packed": own}), str(tmp_path), layout) for k in b["shard"].to_pylist()]
             assert len(to) == len(set(to)) and shard in to
+
+
+def test_arrays_of_another_store_are_copied_and_mapped(tmp_path, monkeypatch):
+    import pyarrow.fs as fs
+
+    from strataflow.llm import hash_arrays
+
+    monkeypatch.setattr(hash_arrays, "_store", lambda uri: (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), uri))
+    stored = np.unique(np.random.default_rng(7).integers(0, 1 << 64, 500, np.uint64))
+    for k, a, b in hash_arrays.shard_edges(stored, 3):
+        hash_arrays.save_counts("x", k, 3, stored[a:b], np.arange(a, b)[:, None] + 1, (1,))
+        hash_arrays.save("y", k, key=stored[a:b], doc=np.arange(a, b))
+    assert hash_arrays.Counts("x", 3, 1, (1,)).find(stored)[:, 0].tolist() == list(range(1, len(stored) + 1))
+    hit, doc = hash_arrays.HashArrays("y", 3, "doc").find(stored, (np.int64(-1),))
+    assert hit.all() and doc.tolist() == list(range(len(stored)))
