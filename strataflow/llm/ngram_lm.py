@@ -46,7 +46,7 @@ BLOCK, RANGE = 20 << 20, 16 << 20
 #: Bytes of an exchange's rows that go as one batch.
 SENT = 4 << 20
 #: Bytes of text that are scored at once, as each look goes by nearly all ranges, and how many of their keys are looked up at once.
-SCORED, LOOKED_UP = 16 << 20, 1 << 19
+SCORED, LOOKED_UP = 12 << 20, 1 << 19
 #: One of so many texts tells which middle tokens are frequent; a token of more than FREQUENT of a range's share is, but no token below RARE of all.
 SAMPLED, FREQUENT, RARE = 16, 1.0, 1e-6
 #: The fields of words, with what most words of a hash range send: seen in one pair, once.
